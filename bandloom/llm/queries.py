@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .packing import op3_best_fit_packing
 from .quality_rules import op1_quality_rules
+from .token_counts import op2_token_counts
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_best_fit_packing": op3_best_fit_packing}
 
 ORACLE_SQL: dict[str, str] = {}
