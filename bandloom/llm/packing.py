@@ -15,7 +15,6 @@ packed each on their own; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +28,6 @@ from . import common
 from .token_counts import encoder, texts_of
 
 
-def as_bytes(ids: list[int]) -> bytes:
-    """The ids as little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class OpenBins:
     """At most ``most`` open bins of ``room``, by their free space."""
 
@@ -76,7 +70,7 @@ def pieces(docs: DataFrame, path: str, room: int, end_id: int, id_col: str = "do
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, as_bytes)
+        own = encoder(path, keep_ids=True)
         for part, texts in texts_of(batches):
             at, piece, start, length, crc = [], [], [], [], []
             for i, found in enumerate(own.pieces(texts)):

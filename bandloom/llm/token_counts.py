@@ -18,11 +18,13 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 
@@ -33,7 +35,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 #: Fixed by the split pattern of byte-level BPE: no match of that crosses a match of this.
 SAFE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Bytes of text in one call of the tokenizer, and in one text of joined pieces; pieces remembered, and the longest of those.
-CALL_BYTES, LINE_BYTES, REMEMBERED, LONGEST = 1 << 20, 1 << 14, 300_000, 48
+CALL_BYTES, LINE_BYTES, REMEMBERED, LONGEST = 1 << 20, 1 << 14, 800_000, 48
 
 
 def by_bytes(texts: Iterable[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
@@ -50,10 +52,11 @@ def by_bytes(texts: Iterable[str], most: int = CALL_BYTES) -> Iterator[list[str]
 
 
 class Encoder:
-    """Encodes whole texts with the file at ``path``; ``value`` says what to keep of a piece's ids."""
+    """Encodes whole texts with the file at ``path``. Keeps of a piece its ids, as little-endian unsigned 32-bit numbers, or else only their number."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
-        self.value, self.memory, self.older = value, {}, {}
+    def __init__(self, path: str, keep_ids: bool):
+        self.keep_ids, self.memory, self.older = keep_ids, {}, {}
+        self.line_break = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -61,8 +64,6 @@ class Encoder:
             self.call = lambda texts: own.encode(texts, num_threads=1)
             self.safe, self.special = False, []
             return
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,62 +74,73 @@ class Encoder:
         kind = str(own.pre_tokenizer)
         self.safe = own.normalizer is None and "ByteLevel" in kind and "use_regex=True" in kind and "add_prefix_space=False" in kind
         line = self.call(["\n"])[0]
-        self.line_break = line[0] if len(line) == 1 else None
+        if len(line) == 1:
+            self.line_break = line[0]
         self.special = [x.content for x in own.get_added_tokens_decoder().values()]
 
     def encode(self, texts: Iterable[str]) -> list:
+        """What is kept of each text's ids."""
         out = []
         for call in by_bytes(texts):
-            out += map(self.value, self.call(call))
+            for ids in self.call(call):
+                out.append(np.asarray(ids, "<u4").tobytes() if self.keep_ids else len(ids))
         return out
 
     def encode_words(self, words: list[str]) -> list:
         """As encode(), for pieces without a line break: lines of one text, as a line break is a piece and a token of its own."""
         out = []
         for lines in by_bytes(words, LINE_BYTES):
-            ids = np.asarray(self.call(["\n".join(lines)])[0], np.uint32)
-            cuts = np.flatnonzero(ids == self.line_break).tolist()
-            ids = ids.tolist()
-            for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True):
-                out.append(self.value(ids[a + 1 : b]))
+            ids = np.asarray(self.call(["\n".join(lines)])[0], "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
+            if self.keep_ids:
+                raw = ids.tobytes()
+                out += [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += [b - a - 1 for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
     def pieces(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces in order."""
+        """For each text what is kept of its pieces, in order."""
         if not self.safe:
             return [[x] for x in self.encode(texts)]
-        split = [[x] if any(s in x for s in self.special) else SAFE.findall(x) for x in texts]
         if len(self.memory) > REMEMBERED:
             self.older, self.memory = self.memory, {}
-        found = self.memory
-        new = set().union(*split).difference(found)
-        again = new.intersection(self.older)
-        found.update((p, self.older[p]) for p in again)
-        new -= again
-        words = [p for p in new if len(p) <= LONGEST and not p.isspace() and self.line_break is not None and not any(s in p for s in self.special)]
-        found.update(zip(words, self.encode_words(words), strict=True))
-        other = list(new.difference(words))
-        if other:
-            once = dict(zip(other, self.encode(other), strict=True))
-            return [[found[p] if p in found else once[p] for p in x] for x in split]
-        return [list(map(found.__getitem__, x)) for x in split]
-
-
-_OWN: dict[tuple[str, Callable], Encoder] = {}
-
-
-def encoder(path: str, value: Callable[[list[int]], object]) -> Encoder:
-    """This worker's encoder, with what it remembers from earlier tasks. ``value``: a module's function."""
-    key = (path, value)
+        memory, older = self.memory, self.older
+        split = [[x] if any(s in x for s in self.special) else SAFE.findall(x) for x in texts]
+        found = [list(map(memory.get, x)) for x in split]
+        gaps = [(i, j) for i, x in enumerate(found) if None in x for j, v in enumerate(x) if v is None]
+        new = {split[i][j] for i, j in gaps}
+        words, other = [], []
+        for p in new:
+            if (v := older.get(p)) is not None:
+                memory[p] = v
+            elif len(p) <= LONGEST and self.line_break is not None and p[-1] > " " and p not in self.special:
+                words.append(p)
+            else:
+                other.append(p)
+        memory.update(zip(words, self.encode_words(words), strict=True))
+        once = dict(zip(other, self.encode(other), strict=True))
+        for i, j in gaps:
+            p = split[i][j]
+            found[i][j] = once[p] if p in once else memory[p]
+        return found
+
+
+_OWN: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, keep_ids: bool = False) -> Encoder:
+    """This worker's encoder, with what it remembers from earlier tasks."""
+    key = (path, keep_ids)
     if key not in _OWN:
-        _OWN[key] = Encoder(path, value)
+        _OWN[key] = Encoder(path, keep_ids)
     return _OWN[key]
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with at most about four calls' bytes of text, unless one text has more."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)) if batch.num_rows else np.zeros(0)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)) if batch.num_rows else np.zeros(0)
         start = size = 0
         for i, n in enumerate(sizes.tolist()):
             size += n
@@ -143,11 +155,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     source = docs.select(docs[id_col], docs[text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, len)
+        own = encoder(path)
         for part, texts in texts_of(batches):
             counts = pa.array([sum(x) for x in own.pieces(texts)], pa.int64())
             size = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), size, counts, pa.compute.greater(counts, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([part.column(0), size, counts, pc.greater(counts, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean")
 
