@@ -30,52 +30,10 @@ from pyspark.sql import DataFrame
 from . import common
 from .token_counts import texts_of
 
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 NONE = 1 << 62
 
 
-class RankQueue:
-    """Positions in buckets by rank; the lowest rank in use by a find-first-set on each of two levels.
-
-    ``words`` has a bit for each rank and ``top`` one for each word that isn't 0. An empty queue is left behind
-    by every use, so one serves all pre-tokens of a worker.
-    """
-
-    SHIFT = 8  # bits of a word: 2 ** SHIFT
-
-    def __init__(self, ranks: int):
-        self.words = [0] * ((ranks >> self.SHIFT) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 8
-            self.words[word] |= 1 << (rank & 255)
-            self.top |= 1 << word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank in use and the lowest position that waits there; the queue isn't empty."""
-        top, words = self.top, self.words
-        a = (top & -top).bit_length() - 1
-        word = words[a]
-        low = word & -word
-        rank = (a << 8) + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        word ^= low
-        words[a] = word
-        if not word:
-            self.top = top & (top - 1)
-        return rank, bucket[0]
-
-
 class ByteBPE:
     """Encoder and decoder for a file of ranks: a base64 token and its rank on each line."""
 
@@ -83,14 +41,20 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {b: a for a, b in self.ranks.items()}
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.words = [0] * ((max(self.tokens) >> 8) + 1)
+        self.two = [self.ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)]
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.names = {i: str(i) for i in self.tokens}
         self.memory: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.
+
+        The queue: ``buckets`` has the waiting positions of each rank in use, lowest first; ``words`` has a bit for
+        each such rank, 256 to a word, and ``top`` one for each word that isn't 0. It is empty again at the end, so
+        one list of words serves all pre-tokens.
+        """
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
@@ -99,15 +63,34 @@ class ByteBPE:
         ends = list(range(1, n + 2))  # of the part that starts at a position; its successor's start
         before = list(range(-1, n))
         waiting = [NONE] * (n + 1)  # the rank of the pair that starts at a position, to tell stale entries
-        queue, get = self.queue, ranks.get
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
+        get, two, words = ranks.get, self.two, self.words
+        buckets: dict[int, list[int]] = {}
+        top = i = 0
+        for pair in zip(piece, piece[1:], strict=False):
+            rank = two[pair[0] << 8 | pair[1]]
             if rank is not None:
                 waiting[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+            i += 1
+        while top:
+            a = (top & -top).bit_length() - 1  # find first set: the word, then the rank in it
+            word = words[a]
+            low = word & -word
+            rank = (a << 8) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[a] = word = word ^ low
+                if not word:
+                    top &= top - 1
             if waiting[i] != rank:
                 continue
             mid = ends[i]
@@ -119,15 +102,25 @@ class ByteBPE:
                 rank = get(piece[i : ends[end]])
                 if rank is not None:
                     waiting[i] = rank
-                    push(rank, i)
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        words[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
             if i:
-                left = before[i]
-                rank = get(piece[left:end])
-                if rank is not None:
-                    waiting[left] = rank
-                    push(rank, left)
+                i = before[i]
+                rank = get(piece[i:end])
+                if rank is None:
+                    waiting[i] = NONE
                 else:
-                    waiting[left] = NONE
+                    waiting[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        words[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : ends[i]]])
