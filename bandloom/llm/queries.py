@@ -8,9 +8,10 @@ from .near_dup import op6_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op8_secret_scans
+from .simhash import op9_document_fingerprints
 from .token_counts import op2_token_counts
 from .url_filter import op5_url_filters
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_best_fit_packing": op3_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_url_filters": op5_url_filters, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_level_bpe": op7_byte_level_bpe, "op8_secret_scans": op8_secret_scans}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_best_fit_packing": op3_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_url_filters": op5_url_filters, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_level_bpe": op7_byte_level_bpe, "op8_secret_scans": op8_secret_scans, "op9_document_fingerprints": op9_document_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
