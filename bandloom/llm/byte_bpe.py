@@ -158,6 +158,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """id and token_ids, an array, for each row."""
     source = docs.select(docs[id_col], docs[text_col])
 
+    @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for part, texts in texts_of(batches):
@@ -185,6 +186,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, and decoded from the ids, without moving either."""
     source = docs.select(docs[id_col], docs[text_col])
 
+    @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for part, texts in texts_of(batches):

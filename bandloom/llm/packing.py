@@ -69,6 +69,7 @@ def pieces(docs: DataFrame, path: str, room: int, end_id: int, id_col: str = "do
     source = docs.select(docs[id_col], docs[text_col])
     end = end_id.to_bytes(4, "little")
 
+    @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, keep_ids=True)
         for part, texts in texts_of(batches):

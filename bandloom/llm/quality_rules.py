@@ -146,6 +146,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     """One row for each document: its id, the base figures and the verdict."""
     source = docs.select(docs[id_col], docs[text_col])
 
+    @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [judge(x, rules)[:8] for x in batch.column(1).to_pylist()]
@@ -162,6 +163,7 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lengt
     at = names.index(text_col)
     length = names.index(length_col) if length_col in names else None
 
+    @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [judge(x, rules) for x in batch.column(at).to_pylist()]

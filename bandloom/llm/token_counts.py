@@ -76,6 +76,7 @@ class Encoder:
         line = self.call(["\n"])[0]
         if len(line) == 1:
             self.line_break = line[0]
+        self.marks = dict(zip(".,;:", self.encode(".,;:"), strict=True))
         self.special = [x.content for x in own.get_added_tokens_decoder().values()]
 
     def encode(self, texts: Iterable[str]) -> list:
@@ -110,15 +111,24 @@ class Encoder:
         found = [list(map(memory.get, x)) for x in split]
         gaps = [(i, j) for i, x in enumerate(found) if None in x for j, v in enumerate(x) if v is None]
         new = {split[i][j] for i, j in gaps}
-        words, other = [], []
+        words, other, marked = set(), [], []
         for p in new:
             if (v := older.get(p)) is not None:
                 memory[p] = v
-            elif len(p) <= LONGEST and self.line_break is not None and p[-1] > " " and p not in self.special:
-                words.append(p)
-            else:
+            elif len(p) > LONGEST or self.line_break is None or p[-1] <= " " or p in self.special:
                 other.append(p)
+            elif p[-1] in self.marks and p[-2:-1].isalpha():  # the split pattern parts a letter from a mark
+                marked.append(p)
+                if (q := p[:-1]) not in memory and q not in self.special:
+                    if (v := older.get(q)) is not None:
+                        memory[q] = v
+                    else:
+                        words.add(q)
+            else:
+                words.add(p)
+        words = list(words)
         memory.update(zip(words, self.encode_words(words), strict=True))
+        memory.update((p, memory[p[:-1]] + self.marks[p[-1]]) for p in marked)
         once = dict(zip(other, self.encode(other), strict=True))
         for i, j in gaps:
             p = split[i][j]
@@ -154,6 +164,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     """id, n_bytes, n_tokens and over_limit of each row. ``path``: the tokenizer's file, which every executor has."""
     source = docs.select(docs[id_col], docs[text_col])
 
+    @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for part, texts in texts_of(batches):
