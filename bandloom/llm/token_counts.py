@@ -115,11 +115,11 @@ class Encoder:
         for p in new:
             if (v := older.get(p)) is not None:
                 memory[p] = v
-            elif len(p) > LONGEST or self.line_break is None or p[-1] <= " " or p in self.special:
+            elif len(p) > LONGEST or self.line_break is None or p[-1] <= " " or any(s in p for s in self.special):
                 other.append(p)
             elif p[-1] in self.marks and p[-2:-1].isalpha():  # the split pattern parts a letter from a mark
                 marked.append(p)
-                if (q := p[:-1]) not in memory and q not in self.special:
+                if (q := p[:-1]) not in memory:
                     if (v := older.get(q)) is not None:
                         memory[q] = v
                     else:
