@@ -53,7 +53,7 @@ class NearDup:
     rows: int = 5
     batch: int = 20
     miss: float = 1e-6
-    block: int = 2048
+    block: int = 512
     fan: int = 256
 
     @property
@@ -223,21 +223,22 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def across(buckets: DataFrame, nodes: DataFrame, rule: NearDup) -> DataFrame:
-    """Pairs (u, v) of different components within a bucket that pass the Bayesian test.
+def across(buckets: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
+    """Links (u, v) between different components within a bucket, enough of them to join what belongs together.
 
     ``buckets``: key, band, node, component. A bucket's rows stand on the left in blocks, those outside its largest
-    component on the right in blocks; every block of one side meets every block of the other in a task of its own. A
-    pair is told only in the first band that it shares.
+    component on the right in blocks; every block of one side meets every block of the other in a task of its own.
+    There a pair passes the Bayesian test and then the exact one, unless links found before it in the same task have
+    joined its components, or an earlier band that it shares answers for it.
     """
-    tests, block, width = rule.least_matches(), rule.block, rule.rows
+    tests, block, width, words = rule.least_matches(), rule.block, rule.rows, rule.words
     sizes = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
     largest = largest.filter("kinds > 1").select("key", F.col("most.component").alias("largest"), F.ceil(F.col("all") / block).alias("lefts"), F.ceil((F.col("all") - F.col("most.n")) / block).alias("rights"))
-    mixed = buckets.join(largest, "key").join(nodes, "node")
+    mixed = buckets.join(largest, "key").join(texts, "node")
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    rest = ["band", "node", "component", "n_shingles", "signature"]
+    rest = ["band", "node", "component", "n_shingles", "signature", "text"]
     left = mixed.select("key", place("lefts").alias("i"), span("rights").alias("j"), F.lit(0).alias("side"), *rest)
     right = mixed.filter("component <> largest").select("key", span("lefts").alias("i"), place("rights").alias("j"), F.lit(1).alias("side"), *rest)
     rows = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
@@ -250,8 +251,16 @@ def across(buckets: DataFrame, nodes: DataFrame, rule: NearDup) -> DataFrame:
         band = held[0][1]
         node, kind, n = (np.array([x[k] for x in lefts], np.int64) for k in (2, 3, 4))
         sigs = np.stack([np.frombuffer(x[5], np.uint16) for x in lefts])
+        sets: dict[int, np.ndarray] = {}
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         out = []
-        for _, _, v, c, m, sig in held[len(lefts) :]:
+        for _, _, v, c, m, sig, text in held[len(lefts) :]:
             live = np.flatnonzero((kind != c) & (100 * np.minimum(n, m) >= bound * np.maximum(n, m)))
             own, done, matches = np.frombuffer(sig, np.uint16), 0, 0
             for k, least in tests:
@@ -261,9 +270,20 @@ def across(buckets: DataFrame, nodes: DataFrame, rule: NearDup) -> DataFrame:
                 stay = matches >= least
                 live, matches, done = live[stay], matches[stay], k
             if band and len(live):
-                same = (sigs[live, : band * width] == own[: band * width]).reshape(len(live), band, width).all(axis=2).any(axis=1)
-                live = live[~same]
-            out += [(v, u) for u in node[live].tolist()]
+                new = ~(sigs[live, : band * width] == own[: band * width]).reshape(len(live), band, width).all(axis=2).any(axis=1)
+                live, matches = live[new], matches[new]
+            s = None
+            for i in live[np.argsort(-matches, kind="stable")].tolist() if len(live) else []:
+                x, y = root(int(kind[i])), root(c)
+                if x == y:
+                    continue
+                s = shingles(text, words) if s is None else s
+                if i not in sets:
+                    sets[i] = shingles(lefts[i][6], words)
+                shared = len(np.intersect1d(s, sets[i], assume_unique=True))
+                if 100 * shared >= bound * (len(s) + len(sets[i]) - shared):
+                    joined[max(x, y)] = min(x, y)
+                    out.append((v, int(node[i])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +302,7 @@ def across(buckets: DataFrame, nodes: DataFrame, rule: NearDup) -> DataFrame:
                 held.append(tuple(row))
         yield from told()
 
-    # two nodes outside the largest component meet from either side
-    return rows.mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +325,7 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     links = common.checkpointed(verified(stars, texts, rule))
     first = components(links)
     labelled = buckets.join(first, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    more = verified(across(labelled, texts.select("node", "n_shingles", "signature"), rule), texts, rule)
+    more = across(labelled, texts, rule)
     more = common.checkpointed(more.unionByName(first.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))))
     final = components(more).filter("node <> component")
 
