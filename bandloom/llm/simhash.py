@@ -99,7 +99,7 @@ def buckets(docs: DataFrame, id_col: str) -> Column:
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         inside = F.floor((x - float(a)) / (float(b) - float(a)) * parts) if float(b) > float(a) else F.lit(0)
         found = F.when(F.col(id_col) >= a, F.least(F.greatest(inside, F.lit(0)), F.lit(parts)) + i * (parts + 1)).otherwise(found)
-    return F.coalesce(found.cast("long"), F.lit(-1).cast("long"))
+    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(found).cast("long")
 
 
 def chained(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,0 +1,485 @@
+"""The training-data operators against brute force, on small tables with odd rows."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from bandloom.llm import byte_bpe, html_text, near_dup, packing, pitman_yor, quality_rules, queries, secret_scan, simhash, token_counts, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    words = ["the", "of", "and", "über", "cañón", "Paper"] + ["".join(x) for x in itertools.product(("ri", "sto", "li", "mor", "se"), ("ver", "ne", "ght", "ning"), ("", "er", "ed", "ly"))]
+    return " ".join((rng.choice(words) if rng.random() > 0.2 else rng.choice(words[:3])) + (". " if rng.random() < 0.1 else "") for _ in range(n)).strip() + "."
+
+
+ODD = [None, "", " ", "\n\n", "a", "x" * 3000, "one two", "<|endoftext|> a  <|endoftext|>\n b", "é" * 50 + "\u3000\x1c\x85z", "\t\v\f\r a", "日本語 テスト。" * 30, "a\x00b", "tab\tand  two  spaces \n"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = [prose(60 + 7 * i, i) for i in range(20)]
+    near = [" ".join(w if j % 40 else "zz" for j, w in enumerate(base[3].split())), base[3] + " more", base[5].upper()]
+    texts = ODD + base + near + [base[0], base[0], prose(9000, 99)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(2, prose(80, 7), "en", "s", 0)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def texts_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def empty(docs):
+    return docs.limit(0)
+
+
+# -- 1 quality rules
+
+
+def test_quality_base(docs):
+    got = collections.Counter(tuple(r)[:6] for r in quality_rules.measure(docs).collect())
+    expected = collections.Counter()
+    for i, t in texts_of(docs):
+        t = t or ""
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        win = list(zip(w, w[1:], w[2:]))
+        times = collections.Counter(win)
+        inside = {k for j, x in enumerate(win) if times[x] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        expected[(i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside))] += 1
+    assert got == expected
+    assert quality_rules.measure(empty(docs)).count() == 0
+
+
+def test_quality_verdicts(spark):
+    clean = "\n".join(prose(40, i) for i in range(4))
+    junk = "\n".join(" | ".join(prose(30, i).split()) for i in range(4))
+    loud = " ".join(w.upper() + "!!" for w in prose(90, 4).split())
+    mixed = clean + "\nHome | News | About | Contact | Login"
+    rows = [(1, clean, clean), (2, junk, ""), (3, loud, ""), (4, mixed, clean), (5, None, ""), (6, "short text.", "")]
+    frame = spark.createDataFrame([(i, t, 7, "kept?") for i, t, _ in rows], "doc_id long, text string, n_chars int, kept string")
+    out = {r["doc_id"]: r for r in quality_rules.clean(frame).collect()}
+    assert sorted(out) == [1, 4] and out[1]["kept"] == "kept?"
+    assert out[4]["text"] == clean and out[4]["n_chars"] == len(clean)
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.measure(frame).collect()} == {i: i in (1, 4) for i in range(1, 7)}
+
+
+# -- 2 and 3 tokens
+
+
+def ids_of():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PATH)
+    return lambda t: own.encode(t or "", add_special_tokens=False).ids
+
+
+def test_token_counts(docs):
+    encode = ids_of()
+    got = collections.Counter(map(tuple, token_counts.count_tokens(docs, PATH, 100).collect()))
+    expected = collections.Counter()
+    for i, t in texts_of(docs):
+        n = len(encode(t))
+        expected[(i, len((t or "").encode()), n, n > 100)] += 1
+    assert got == expected
+    assert token_counts.count_tokens(empty(docs), PATH, 100).count() == 0
+
+
+def test_token_counts_of_another_kind(docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, path, 100).collect())
+    assert got == collections.Counter((i, len(own.encode(t or ""))) for i, t in texts_of(docs))
+
+
+def test_packing(docs):
+    encode, room = ids_of(), 64
+    made = packing.pack(packing.pieces(docs.filter("doc_id <> 2"), PATH, room, 0), room).collect()
+    whole = {i: [*encode(t), 0] for i, t in texts_of(docs) if i != 2}
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in made:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    assert by_doc.keys() == whole.keys()
+    for i, rows in by_doc.items():
+        at = 0
+        for k, r in enumerate(sorted(rows, key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (k, at) and (k == 0 or r["length"] == room)
+            part = whole[i][at : at + r["length"]]
+            assert zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r["ids_crc32"]
+            at += r["length"]
+        assert at == len(whole[i])
+    for rows in by_seq.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= room
+    assert packing.pack(packing.pieces(empty(docs), PATH, room, 0), room).count() == 0
+
+
+def test_bins_take_the_best_fit_and_close_the_fullest():
+    rng, bins, free = random.Random(1), packing.OpenBins(100, 5), {}
+    for _ in range(3000):
+        n = rng.randint(1, 100)
+        fits = [f for f in free.values() if f >= n]
+        made = bins.made
+        bin_, offset = bins.place(n)
+        if fits:
+            assert free[bin_] == min(fits) and offset == 100 - free[bin_]
+        else:
+            assert bin_ == made and offset == 0
+            free[bin_] = 100
+        free[bin_] -= n
+        if not free[bin_]:
+            del free[bin_]
+        if len(free) > 5:
+            closed = [b for b in free if not any(b in held for held in bins.free)]
+            assert len(closed) == 1
+            assert free.pop(closed[0]) <= min(free.values())
+        assert len(free) == bins.open <= 5
+
+
+# -- 4 pages
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
+<!-- c --><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>First&nbsp;one<br>two.<br><p>x</p><p>Third   &#233;.</p><div class="comments"><p>Me too</p></div></article><footer>&copy;</footer></body>"""
+
+
+def test_pages(spark):
+    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "just text " * 20), (5, "u", "<p>cut <b"), (6, "u", "<nav>a</nav><main><p>only</main>"), (1, "u", PAGE)]
+    frame = spark.createDataFrame([(*r, "m") for r in rows], "page_id long, url string, html string, extra string")
+    got = [(r["page_id"], r["main_text"]) for r in html_text.extract(frame).collect()]
+    assert dict(got) == {1: "Head & line\n\nFirst one two.\n\nx\n\nThird é.", 2: "", 3: "", 4: ("just text " * 20).strip(), 5: "", 6: "only"}
+    assert len(got) == 7 and html_text.extract(frame.limit(0)).count() == 0
+
+
+def test_line_blocks_without_an_article():
+    body = "<p>" + "word " * 40 + "</p><p>short.</p>"
+    page = f"<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><div>{body}</div><div id='sidebar'>{'side ' * 40}</div><form>f</form><p>ok?</p>"
+    assert html_text.main_text(page).split("\n\n")[:2] == [("word " * 40).strip(), "short."]
+    assert "side" not in html_text.main_text(page) and "One" not in html_text.main_text(page)
+
+
+# -- 5 urls
+
+
+def test_rules_and_hosts(spark):
+    cases = [
+        ("http://a.COM/x", "a.com", "/x", "com/", "allow"), ("https://m.example.com/en/1?q#f", "m.example.com", "/en/1", "example.com/en/", "block"),
+        ("x://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"), ("http://b.net/es/?a", "b.net", "/es/", "net/es/", "block"),
+        ("http://b.net/es", "b.net", "/es", None, "allow"), ("http://b.com?x/y", "b.com", "", None, "allow"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"),
+        ("http://xcom/", "xcom", "/", None, "allow"), ("http://big-casino.org/", "big-casino.org", "/", None, "block"), ("http://a.org/r?u=http://b.net/es/", "a.org", "/r", None, "allow"),
+    ]
+    frame = spark.createDataFrame([(i, c[0], None) for i, c in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:5] for r in url_filter.judge_urls(frame, url_filter.RULES).collect()}
+    assert got == {i: tuple(c[1:]) for i, c in enumerate(cases)}
+    assert url_filter.judge_urls(frame.limit(0), url_filter.RULES).count() == 0
+
+
+def test_distrust_spreads_against_links_and_trust_along_them(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    pages = [(1, "http://feeder.org/", link("casino.org")), (2, "http://casino.org/", link("innocent.org")), (3, "http://good.com/", link("friend.org")), (4, "http://friend.org/", link("casino.org", "good.com")), (5, "http://innocent.org/", "<a href='/own'>o</a>"), (6, "http://far.org/", link("feeder.org") + "<a rel=x HREF=//other.org>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: r for r in url_filter.judge_urls(frame, url_filter.RULES).collect()}
+    assert {h: r["verdict"] for h, r in got.items()} == {"feeder.org": "block", "casino.org": "block", "innocent.org": "allow", "good.com": "allow", "friend.org": got["friend.org"]["verdict"], "far.org": "block"}
+    edges = [("feeder.org", "casino.org"), ("casino.org", "innocent.org"), ("good.com", "friend.org"), ("friend.org", "casino.org"), ("friend.org", "good.com"), ("far.org", "feeder.org"), ("far.org", "other.org")]
+
+    def brute(edges, seeds):
+        out, score = collections.Counter(a for a, _ in edges), {h: 0.15 for h in seeds}
+        for _ in range(20):
+            new = collections.Counter({h: 0.15 for h in seeds})
+            for a, b in edges:
+                new[b] += 0.85 * score.get(a, 0) / out[a]
+            score = new
+        return score
+
+    trust, distrust = brute(edges, ["good.com"]), brute([(b, a) for a, b in edges], ["casino.org"])
+    for h, r in got.items():
+        assert abs(r["trust"] - trust.get(h, 0)) < 1e-4 and abs(r["distrust"] - distrust.get(h, 0)) < 1e-4
+
+
+# -- 6 near-duplicates
+
+
+def brute_components(rows, words, at_least):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        k = min(words, len(w))
+        sets.setdefault(i, []).append(frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if w else frozenset())
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(s and t and 100 * len(s & t) >= at_least * len(s | t) for s in sets[a] for t in sets[b]):
+            links += 1
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {i: root(i) for i in sets}, links
+
+
+@pytest.mark.parametrize("rule", [near_dup.CONTRACT, near_dup.NearDup()])
+def test_near_duplicates(docs, rule):
+    expected, links = brute_components(texts_of(docs), rule.words, rule.at_least)
+    rows = near_dup.near_duplicates(docs, rule).collect()
+    assert links > 4 and len(rows) == docs.count()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == expected
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    kept = [r["doc_id"] for r in near_dup.keep_one(docs, rule).collect()]
+    assert sorted(kept) == sorted({r["doc_id"] for r in rows if r["kept"]})
+    assert near_dup.near_duplicates(empty(docs), rule).count() == 0
+
+
+def test_groups_that_chain_and_blocks(spark):
+    rng, rule = random.Random(5), near_dup.NearDup(words=3, at_least=85, bands=20, block=8, fan=3)
+    rows, base = [], [f"w{k}" for k in range(150)]
+    for i in range(70):  # a chain of edits, and a cloud around its start
+        base = base[:]
+        base[rng.randrange(150)] = f"n{i}"
+        rows.append((i, " ".join(base)))
+    start = rows[0][1].split()
+    for i in range(70, 130):
+        w = start[:]
+        for _ in range(rng.randint(1, 12)):
+            w[rng.randrange(150)] = f"m{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    expected, _ = brute_components(rows, 3, 85)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame, rule).collect()} == expected
+    assert len(set(expected.values())) > 1
+
+
+def test_bayes_bound():
+    for n, m in near_dup.CONTRACT.least_matches():
+        tail = lambda m: sum(math.comb(n + 1, k) * 0.85**k * 0.15 ** (n + 1 - k) for k in range(m + 1))  # noqa: E731, B023
+        assert tail(m) >= 1e-6 and (m == 0 or tail(m - 1) < 1e-6)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 80), (200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 80, 90: 80, 80: 80, 200: 200, 201: 200}
+
+
+# -- 7 byte-level BPE
+
+
+def test_bpe(docs, spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = collections.Counter()
+    for i, t in texts_of(docs):
+        ids = own.encode_ordinary(t or "")
+        expected[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] += 1
+    assert collections.Counter(map(tuple, byte_bpe.round_trip(docs, path).collect())) == expected
+    back = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, path), path).select("doc_id", F.col("decoded").cast("string").alias("text"))
+    assert collections.Counter(map(tuple, back.collect())) == collections.Counter((i, t or "") for i, t in texts_of(docs))
+    codec, rng = byte_bpe.ByteBPE(path), random.Random(2)
+    for _ in range(100):
+        text = "".join(rng.choice("theinoé \n'.0") for _ in range(rng.randint(0, 400)))
+        assert codec.encode(text) == own.encode_ordinary(text)
+    long = "".join(rng.choice("thein") for _ in range(20000))
+    assert codec.encode(long) == own.encode_ordinary(long)
+
+
+# -- 8 secrets
+
+
+def test_secrets(spark):
+    text = 'Pass: é password = "abc" API_KEY:abcdefgh1, AKIAABCDEFGHIJKL AKIA12 ' + "0123456789abcdef" * 2 + " pwd: x9Kq2vLw7tZ and pwd: password123 Token='f00ba7f00ba7'."
+    spans = [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.scan(text)]
+    assert spans == [("assign", "API_KEY:abcdefgh1"), ("access", "AKIAABCDEFGHIJKL"), ("hex", "0123456789abcdef" * 2), ("guess", "x9Kq2vLw7tZ"), ("assign", "Token='f00ba7f00ba7")]
+    rows = [(1, text, 5), (2, None, None), (3, "", 0), (4, "clean", 5), (5, "a" * 100_000 + " pwd=" + "ab12" * 5000, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r for r in secret_scan.redact(frame).collect()}
+    assert len(out) == 5 and out[2]["text"] is None and out[4]["text"] == "clean"
+    assert "x9Kq" not in out[1]["text"] and "password123" in out[1]["text"] and out[1]["n_chars"] == len(out[1]["text"])
+    assert not [s for s in secret_scan.scan(out[1]["text"])]
+    assert secret_scan.find_secrets(frame.limit(0)).count() == 0
+
+
+def test_guess_costs_are_the_least():
+    model = secret_scan.GuessModel()
+    for value in ("pass12", "aaaa1", "qwert9", "Summer19", "x"):
+        parts = [(i, j, "own", c) for i, j, _, c in secret_scan.segments(value, model)]
+        ends = collections.defaultdict(list)
+        for i, j, _, c in parts:
+            ends[i].append((j, c))
+        best = math.inf
+
+        def walk(i, total, k, brute):
+            nonlocal best
+            if i == len(value):
+                best = min(best, total + math.log10(math.factorial(k)))
+                return
+            walk(i + 1, total + model.brute, k + (not brute), True)
+            for j, c in ends[i]:
+                walk(j, total + c, k + 1, False)
+
+        walk(0, 0.0, 0, False)
+        total, cut = secret_scan.cost(value, model)
+        assert abs(total - best) < 1e-9
+        assert [a for a, _, _ in cut] == [0, *(b for _, b, _ in cut)][:-1] and cut[-1][1] == len(value)
+
+
+# -- 9 fingerprints
+
+
+def test_edited_chain(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_document_fingerprints"](spark, str(tmp_path)).collect()
+    rows = sorted(((i, t or "") for i, t in texts_of(docs)), key=lambda x: (x[0], x[1]), reverse=True)
+    expected = collections.Counter()
+    for k, (i, t) in enumerate(rows):
+        n, after = len(t) // 3, rows[(k + 1) % len(rows)][1]
+        expected[(i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())] += 1
+    assert collections.Counter(tuple(r)[:3] for r in got) == expected
+    prints = collections.defaultdict(set)
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t)
+    for r in got:
+        if len(texts[r["doc_id"]]) == 1:
+            prints[texts[r["doc_id"]][0]].add(r["fingerprint"])
+        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+    assert all(len(v) == 1 for v in prints.values())
+    long = [r for r in got if r["n_chars"] > 300]
+    assert sum(r["near_edited"] for r in long) / len(long) > 0.65
+
+
+def test_votes(spark):
+    """The packed sums against votes counted bit by bit."""
+    frame = spark.createDataFrame([(1, "the big cat sat on the big mat"), (2, ""), (3, "one")], "k long, text string")
+    split = frame.select("k", F.explode(simhash.terms(simhash.words(F.col("text")))).alias("t")).select("k", "t.a", "t.b", F.xxhash64("t.a", "t.b").alias("h")).collect()
+    want = {1: 0, 2: 0, 3: 0}
+    for k in want:
+        votes = [(min(max(len(r["a"]) + len(r["b"] or "") - 3, 1), 8), r["h"]) for r in split if r["k"] == k]
+        bits = sum(1 << j for j in range(64) if 2 * sum(w for w, h in votes if h >> j & 1) > sum(w for w, _ in votes))
+        want[k] = bits - (1 << 64) if bits >> 63 else bits
+    assert {r["k"]: r["fingerprint"] for r in simhash.fingerprints(frame, ["k"]).collect()} == want
+
+
+def test_within_radius(spark):
+    rng = random.Random(3)
+    values = [rng.getrandbits(63) for _ in range(60)]
+    for v in values[:30]:
+        for _ in range(3):
+            w = v
+            for _ in range(rng.randint(1, 5)):
+                w ^= 1 << rng.randrange(63)
+            values.append(w)
+    frame = spark.createDataFrame([(v,) for v in values + values[:5]] + [(None,)], "fingerprint long")
+    expected = {(min(a, b), max(a, b), (a ^ b).bit_count()) for a, b in itertools.combinations(set(values), 2) if (a ^ b).bit_count() <= 3}
+    assert {tuple(r) for r in simhash.within(frame, 3).collect()} == expected and expected
+
+
+def test_buckets_rise_with_ids(spark):
+    ids = [*range(500), 10**15, -(10**17), 2**62, *range(5000, 5050)]
+    frame = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long")
+    got = frame.select("doc_id", simhash.buckets(frame, "doc_id").alias("b")).orderBy("doc_id").collect()
+    assert got[0]["b"] == -1 and [r["b"] for r in got] == sorted(r["b"] for r in got)
+
+
+# -- 10 language model
+
+
+def test_scores(docs, spark):
+    small = pitman_yor.Model(hot_share=0.004, event_share=0.02, context_share=0.05)
+    rows = [(i, t or "") for i, t in texts_of(docs)]
+    train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    tokens = lambda t: [*t.encode().lower().split(), None]
+    c = collections.Counter(w for i, t in rows if train(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for how in (small, pitman_yor.Model()):
+        got = pitman_yor.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, how).collect()
+        expected = collections.Counter()
+        for i, t in rows:
+            base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
+            expected[(i, not train(i), len(tokens(t)), sum(w in c for w in tokens(t)), n, round(base, 6))] += 1
+        assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == expected
+        held = [r for r in got if r["held_out"]]
+        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+        assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    none = pitman_yor.score_texts(docs, F.lit(False)).collect()
+    assert len(none) == len(rows) and all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in none)
+    assert pitman_yor.score_texts(empty(docs), F.lit(True)).count() == 0
+
+
+def test_predictions_are_probabilities_and_favour_context():
+    import numpy as np
+
+    counts = np.zeros((4, 6), np.int64)
+    counts[0, 2], counts[2, 3], counts[2, 4], counts[3, 4] = 5, 5000, 10, 300
+    p = pitman_yor.predictive(counts, pitman_yor.Model())
+    np.testing.assert_allclose(p.sum(axis=1), 1, rtol=1e-9)
+    assert (p > 0).all() and p[2, 3] > p[1, 3] > p[3, 3] and p[3, 4] > 0.9 > p[1, 4]
+
+
+def test_seating_matches_the_exact_process():
+    import numpy as np
+
+    rng, how = np.random.default_rng(0), pitman_yor.Model()
+    m, c, d, theta, base, others = 20000, 50, 0.6, 1.0, 0.05, 10
+    got = pitman_yor.seat(np.full(m, c), np.full(m, others), np.full(m, base), d, theta, how, rng).mean()
+    p = {1: 1.0}
+    for j in range(1, c):
+        new = collections.defaultdict(float)
+        for t, q in p.items():
+            a = (theta + d * (others + t)) * base
+            x = a / (j - d * t + a)
+            new[t] += q * (1 - x)
+            new[t + 1] += q * x
+        p = new
+    assert abs(got - sum(t * q for t, q in p.items())) < 0.05
+
+
+# -- all together
+
+
+def test_pipeline(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    clean = [prose(120, 1000 + i) for i in range(12)]
+    extra = [(500 + i, t, "en", "s", len(t)) for i, t in enumerate(clean)] + [(600, clean[0], "en", "s", 1), (601, clean[1] + " pwd: x9Kq2vLw7tZ", "en", "s", 1), (602, " | ".join(clean[2].split()), "en", "s", 1)]
+    docs.unionByName(spark.createDataFrame(extra, SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
+    frame, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = spark.createDataFrame(stage(spark, frame, str(tmp_path)).collect(), SCHEMA)
+        seen.append({r["doc_id"]: r["text"] for r in frame.collect()})
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {500, 601, 600} <= seen[0].keys() and 602 not in seen[0]
+    expected, _ = brute_components(list(seen[0].items()), 5, 80)
+    assert sorted(seen[1]) == sorted(set(expected.values())) and 600 not in seen[1]
+    assert seen[2].keys() == seen[1].keys() and not any("x9Kq2vLw7tZ" in t for t in seen[2].values())
+    encode = ids_of()
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    totals = collections.Counter()
+    for r in rows:
+        totals[r["doc_id"]] += r["length"]
+    assert totals == {i: len(encode(t)) + 1 for i, t in seen[2].items()}
