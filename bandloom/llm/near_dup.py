@@ -345,5 +345,17 @@ def keep_one(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id",
 CONTRACT = NearDup(words=3, at_least=85, bands=20)
 
 
+SQL = r"""
+WITH RECURSIVE wd AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS s FROM wd, unnest(range(1, greatest(len(ws) - 1, 2))) AS u(i) WHERE len(ws) > 0),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ln AS (SELECT a, b FROM pr JOIN sz sa ON sa.doc_id = a JOIN sz sb ON sb.doc_id = b WHERE 100 * m >= 85 * (sa.n + sb.n - m)),
+rc(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT rc.doc_id, ln.b FROM rc JOIN ln ON ln.a = rc.r),
+cp AS (SELECT doc_id, min(r) AS component_id FROM rc GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM cp LEFT JOIN sz USING (doc_id)
+"""
+
+
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), CONTRACT)

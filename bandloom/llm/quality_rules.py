@@ -27,11 +27,11 @@ from . import common
 SYMBOLS = b"#*$%&|<>"
 #: Characters that prose has few of.
 ODD = b"#*$%&|<>!?=~^_{}[]\\/@+"
-BARS = re.compile(r"\s[|»›•·>/]\s")
+BARS = re.compile(r"[\x20\x09-\x0D][|»›•·>/][\x20\x09-\x0D]")
 BOILERPLATE = re.compile(
-    r"(?i)all rights reserved|copyright ©|terms (of|and) (use|service|conditions)|privacy policy|cookie policy|"
-    r"(we|site|website) uses? cookies|accept (all )?cookies|skip to (main )?content|sign (in|up) (now|here|to)|"
-    r"subscribe to (our|the)|click here|read more\b|share (this|on) |follow us|back to top|enable javascript|lorem ipsum"
+    r"(?i)all rights reserved|copyright ©|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie policy|"
+    r"(?:we|site|website) uses? cookies|accept (?:all )?cookies|skip to (?:main )?content|sign (?:in|up) (?:now|here|to)|"
+    r"subscribe to (?:our|the)|click here|read more|share (?:this|on) |follow us|back to top|enable javascript|lorem ipsum"
 )
 
 
@@ -177,6 +177,34 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lengt
     return docs.mapInArrow(run, docs.schema)
 
 
+_W = r"[^\x20\x09-\x0D]+"
+_R = Rules()
+SQL = f"""
+WITH wd AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS ws FROM documents),
+wp AS (SELECT doc_id, i AS p, ws[i] AS w, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM wd, unnest(range(1, len(ws) + 1)) AS u(i)),
+wc AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS times FROM wp WHERE w3 IS NOT NULL),
+rp AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM wc, (VALUES (0), (1), (2)) AS v(k) WHERE times > 1 GROUP BY 1),
+ls AS (SELECT doc_id, i AS ln, string_split(text, chr(10))[i] AS line FROM wd, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+lw AS (SELECT doc_id, ln, line, regexp_extract_all(line, '{_W}') AS ws FROM ls),
+lx AS (SELECT doc_id, ln, i, ws[i] AS w, i > 1 AND ws[i] = ws[i - 1] AS again FROM lw, unnest(range(1, len(ws) + 1)) AS u(i)),
+la AS (SELECT doc_id, ln, count(*) AS n, sum(strlen(w)) AS bytes, count(DISTINCT w) AS kinds, count(*) FILTER (again) AS stutter,
+  count(*) FILTER (regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]')) AS upper,
+  count(*) FILTER (regexp_matches(w, '(!!|\\?\\?|\\*\\*|##|\\$\\$|%%|&&|~~|==)$')) AS marked, count(*) FILTER (w IN ('|', '>', '/')) AS menu FROM lx GROUP BY 1, 2),
+lo AS (SELECT la.*, line, len(regexp_extract_all(line, '[#*$%&|<>!?=~^_{{}}\\[\\]\\\\/@+]')) AS odd, len(regexp_extract_all(line, '{BARS.pattern}')) AS bars,
+  regexp_matches(line, '{BOILERPLATE.pattern}') AS boiler FROM la JOIN ls USING (doc_id, ln)),
+lf AS (SELECT *, odd > 2 AND odd > CAST({_R.odd_share} AS DOUBLE) * strlen(line) OR n >= {_R.min_words} AND marked > CAST({_R.run_share} AS DOUBLE) * n OR menu > CAST({_R.bars} AS DOUBLE) * n
+  OR n >= {_R.min_words} AND upper > CAST({_R.upper_share} AS DOUBLE) * n
+  OR n >= {_R.repeat_words} AND (n < {_R.long_words} AND kinds < CAST({_R.distinct_share} AS DOUBLE) * n OR stutter > CAST({_R.stutter_share} AS DOUBLE) * n)
+  OR n < {_R.repeat_words} AND (bars > CAST({_R.bars} AS DOUBLE) * n OR boiler) AS fails FROM lo),
+ld AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_failed, coalesce(sum(bytes) FILTER (fails), 0) AS lost, sum(bytes) AS bytes FROM lf GROUP BY 1),
+al AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_failed, 0) AS n_lines_failed, coalesce(lost, 0) AS lost, coalesce(bytes, 0) AS bytes
+  FROM wd LEFT JOIN rp USING (doc_id) LEFT JOIN ld USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_R.min_doc_words} OR 100 * n_repeat_words > {_R.repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {_R.min_doc_words} OR 100 * n_repeat_words > {_R.repeat_percent} * n_words) AND lost <= CAST({_R.lost_share} AS DOUBLE) * bytes AS kept, n_lines_failed FROM al
+"""
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return measure(docs).withColumn("doc_id", F.col("doc_id").cast("long"))

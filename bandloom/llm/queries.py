@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import near_dup, quality_rules
 from .byte_bpe import op7_byte_level_bpe
 from .html_text import op4_html_extraction
 from .near_dup import op6_minhash_near_dedup
@@ -15,4 +16,4 @@ from .url_filter import op5_url_filters
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_best_fit_packing": op3_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_url_filters": op5_url_filters, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_level_bpe": op7_byte_level_bpe, "op8_secret_scans": op8_secret_scans, "op9_document_fingerprints": op9_document_fingerprints, "op10_lm_scoring": op10_lm_scoring}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op6_minhash_near_dedup": near_dup.SQL}
