@@ -109,7 +109,8 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...], how: Propag
     distrust = walk(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), hosts.filter(bad), how)
 
     scores = hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
-    scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    # written out, so the join below has plain exchanges on both sides and a host with most pages can be split
+    scores = common.checkpointed(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     rows = judged.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     blocked = (F.col("distrust") >= how.bound) & (F.col("distrust") > how.balance * F.col("trust"))
     return rows.select(id_col, "host", "path", "rule", F.coalesce(by_rule, F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
