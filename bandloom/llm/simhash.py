@@ -1,10 +1,10 @@
 """Document fingerprints by SimHash, in DataFrame functions only.
 
 A text's terms are its pairs of neighbouring words in lower case, the last word
-alone closing them. Each occurrence hashes to 64 bits, weighs by its length
+alone closing them. Each occurrence hashes to 128 bits, weighs by its length
 (short, common pairs weigh least) and votes on every bit; a fingerprint has the
 bits that more than half of the weight has set. Votes are packed two to a long,
-31 bits each, so 32 sums hold them for any text that Spark can hold, and they
+31 bits each, so 64 sums hold them for any text that Spark can hold, and they
 are summed where the text lies before anything is shuffled.
 
 Near fingerprints are found in permuted block tables: the bits are cut into
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 64
+BITS, HALVES = 128, (0, 1)
 LANES = 0x0000000100000001
-LOW = 0xFFFFFFFF
+LOW, ALL = 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
 
 
 def words(text: Column) -> Column:
@@ -40,46 +40,55 @@ def terms(found: Column) -> Column:
     return F.arrays_zip(found.alias("a"), F.slice(found, 2, F.greatest(F.size(found), F.lit(1))).alias("b"))
 
 
+def _signed(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
+
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and fingerprint, a long, for each distinct value of the keys; ``text`` is one for each."""
+    """``keys`` and the fingerprint's halves f0 and f1, longs, for each distinct value of the keys; ``text`` is one for each."""
     split = rows.select(*keys, words(F.coalesce(F.col(text), F.lit(""))).alias("__words")).select(*keys, F.explode_outer(terms(F.col("__words"))).alias("__t"))
     a, b = F.col("__t")["a"], F.col("__t")["b"]
     weight = F.least(F.greatest(F.length(a) + F.coalesce(F.length(b), F.lit(0)) - 3, F.lit(1)), F.lit(8)).cast("long")
-    votes = split.select(*keys, F.xxhash64(a, b).alias("__h"), F.when(a.isNotNull(), weight).alias("__w"))
-    lanes = [F.sum(F.shiftrightunsigned("__h", j).bitwiseAND(F.lit(LANES)) * F.col("__w")).alias(f"__{j}") for j in range(BITS // 2)]
+    votes = split.select(*keys, F.xxhash64(a, b).alias("__h0"), F.xxhash64(b, a, F.lit(1)).alias("__h1"), F.when(a.isNotNull(), weight).alias("__w"))
+    lanes = [F.sum(F.shiftrightunsigned(f"__h{k}", j).bitwiseAND(F.lit(LANES)) * F.col("__w")).alias(f"__{k}_{j}") for k in HALVES for j in range(32)]
     sums = votes.groupBy(*keys).agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("__all"), *lanes)
-    print_ = F.lit(0).cast("long")
-    for j in range(BITS // 2):
-        both = F.coalesce(F.col(f"__{j}"), F.lit(0))
-        print_ = print_.bitwiseOR(F.when(both.bitwiseAND(F.lit(LOW)) * 2 > F.col("__all"), F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
-        high = 1 << (j + 32)
-        print_ = print_.bitwiseOR(F.when(F.shiftrightunsigned(both, 32) * 2 > F.col("__all"), F.lit(high - (1 << 64) if high >= 1 << 63 else high)).otherwise(F.lit(0)).cast("long"))
-    return sums.select(*keys, print_.alias("fingerprint"))
+    out = []
+    for k in HALVES:
+        print_ = F.lit(0).cast("long")
+        for j in range(32):
+            both = F.coalesce(F.col(f"__{k}_{j}"), F.lit(0))
+            for votes_, bit in ((both.bitwiseAND(F.lit(LOW)), j), (F.shiftrightunsigned(both, 32), j + 32)):
+                print_ = print_.bitwiseOR(F.when(votes_ * 2 > F.col("__all"), _signed(1 << bit)).otherwise(F.lit(0).cast("long")))
+        out.append(print_.alias(f"f{k}"))
+    return sums.select(*keys, *out)
 
 
-def as_hex(fingerprint: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
+def as_hex(f0: Column, f1: Column) -> Column:
+    return F.concat(*(F.lpad(F.lower(F.hex(f)), 16, "0") for f in (f0, f1)))
 
 
-def distance(a: Column, b: Column) -> Column:
+def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """Bits that differ."""
-    return F.bit_count(a.bitwiseXOR(b))
+    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
 
 
-def within(prints: DataFrame, radius: int = 3, column: str = "fingerprint") -> DataFrame:
-    """a, b, distance: all pairs of different fingerprints, a < b, that differ in at most ``radius`` bits.
+def within(prints: DataFrame, radius: int = 6) -> DataFrame:
+    """a0, a1, b0, b1, distance: all pairs of different fingerprints (f0, f1) that differ in at most ``radius`` bits, each once.
 
     Equal fingerprints are one row here; join back on the fingerprint to reach all that have it.
     """
     blocks = radius + 2
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [sum(1 << k for k in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("a").bitwiseAND(F.lit(signed(masks[i] | masks[j])).cast("long")).alias("k")) for t, (i, j) in enumerate(combinations(range(blocks), 2))))
-    own = prints.select(F.col(column).alias("a")).filter("a is not null").distinct().select("a", F.inline(tables))
-    other = own.withColumnRenamed("a", "b")
-    near = own.join(other, ["t", "k"]).filter("a < b").withColumn("distance", distance(F.col("a"), F.col("b")))
-    return near.filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    tables = []
+    for t, (i, j) in enumerate(combinations(range(blocks), 2)):
+        mask = masks[i] | masks[j]
+        tables.append(F.struct(F.lit(t).alias("t"), F.col("a0").bitwiseAND(_signed(mask & ALL)).alias("k0"), F.col("a1").bitwiseAND(_signed(mask >> 64)).alias("k1")))
+    own = prints.select(F.col("f0").alias("a0"), F.col("f1").alias("a1")).dropna().distinct().select("a0", "a1", F.inline(F.array(*tables)))
+    other = own.withColumnsRenamed({"a0": "b0", "a1": "b1"})
+    near = own.join(other, ["t", "k0", "k1"]).filter("a0 < b0 OR (a0 = b0 AND a1 < b1)")
+    near = near.withColumn("distance", distance((F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1"))))
+    return near.filter(F.col("distance") <= radius).select("a0", "a1", "b0", "b1", "distance").distinct()
 
 
 #: Ranges of ids told apart by quantiles, and the rows that a bucket within one should have.
@@ -137,11 +146,13 @@ def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     both = rows.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))))
     prints = fingerprints(both, [*keys, "which"])
-    of = lambda k: F.max(F.when(F.col("which") == k, F.col("fingerprint")))
-    prints = common.checkpointed(prints.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited")))
-    later = prints.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own").alias("later"))
-    like = lambda a, b: (1 - distance(F.col(a), F.col(b)) / F.lit(float(BITS))).cast("double")
+    of = lambda k, which: F.max(F.when(F.col("which") == which, F.col(f"f{k}")))
+    prints = prints.groupBy(*keys).agg(*(of(k, which).alias(f"{name}{k}") for which, name in enumerate(("own", "edited")) for k in HALVES))
+    prints = common.checkpointed(prints)
+    later = prints.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own0").alias("later0"), F.col("own1").alias("later1"))
+    halves = lambda name: tuple(F.col(f"{name}{k}") for k in HALVES)
+    like = lambda a, b: (1 - distance(halves(a), halves(b)) / F.lit(float(BITS))).cast("double")
     return prints.join(later, ["next_bucket", "next_place"]).select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_hex(*halves("own")).alias("fingerprint"), as_hex(*halves("edited")).alias("edited_fingerprint"),
         like("own", "edited").alias("near_edited"), like("own", "later").alias("near_next"),
     )

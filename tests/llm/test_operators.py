@@ -376,27 +376,32 @@ def test_edited_chain(spark, tmp_path, docs):
 def test_votes(spark):
     """The packed sums against votes counted bit by bit."""
     frame = spark.createDataFrame([(1, "the big cat sat on the big mat"), (2, ""), (3, "one")], "k long, text string")
-    split = frame.select("k", F.explode(simhash.terms(simhash.words(F.col("text")))).alias("t")).select("k", "t.a", "t.b", F.xxhash64("t.a", "t.b").alias("h")).collect()
-    want = {1: 0, 2: 0, 3: 0}
-    for k in want:
-        votes = [(min(max(len(r["a"]) + len(r["b"] or "") - 3, 1), 8), r["h"]) for r in split if r["k"] == k]
-        bits = sum(1 << j for j in range(64) if 2 * sum(w for w, h in votes if h >> j & 1) > sum(w for w, _ in votes))
-        want[k] = bits - (1 << 64) if bits >> 63 else bits
-    assert {r["k"]: r["fingerprint"] for r in simhash.fingerprints(frame, ["k"]).collect()} == want
+    hashes = [F.xxhash64("t.a", "t.b").alias("h0"), F.xxhash64("t.b", "t.a", F.lit(1)).alias("h1")]
+    split = frame.select("k", F.explode(simhash.terms(simhash.words(F.col("text")))).alias("t")).select("k", "t.a", "t.b", *hashes).collect()
+    want = {}
+    for k in (1, 2, 3):
+        for h in ("h0", "h1"):
+            votes = [(min(max(len(r["a"]) + len(r["b"] or "") - 3, 1), 8), r[h]) for r in split if r["k"] == k]
+            bits = sum(1 << j for j in range(64) if 2 * sum(w for w, v in votes if v >> j & 1) > sum(w for w, _ in votes))
+            want.setdefault(k, []).append(bits - (1 << 64) if bits >> 63 else bits)
+    assert {r["k"]: [r["f0"], r["f1"]] for r in simhash.fingerprints(frame, ["k"]).collect()} == want
 
 
 def test_within_radius(spark):
     rng = random.Random(3)
-    values = [rng.getrandbits(63) for _ in range(60)]
+    values = [rng.getrandbits(127) for _ in range(60)]
     for v in values[:30]:
         for _ in range(3):
             w = v
-            for _ in range(rng.randint(1, 5)):
-                w ^= 1 << rng.randrange(63)
+            for _ in range(rng.randint(1, 9)):
+                w ^= 1 << rng.randrange(127)
             values.append(w)
-    frame = spark.createDataFrame([(v,) for v in values + values[:5]] + [(None,)], "fingerprint long")
-    expected = {(min(a, b), max(a, b), (a ^ b).bit_count()) for a, b in itertools.combinations(set(values), 2) if (a ^ b).bit_count() <= 3}
-    assert {tuple(r) for r in simhash.within(frame, 3).collect()} == expected and expected
+    half = lambda v: ((v & (1 << 63) - 1), v >> 64)
+    values = [v & ~(1 << 63) for v in values]
+    frame = spark.createDataFrame([half(v) for v in values + values[:5]] + [(None, None)], "f0 long, f1 long")
+    expected = {(frozenset((half(a), half(b))), (a ^ b).bit_count()) for a, b in itertools.combinations(set(values), 2) if (a ^ b).bit_count() <= 6}
+    got = [(frozenset(((r["a0"], r["a1"]), (r["b0"], r["b1"]))), r["distance"]) for r in simhash.within(frame, 6).collect()]
+    assert set(got) == expected and len(got) == len(expected) > 20
 
 
 def test_buckets_rise_with_ids(spark):
