@@ -149,6 +149,7 @@ _OWN: dict[str, ByteBPE] = {}
 
 def codec(path: str) -> ByteBPE:
     """This worker's codec for the file."""
+    common.hold(f"bpe {path}", _OWN.clear)
     if path not in _OWN:
         _OWN[path] = ByteBPE(path)
     return _OWN[path]

@@ -67,3 +67,16 @@ def quietly(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             gc.enable()
 
     return quiet
+
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, clear: Callable[[], object]) -> None:
+    """A task tells what this worker is about to remember, and how to forget it; what others have it remember goes.
+
+    Spark keeps Python workers from one stage to the next, and without this a worker would hold the memory of each.
+    """
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear

@@ -86,7 +86,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _word_hash(word: bytes) -> int:
     h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     if len(word) < 64:
         _WORDS[word] = h
@@ -130,6 +130,7 @@ def sign(docs: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFram
     """doc_id, the size and digest of its set, its signature (16 bits of each hash) and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold("near_dup", _WORDS.clear)
         for batch in batches:
             n, digest, sig = [], [], []
             for text in batch.column(1).to_pylist():
@@ -195,6 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     rows = left.unionByName(right).repartition("u", "fan").sortWithinPartitions("u", "fan", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold("near_dup", _WORDS.clear)
         at, held = None, []
         for batch in batches:
             out = []
@@ -287,6 +289,7 @@ def across(buckets: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold("near_dup", _WORDS.clear)
         at, held = None, []
 
         def told() -> Iterator[pa.RecordBatch]:

@@ -142,6 +142,7 @@ _OWN: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, keep_ids: bool = False) -> Encoder:
     """This worker's encoder, with what it remembers from earlier tasks."""
     key = (path, keep_ids)
+    common.hold(f"tokens {key}", _OWN.clear)
     if key not in _OWN:
         _OWN[key] = Encoder(path, keep_ids)
     return _OWN[key]
