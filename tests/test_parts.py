@@ -156,3 +156,45 @@ def test_streams(spark, tmp_path):
     out = str(tmp_path / "out")
     assembly.solve_stream(stream, C.default(8), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(f"{out}/0").first()["valid"] is True
+
+
+def test_fits(spark, tmp_path):
+    from bandloom.sources import fits
+
+    (tmp_path / "raw/deep").mkdir(parents=True)
+    rng = np.random.default_rng(4)
+    images = {}
+    for w, shape in ((94, (5, 6)), (131, (4, 7))):
+        images[w] = rng.uniform(0, 9, shape)
+        fits.write(str(tmp_path / f"raw/deep/{w}.fits"), images[w], wavelnth=w, exptime=2.5, date_obs="2025-01-01T00:00:13")
+    (tmp_path / "raw/bad.fits").write_bytes(b"nothing")
+    rows = fits.catalogue(spark, str(tmp_path / "raw")).collect()
+    assert sorted((r["wavelength"], r["naxis1"], r["naxis2"], r["exptime"], str(r["timestamp_utc"])) for r in rows) == [(94, 6, 5, 2.5, "2025-01-01 00:00:13"), (131, 7, 4, 2.5, "2025-01-01 00:00:13")]
+    with pytest.raises(Exception, match="header"):
+        fits.catalogue(spark, str(tmp_path / "raw"), tolerant=False).count()
+    sets = I.pivoted(I.first_per_band(I.bucketed(fits.catalogue(spark, str(tmp_path / "raw")))), [131, 94])
+    px = {(r["y"], r["x"]): r for r in fits.pixels_of_sets(spark, str(tmp_path / "raw"), sets, [131, 94]).collect()}
+    assert len(px) == 4 * 6 and px[0, 0]["frame_id"] == "20250101_00_00_12"
+    np.testing.assert_allclose(px[3, 5]["dn"], [images[131][3, 5], images[94][3, 5]])
+    assert fits.value("'it''s'  / c") == "it's" and fits.value("1.5D3 / c") == 1500.0 and fits.value("T") is True
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from bandloom import runtime
+    from bandloom.__main__ import main
+
+    (tmp_path / "np").mkdir()
+    npz.write_frame(str(tmp_path / "np/a.npz"), np.abs(npz.test_frame(8)) * 100 + 1)
+    made = main(["solve", str(tmp_path / "np"), str(tmp_path / "one"), "--nt", "8", "--crop", "4x5"])
+    assert made == {"pixels": 20, "valid": 20}
+    main(["solve", str(tmp_path / "np"), str(tmp_path / "two"), "--nt", "8", "--crop", "4x5"])
+    assert main(["compare", str(tmp_path / "one"), str(tmp_path / "two")])["all_close"] is True
+    main(["maps", str(tmp_path / "one"), str(tmp_path / "maps")])
+    assert spark.read.parquet(str(tmp_path / "maps")).filter("median IS NOT NULL").count() == 20
+    sections = runtime.Sections(spark)
+    with sections("a"):
+        spark.range(3).count()
+    with pytest.raises(ZeroDivisionError), sections("b"):
+        1 / 0  # noqa: B018
+    assert [r["status"] for r in sections.frame().collect()] == ["ok", "failed"]
+    assert runtime.time_query(spark, lambda: spark.range(5), 2).count() == 2
