@@ -8,7 +8,7 @@ they reach Python and get their fixed outputs there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,6 +165,25 @@ def finish(out: dict[str, np.ndarray], cal: Calibration, o: Options) -> dict[str
     return out | {"dem": out["dem"] * cal.scale * factor, "edem": out["edem"] * cal.scale * factor, "elogt": out["elogt"] / FWHM}
 
 
+def solve_with(px: DataFrame, solver: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: str, nf: int = 6, dn_col: str = "dn", edn_col: str = "edn") -> DataFrame:
+    """``px`` without its counts, and what a solver of the user's makes of them.
+
+    The solver takes counts and uncertainties of many pixels, and returns a column of ``outputs`` (a schema of doubles
+    and arrays of doubles) under each name. All arrays of a pixel have ``nf`` values.
+    """
+    keep = [f for f in px.schema if f.name not in (dn_col, edn_col)]
+    source = px.select(*(px[f.name] for f in keep), px[dn_col].cast("array<double>"), px[edn_col].cast("array<double>"))
+    names = [x.split()[0] for x in outputs.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dn, edn = (np.asarray(b.column(len(keep) + i).flatten()).reshape(-1, nf) for i in range(2))
+            got = {k: np.asarray(v, float) for k, v in solver(dn, edn).items()}
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(got[x]) if got[x].ndim == 1 else _lists(got[x]) for x in names)], names=[*(f.name for f in keep), *names])
+
+    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), outputs]))
+
+
 def _lists(values: np.ndarray) -> pa.Array:
     offsets = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel()))

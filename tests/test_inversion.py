@@ -147,3 +147,19 @@ def test_smooth_matches_the_expression(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "i int, w array<double>")
     got = np.array([r["s"] for r in rows.select("i", P.smooth5(rows["w"]).alias("s")).orderBy("i").collect()])
     np.testing.assert_allclose(got, V.smooth(w), rtol=1e-12)
+
+
+def test_a_solver_of_ones_own(spark):
+    dn, ed = counts(12)
+    px = spark.createDataFrame([(i, dn[i].tolist(), ed[i].tolist()) for i in range(4, 12)], "y int, dn array<double>, edn array<double>")
+
+    def mine(dn, edn):
+        dem, _, fit = V.lstsq_clip(dn, edn, CAL.rmatrix)
+        return {"dem": dem, "fit": fit}
+
+    got = {r["y"]: r for r in V.solve_with(px, mine, "dem array<double>, fit double").collect()}
+    dem, _, fit = V.lstsq_clip(dn[4:], ed[4:], CAL.rmatrix)
+    assert sorted(got) == list(range(4, 12)) and V.solve_with(px.limit(0), mine, "dem array<double>, fit double").count() == 0
+    for i in range(4, 12):
+        np.testing.assert_allclose(got[i]["dem"], dem[i - 4])
+        np.testing.assert_allclose(got[i]["fit"], fit[i - 4])
