@@ -43,7 +43,7 @@ class Options:
     rscl: bool = False
     emd_int: bool = False
     emd_ret: bool = False
-    batch: int = 4096
+    batch: int = 1024
     outputs: tuple[str, ...] = OUTPUTS
 
     @property
@@ -143,8 +143,10 @@ def solve_batch(dn: np.ndarray, edn: np.ndarray, cal: Calibration, o: Options) -
             break
         target[rows] *= o.rgt_fact
     predicted = dem @ r
-    gain = np.einsum("mkt,mk,mfk->mtf", main.vt, filters, main.u) * weigh[:, :, None]
-    edem = np.sqrt(np.sum(gain**2, axis=2))
+    edem = np.zeros_like(dem)
+    if "edem" in o.outputs or "elogt" in o.outputs:
+        gain = np.matmul(main.vt.transpose(0, 2, 1) * (filters[:, None, :] * weigh[:, :, None]), main.u.transpose(0, 2, 1))
+        edem = np.sqrt(np.einsum("mtf,mtf->mt", gain, gain))
     if "elogt" in o.outputs:
         out["elogt"][ok] = resolution(gain @ system, logt, dlogt)
     if o.rscl:
