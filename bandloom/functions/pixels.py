@@ -6,6 +6,8 @@ the scan. NaN is tested before anything is compared, as Spark orders it last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ INF = float("inf")
 ERROR_MODELS = ("sqrt_plus", "linear", "constant", "poisson", "unit")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once for a row, not again for each element that a lambda meets."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def finite(v: Column) -> Column:
     """False for null, NaN and both infinities."""
     return F.coalesce(~F.isnan(v) & (v < INF) & (v > -INF), F.lit(False))
@@ -56,8 +63,7 @@ def middle(values: Column) -> Column:
 
 def error_floor(edn: Column) -> Column:
     """Uncertainties no smaller than a millionth of their median, or 1e-12."""
-    least = F.greatest(F.lit(1e-12), middle(edn) * 1e-6)
-    return F.transform(edn, lambda v: F.greatest(v, least))
+    return let(F.greatest(F.lit(1e-12), middle(edn) * 1e-6), lambda least: F.transform(edn, lambda v: F.greatest(v, least)))
 
 
 def valid(dn: Column, edn: Column) -> Column:
@@ -80,9 +86,13 @@ def smooth5(w: Column) -> Column:
     n = F.size(w)
     inner = F.transform(w, lambda v, i: F.when((i > 0) & (i < n - 1), v).otherwise(F.lit(0.0)))
     top = F.greatest(F.array_max(w), F.lit(1e-12))
-    at = lambda i: F.coalesce(F.try_element_at(inner, i), F.lit(0.0))
-    around = lambda i: sum((F.when(i + k > 0, at(F.greatest(i + k, F.lit(1)))).otherwise(F.lit(0.0)) for k in range(-1, 4)), F.lit(0.0))
-    return F.transform(w, lambda v, i: F.greatest(around(i) / 5 / top, F.lit(1e-8)))
+
+    def means(x: Column) -> Column:
+        at = lambda i: F.coalesce(F.try_element_at(x["inner"], i), F.lit(0.0))
+        around = lambda i: sum((F.when(i + k > 0, at(F.greatest(i + k, F.lit(1)))).otherwise(F.lit(0.0)) for k in range(-1, 4)), F.lit(0.0))
+        return F.transform(w, lambda v, i: F.greatest(around(i) / 5 / x["top"], F.lit(1e-8)))
+
+    return let(F.struct(inner.alias("inner"), top.alias("top")), means)
 
 
 def forward(dem: Column, response: list[list[float]]) -> Column:
@@ -151,21 +161,31 @@ def mean_logt(dem: Column, logt: list[float]) -> Column:
 
 def median_logt(dem: Column, logt: list[float]) -> Column:
     """The first bin at which the running sum reaches half of the total."""
-    d = positive(dem)
-    half = _sum(d) * 0.5
-    first = F.aggregate(
-        d,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")),
-        lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["at"] + F.when(s["sum"] + v >= half, 0).otherwise(1)).cast("int").alias("at")),
-        lambda s: s["at"],
-    )
-    return F.when(_sum(d) > 0, F.element_at(F.array(*map(F.lit, logt)), F.least(first, F.lit(len(logt) - 1)) + 1))
+    bins = F.array(*map(F.lit, logt))
+
+    def first(x: Column) -> Column:
+        half = x["total"] * 0.5
+        at = F.aggregate(
+            x["d"],
+            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")),
+            lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["at"] + F.when(s["sum"] + v >= half, 0).otherwise(1)).cast("int").alias("at")),
+            lambda s: s["at"],
+        )
+        return F.when(x["total"] > 0, F.element_at(bins, F.least(at, F.lit(len(logt) - 1)) + 1))
+
+    return let(positive(dem), lambda d: let(F.struct(d.alias("d"), _sum(d).alias("total")), first))
 
 
 def std_logt(dem: Column, logt: list[float]) -> Column:
     """Spread in log10 T around the mean of log10 T, which is not the mean map's."""
-    d, t = positive(dem), F.array(*map(F.lit, logt))
-    total = _sum(d)
-    mean = F.try_divide(_sum(F.zip_with(d, t, lambda a, x: a * x)), total)
-    spread = _sum(F.zip_with(d, t, lambda a, x: a * (x - mean) * (x - mean)))
-    return F.when(total > 0, F.sqrt(F.try_divide(spread, total)))
+    t = F.array(*map(F.lit, logt))
+
+    def spread(x: Column) -> Column:
+        parts = F.zip_with(x["d"], t, lambda a, v: a * (v - x["mean"]) * (v - x["mean"]))
+        return F.when(x["total"] > 0, F.sqrt(F.try_divide(_sum(parts), x["total"])))
+
+    def centred(x: Column) -> Column:
+        mean = F.try_divide(_sum(F.zip_with(x["d"], t, lambda a, v: a * v)), x["total"])
+        return let(F.struct(x["d"].alias("d"), x["total"].alias("total"), mean.alias("mean")), spread)
+
+    return let(positive(dem), lambda d: let(F.struct(d.alias("d"), _sum(d).alias("total")), centred))

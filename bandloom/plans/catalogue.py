@@ -404,7 +404,7 @@ for _name, _options in (("solve_dem", {}), ("solve_dem_gloci", {"gloci": True}),
 def solve_lines(spark, d):
     """The inversion over many pixels, dealt out evenly first: they come from an aggregate."""
     rows = W.pxline(spark, d).withColumn("edn", P.error_model(F.col("dn"), "poisson", 1.0, 1.0))
-    return V.solve_dem(rows.repartition("y", "x"), C.default(), V.Options(outputs=("dem", "chisq"))).select("y", "x", "valid", "chisq", P.median_logt(F.col("dem"), grid()).alias("median_logt"))
+    return V.solve_dem(V.spread(rows), C.default(), V.Options(outputs=("dem", "chisq"))).select("y", "x", "valid", "chisq", P.median_logt(F.col("dem"), grid()).alias("median_logt"))
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS bad_dn_reg, CAST(0 AS BIGINT) AS bad_chisq, CAST(0 AS BIGINT) AS bad_invalid FROM embeddings")

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from bandloom.plans import catalogue  # noqa: E402
 
-HEADLINE = ("temperature_maps", "solve_lines", "solve_dem", "solve_dem_gloci", "temp_all", "quantise_p99", "bandset_pivot", "manifest_first_per_group", "todo_antijoin", "nearest_rank_percentiles", "compare_golden", "band_minmax", "resp_binned")
+HEADLINE = tuple(os.environ["BENCH_ONLY"].split(",")) if os.environ.get("BENCH_ONLY") else ("temperature_maps", "solve_lines", "solve_dem", "solve_dem_gloci", "temp_all", "quantise_p99", "bandset_pivot", "manifest_first_per_group", "todo_antijoin", "nearest_rank_percentiles", "compare_golden", "band_minmax", "resp_binned")
 
 
 def main() -> None:
