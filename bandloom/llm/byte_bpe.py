@@ -128,14 +128,17 @@ class ByteBPE:
         return out
 
     def encode(self, text: str) -> list[int]:
-        memory, older, parts = self.memory, self.older, []
-        for piece in self.pattern.findall(text):
+        memory, older = self.memory, self.older
+        pieces = self.pattern.findall(text)
+        parts = list(map(memory.get, pieces))
+        for i in common.places(parts):
+            piece = pieces[i]
             ids = memory.get(piece)
             if ids is None:
                 ids = older.get(piece) or self.merge(piece.encode("utf-8", "surrogatepass"))
                 if len(piece) <= LONGEST:
                     memory[piece] = ids
-            parts.append(ids)
+            parts[i] = ids
         if len(memory) > REMEMBERED:
             self.older, self.memory = memory, {}
         return list(chain.from_iterable(parts))

@@ -69,6 +69,17 @@ def quietly(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return quiet
 
 
+def places(found: list) -> list[int]:
+    """Where the list has None; few places in long lists, so the list itself looks for them."""
+    out, j = [], -1
+    try:
+        while True:
+            j = found.index(None, j + 1)
+            out.append(j)
+    except ValueError:
+        return out
+
+
 _HELD: dict[str, Callable[[], object]] = {}
 
 

@@ -109,7 +109,7 @@ class Encoder:
         memory, older = self.memory, self.older
         split = [[x] if any(s in x for s in self.special) else SAFE.findall(x) for x in texts]
         found = [list(map(memory.get, x)) for x in split]
-        gaps = [(i, j) for i, x in enumerate(found) if None in x for j, v in enumerate(x) if v is None]
+        gaps = [(i, j) for i, x in enumerate(found) for j in common.places(x)]
         new = {split[i][j] for i, j in gaps}
         words, other, marked = set(), [], []
         for p in new:
