@@ -3,11 +3,14 @@
 A page becomes a sequence of lines, one for each block that its markup opens.
 Lines of menus, headers, footers, sidebars, notices, adverts, forms and
 comments carry no text, and neither does a line that is all links, but they
-keep their places. The lengths of text are summed over a sliding window of
-lines; text surges where the sum rises over a bound, dives where the window is
-empty again, and what lies between is kept. Inside an ``article`` or ``main``
-element every line with text counts as a surge, as the page says so itself; a
-page with such an element has its text there and nowhere else.
+keep their places. The lengths of
+text are summed over a sliding window of lines; text surges where the sum rises
+over a bound, dives where the window is empty again, and what lies between is
+kept. This holds on every page. Text inside an ``article`` or ``main`` element weighs more, and where all
+of it is short the bound is a share of its largest sum; windows don't reach
+over the element's ends. Text outside of it is kept where it surges by itself.
+An article inside a hidden element is hidden with it, if that element closes;
+``main`` ends what only a class, an id or a role hides.
 
 A page is read alone, in one narrow pass. Nothing is collected or shuffled.
 
@@ -19,6 +22,7 @@ dropped; repeated rows are each read; other columns aren't touched.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,11 +53,14 @@ SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class LineBlocks:
-    """window: lines summed together; surge: characters in a window from which text begins; link_share: share of a line's text in links from which it is a menu's."""
+    """window: lines summed together; surge: characters in a window from which text begins; link_share: share of a line's text in links from which it is a menu's;
+    weight: how many characters one in an article or main element counts for; peak_share: text surges there at this share of its largest sum, too."""
 
     window: int = 3
     surge: int = 80
     link_share: float = 0.6
+    weight: int = 4
+    peak_share: float = 0.5
 
 
 @dataclass
@@ -63,25 +70,40 @@ class Line:
     off: bool
 
 
-def lines_of(page: str, rule: LineBlocks) -> tuple[list[Line], bool]:
-    """The page's lines, and whether it has an article or main element."""
+def closing(tokens: list[re.Match]) -> set[int]:
+    """Where the elements start that are closed again."""
+    opened: dict[str, list[int]] = {}
+    closed = set()
+    for m in tokens:
+        if m[3] is not None:
+            held = opened.setdefault(m[3].lower(), [])
+            if not m[2]:
+                held.append(m.start())
+            elif held:
+                closed.add(held.pop())
+    return closed
+
+
+def lines_of(page: str, rule: LineBlocks) -> list[Line]:
+    """The page's lines, one for each block tag or hidden block."""
     lines: list[Line] = []
     parts: list[str] = []
     linked = total = 0
-    off = ""  # the element that hides text, and how deep it stands in itself
-    depth = article = anchor = 0
-    seen = False
+    off = ""  # the element that hides text, how deep it stands in itself, where it starts, whether by its name alone
+    depth = begins = article = anchor = 0
+    by_tag = False
     upto = 0
+    tokens = list(TOKEN.finditer(page))
+    closed: set[int] | None = None
 
     def close() -> None:
         nonlocal linked, total
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        menu = bool(text) and linked > rule.link_share * total
-        lines.append(Line("" if off else text, article > 0, bool(off) or menu and article == 0))
+        lines.append(Line(text, article > 0, bool(text) and linked > rule.link_share * total and article == 0))
         parts.clear()
         linked = total = 0
 
-    for m in TOKEN.finditer(page):
+    for m in tokens:
         if m.start() > upto and not off:
             part = page[upto : m.start()]
             parts.append(part)
@@ -94,59 +116,63 @@ def lines_of(page: str, rule: LineBlocks) -> tuple[list[Line], bool]:
         name, ends = name.lower(), bool(m[2])
         if name == "a":
             anchor = 0 if ends else 1
-        elif name == "br":
+        elif name == "br" and not off:
             parts.append(" ")
         if off:
             if name in ("article", "main") and not ends and off != name:
-                off, depth = "", 0  # what never closed ends here
+                if closed is None:
+                    closed = closing(tokens)
+                if begins not in closed or name == "main" and not by_tag:
+                    off, depth = "", 0  # what never closed ends here
             elif name == off:
                 depth += -1 if ends else 1
                 if not depth:
-                    close()
+                    if off in BLOCK:
+                        lines.append(Line("", article > 0, True))
                     off = ""
                     continue
             if off:
                 continue
         if name in BLOCK:
             close()
-        if name in ("article", "main"):
-            article = max(0, article + (-1 if ends else 1))
-            seen = True
-        elif not ends and name not in VOID:
-            hides = name in ASIDE
+        if not ends and name not in VOID:
+            hides = by_tag = name in ASIDE
             if not hides and m[4]:
                 for key, *values in ATTRIBUTE.findall(m[4]):
                     value = "".join(values)
-                    hides |= value.lower() in ROLES if key.lower() == "role" else name not in ("body", "html") and bool(NAMED.search(value))
+                    hides |= value.lower() in ROLES if key.lower() == "role" else name not in ("body", "html", "article", "main") and bool(NAMED.search(value))
             if hides and not (name == "header" and article and not m[4]):
-                off, depth = name, 1
+                off, depth, begins = name, 1, m.start()
+                continue
+        if name in ("article", "main"):
+            article = max(0, article + (-1 if ends else 1))
     if upto < len(page) and not off:
         parts.append(page[upto:])
         total += len(page) - upto
         linked += len(page) - upto if anchor else 0
     close()
-    return lines, seen
+    return lines
 
 
 def main_text(page: str | None, rule: LineBlocks = LineBlocks()) -> str:
     """The article's blocks in page order, two line breaks between them."""
     if not page:
         return ""
-    lines, seen = lines_of(page, rule)
-    if seen:
-        lines = [x for x in lines if x.inside]
-    size = [0 if x.off else len(x.text) for x in lines]
-    n, w = len(lines), rule.window
-    sums = [sum(size[i : i + w]) for i in range(n)]
-    kept, inside = [], False
-    bound = 1 if seen else rule.surge
-    for i in range(n):
-        if not inside:
-            inside = sums[i] >= bound and size[i] > 0
-        elif not sums[i]:
-            inside = False
-        if inside and size[i]:
-            kept.append(lines[i].text)
+    lines, w = lines_of(page, rule), rule.window
+    kept = []
+    for within, run in itertools.groupby(lines, lambda x: x.inside):
+        run = list(run)
+        size = [0 if x.off else len(x.text) * (rule.weight if within else 1) for x in run]
+        sums = [sum(size[i : i + w]) for i in range(len(run))]
+        bound = min(rule.surge, rule.peak_share * max(sums)) if within else rule.surge
+        inside = False
+        for i in range(len(run)):
+            if inside:
+                inside = sums[i] > 0
+            elif sums[i] >= bound and size[i]:
+                inside = True
+            if inside and size[i]:
+                kept.append(run[i].text)
     return "\n\n".join(kept)
 
 

@@ -177,6 +177,20 @@ def test_line_blocks_without_an_article():
     assert "side" not in html_text.main_text(page) and "One" not in html_text.main_text(page)
 
 
+def test_windows_choose_on_every_page():
+    long, side = ("word " * 40).strip(), ("side " * 40).strip()
+    text = html_text.main_text
+    # text beside the article surges by itself, and windows end inside it
+    assert text(f"<div><p>{long}</p></div><nav>n</nav><form>f</form><aside>s</aside><p>skip</p><article><p>{long} a</p></article>") == f"{long}\n\n{long} a"
+    asides = "<form>f</form><nav>n</nav><div class=ad>b</div>"
+    assert text(f"<article><p>{long}</p>{asides}<p>x</p>{asides}<p>{long} b</p></article>") == f"{long}\n\n{long} b"
+    # an article in a hidden element stays hidden, unless that never closes
+    assert text(f"<p>{long}</p><section id=comments><article><p>{side}</p></article></section>") == long
+    assert text(f"<nav><a href=x>m</a><article><p>{long}</p></article>") == long
+    assert text(f"<div class='has-sidebar'><main><p>{long}</p></main></div>") == long
+    assert text(f"<p>{long} <span class=share>s</span> end</p>") == f"{long} end"
+
+
 # -- 5 urls
 
 
