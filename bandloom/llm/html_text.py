@@ -3,10 +3,11 @@
 A page becomes a sequence of lines, one for each block that its markup opens.
 Lines of menus, headers, footers, sidebars, notices, adverts, forms and
 comments carry no text, and neither does a line that is all links, but they
-keep their places. The lengths of
+keep their places; tags with nothing between them make no lines. The lengths of
 text are summed over a sliding window of lines; text surges where the sum rises
 over a bound, dives where the window is empty again, and what lies between is
-kept. This holds on every page. Text inside an ``article`` or ``main`` element weighs more, and where all
+kept, with up to a window of short lines right before it. This holds on every
+page. Text inside an ``article`` or ``main`` element weighs more, and where all
 of it is short the bound is a share of its largest sum; windows don't reach
 over the element's ends. Text outside of it is kept where it surges by itself.
 An article inside a hidden element is hidden with it, if that element closes;
@@ -85,7 +86,7 @@ def closing(tokens: list[re.Match]) -> set[int]:
 
 
 def lines_of(page: str, rule: LineBlocks) -> list[Line]:
-    """The page's lines, one for each block tag or hidden block."""
+    """The page's lines with text, and one for each hidden block."""
     lines: list[Line] = []
     parts: list[str] = []
     linked = total = 0
@@ -99,7 +100,8 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
     def close() -> None:
         nonlocal linked, total
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        lines.append(Line(text, article > 0, bool(text) and linked > rule.link_share * total and article == 0))
+        if text:
+            lines.append(Line(text, article > 0, linked > rule.link_share * total and article == 0))
         parts.clear()
         linked = total = 0
 
@@ -165,14 +167,19 @@ def main_text(page: str | None, rule: LineBlocks = LineBlocks()) -> str:
         size = [0 if x.off else len(x.text) * (rule.weight if within else 1) for x in run]
         sums = [sum(size[i : i + w]) for i in range(len(run))]
         bound = min(rule.surge, rule.peak_share * max(sums)) if within else rule.surge
-        inside = False
+        inside, upto = False, 0  # what lies before upto is settled
         for i in range(len(run)):
             if inside:
                 inside = sums[i] > 0
             elif sums[i] >= bound and size[i]:
-                inside = True
-            if inside and size[i]:
-                kept.append(run[i].text)
+                inside, first = True, i
+                while first > max(upto, i - w) and size[first - 1]:
+                    first -= 1
+                kept += [x.text for x in run[first:i]]
+            if inside:
+                upto = i + 1
+                if size[i]:
+                    kept.append(run[i].text)
     return "\n\n".join(kept)
 
 

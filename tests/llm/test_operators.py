@@ -191,6 +191,13 @@ def test_windows_choose_on_every_page():
     assert text(f"<p>{long} <span class=share>s</span> end</p>") == f"{long} end"
 
 
+def test_headings_and_short_blocks_in_wrappers():
+    long = ("long text " * 20).strip()
+    page = f"<h1>Title</h1><div><p>{long}</p></div><div><p>Short one.</p></div><div><div><h2>Two</h2></div><div><p>{long}</p></div></div>"
+    assert html_text.main_text(page) == f"Title\n\n{long}\n\nShort one.\n\nTwo\n\n{long}"
+    assert html_text.main_text(f"<nav>n</nav><h1>T</h1><p>By A</p><p>Today</p><p>{long}</p>") == f"T\n\nBy A\n\nToday\n\n{long}"
+
+
 # -- 5 urls
 
 
