@@ -5,7 +5,9 @@ credential would (``pwd: ...``, ``auth_key=...``, ``Bearer ...``) is a secret if
 it would take many guesses: the value is cut into words, dates, repeats,
 keyboard walks, runs of the alphabet and brute-force spans, and the cheapest
 cut, found by dynamic programming, is its cost in powers of ten. So
-``pwd=password123`` stays and ``pwd=x9Kq2vLw7t`` goes.
+``pwd=password123`` stays and ``pwd=x9Kq2vLw7t`` goes. Only a value that lies
+within another span as a whole isn't looked at: where a pattern stops inside of
+it, the whole value gets a span beside the pattern's.
 
 A document is scanned alone, in one narrow pass over its whole text.
 
@@ -199,9 +201,9 @@ def scan(text: str | None, model: GuessModel = GuessModel()) -> list[tuple[int,
         for pattern in (CONTEXT, BEARER):
             for m in pattern.finditer(text):
                 a, b = m.span(2)
-                value = m[2].rstrip(".!?:")
+                value = m[2].rstrip(".?:")
                 b = a + len(value)
-                if len(value) >= 6 and not any(x < b and a < y for x, y in held) and cost(value, model)[0] >= model.threshold:
+                if len(value) >= 6 and not any(x <= a and b <= y for x, y in held) and cost(value, model)[0] >= model.threshold:
                     found.append((a, 3, b))
                     held.append((a, b))
     return sorted(found)

@@ -345,6 +345,14 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(frame.limit(0)).count() == 0
 
 
+def test_values_that_a_pattern_covers_in_part(spark):
+    text = "password=Tr0ub4dor&3xyz! and Bearer 0123456789abcdef0123456789abcdef~tail9Zq token=abcdefgh12."
+    spans = [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.scan(text)]
+    assert spans == [("assign", "password=Tr0ub4dor"), ("guess", "Tr0ub4dor&3xyz!"), ("hex", "0123456789abcdef" * 2), ("guess", "0123456789abcdef" * 2 + "~tail9Zq"), ("assign", "token=abcdefgh12.")]
+    frame = spark.createDataFrame([(1, text, 1)], "doc_id long, text string, n_chars long")
+    assert secret_scan.redact(frame).first()["text"] == "[redacted] and Bearer [redacted] [redacted]"
+
+
 def test_guess_costs_are_the_least():
     model = secret_scan.GuessModel()
     for value in ("pass12", "aaaa1", "qwert9", "Summer19", "x"):
