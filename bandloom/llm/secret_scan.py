@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and guess costs for values in credential contexts.
 
 Three patterns give the base spans. Beyond them, a value that stands where a
-credential would (``pwd: ...``, ``auth_key=...``, ``Bearer ...``) is a secret if
+credential would (``pwd: ...``, ``auth_key=...``, ``Bearer ...``; a listed word
+or ``key`` may be one part of a longer name) is a secret if
 it would take many guesses: the value is cut into words, dates, repeats,
 keyboard walks, runs of the alphabet and brute-force spans, and the cheapest
 cut, found by dynamic programming, is its cost in powers of ten. So
@@ -43,12 +44,16 @@ HEX = re.compile("[0-9a-f]+")
 LONG_HEX = re.compile("[0-9a-f]{32}")
 ASSIGN_KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
-#: A credential's name, a separator, and the value.
-CONTEXT = re.compile(
-    f"""({"|".join(_either(w) for w in ("passphrase", "passcode", "password", "passwd", "pwd", "pass", "secret", "token", "credential", "credentials", "auth", "api_key", "apikey", "api-key", "access_key", "private_key", "client_id", "login"))})"""
-    """["']?[ \\t]{0,4}(?:[:=]|=>)[ \\t]{0,4}["']?([^\\s"'<>,;(){}\\[\\]]+)"""
+LISTED = "|".join(_either(w) for w in ("passphrase", "passcode", "password", "passwd", "pwd", "pass", "secret", "token", "credentials", "credential", "auth", "api_key", "apikey", "api-key", "access_key", "private_key", "client_id", "login"))
+#: A name and a separator, whatever the name.
+NAMED = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?[ \t]*+(?:=>|[:=])[ \t]*+["']?""")
+#: Names of credentials: they end in a listed word, or have one, or ``key``, as a part.
+CREDENTIAL = re.compile(
+    f"""(?:{LISTED})$|(?:^|[0-9_-]|(?<=[a-z])(?=[A-Z]))(?:{LISTED})(?:[0-9_-]|(?<=[a-z])(?=[A-Z]))"""
+    f"""|[0-9_-]{_either("key")}(?:$|[0-9_-])|(?<=[a-z0-9])Key(?:$|[0-9_-]|(?=[A-Z]))"""
 )
-BEARER = re.compile(f"({_either('bearer')}|{_either('basic')}) ([A-Za-z0-9+/_.=~-]{{16,}})")
+VALUE = re.compile(r"""[^\s"'<>,;(){}\[\]]+""")
+BEARER = re.compile(f"(?:{_either('bearer')}|{_either('basic')}) ([A-Za-z0-9+/_.=~-]{{16,}})")
 CONTEXT_KEYS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"key", b"client", b"login", b"bearer", b"basic")
 
 #: Words that people choose, the most chosen first.
@@ -198,14 +203,14 @@ def scan(text: str | None, model: GuessModel = GuessModel()) -> list[tuple[int,
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
     if any(k in low for k in CONTEXT_KEYS):
         held = sorted((a, b) for a, _, b in found)
-        for pattern in (CONTEXT, BEARER):
-            for m in pattern.finditer(text):
-                a, b = m.span(2)
-                value = m[2].rstrip(".?:")
-                b = a + len(value)
-                if len(value) >= 6 and not any(x <= a and b <= y for x, y in held) and cost(value, model)[0] >= model.threshold:
-                    found.append((a, 3, b))
-                    held.append((a, b))
+        named = (VALUE.match(text, m.end()) for m in NAMED.finditer(text) if CREDENTIAL.search(m[1]))
+        for m in (*filter(None, named), *BEARER.finditer(text)):
+            a = m.start(m.re.groups)
+            value = m[m.re.groups].rstrip(".?:")
+            b = a + len(value)
+            if len(value) >= 6 and not any(x <= a and b <= y for x, y in held) and cost(value, model)[0] >= model.threshold:
+                found.append((a, 3, b))
+                held.append((a, b))
     return sorted(found)
 
 

@@ -353,6 +353,18 @@ def test_values_that_a_pattern_covers_in_part(spark):
     assert secret_scan.redact(frame).first()["text"] == "[redacted] and Bearer [redacted] [redacted]"
 
 
+def test_names_with_parts_and_wide_separators():
+    value = "x9Kq2vLw7t"
+    told = lambda t: [t[a:b] for a, k, b in secret_scan.scan(t) if k == 3]
+    for name in ("auth_key", "AUTH_KEY", "secret_key", "client_key", "my-key", "authKey", "signingKey", "db_password2", "mypwd", "pwd_old", "secretValue", "api_key_prod", "x.pwd"):
+        for gap in ("=", " = ", ":\t", "      =>     ", "\t \t \t:"):
+            assert told(f"a:b, {name}{gap}{value} end") == [value], (name, gap)
+    for name in ("author", "key", "monkey", "passage", "compass_direction", "keyboard", "tokenizer"):
+        assert told(f"{name}: {value}") == [], name
+    assert told(f"x:y:pwd={value}") == [value]
+    assert secret_scan.scan("pass" * 50_000 + " \t" * 50_000) == []
+
+
 def test_guess_costs_are_the_least():
     model = secret_scan.GuessModel()
     for value in ("pass12", "aaaa1", "qwert9", "Summer19", "x"):
