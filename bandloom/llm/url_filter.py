@@ -5,11 +5,15 @@ different hosts are edges, weighted by their number and summed before anything
 else. Trust is a personalised PageRank from trusted hosts along the links;
 distrust is the same from blocked hosts against them, so a host that links to
 blocked hosts is distrusted. Seeds have a mass of one each, whatever their
-number, so scores and bounds mean the same at every size. A host is blocked
-where its distrust reaches the bound and outweighs its trust.
+number. Such a score is shared out among all linkers of a host, so it falls with
+in-degrees and orders hosts, but has no bound. Verdicts come from two shares of
+a host's own links: that of its links out which lead, damped at each step, to a
+blocked seed, and that of its links in which come from a trusted one. A seed has
+a share of one. A host is blocked where the first reaches ``led_share`` and
+outweighs the second, however many others link to the same seeds.
 
 Seeds come from the rules that judge a whole host, and from words in host names
-that only unwanted hosts have.
+that only unwanted hosts have; hosts that are only linked to are seeds as well.
 
 Everything is joins and sums on edges and hosts; a host's links are summed into
 one row for each other host, so one host with most pages isn't a hot key past
@@ -23,6 +27,7 @@ judged; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,13 +41,13 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 @dataclass(frozen=True)
 class Propagation:
-    """damping: of both walks; rounds: at most; still: the change of all scores, for each host, that ends them; bound: the
-    distrust from which a host is blocked; balance: trust counts so many times against distrust; words: parts of host names that make a blocked seed."""
+    """damping: of both walks; rounds: at most; still: the change of all scores, for each host, that ends them; led_share: the
+    share of links out that lead to blocked seeds from which a host is blocked; balance: links in from trusted ones count so many times against it; words: parts of host names that make a blocked seed."""
 
     damping: float = 0.85
     rounds: int = 20
     still: float = 1e-6
-    bound: float = 0.05
+    led_share: float = 0.25
     balance: float = 0.5
     words: tuple[str, ...] = ("casino", "bet", "bets", "betting", "poker", "pills", "pharma", "viagra", "porn", "xxx", "adult", "sex", "spam", "malware", "phishing", "warez", "ads", "adserver", "clickbait")
 
@@ -80,9 +85,25 @@ def walk(edges: DataFrame, seeds: DataFrame, how: Propagation) -> DataFrame:
     shares = common.checkpointed(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     start = common.checkpointed(seeds.select("host", F.lit(1 - how.damping).alias("score")))
     score = start
+    step = lambda score: score.join(shares, score["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg((F.lit(how.damping) * F.sum(F.col("score") * F.col("share"))).alias("score"))
+    return rounds(start, lambda score: step(score).union(start).groupBy("host").agg(F.sum("score").alias("score")), how)
+
+
+def leads(edges: DataFrame, seeds: DataFrame, how: Propagation) -> DataFrame:
+    """host, score: the chance that a walk from the host along ``edges`` (src, dst, weight), damped at each step, meets one of ``seeds`` (host)."""
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    open_ends = edges.join(total, "src").join(seeds.select(F.col("host").alias("src")), "src", "left_anti")
+    shares = common.checkpointed(open_ends.select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    start = common.checkpointed(seeds.select("host", F.lit(1.0).alias("score")))
+    step = lambda score: score.join(shares, score["host"] == shares["dst"]).groupBy(F.col("src").alias("host")).agg((F.lit(how.damping) * F.sum(F.col("score") * F.col("share"))).alias("score"))
+    return rounds(start, lambda score: step(score).union(start), how)
+
+
+def rounds(start: DataFrame, step: Callable[[DataFrame], DataFrame], how: Propagation) -> DataFrame:
+    """host, score after the steps that it takes until scores stand still."""
+    score = start
     for _ in range(how.rounds):
-        moved = score.join(shares, score["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg((F.lit(how.damping) * F.sum(F.col("score") * F.col("share"))).alias("score"))
-        new = common.checkpointed(moved.union(start).groupBy("host").agg(F.sum("score").alias("score")))
+        new = common.checkpointed(step(score))
         change = new.join(score.withColumnRenamed("score", "was"), "host", "left").agg(F.avg(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
         score = new
         if (change or 0.0) <= how.still:
@@ -105,14 +126,18 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...], how: Propag
     bad = named | F.coalesce(by_host.isin([r for k, r in whole if k == "block"]), F.lit(False))
     good = ~bad & F.coalesce(by_host.isin([r for k, r in whole if k == "allow"]), F.lit(False))
     edges = common.checkpointed(link_edges(pages, url_col, html_col))
-    trust = walk(edges, hosts.filter(good), how)
-    distrust = walk(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), hosts.filter(bad), how)
-
-    scores = hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    known = common.checkpointed(hosts.union(edges.select("src")).union(edges.select("dst")).distinct())
+    trusted, unwanted = known.filter(good), known.filter(bad)
+    found = {"trust": walk(edges, trusted, how), "distrust": walk(against, unwanted, how), "led": leads(edges, unwanted, how), "backed": leads(against, trusted, how)}
+
+    scores = hosts
+    for name, score in found.items():
+        scores = scores.join(score.withColumnRenamed("score", name), "host", "left")
     # written out, so the join below has plain exchanges on both sides and a host with most pages can be split
-    scores = common.checkpointed(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    rows = judged.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    blocked = (F.col("distrust") >= how.bound) & (F.col("distrust") > how.balance * F.col("trust"))
+    scores = common.checkpointed(scores.select("host", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in found)))
+    rows = judged.join(scores, "host", "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in found})
+    blocked = (F.col("led") >= how.led_share) & (F.col("led") > how.balance * F.col("backed"))
     return rows.select(id_col, "host", "path", "rule", F.coalesce(by_rule, F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 

@@ -236,6 +236,20 @@ def test_distrust_spreads_against_links_and_trust_along_them(spark):
         assert abs(r["trust"] - trust.get(h, 0)) < 1e-4 and abs(r["distrust"] - distrust.get(h, 0)) < 1e-4
 
 
+def test_verdicts_hold_at_any_in_degree(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    # casino.org has no page of its own; big.org links to it once among twenty
+    pages = [(i, f"http://feeder{i}.org/", link("casino.org")) for i in range(40)]
+    pages += [(100, "http://far.org/", link("feeder1.org", "feeder2.org")), (101, "http://big.org/", link("casino.org", *(f"site{i}.org" for i in range(19)))), (102, "http://backed.org/", link("casino.org", "a.org", "b.org")), (103, "http://good.com/", link("backed.org"))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in url_filter.judge_urls(frame, url_filter.RULES).collect()}
+    assert got == {**{f"feeder{i}.org": "block" for i in range(40)}, "far.org": "block", "big.org": "allow", "backed.org": "allow", "good.com": "allow"}
+    edges = spark.createDataFrame([("a", "s", 3.0), ("a", "b", 1.0), ("b", "a", 1.0), ("s", "c", 1.0), ("c", "a", 2.0)], "src string, dst string, weight double")
+    led = {r["host"]: r["score"] for r in url_filter.leads(edges, spark.createDataFrame([("s",)], "host string"), url_filter.Propagation(rounds=60, still=1e-12)).collect()}
+    a = 0.85 * 0.75 / (1 - 0.85 * 0.25 * 0.85)
+    assert led.keys() == set("sabc") and all(abs(led[h] - x) < 1e-6 for h, x in {"s": 1, "a": a, "b": 0.85 * a, "c": 0.85 * a}.items())
+
+
 # -- 6 near-duplicates
 
 
