@@ -13,6 +13,7 @@ their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ BOILERPLATE = re.compile(
     r"(?:we|site|website) uses? cookies|accept (?:all )?cookies|skip to (?:main )?content|sign (?:in|up) (?:now|here|to)|"
     r"subscribe to (?:our|the)|click here|read more|share (?:this|on) |follow us|back to top|enable javascript|lorem ipsum"
 )
+#: One of these is in every line that the two patterns can match, so most long lines aren't searched; the last are letters that fold to ASCII ones.
+BAR_BYTES = tuple(x.encode() for x in "|»›•·>/")
+PHRASE_BYTES = tuple(x.encode() for x in ("rights reserved", "copyright", "terms ", "policy", "cookies", "skip to", "sign ", "subscribe", "click here", "read more", "share ", "follow us", "back to top", "javascript", "lorem", "\u017f", "\u212a", "\u0131", "\u0130"))
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,11 @@ class Rules:
     bars: spaced separators of menus for each word, at most.
     distinct_share, stutter_share: distinct words at least, and words equal to the
     one before them at most, in lines of ``repeat_words`` or more.
-    long_words: no share of distinct words is asked of lines this long; theirs falls with length.
+    long_words: beyond this length the distinct words asked for grow with the square root of the line's.
+    Menus and boilerplate phrases are looked for in every line; one with
+    ``repeat_words`` or more needs a phrase for each run of so many words, so
+    prose that names one is spared. ``SQL`` looks for them in shorter lines
+    only, and asks no distinct words of lines of ``long_words`` or more.
     lost_share: share of a document's non-white characters that it may lose.
     min_doc_words, repeat_percent: the base rules for whole documents.
     """
@@ -84,15 +92,18 @@ def line_fails(line: bytes, words: list[bytes], r: Rules) -> str:
     if n >= r.min_words and sum(map(bytes.isupper, words)) > r.upper_share * n:
         return "punctuation"
     if n >= r.repeat_words:
-        if len(set(words)) < r.distinct_share * n and n < r.long_words:
+        if len(set(words)) < r.distinct_share * min(n, math.sqrt(n * r.long_words)):
             return "boilerplate"
         if sum(map(bytes.__eq__, words, words[1:])) > r.stutter_share * n:
             return "boilerplate"
-        return ""
+        low = line.lower()
+        menu, told = any(x in line for x in BAR_BYTES), any(x in low for x in PHRASE_BYTES)
+        if not (menu or told):
+            return ""
     said = line.decode("utf-8", "surrogatepass")
     if len(BARS.findall(said)) > r.bars * n:
         return "navigation"
-    if BOILERPLATE.search(said):
+    if BOILERPLATE.search(said) and sum(1 for _ in BOILERPLATE.finditer(said)) * r.repeat_words > n:
         return "boilerplate"
     return ""
 

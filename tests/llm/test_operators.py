@@ -77,6 +77,19 @@ def test_quality_verdicts(spark):
     assert {r["doc_id"]: r["kept"] for r in quality_rules.measure(frame).collect()} == {i: i in (1, 4) for i in range(1, 7)}
 
 
+def test_quality_rules_hold_for_long_lines():
+    rules = quality_rules.Rules()
+    why = lambda line: quality_rules.line_fails(line.encode(), line.encode().split(), rules)
+    assert why("We use cookies to give you the best experience on our website, read our cookie policy") == "boilerplate"
+    assert why("© 2024 Paper Ltd. All rights reserved. Use of this site means that you accept our Terms of Use and Privacy Policy") == "boilerplate"
+    assert why("We use coo\u212aies to give you the best experience on our website, read our coo\u212aie policy") == "boilerplate"
+    assert why("Home › News › Sport › Weather › Contact › Help › Login") == why("Home • News • Sport • Weather • Contact • Help • Login") == "navigation"
+    assert why(prose(60, 1) + " read more in our privacy policy") == "" and why("click here for one two three four five six") == "boilerplate"
+    few = " ".join(f"{w} x{i % 30}" for i, w in enumerate(["a", "b", "c"] * 200))
+    assert len(few.split()) == 1200 and why(few) == "boilerplate"
+    assert why(" ".join(f"w{i % 400} y" for i in range(2500))) == ""
+
+
 # -- 2 and 3 tokens
 
 
