@@ -338,10 +338,23 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
 
 
 def keep_one(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; of rows that repeat an id, one."""
-    kept = near_duplicates(docs, rule, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    stay = docs.join(kept.distinct(), docs[id_col] == F.col("__kept_id"), "left_semi")
-    return stay.dropDuplicates([id_col])
+    """The rows of ``docs`` whose document stands for its group.
+
+    Different texts under one id are compared each by itself, as are texts without an id, of which equal ones are
+    one document. Of rows that repeat an id one stays: among those that aren't copies of another document the one
+    whose text has the least digest goes first, as it goes by the id; other texts of repeated ids, and those
+    without an id, stand behind all ids below 2 ** 62. A text that only such a row has goes where it isn't chosen.
+    """
+    own, digest = F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    told = docs.select(own.alias("__id"), digest.alias("__digest")).filter("__id is not null")
+    repeats = told.groupBy("__id").agg(F.min("__digest").alias("__least"), F.max("__digest").alias("__last")).filter("__least < __last").drop("__last")
+    behind = F.xxhash64(own, digest).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    node = F.when(own.isNull() | (F.col("__least") != digest), behind).otherwise(own)
+    rows = docs.join(_written(repeats, "repeats"), own == F.col("__id"), "left").withColumn("__node", node).drop("__id", "__least")
+    kept = near_duplicates(rows, rule, "__node", text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"))
+    stay = rows.join(kept.distinct(), F.col("__node") == F.col("__kept_id"), "left_semi")
+    one = stay.groupBy(F.coalesce(own, "__node").alias("__id")).agg(F.min_by(F.struct(*docs.columns), "__node").alias("__row"))
+    return one.select("__row.*")
 
 
 #: The contract's links: three words and 0.85.

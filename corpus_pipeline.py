@@ -5,7 +5,8 @@ as Parquet and read again as the next stage's documents. All but the last
 return the columns of ``documents``.
 
 Edge cases follow from the operators: null and empty texts are rejected by the
-quality rules; of rows that repeat an id one stays; an empty table stays empty.
+quality rules; of rows that repeat an id one stays, and of equal texts without an
+id; an empty table stays empty.
 """
 
 from __future__ import annotations

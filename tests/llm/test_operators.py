@@ -320,6 +320,18 @@ def test_groups_that_chain_and_blocks(spark):
     assert len(set(expected.values())) > 1
 
 
+def test_keep_one_without_ids_and_with_repeated_ones(spark):
+    a, b, c, d, e = (prose(80, 300 + i) for i in range(5))
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, c + " more"), (None, a), (7, d), (7, e), (7, None), (None, ""), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = collections.Counter((r["doc_id"], (r["text"] or "")) for r in near_dup.keep_one(frame).collect())
+    mine = [x for x in got if x[0] is None and x[1].startswith(c)]
+    assert len(mine) == 1
+    least = min((d, e, ""), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert got == collections.Counter([(3, a), (5, b), (7, least), (None, ""), mine[0]])
+    assert near_dup.keep_one(frame).columns == frame.columns and near_dup.keep_one(frame.limit(0)).count() == 0
+
+
 def test_bayes_bound():
     for n, m in near_dup.CONTRACT.least_matches():
         tail = lambda m: sum(math.comb(n + 1, k) * 0.85**k * 0.15 ** (n + 1 - k) for k in range(m + 1))  # noqa: E731, B023
