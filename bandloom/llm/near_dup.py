@@ -352,9 +352,10 @@ def keep_one(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id",
     node = F.when(own.isNull() | (F.col("__least") != digest), behind).otherwise(own)
     rows = docs.join(_written(repeats, "repeats"), own == F.col("__id"), "left").withColumn("__node", node).drop("__id", "__least")
     kept = near_duplicates(rows, rule, "__node", text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    stay = rows.join(kept.distinct(), F.col("__node") == F.col("__kept_id"), "left_semi")
-    one = stay.groupBy(F.coalesce(own, "__node").alias("__id")).agg(F.min_by(F.struct(*docs.columns), "__node").alias("__row"))
-    return one.select("__row.*")
+    nodes = rows.select(F.coalesce(own, "__node").alias("__id"), "__node").join(kept, F.col("__node") == F.col("__kept_id"), "left_semi")
+    chosen = nodes.groupBy("__id").agg(F.min("__node").alias("__chosen"))
+    stay = rows.join(chosen, F.col("__node") == F.col("__chosen"), "left_semi")
+    return stay.dropDuplicates(["__node"]).drop("__node")
 
 
 #: The contract's links: three words and 0.85.
