@@ -8,12 +8,17 @@ any length becomes short pieces, pieces go to the tokenizer in batches of about
 equal bytes, and a piece that a worker has met before isn't encoded again. The
 memory of pieces is bounded and only saves time.
 
-A text that holds the string of a special token is encoded whole, as the
-library would cut it before it looks at white space. Files of other kinds
-(``.model``, or without the byte-level split) are encoded in whole texts.
-
-Edge cases: null is the empty text, 0 tokens; repeated rows are each counted;
-an empty table gives an empty table.
+The library cuts a text at the strings of special tokens before it looks at
+white space, so the text is parted there first and its parts are split on their
+own. Files of other kinds (``.model``, or without the byte-level split) are
+encoded in whole texts, as are those with special tokens that take in the white
+space or look at the words beside them.
+
+Edge cases: null is the empty text, 0 tokens; repeated rows are each counted
+(there are no ties to break); a text of any length is cut into pieces, of which
+only a run without white space stays whole; an empty table gives an empty table;
+columns other than id and text aren't read, so their names can't clash, and an
+id column named like a result has the result's column beside it, as it was asked.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from . import common
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed by the split pattern of byte-level BPE: no match of that crosses a match of this.
 SAFE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+WHITE = re.compile(f"[{_WS}\\x00-\\x20]").match
 #: Bytes of text in one call of the tokenizer, and in one text of joined pieces; pieces remembered, and the longest of those.
 CALL_BYTES, LINE_BYTES, REMEMBERED, LONGEST = 1 << 20, 1 << 14, 800_000, 48
 
@@ -43,7 +49,7 @@ def by_bytes(texts: Iterable[str], most: int = CALL_BYTES) -> Iterator[list[str]
     held, size = [], 0
     for x in texts:
         held.append(x)
-        size += len(x)
+        size += len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass"))
         if size >= most:
             yield held
             held, size = [], 0
@@ -77,7 +83,11 @@ class Encoder:
         if len(line) == 1:
             self.line_break = line[0]
         self.marks = dict(zip(".,;:", self.encode(".,;:"), strict=True))
-        self.special = [x.content for x in own.get_added_tokens_decoder().values()]
+        added = list(own.get_added_tokens_decoder().values())
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added):
+            self.safe = False
+        self.special = sorted((x.content for x in added if x.content), key=len, reverse=True)
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def encode(self, texts: Iterable[str]) -> list:
         """What is kept of each text's ids."""
@@ -88,7 +98,7 @@ class Encoder:
         return out
 
     def encode_words(self, words: list[str]) -> list:
-        """As encode(), for pieces without a line break: lines of one text, as a line break is a piece and a token of its own."""
+        """As encode(), for pieces that end in no white space: lines of one text, as a line break between them is a piece and a token of its own."""
         out = []
         for lines in by_bytes(words, LINE_BYTES):
             ids = np.asarray(self.call(["\n".join(lines)])[0], "<u4")
@@ -98,8 +108,16 @@ class Encoder:
                 out += [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
             else:
                 out += [b - a - 1 for a, b in zip(cuts, cuts[1:], strict=False)]
+        if len(out) != len(words):
+            raise RuntimeError("pieces and lines differ")
         return out
 
+    def split(self, text: str) -> list[str]:
+        """The text's pieces, and the strings of special tokens as pieces of their own."""
+        if self.parts is None or not any(s in text for s in self.special):
+            return SAFE.findall(text)
+        return [p for i, part in enumerate(self.parts.split(text)) for p in ([part] if i % 2 else SAFE.findall(part))]
+
     def pieces(self, texts: list[str]) -> list[list]:
         """For each text what is kept of its pieces, in order."""
         if not self.safe:
@@ -107,7 +125,7 @@ class Encoder:
         if len(self.memory) > REMEMBERED:
             self.older, self.memory = self.memory, {}
         memory, older = self.memory, self.older
-        split = [[x] if any(s in x for s in self.special) else SAFE.findall(x) for x in texts]
+        split = list(map(self.split, texts))
         found = [list(map(memory.get, x)) for x in split]
         gaps = [(i, j) for i, x in enumerate(found) for j in common.places(x)]
         new = {split[i][j] for i, j in gaps}
@@ -115,9 +133,9 @@ class Encoder:
         for p in new:
             if (v := older.get(p)) is not None:
                 memory[p] = v
-            elif len(p) > LONGEST or self.line_break is None or p[-1] <= " " or any(s in p for s in self.special):
+            elif len(p) > LONGEST or self.line_break is None or WHITE(p[-1]) or p in self.special:
                 other.append(p)
-            elif p[-1] in self.marks and p[-2:-1].isalpha():  # the split pattern parts a letter from a mark
+            elif p[-1] in self.marks and p[-2:-1].isalpha() and p[-2] < "\u0250":  # the split pattern parts a letter from a mark
                 marked.append(p)
                 if (q := p[:-1]) not in memory:
                     if (v := older.get(q)) is not None:
@@ -126,7 +144,7 @@ class Encoder:
                         words.add(q)
             else:
                 words.add(p)
-        words = list(words)
+        words = sorted(words)
         memory.update(zip(words, self.encode_words(words), strict=True))
         memory.update((p, memory[p[:-1]] + self.marks[p[-1]]) for p in marked)
         once = dict(zip(other, self.encode(other), strict=True))
