@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,15 +37,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+    """Cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's; a local one is set only where there is none.
-    """
-    sc = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A folder of this machine's is set only where there is none and all tasks run in this process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="bandloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again: lineage ends, columns can be pruned. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _TABLES:
+        atexit.register(_forget)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget() -> None:
+    for spark, path in _TABLES:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  (the session has ended before)
+            return
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -11,8 +11,6 @@ id; an empty table stays empty.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         made = stage(spark, docs, sf_dir)
-        if spark.sparkContext.getCheckpointDir() is None:
-            common.checkpointed(spark.range(0))
-        path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{name}-{uuid.uuid4().hex}"
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+        docs = common.written(made, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
