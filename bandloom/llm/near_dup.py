@@ -58,7 +58,7 @@ class NearDup:
     rows: int = 5
     batch: int = 20
     miss: float = 1e-6
-    block: int = 1024
+    block: int = 512
     block_bytes: int = 8 << 20
     fan: int = 256
 

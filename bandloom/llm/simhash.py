@@ -9,7 +9,8 @@ are summed where the text lies before anything is shuffled.
 
 Near fingerprints are found in permuted block tables: the bits are cut into
 ``radius + 2`` blocks, so fingerprints within the radius agree on two blocks at
-least, and each pair of blocks keys a table.
+least, and each pair of blocks keys a table. Equal fingerprints are one row of a
+table, whatever the number of their documents.
 
 Edge cases: a null or empty text has no terms, the fingerprint of zeros, and a
 likeness of 1 to another such; equal texts have equal fingerprints; rows that
@@ -72,61 +73,74 @@ def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
 
 
+def block_tables(radius: int) -> list[tuple[int, int]]:
+    """The masks of f0 and f1 of each table: two of ``radius + 2`` blocks."""
+    blocks = radius + 2
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    masks = [sum(1 << k for k in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [((masks[i] | masks[j]) & ALL, (masks[i] | masks[j]) >> 64) for i, j in combinations(range(blocks), 2)]
+
+
+def search(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """a0, a1, b0, b1, distance: each different fingerprint (f0, f1) of ``queries`` with each of ``prints`` that differs in at most ``radius`` bits, itself included.
+
+    Fingerprints meet in the tables of the blocks that they agree on; a pair counts in the first of these only, so no
+    pair comes twice and none is shuffled again.
+    """
+    tables = block_tables(radius)
+    at = lambda name: F.inline(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"{name}0").bitwiseAND(_signed(m0)).alias("k0"), F.col(f"{name}1").bitwiseAND(_signed(m1)).alias("k1")) for t, (m0, m1) in enumerate(tables))))
+    own, other = (x.select(F.col("f0").alias(f"{n}0"), F.col("f1").alias(f"{n}1")).dropna().distinct().select(f"{n}0", f"{n}1", at(n)) for x, n in ((queries, "a"), (prints, "b")))
+    pairs = own.join(other, ["t", "k0", "k1"])
+    pairs = pairs.withColumn("distance", distance((F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1")))).filter(F.col("distance") <= radius)
+    x0, x1 = F.col("a0").bitwiseXOR(F.col("b0")), F.col("a1").bitwiseXOR(F.col("b1"))
+    agree = [(x0.bitwiseAND(_signed(m0)) == 0) & (x1.bitwiseAND(_signed(m1)) == 0) for m0, m1 in tables]
+    first = F.coalesce(*(F.when(y, F.lit(t)) for t, y in enumerate(agree)))
+    return pairs.filter(first == F.col("t")).select("a0", "a1", "b0", "b1", "distance")
+
+
 def within(prints: DataFrame, radius: int = 6) -> DataFrame:
     """a0, a1, b0, b1, distance: all pairs of different fingerprints (f0, f1) that differ in at most ``radius`` bits, each once.
 
     Equal fingerprints are one row here; join back on the fingerprint to reach all that have it.
     """
-    blocks = radius + 2
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(1 << k for k in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    tables = []
-    for t, (i, j) in enumerate(combinations(range(blocks), 2)):
-        mask = masks[i] | masks[j]
-        tables.append(F.struct(F.lit(t).alias("t"), F.col("a0").bitwiseAND(_signed(mask & ALL)).alias("k0"), F.col("a1").bitwiseAND(_signed(mask >> 64)).alias("k1")))
-    own = prints.select(F.col("f0").alias("a0"), F.col("f1").alias("a1")).dropna().distinct().select("a0", "a1", F.inline(F.array(*tables)))
-    other = own.withColumnsRenamed({"a0": "b0", "a1": "b1"})
-    near = own.join(other, ["t", "k0", "k1"]).filter("a0 < b0 OR (a0 = b0 AND a1 < b1)")
-    near = near.withColumn("distance", distance((F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1"))))
-    return near.filter(F.col("distance") <= radius).select("a0", "a1", "b0", "b1", "distance").distinct()
-
-
-#: Ranges of ids told apart by quantiles, and the rows that a bucket within one should have.
-RANGES, BUCKET_ROWS = 64, 1000
-
-
-def buckets(docs: DataFrame, id_col: str) -> Column:
-    """A number that rises with the id and is shared by about ``BUCKET_ROWS`` rows, however the ids lie."""
-    share = [i / RANGES for i in range(RANGES + 1)]
-    n, cuts = docs.agg(F.count(id_col), F.percentile_approx(id_col, share, 10_000)).first()
-    if not n:
-        return F.lit(-1).cast("long")
-    cuts = sorted(set(cuts))
-    parts = max(1, -(-n // (RANGES * BUCKET_ROWS)))
-    x = F.col(id_col).cast("double")
-    found = F.lit(0).cast("long")
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        inside = F.floor((x - float(a)) / (float(b) - float(a)) * parts) if float(b) > float(a) else F.lit(0)
-        found = F.when(F.col(id_col) >= a, F.least(F.greatest(inside, F.lit(0)), F.lit(parts)) + i * (parts + 1)).otherwise(found)
-    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(found).cast("long")
+    return search(prints, prints, radius).filter("a0 < b0 OR (a0 = b0 AND a1 < b1)")
+
+
+#: Buckets for each shuffle partition, and buckets at most.
+SHARE, MOST_BUCKETS = 4, 8192
+
+
+def bucket_cuts(docs: DataFrame, id_col: str) -> list[int]:
+    """Ids that cut the rows into about ``SHARE`` times the session's shuffle partitions equal parts, however they lie; worked out once."""
+    n = min(MOST_BUCKETS, SHARE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    return sorted(set(cuts or []))
+
+
+def bucket_of(id_: Column, cuts: list[int]) -> Column:
+    """A number that rises with the id; null ids stand lowest."""
+    inside = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= id_)) if cuts else F.lit(0)
+    return F.when(id_.isNull(), F.lit(0)).otherwise(inside + 1).cast("long")
 
 
 def chained(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, place, doc_id, text of each row, and next_bucket, next_place, next_text of the one after it by descending id.
 
-    Rows are ordered within buckets of bounded size; only the heads of buckets meet those before them.
+    Rows are ordered within buckets of about equal size, in windows that spill; only the first rows of buckets meet
+    those before them. The driver sees one id for each bucket, of which there are ``MOST_BUCKETS`` at most.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = source.withColumn("bucket", bucket_of(F.col("doc_id"), bucket_cuts(source, "doc_id")))
+    firsts = sorted(((r["bucket"], r["first"]) for r in source.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()), reverse=True)
+    after = [(a[0], *b) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    after = F.broadcast(spark.createDataFrame(after, "before long, next_bucket long, first long"))
+    same = (F.col("bucket") == F.col("next_bucket")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    heads = source.join(after, same).groupBy(F.col("before").alias("bucket"), "next_bucket").agg(F.max("text").alias("head"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    rows = source.withColumn("bucket", buckets(source, "doc_id")).select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("later"))
-    heads = rows.filter("place = 1").select("bucket", F.col("text").alias("head"))
-    down = Window.orderBy(F.col("bucket").desc())
-    numbers = source.select(buckets(source, "doc_id").alias("bucket")).distinct()
-    after = numbers.select("bucket", F.coalesce(F.lead("bucket").over(down), F.first("bucket").over(down)).alias("next_bucket"))
-    after = after.join(heads.withColumnRenamed("bucket", "next_bucket"), "next_bucket")
-    joined = rows.join(after, "bucket")
+    rows = source.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("later"))
     last = F.col("later").isNull()
-    return joined.select(
+    return rows.join(heads, "bucket").select(
         "bucket", "place", "doc_id", "text",
         F.when(last, F.col("next_bucket")).otherwise(F.col("bucket")).alias("next_bucket"),
         F.when(last, F.lit(1)).otherwise(F.col("place") + 1).alias("next_place"),
@@ -135,24 +149,29 @@ def chained(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_near: for ids divisible by 20, how many other fingerprints of all documents differ in at most 3 bits."""
     docs = common.table(spark, sf_dir, "documents")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
+    place = lambda name: (F.col(f"{name}bucket") * F.lit(1 << 33) + F.col(f"{name}place")).alias(f"{name}key")
     rows = chained(docs, "doc_id", "text").select(
-        "bucket", "place", "next_bucket", "next_place", "doc_id", n.cast("long").alias("n_chars"), "text",
+        "bucket", place(""), place("next_"), "doc_id", n.cast("long").alias("n_chars"), "text",
         F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third)).alias("edited"),
     )
-    keys = ["bucket", "place", "next_bucket", "next_place", "doc_id", "n_chars", "edited_sha256"]
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    keys = ["bucket", "key", "next_key", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
     both = rows.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))))
     prints = fingerprints(both, [*keys, "which"])
     of = lambda k, which: F.max(F.when(F.col("which") == which, F.col(f"f{k}")))
     prints = prints.groupBy(*keys).agg(*(of(k, which).alias(f"{name}{k}") for which, name in enumerate(("own", "edited")) for k in HALVES))
     prints = common.checkpointed(prints)
-    later = prints.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own0").alias("later0"), F.col("own1").alias("later1"))
+    later = prints.select(F.col("key").alias("next_key"), F.col("own0").alias("later0"), F.col("own1").alias("later1"))
     halves = lambda name: tuple(F.col(f"{name}{k}") for k in HALVES)
     like = lambda a, b: (1 - distance(halves(a), halves(b)) / F.lit(float(BITS))).cast("double")
-    return prints.join(later, ["next_bucket", "next_place"]).select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(*halves("own")).alias("fingerprint"), as_hex(*halves("edited")).alias("edited_fingerprint"),
-        like("own", "edited").alias("near_edited"), like("own", "later").alias("near_next"),
+    asked = F.col("doc_id") % 20 == 0
+    own = prints.select("doc_id", F.col("own0").alias("f0"), F.col("own1").alias("f1"))
+    near = search(own.filter(asked), own, 3).groupBy(F.col("a0").alias("own0"), F.col("a1").alias("own1")).agg((F.count("*") - 1).alias("n_near"))
+    return prints.join(later, "next_key").join(near, ["own0", "own1"], "left").select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_hex(*halves("own")).alias("fingerprint"), as_hex(*halves("edited")).alias("edited_fingerprint"),
+        like("own", "edited").alias("near_edited"), like("own", "later").alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"),
     )

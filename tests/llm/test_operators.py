@@ -440,19 +440,41 @@ def test_edited_chain(spark, tmp_path, docs):
         n, after = len(t) // 3, rows[(k + 1) % len(rows)][1]
         expected[(i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())] += 1
     assert collections.Counter(tuple(r)[:3] for r in got) == expected
-    prints = collections.defaultdict(set)
-    texts = collections.defaultdict(list)
-    for i, t in rows:
-        texts[i].append(t)
-    for r in got:
-        if len(texts[r["doc_id"]]) == 1:
-            prints[texts[r["doc_id"]][0]].add(r["fingerprint"])
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
-    assert all(len(v) == 1 for v in prints.values())
+    edited = {}
+    for k, (i, t) in enumerate(rows):
+        n, after = len(t) // 3, rows[(k + 1) % len(rows)][1]
+        edited[t] = t[: len(t) - n] + after[:n]
+    texts = sorted({t for _, t in rows} | set(edited.values()))
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    prints = {texts[r["k"]]: (r["f0"] % 2**64) << 64 | r["f1"] % 2**64 for r in simhash.fingerprints(frame, ["k"]).collect()}
+    like = lambda a, b: 1 - (prints[a] ^ prints[b]).bit_count() / 128
+    distinct = {prints[t] for _, t in rows}
+    expected = collections.Counter()
+    for k, (i, t) in enumerate(rows):
+        n, after = len(t) // 3, rows[(k + 1) % len(rows)][1]
+        mine = t[: len(t) - n] + after[:n]
+        near = sum(0 < (p ^ prints[t]).bit_count() <= 3 for p in distinct) if i % 20 == 0 else None
+        expected[(i, f"{prints[t]:032x}", f"{prints[mine]:032x}" if mine in prints else None, near)] += 1
+        if mine in prints:
+            expected_near = (round(like(t, mine), 9), round(like(t, after), 9))
+            assert any((round(r["near_edited"], 9), round(r["near_next"], 9)) == expected_near for r in got if r["doc_id"] == i)
+    assert sum(v for x, v in expected.items() if x[2]) >= len(rows) - 3
+    assert {x for x in expected if x[2]} <= {(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["n_near"]) for r in got}
     long = [r for r in got if r["n_chars"] > 300]
     assert sum(r["near_edited"] for r in long) / len(long) > 0.65
 
 
+@pytest.mark.parametrize("ids", [[(k << 40) + i for k in range(6) for i in range(20)], [2**k for k in range(40)], [7] * 30, [None, None, 3], []])
+def test_chain_of_any_ids(spark, ids):
+    """Ids in shards, in powers, all the same, or missing: each row meets the next, and the last the first."""
+    frame = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    got = simhash.chained(frame, "doc_id", "text").collect()
+    rows = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in got) == sorted((str(i), t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows))
+    assert len({(r["bucket"], r["place"]) for r in got}) == len(ids)
+    assert {(r["bucket"], r["place"]) for r in got} == {(r["next_bucket"], r["next_place"]) for r in got}
+
+
 def test_votes(spark):
     """The packed sums against votes counted bit by bit."""
     frame = spark.createDataFrame([(1, "the big cat sat on the big mat"), (2, ""), (3, "one")], "k long, text string")
@@ -487,8 +509,9 @@ def test_within_radius(spark):
 def test_buckets_rise_with_ids(spark):
     ids = [*range(500), 10**15, -(10**17), 2**62, *range(5000, 5050)]
     frame = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long")
-    got = frame.select("doc_id", simhash.buckets(frame, "doc_id").alias("b")).orderBy("doc_id").collect()
-    assert got[0]["b"] == -1 and [r["b"] for r in got] == sorted(r["b"] for r in got)
+    got = frame.select("doc_id", simhash.bucket_of(F.col("doc_id"), simhash.bucket_cuts(frame, "doc_id")).alias("b")).orderBy("doc_id").collect()
+    assert got[0]["b"] == 0 and [r["b"] for r in got] == sorted(r["b"] for r in got)
+    assert max(collections.Counter(r["b"] for r in got).values()) < 60
 
 
 # -- 10 language model
