@@ -260,9 +260,18 @@ def gsvd(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return s * beta, beta, u.T[:, : ab.shape[0]], vt.T, w
 
 
-def reg_map(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> float:
-    """The regularisation whose misfit is nearest to the errors' squares, over a geometric range of the generalised values."""
-    nf = len(data)
+def gsvd_values(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha and beta of many matrices ``a`` (stacked) with one ``b``, as :func:`gsvd` gives them."""
+    ab = np.nan_to_num(np.asarray(a, float) @ safe_pinv(b), nan=0.0, posinf=1e12, neginf=-1e12)
+    s = np.linalg.svd(ab, compute_uv=False)
+    s = np.pad(s, ((0, 0), (0, max(ab.shape[1:]) - s.shape[1])))
+    beta = 1 / np.hypot(1, s)
+    return s * beta, beta
+
+
+def reg_maps(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> np.ndarray:
+    """For each row of ``data`` the regularisation whose misfit is nearest to the errors' squares, over a geometric range of the generalised values."""
+    nf = data.shape[1]
     a, b, u = (np.asarray(x, float) for x in (sigma_a, sigma_b, u))
     if u.ndim != 2 or max(u.shape) < nf:
         raise ValueError("need a row of vectors for each band")
@@ -272,12 +281,19 @@ def reg_map(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.nd
     lo, hi = (max(values.min() ** 2 * 1e-4, 1e-300), values.max()) if len(values) else (1e-8, 1e2)
     mu = np.geomspace(lo, hi if hi > lo else lo * 10, max(nmu, 2))
     weight = mu[:, None] * b[:nf] ** 2
-    misfit = np.sum((weight * (u[:nf] @ data) / (a[:nf] ** 2 + weight)) ** 2, axis=1)
-    return float(mu[np.argmin(np.abs(misfit - np.sum(np.asarray(err) ** 2) * reg_tweak))])
+    share = weight / (a[:nf] ** 2 + weight)
+    misfit = np.square(share)[None] * np.square(data @ u[:nf].T)[:, None, :]
+    goal = np.sum(np.square(np.broadcast_to(err, data.shape)), axis=1) * reg_tweak
+    return mu[np.argmin(np.abs(misfit.sum(axis=2) - goal[:, None]), axis=1)]
+
+
+def reg_map(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> float:
+    """:func:`reg_maps` of one pixel."""
+    return float(reg_maps(sigma_a, sigma_b, u, np.asarray(data, float)[None], err, reg_tweak, nmu)[0])
 
 
-def lstsq_clip(dn: np.ndarray, edn: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lstsq_clip(dn: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least squares without regularisation, clipped at 0: the distribution, predicted counts, and the summed squared residual."""
     dem = np.clip(dn @ np.linalg.pinv(r), 0, None)
     predicted = dem @ r
-    return dem, predicted, np.sum(((dn - predicted) / edn) ** 2, axis=-1)
+    return dem, predicted, np.sum((dn - predicted) ** 2, axis=-1)

@@ -14,6 +14,7 @@ from ..operators import ingest as I
 from ..operators import inversion as V
 from ..operators import selection as S
 from ..operators import summaries as Q
+from . import solver_sql as X
 from . import views as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,19 +378,44 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("edn", P.error_model(F.col("dn"), "poisson", 1.0, 1.0))
 
 
+def solver_options(options: dict[str, object]) -> tuple[C.Calibration, V.Options]:
+    return C.prepare(*C.sampled(), emd_int=True) if options.get("emd_int") else C.default(), V.Options(**options)
+
+
 def solved(spark: SparkSession, d: str, **options: object) -> DataFrame:
-    emd = bool(options.get("emd_int"))
-    cal = C.prepare(*C.sampled(), emd_int=True) if emd else C.default()
-    return V.solve_dem(pixels(spark, d), cal, V.Options(**options))
+    return V.solve_dem(pixels(spark, d), *solver_options(options))
+
+
+def grid() -> list[float]:
+    return [float(v) for v in C.default().logt]
+
+
+PIXELS = "SELECT vec_id AS id, CAST(label AS VARCHAR) AS frame_id, CAST(vec_id // 32 AS INTEGER) AS y, CAST(vec_id % 32 AS INTEGER) AS x, dn, list_transform(dn, lambda v: sqrt(v + 1)) AS edn FROM (SELECT *, list_transform(embedding[1:6], lambda v: 1000.0 * abs(CAST(v AS DOUBLE))) AS dn FROM embeddings)"
+
+
+def log_of(total: Column) -> Column:
+    """The logarithm, rounded, of sums that go over many powers of ten."""
+    return F.when(total > 0, r(F.log10(total), 5))
+
+
+def log_sum(values: str) -> Column:
+    return log_of(F.aggregate(values, F.lit(0.0), lambda s, v: s + v))
 
 
 def flat(solution: DataFrame, logt: list[float]) -> DataFrame:
     """Scalars of a solution: a row for each pixel."""
-    return solution.select("frame_id", "y", "x", "valid", "chisq", P.total_em(F.col("dem")).alias("em"), P.median_logt(F.col("dem"), logt).alias("median_logt"), F.aggregate("edem", F.lit(0.0), lambda s, v: s + v).alias("edem_sum"), F.aggregate("elogt", F.lit(0.0), lambda s, v: s + v).alias("elogt_sum"))
+    elogt = F.aggregate("elogt", F.lit(0.0), lambda s, v: s + v)
+    return solution.select("frame_id", "y", "x", "valid", r("chisq").alias("chisq"), log_of(P.total_em(F.col("dem"))).alias("log_em"), r(P.median_logt(F.col("dem"), logt)).alias("median_logt"), log_sum("edem").alias("log_edem"), r(elogt).alias("elogt_sum"))
 
 
-def grid() -> list[float]:
-    return [float(v) for v in C.default().logt]
+def flat_sql(options: dict[str, object]) -> str:
+    logt = X.doubles(C.default().logt)
+    log = lambda v: f"CASE WHEN list_sum({v}) > 0 THEN round(log10(list_sum({v})), 5) END"
+    return f"""WITH RECURSIVE {X.solution(PIXELS, *solver_options(options))},
+    ps AS (SELECT id, list_transform(dem, lambda v: greatest(v, 0.0)) AS d FROM sol)
+    SELECT frame_id, y, x, valid, round(chisq, 6) AS chisq, {log("d")} AS log_em,
+    CASE WHEN list_sum(d) > 0 THEN round(({logt})[list_min(list_filter(range(1, len(d) + 1), lambda i: list_sum(d[1:i]) >= 0.5 * list_sum(d)))], 6) END AS median_logt,
+    {log("edem")} AS log_edem, round(list_sum(elogt), 6) AS elogt_sum FROM sol JOIN ps USING (id) JOIN px0 USING (id)"""
 
 
 for _name, _options in (("solve_dem", {}), ("solve_dem_gloci", {"gloci": True}), ("solve_dem_emd", {"emd_int": True, "emd_ret": True}), ("solve_dem_nonpos", {"non_pos": True}), ("solve_dem_lemd", {"l_emd": True, "emd_int": True}), ("solve_dem_rscl", {"rscl": True})):
@@ -397,63 +423,89 @@ for _name, _options in (("solve_dem", {}), ("solve_dem_gloci", {"gloci": True}),
     def _solve(spark, d, options=_options):
         return flat(solved(spark, d, **options), grid())
 
-    query(name=_name)(_solve)
+    query(flat_sql(_options), _name)(_solve)
+
 
+LINES = f"SELECT row_number() OVER (ORDER BY y, x) AS id, y, x, [b0, b1, b2, b3, b4, b5] AS dn, list_transform([b0, b1, b2, b3, b4, b5], lambda v: sqrt(v + 1)) AS edn FROM ln"
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE {LB}, {X.solution(LINES, *solver_options({}))}, ps AS (SELECT id, list_sum(list_transform(dem, lambda v: greatest(v, 0.0))) AS em FROM sol)
+    SELECT px0.y, px0.x, valid, round(chisq, 6) AS chisq, CASE WHEN em > 0 THEN round(log10(em), 5) END AS log_em, CASE WHEN list_sum(edem) > 0 THEN round(log10(list_sum(edem)), 5) END AS log_edem
+    FROM sol JOIN ps USING (id) JOIN px0 USING (id)"""
+)
 def solve_lines(spark, d):
-    """The inversion over many pixels, dealt out evenly first: they come from an aggregate."""
+    """The inversion over many pixels, all outputs, dealt out evenly first: they come from an aggregate."""
     rows = W.pxline(spark, d).withColumn("edn", P.error_model(F.col("dn"), "poisson", 1.0, 1.0))
-    return V.solve_dem(V.spread(rows), C.default(), V.Options(outputs=("dem", "chisq"))).select("y", "x", "valid", "chisq", P.median_logt(F.col("dem"), grid()).alias("median_logt"))
+    return V.solve_dem(V.spread(rows), C.default(), V.Options()).select("y", "x", "valid", r("chisq").alias("chisq"), log_of(P.total_em(F.col("dem"))).alias("log_em"), log_sum("edem").alias("log_edem"))
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS bad_dn_reg, CAST(0 AS BIGINT) AS bad_chisq, CAST(0 AS BIGINT) AS bad_invalid FROM embeddings")
+@query(f"WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))} SELECT id AS vec_id, CAST(f - 1 AS INTEGER) AS band, round(dn_reg[f], 4) AS dn_reg, true AS as_predicted, true AS chisq_agrees FROM sol, (SELECT range AS f FROM range(1, 7)) WHERE valid")
 def solver_selfcheck(spark, d):
-    """Predicted counts and chisq made again from the returned distribution."""
+    """Predicted counts, and whether they and chisq can be made again from the returned distribution."""
     cal = C.default()
     response = [[float(v) / cal.scale for v in row] for row in cal.rmatrix]
-    rows = V.solve_dem(pixels(spark, d).select("vec_id", "dn", "edn", F.col("dn").alias("dn0"), F.col("edn").alias("edn0")), cal)
-    again = rows.withColumn("p", P.forward(F.col("dem"), response))
-    off = F.exists(F.zip_with("p", "dn_reg", lambda a, b: F.abs(a - b) > 1e-6 * (1 + F.abs(b))), lambda v: v)
-    fit = P.chisq(F.col("dn0"), F.col("edn0"), F.col("p"))
-    bad = F.col("valid") & (F.abs(fit - F.col("chisq")) > 1e-6 * (1 + F.abs("chisq")))
-    return again.agg(F.count("*").alias("n"), F.count_if(F.col("valid") & off).alias("bad_dn_reg"), F.count_if(bad).alias("bad_chisq"), F.count_if(~F.col("valid") & (F.col("chisq") != 0)).alias("bad_invalid"))
+    rows = V.solve_dem(pixels(spark, d).select("vec_id", "dn", "edn", F.col("dn").alias("dn0"), F.col("edn").alias("edn0")), cal).filter("valid")
+    rows = rows.withColumn("p", P.forward(F.col("dem"), response))
+    agrees = F.abs(P.chisq(F.col("dn0"), F.col("edn0"), F.col("p")) - F.col("chisq")) <= 1e-6 * (1 + F.abs("chisq"))
+    rows = rows.select("vec_id", agrees.alias("chisq_agrees"), F.posexplode(F.arrays_zip("dn_reg", "p")).alias("band", "z"))
+    return rows.select("vec_id", "band", r("z.dn_reg", 4).alias("dn_reg"), (F.abs(F.col("z.p") - F.col("z.dn_reg")) <= 1e-6 * (1 + F.abs("z.dn_reg"))).alias("as_predicted"), "chisq_agrees")
+
 
+def by_batch(rows: DataFrame, schema: str, many: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """A function of the counts of a batch of pixels, stacked, with a column for each of ``schema`` after the id."""
+    import pyarrow as pa
 
-def by_pixel(rows: DataFrame, schema: str, one: Callable[[np.ndarray], list]) -> DataFrame:
-    """A function of a pixel's counts, in batches."""
-    import pandas as pd
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            out = [[i, *one(np.asarray(dn, float))] for i, dn in zip(b["vec_id"], b["dn"], strict=True)]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+            dn = np.asarray(b.column(1).flatten(), float).reshape(-1, W.NF)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in many(dn))], names=names)
 
-    return rows.select("vec_id", "dn").mapInPandas(run, schema)
+    return rows.select("vec_id", "dn").mapInArrow(run, schema)
 
 
-@query()
+SIGMA = [float(v) for v in np.linalg.svd(np.array(RESPONSE), compute_uv=False)]
+MU = [float(v) for v in np.geomspace(min(SIGMA) ** 2 * 1e-4, max(SIGMA), 500)]
+
+
+@query(
+    f"""WITH {PB}, mu AS (SELECT m FROM (SELECT unnest({X.doubles(MU)}) AS m)), sg(band, s) AS (VALUES {", ".join(f"({k}, CAST({v!r} AS DOUBLE))" for k, v in enumerate(SIGMA))}),
+    ms AS (SELECT vec_id, m, sum(pow(m * dn / 1000 / (s * s + m), 2)) AS fit FROM pb JOIN sg USING (band), mu GROUP BY 1, 2)
+    SELECT vec_id, round(log10(arg_min(m, (abs(fit - 6 * 0.1 * 0.1), m))), 6) AS log_mu FROM ms GROUP BY 1"""
+)
 def dem_reg_map(spark, d):
-    s = np.linalg.svd(np.array(RESPONSE), compute_uv=False)
-    return by_pixel(W.px(spark, d), "vec_id long, mu double", lambda dn: [V.reg_map(s, np.ones(6), np.eye(6), dn / 1000, np.full(6, 0.1))])
+    sigma, err = np.array(SIGMA), np.full(W.NF, 0.1)
+    out = by_batch(W.px(spark, d), "vec_id long, mu double", lambda dn: [V.reg_maps(sigma, np.ones(W.NF), np.eye(W.NF), dn / 1000, err)])
+    return out.select("vec_id", r(F.log10("mu")).alias("log_mu"))
 
 
-@query()
+@query(f"WITH RECURSIVE {X.gsvd_largest(RESPONSE, PIXELS)} SELECT id AS vec_id, round(sqrt(s2[1] / (1 + s2[1])), 9) AS alpha, round(sqrt(s2[6] / (1 + s2[6])), 9) AS least_alpha, true AS on_circle FROM sv")
 def gsvd(spark, d):
-    def one(dn):
-        alpha, beta, *_ = V.gsvd(np.array(RESPONSE) * (1 + dn[None, :] / 1000), np.eye(6))
-        return [float(alpha.max()), float(np.abs(alpha**2 + beta**2 - 1).max())]
+    def many(dn):
+        alpha, beta = V.gsvd_values(np.array(RESPONSE)[None] * (1 + dn[:, None, :] / 1000), np.eye(W.NF))
+        return [alpha.max(axis=1), alpha.min(axis=1), np.abs(alpha**2 + beta**2 - 1).max(axis=1) < 1e-12]
+
+    out = by_batch(W.px(spark, d), "vec_id long, alpha double, least_alpha double, on_circle boolean", many)
+    return out.select("vec_id", r("alpha", 9).alias("alpha"), r("least_alpha", 9).alias("least_alpha"), "on_circle")
 
-    return by_pixel(W.px(spark, d), "vec_id long, alpha double, off_circle double", one)
 
+PINV = [[float(v) for v in row] for row in np.linalg.pinv(np.array(RESPONSE))]
 
-@query()
+
+@query(
+    f"""WITH rm AS (SELECT {X.doubles(np.array(RESPONSE).T)} AS r, {X.doubles(np.array(PINV).T)} AS inv), px0 AS ({PIXELS}),
+    ls AS (SELECT id, dn, r, list_transform(inv, lambda v: greatest(list_inner_product(v, dn), 0.0)) AS dem FROM px0, rm)
+    SELECT id AS vec_id, round(list_sum(dem), 4) AS em, round(list_sum(list_transform(range(1, 7), lambda f: pow(dn[f] - list_inner_product(dem, r[f]), 2))), 2) AS residual FROM ls"""
+)
 def lstsq_clip(spark, d):
-    def one(dn):
-        dem, _, fit = V.lstsq_clip(dn, np.sqrt(dn + 1), np.array(RESPONSE))
-        return [float(dem.sum()), float(fit)]
+    def many(dn):
+        dem, _, fit = V.lstsq_clip(dn, np.array(RESPONSE))
+        return [dem.sum(axis=1), fit]
 
-    return by_pixel(W.px(spark, d), "vec_id long, em double, residual double", one)
+    out = by_batch(W.px(spark, d), "vec_id long, em double, residual double", many)
+    return out.select("vec_id", r("em", 4).alias("em"), r("residual", 2).alias("residual"))
 
 
 # -- temperature maps -------------------------------------------------------------------
@@ -601,4 +653,15 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return solution.select("frame_id", "y", "x", "valid", "chisq", P.total_em(F.col("dem")).alias("em"), P.peak_logt(F.col("dem"), logt).alias("peak_logt"), P.mean_logt(F.col("dem"), logt).alias("mean_logt"), P.median_logt(F.col("dem"), logt).alias("median_logt"), P.std_logt(F.col("dem"), logt).alias("std_logt"))
 
 
-query(name="temperature_maps")(entry)
+MAPPED = f"""WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))}, ps AS (SELECT id, list_transform(dem, lambda v: greatest(v, 0.0)) AS d, {X.doubles(C.default().logt)} AS lt FROM sol),
+    ms AS (SELECT *, list_sum(d) AS em, list_inner_product(d, lt) / list_sum(d) AS mean FROM ps)
+    SELECT frame_id, y, x, valid, round(chisq, 6) AS chisq, CASE WHEN em > 0 THEN round(log10(em), 5) END AS log_em, CASE WHEN em > 0 THEN round(lt[list_position(d, list_max(d))], 6) END AS peak_logt,
+    CASE WHEN em > 0 THEN round(log10(list_inner_product(d, list_transform(lt, lambda v: pow(10, v))) / em), 6) END AS mean_logt,
+    CASE WHEN em > 0 THEN round(lt[list_min(list_filter(range(1, len(d) + 1), lambda i: list_sum(d[1:i]) >= 0.5 * em))], 6) END AS median_logt,
+    CASE WHEN em > 0 THEN round(sqrt(list_inner_product(d, list_transform(lt, lambda v: pow(v - mean, 2))) / em), 6) END AS std_logt FROM ms JOIN sol USING (id) JOIN px0 USING (id)"""
+
+
+@query(MAPPED)
+def temperature_maps(spark, d):
+    maps = entry(spark, d)
+    return maps.select("frame_id", "y", "x", "valid", r("chisq").alias("chisq"), log_of(F.col("em")).alias("log_em"), *(r(c).alias(c) for c in ("peak_logt", "mean_logt", "median_logt", "std_logt")))

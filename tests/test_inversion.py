@@ -124,7 +124,7 @@ def test_linear_algebra():
     np.testing.assert_allclose(V.safe_pinv(a), np.linalg.pinv(a), atol=1e-10)
     with pytest.raises(RuntimeError):
         V.safe_svd(np.array(3.0))
-    dem, p, fit = V.lstsq_clip(np.ones((2, 6)), np.ones((2, 6)), CAL.rmatrix)
+    dem, p, fit = V.lstsq_clip(np.ones((2, 6)), CAL.rmatrix)
     assert (dem >= 0).all() and fit.shape == (2,)
 
 
@@ -154,11 +154,11 @@ def test_a_solver_of_ones_own(spark):
     px = spark.createDataFrame([(i, dn[i].tolist(), ed[i].tolist()) for i in range(4, 12)], "y int, dn array<double>, edn array<double>")
 
     def mine(dn, edn):
-        dem, _, fit = V.lstsq_clip(dn, edn, CAL.rmatrix)
+        dem, _, fit = V.lstsq_clip(dn, CAL.rmatrix)
         return {"dem": dem, "fit": fit}
 
     got = {r["y"]: r for r in V.solve_with(px, mine, "dem array<double>, fit double").collect()}
-    dem, _, fit = V.lstsq_clip(dn[4:], ed[4:], CAL.rmatrix)
+    dem, _, fit = V.lstsq_clip(dn[4:], CAL.rmatrix)
     assert sorted(got) == list(range(4, 12)) and V.solve_with(px.limit(0), mine, "dem array<double>, fit double").count() == 0
     for i in range(4, 12):
         np.testing.assert_allclose(got[i]["dem"], dem[i - 4])
