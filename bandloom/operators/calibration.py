@@ -40,15 +40,15 @@ def gaussians(logt: np.ndarray, centres: np.ndarray, width: float) -> np.ndarray
     return np.exp(-0.5 * ((logt[:, None] - centres[None, :]) / width) ** 2)
 
 
-def synthetic(logt: np.ndarray, nf: int = 6, width: float = 0.2, normalize: str = "none", include_jacobian: bool = False) -> np.ndarray:
+def synthetic(logt: np.ndarray, nf: int = 6, width: float = 0.2, normalize: str = "l1", include_jacobian: bool = True) -> np.ndarray:
     """Responses of bins by bands: Gaussians at 10 to 90 % of the range.
 
-    include_jacobian multiplies by each bin's step; normalize: ``l1`` or ``colmax`` divides each band.
+    include_jacobian multiplies by each bin's width; normalize: ``l1`` or ``colmax`` divides each band, ``none`` doesn't.
     """
     lo, hi = logt[0], logt[-1]
     out = gaussians(logt, lo + (hi - lo) * np.linspace(0.1, 0.9, nf), width)
     if include_jacobian:
-        out = out * np.gradient(logt)[:, None]
+        out = out * np.diff(edges(logt))[:, None]
     if normalize == "l1":
         return out / (out.sum(axis=0) + 1e-12)
     if normalize == "colmax":
@@ -129,6 +129,24 @@ def check_response(rmatrix: np.ndarray, logt: np.ndarray, dlogt: np.ndarray, nf:
         raise ValueError("the grid must rise")
 
 
+def complete(tresp: np.ndarray | None, tresp_logt: np.ndarray | None, temps: np.ndarray | None, nf: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Responses, their log T and bin edges in Kelvin, where what is missing is made: the grid of 50 bins unless both centres and
+    edges are given, and the synthetic responses. Edges that aren't above 100 are logarithms. Parts that don't fit are a ValueError."""
+    if tresp_logt is None or temps is None:
+        tresp_logt = grid()
+        temps = 10.0 ** edges(tresp_logt)
+    tresp_logt, temps = np.asarray(tresp_logt, float), np.asarray(temps, float)
+    tresp = synthetic(tresp_logt, nf) if tresp is None else np.asarray(tresp, float)
+    if tresp.ndim != 2 or tresp.shape[1] != nf or tresp_logt.shape != tresp.shape[:1] or temps.ndim != 1 or len(temps) < 2:
+        raise ValueError(f"responses {tresp.shape}, log T {tresp_logt.shape} and edges {temps.shape} don't fit {nf} bands")
+    if not all(np.isfinite(x).all() for x in (tresp, tresp_logt, temps)) or (tresp < 0).any():
+        raise ValueError("responses, log T and edges must be finite, and responses not negative")
+    temps = temps if temps.max() > 100 else 10.0**temps
+    if not (np.diff(temps) > 0).all() or not (np.diff(tresp_logt) > 0).all():
+        raise ValueError("log T and edges must rise")
+    return tresp, tresp_logt, temps
+
+
 @lru_cache(maxsize=32)
 def default(nt: int = 24, nf: int = 6) -> Calibration:
     """The synthetic calibration for ``nt`` bins and ``nf`` bands, made once."""
@@ -144,20 +162,27 @@ def double_jacobian(nt: int = 24, nf: int = 6) -> Calibration:
 # -- DataFrame forms ---------------------------------------------------------
 
 
+def _few(spark: SparkSession, n: int) -> DataFrame:
+    """Numbers in one partition: what is made of a calibration's tens of rows needs no exchange."""
+    return spark.range(0, n, 1, 1)
+
+
 def grid_frame(spark: SparkSession, nt: int, lo: float = 5.5, hi: float = 7.5) -> DataFrame:
     """bin, logt, edge_lo, edge_hi, temp_lo, temp_hi."""
     step = (hi - lo) / (nt - 1) if nt > 1 else 0.1
     b = F.col("bin")
-    rows = spark.range(nt).select(F.col("id").cast("int").alias("bin")).withColumn("logt", F.lit(lo) + b * step)
+    rows = _few(spark, nt).select(F.col("id").cast("int").alias("bin")).withColumn("logt", F.lit(lo) + b * step)
     rows = rows.withColumn("edge_lo", F.lit(lo - step / 2) + b * step).withColumn("edge_hi", F.lit(lo - step / 2) + (b + 1) * step)
     return rows.withColumn("temp_lo", F.pow(F.lit(10.0), "edge_lo")).withColumn("temp_hi", F.pow(F.lit(10.0), "edge_hi"))
 
 
-def response_frame(spark: SparkSession, nt: int, nf: int = 6, width: float = 0.2, lo: float = 5.5, hi: float = 7.5, normalize: str = "none") -> DataFrame:
-    """bin, band, logt, value: Gaussians at 10 to 90 % of the range, normalised by band."""
-    bands = spark.range(nf).select(F.col("id").cast("int").alias("band"), (F.lit(lo) + (hi - lo) * (0.1 + 0.8 * F.col("id") / max(nf - 1, 1))).alias("centre"))
+def response_frame(spark: SparkSession, nt: int, nf: int = 6, width: float = 0.2, lo: float = 5.5, hi: float = 7.5, normalize: str = "none", include_jacobian: bool = False) -> DataFrame:
+    """bin, band, logt, value: Gaussians at 10 to 90 % of the range, times the bin's width where asked, normalised by band."""
+    bands = _few(spark, nf).select(F.col("id").cast("int").alias("band"), (F.lit(lo) + (hi - lo) * (0.1 + 0.8 * F.col("id") / max(nf - 1, 1))).alias("centre"))
     z = (F.col("logt") - F.col("centre")) / width
     rows = grid_frame(spark, nt, lo, hi).select("bin", "logt").crossJoin(bands).select("bin", "band", "logt", F.exp(-0.5 * z * z).alias("value"))
+    if include_jacobian:
+        rows = rows.withColumn("value", F.col("value") * ((hi - lo) / (nt - 1) if nt > 1 else 0.1))
     over = Window.partitionBy("band")
     if normalize == "l1":
         return rows.withColumn("value", F.col("value") / (F.sum("value").over(over) + 1e-12))
@@ -170,7 +195,7 @@ def samples_frame(spark: SparkSession, n_tresp: int = 200, nf: int = 6, lo: floa
     """i, band, logt, value of the finely sampled responses."""
     step = (hi - lo) / (n_tresp - 1)
     span = (hi - lo - 0.4) / max(nf - 1, 1)
-    rows = spark.range(n_tresp).crossJoin(spark.range(nf).withColumnRenamed("id", "band"))
+    rows = _few(spark, n_tresp).crossJoin(_few(spark, nf).withColumnRenamed("id", "band"))
     rows = rows.select(F.col("id").cast("int").alias("i"), F.col("band").cast("int").alias("band"), (F.lit(lo) + F.col("id") * step).alias("logt"), (F.lit(lo + 0.2) + F.col("band") * span).alias("centre"))
     z = (F.col("logt") - F.col("centre")) / 0.15
     return rows.select("i", "band", "logt", (F.exp(-0.5 * z * z) + 1e-30).alias("value"))
@@ -179,7 +204,8 @@ def samples_frame(spark: SparkSession, n_tresp: int = 200, nf: int = 6, lo: floa
 def binned_frame(samples: DataFrame, bins: DataFrame) -> DataFrame:
     """bin, band, n, value: the mean of the samples in each bin, the range join of a calibration.
 
-    ``bins``: bin, lo, hi and last. An empty bin takes the value between its neighbouring samples.
+    ``bins``: bin, lo, hi and last. An empty bin takes the value between its neighbouring samples. A calibration has
+    tens of bins and hundreds of samples, so the bins are broadcast and bands crossed with them.
     """
     s, b = samples.alias("s"), bins.alias("b")
     inside = (F.col("s.logt") >= F.col("b.lo")) & ((F.col("s.logt") < F.col("b.hi")) | (F.col("b.last") & (F.col("s.logt") <= F.col("b.hi"))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .summaries import quantile
+
 MANIFEST = T.StructType(
     [
         T.StructField("timestamp_utc", T.TimestampType()),
@@ -88,19 +90,21 @@ def common_shape(frames: DataFrame, by: list[str], height: str = "naxis2", width
 
 
 def quantise_scales(values: DataFrame, by: str, value: str, bits: int = 16, strategy: str = "p99") -> DataFrame:
-    """band and scale: the 99th percentile (exact) or the largest finite value of each band over 2^bits - 1.
+    """band and scale: the 99th percentile (exact, by :func:`summaries.quantile`) or the largest finite value of each band over 2^bits - 1.
 
     ``p99_approx`` takes the percentile from a bounded sketch, for bands too large to count exactly.
     """
     v = F.col(value)
     clean = F.when(~F.isnan(v) & (v < float("inf")) & (v > 0), v).otherwise(F.lit(0.0))
-    top = {"p99": F.percentile(clean, 0.99), "max": F.max(clean), "p99_approx": F.percentile_approx(clean, 0.99, 10_000)}[strategy]
-    hi = values.groupBy(by).agg(top.alias("hi"))
+    if strategy == "p99":
+        hi = quantile(values.select(by, clean.alias("__x")), [by], "__x", 0.99, "hi")
+    else:
+        hi = values.groupBy(by).agg({"max": F.max(clean), "p99_approx": F.percentile_approx(clean, 0.99, 10_000)}[strategy].alias("hi"))
     return hi.select(by, (F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.lit(1.0)) / float(2**bits - 1)).alias("scale"))
 
 
 def quantise(values: DataFrame, scales: DataFrame, by: str, value: str, bits: int = 16) -> DataFrame:
-    """With ``q``: the value over its band's scale, rounded half to even, within 0 and 2^bits - 1. One row a band is broadcast."""
+    """With ``q``: the value over its band's scale, rounded half to even, within 0 and 2^bits - 1. ``scales`` has a row for each band, tens at most, and is broadcast."""
     v = F.col(value)
     clean = F.when(F.isnan(v) | v.isNull() | (v < 0), F.lit(0.0)).otherwise(v)
     q = F.least(F.greatest(F.rint(clean / F.col("scale")), F.lit(0.0)), F.lit(float(2**bits - 1)))

@@ -167,15 +167,16 @@ def finish(out: dict[str, np.ndarray], cal: Calibration, o: Options) -> dict[str
     return out | {"dem": out["dem"] * cal.scale * factor, "edem": out["edem"] * cal.scale * factor, "elogt": out["elogt"] / FWHM}
 
 
-def spread(px: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Pixels dealt evenly to a fixed number of tasks, the session's shuffle partitions or more if there are more cores.
+def spread(px: DataFrame, partitions: int | None = None, target_bytes: int = 32 << 20) -> DataFrame:
+    """Pixels dealt evenly to tasks of about ``target_bytes`` by the plan's own estimate, and to every core at least.
 
     A pixel's work is large against its bytes, and adaptive plans, which go by bytes, would join what is dealt by key
-    into a few tasks. Pixels read from files that are large enough need no such step.
+    into a few tasks. Pixels read from files need no such step: scans are cut by ``spark.sql.files.maxPartitionBytes``.
     """
-    spark = px.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return px.repartition(n)
+    if partitions is None:
+        size = int(px._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        partitions = min(max(px.sparkSession.sparkContext.defaultParallelism, -(-size // target_bytes)), 1_000_000)
+    return px.repartition(partitions)
 
 
 def solve_with(px: DataFrame, solver: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: str, nf: int = 6, dn_col: str = "dn", edn_col: str = "edn") -> DataFrame:

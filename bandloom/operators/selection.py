@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pixels import finite
+
 
 def parse_size(text: str) -> tuple[int, int]:
     """``N`` or ``NxM``; anything else is a ValueError."""
@@ -91,3 +93,27 @@ def check_one_shape(px: DataFrame) -> tuple[int, int]:
     if len(shapes) != 1:
         raise ValueError("frames differ in shape" if shapes else "no frames")
     return shapes[0]["height"], shapes[0]["width"]
+
+
+def input_checks(px: DataFrame, nf: int = 6, dn: str = "dn") -> DataFrame:
+    """One row of counts: pixels, values that aren't finite and negative ones (both become 0), pixels of zeros, and pixels with another number of bands."""
+    v = F.col(dn)
+    count = lambda f: F.coalesce(F.sum(F.size(F.filter(v, f))), F.lit(0)).cast("long")
+    return px.agg(
+        F.count("*").alias("n_pixels"),
+        count(lambda x: ~finite(x)).alias("n_not_finite"),
+        count(lambda x: finite(x) & (x < 0)).alias("n_negative"),
+        F.count_if(F.forall(v, lambda x: x == 0)).alias("n_all_zero"),
+        F.count_if(F.coalesce(F.size(v) != nf, F.lit(True))).alias("n_other_bands"),
+    )
+
+
+def check_inputs(px: DataFrame, nf: int = 6, dn: str = "dn") -> list[str]:
+    """What is wrong with the values, as warnings. Pixels with another number of bands, or no pixel above 0, are a ValueError."""
+    x = input_checks(px, nf, dn).first()
+    if x["n_other_bands"]:
+        raise ValueError(f"{x['n_other_bands']} pixels don't have {nf} bands")
+    if x["n_pixels"] and x["n_all_zero"] == x["n_pixels"]:
+        raise ValueError("all counts are 0")
+    said = {"n_not_finite": "values aren't finite and become 0", "n_negative": "values are negative and become 0", "n_all_zero": "pixels are 0 in all bands"}
+    return [f"{x[k]} {text}" for k, text in said.items() if x[k]]

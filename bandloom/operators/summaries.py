@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixels import finite
@@ -15,18 +15,52 @@ def _sum(values: str) -> Column:
 
 
 def frame_summary(solution: DataFrame) -> DataFrame:
-    """frame_id, sums of dem, edem and chisq, mean chisq over numbers, least and largest dem, valid and all pixels."""
+    """frame_id, sums of dem, edem and chisq, mean total of dem and mean chisq over numbers, least and largest dem, valid and all pixels."""
     number = F.when(~F.isnan("chisq"), F.col("chisq"))
+    em = _sum("dem")
     return solution.groupBy("frame_id").agg(
-        F.sum(_sum("dem")).alias("dem_sum"), F.sum(_sum("edem")).alias("edem_sum"), F.sum(number).alias("chisq_sum"), F.avg(number).alias("chisq_mean"),
+        F.sum(em).alias("dem_sum"), F.avg(F.when(~F.isnan(em), em)).alias("em_mean"), F.sum(_sum("edem")).alias("edem_sum"), F.sum(number).alias("chisq_sum"), F.avg(number).alias("chisq_mean"),
         F.min(F.array_min("dem")).alias("dem_min"), F.max(F.array_max("dem")).alias("dem_max"), F.count_if("valid").alias("n_valid"), F.count("*").alias("n_pixels"),
     )
 
 
-def by_band(px: DataFrame, dn: str = "dn") -> DataFrame:
-    """band, least, largest and mean count, and how many."""
-    rows = px.select(F.posexplode(dn).alias("band", "value"))
-    return rows.groupBy("band").agg(F.min("value").alias("least"), F.max("value").alias("largest"), F.avg("value").alias("mean"), F.count("value").alias("n"))
+def by_band(px: DataFrame, dn: str = "dn", nf: int = 6) -> DataFrame:
+    """band, least, largest and mean count, and how many. One row of aggregates for all bands is made, and then cut into bands."""
+    at = lambda i: F.get(dn, F.lit(i))
+    one = px.agg(*(f(at(i)).alias(f"{name}{i}") for i in range(nf) for name, f in (("least", F.min), ("largest", F.max), ("mean", F.avg), ("n", F.count))))
+    rows = F.array(*(F.struct(F.lit(i).alias("band"), *(F.col(f"{c}{i}").alias(c) for c in ("least", "largest", "mean", "n"))) for i in range(nf)))
+    return one.select(F.inline(rows)).filter("n > 0")
+
+
+#: Of values of a sketch, how far from the rank asked for one can be, as a share of all; groups of fewer rows than that are ranked whole.
+SKETCH = 10_000
+
+
+def quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:
+    """``by`` and the exact quantile of the group's values that aren't null: between the two nearest ranks, or at rank round(share * (n - 1)), halves to even.
+
+    A bounded sketch first brackets the rank. What lies below the bracket is counted, and only values inside are
+    counted one by one and ranked, about a 2,500th of a large group.
+    """
+    off = 2 / SKETCH
+    v = F.col(value)
+    some = rows.select(*by, value).filter(v.isNotNull())
+    near = F.percentile_approx(v, [max(share - off, 0.0), min(share + off, 1.0)], SKETCH)
+    most = some.groupBy(*by).agg(F.count("*").alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"), near.alias("__near"))
+    whole = F.col("__n") <= 2 * SKETCH
+    edge = lambda i, end, rim: F.when(whole | F.lit(rim), F.col(end)).otherwise(F.col("__near")[i])
+    most = most.select(*(F.col(k).alias(f"__{k}") for k in by), "__n", edge(0, "__min", share <= off).alias("__lo"), edge(1, "__max", share >= 1 - off).alias("__hi"))
+    joined = some.join(most, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]) if by else some.crossJoin(F.broadcast(most))  # without groups that is one row
+    inside = v.between(F.col("__lo"), F.col("__hi"))
+    counted = joined.filter(v <= F.col("__hi")).groupBy(*by, F.when(inside, v).alias("__v")).agg(F.count("*").alias("__k"), F.first("__n").alias("__n"))
+    upto = Window.partitionBy(*by).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__upto", F.sum("__k").over(upto)).filter("__v is not null")
+    rank = F.lit(share) * (F.col("__n") - 1)
+    at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("__v")))
+    if nearest:
+        return ranked.groupBy(*by).agg(at(F.bround(rank)).alias(name))
+    found = ranked.groupBy(*by).agg(at(F.floor(rank)).alias("__a"), at(F.ceil(rank)).alias("__b"), F.first(rank - F.floor(rank)).alias("__part"))
+    return found.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(name))
 
 
 def scaled_by_band_mean(px: DataFrame, response: DataFrame, dn: str = "dn") -> DataFrame:
@@ -37,16 +71,19 @@ def scaled_by_band_mean(px: DataFrame, response: DataFrame, dn: str = "dn") -> D
 
 def basic_checks(solution: DataFrame) -> DataFrame:
     """finite_frac, positive_frac (of all values, finite and 0 or more), and the median chisq over numbers."""
-    values = solution.select(F.explode("dem").alias("v"))
-    shares = values.agg(F.avg(finite(F.col("v")).cast("double")).alias("finite_frac"), F.avg((finite(F.col("v")) & (F.col("v") >= 0)).cast("double")).alias("positive_frac"))
-    return shares.crossJoin(solution.agg(F.percentile(F.when(~F.isnan("chisq"), F.col("chisq")), 0.5).alias("chisq_median")))
+    how_many = lambda f: F.sum(F.size(F.filter("dem", f)).cast("double"))
+    n = F.sum(F.size("dem"))
+    shares = solution.agg(F.try_divide(how_many(finite), n).alias("finite_frac"), F.try_divide(how_many(lambda v: finite(v) & (v >= 0)), n).alias("positive_frac"))
+    median = quantile(solution.select(F.when(~F.isnan("chisq"), F.col("chisq")).alias("chisq")), [], "chisq", 0.5, "chisq_median")
+    return shares.join(median, how="left")  # one row each
 
 
 def expectations(solution: DataFrame, most_chisq: float = 10.0) -> DataFrame:
     """Counts of what a solution shouldn't have: values that aren't finite, negative values, and whether the median chisq is high."""
     bad = F.exists("dem", lambda v: ~finite(v))
     negative = F.exists("dem", lambda v: finite(v) & (v < 0))
-    return solution.agg(F.count_if(bad).alias("not_finite"), F.count_if(negative).alias("negative"), (F.percentile("chisq", 0.5) > most_chisq).alias("high_chisq"))
+    median = quantile(solution.select("chisq"), [], "chisq", 0.5, "median").select((F.col("median") > most_chisq).alias("high_chisq"))
+    return solution.agg(F.count_if(bad).alias("not_finite"), F.count_if(negative).alias("negative")).join(median, how="left")  # one row each
 
 
 def compare(computed: DataFrame, golden: DataFrame, keys: list[str], value: str = "value", rtol: float = 1e-4, atol: float = 1e-6) -> DataFrame:
@@ -69,20 +106,46 @@ def compare(computed: DataFrame, golden: DataFrame, keys: list[str], value: str
     return rows.select("*", *(F.col(f"w.{k}").alias(f"worst_{k}") for k in keys)).drop("w")
 
 
+def compare_solutions(computed: DataFrame, golden: DataFrame, keys: tuple[str, ...] = ("frame_id", "y", "x"), arrays: tuple[str, ...] = ("dem", "edem", "chisq", "dn_reg"), rtol: float = 1e-4, atol: float = 1e-6) -> DataFrame:
+    """A row for each of ``arrays`` that both sides have: its comparison and whether it passed. One join of all values."""
+    both = [x for x in arrays if x in computed.columns and x in golden.columns]
+    if not both:
+        raise ValueError("the solutions share no array")
+
+    def cells(rows: DataFrame) -> DataFrame:
+        kinds = dict(rows.dtypes)
+        values = [F.struct(F.lit(x).alias("array"), (F.col(x) if kinds[x].startswith("array") else F.array(x)).cast("array<double>").alias("values")) for x in both]
+        return rows.select(*keys, F.inline(F.array(*values))).select(*keys, "array", F.posexplode("values").alias("at", "value"))
+
+    c, g = (cells(x).withColumnRenamed("value", n) for x, n in ((computed, "c"), (golden, "g")))
+    joined = c.join(g, [*keys, "array", "at"], "full_outer")
+    one_sided = F.col("c").isNull() | F.col("g").isNull()
+    diff = F.abs(F.col("c") - F.col("g"))
+    close = F.when(one_sided, False).otherwise((F.isnan("c") & F.isnan("g")) | F.coalesce(~F.isnan(diff) & (diff <= atol + rtol * F.abs("g")), F.lit(False)))
+    err = F.when(~F.isnan(diff), diff)
+    return joined.groupBy("array").agg(
+        F.count("*").alias("n"), F.count_if(one_sided).alias("n_one_sided"), F.max(err).alias("max_abs_err"), F.avg(err).alias("mean_abs_err"),
+        F.max(err / (F.abs("g") + 1e-10)).alias("max_rel_err"), F.avg(close.cast("double")).alias("within"), F.bool_and(close).alias("passed"),
+    )
+
+
+def report(rows: list[dict], rtol: float, atol: float) -> str:
+    """The comparison of solutions as text: a line for each array, and whether all passed."""
+    lines = [f"{'PASS' if x['passed'] else 'FAIL'} {x['array']}: {x['n']} values, {x['n_one_sided']} on one side, largest error {x['max_abs_err']}, relative {x['max_rel_err']}, within {x['within']}" for x in sorted(rows, key=lambda x: x["array"])]
+    return "\n".join([*lines, f"{'PASS' if all(x['passed'] for x in rows) else 'FAIL'} (rtol {rtol}, atol {atol})", ""])
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """count, sum, mean, max and, for each share p, the value at rank round(p * (n - 1)) from 0, halves to even.
 
-    Values are first counted by group and value, so a group's rows needn't meet; its distinct values do.
+    Ranks come from :func:`quantile`, one for each share.
     """
-    from pyspark.sql import Window
-
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
-    own = Window.partitionBy(*by)
-    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(own))
-    pick = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
-    total = F.sum(F.col("k") * F.col(value))
-    return ranked.groupBy(*by).agg(F.sum("k").alias("count"), total.alias("sum"), (total / F.sum("k")).alias("mean"), *pick, F.max(value).alias("max"))
+    some = rows.filter(F.col(value).isNotNull())
+    v = F.col(value)
+    out = some.groupBy(*by).agg(F.count("*").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    for p in shares:
+        out = out.join(quantile(some, by, value, p, f"p{round(p * 100)}", nearest=True).withColumnsRenamed({k: f"__{k}" for k in by}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]).drop(*(f"__{k}" for k in by))
+    return out.select(*by, "count", "sum", "mean", *(f"p{round(p * 100)}" for p in shares), "max")
 
 
 def task_durations(events: DataFrame) -> DataFrame:
@@ -95,7 +158,9 @@ def task_durations(events: DataFrame) -> DataFrame:
 
 def wallclock(rows: DataFrame, by: list[str], seconds: str, pixels: int | None = None) -> DataFrame:
     """n, mean, population deviation and median of seconds, and pixels a second where their number is given."""
-    out = rows.groupBy(*by).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean_s"), F.stddev_pop(seconds).alias("std_s"), F.median(seconds).alias("median_s"))
+    out = rows.groupBy(*by).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean_s"), F.stddev_pop(seconds).alias("std_s"))
+    middle = quantile(rows, by, seconds, 0.5, "median_s").withColumnsRenamed({k: f"__{k}" for k in by})
+    out = out.join(middle, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left").drop(*(f"__{k}" for k in by))
     return out.withColumn("px_per_s", F.try_divide(F.lit(float(pixels)), F.col("mean_s"))) if pixels else out
 
 
@@ -151,4 +216,5 @@ def peak_usage(devices: DataFrame, snapshots: DataFrame, key: str = "device", us
 
 def inventory(arrays: DataFrame, kind: str = "backend", size: str = "nbytes") -> DataFrame:
     """How many arrays, how many kinds, and the bytes of those whose size is known."""
-    return arrays.agg(F.count("*").alias("n"), F.count_distinct(kind).alias("n_kinds"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    kinds = arrays.groupBy(kind).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    return kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(kind).alias("n_kinds"), F.array_join(F.array_sort(F.collect_list(kind)), ",").alias("kinds"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 from ..operators import calibration as C
+from ..operators import golden as G
 from ..operators import ingest as I
 from ..operators import inversion as V
 from ..operators import selection as S
@@ -22,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 NT = 6
-RESPONSE = [[float(v) for v in row] for row in C.synthetic(np.array(W.LOGT), W.NF, 0.6)]
+RESPONSE = [[float(v) for v in row] for row in C.synthetic(np.array(W.LOGT), W.NF, 0.6, "none", False)]
 FACTOR = [float(v) for v in C.jacobian(np.array(W.LOGT), np.full(NT, 0.4)) / 1e6]
 
 
@@ -183,7 +184,7 @@ def crop_center(spark, d):
 def select_frames(spark, d):
     rows = W.px(spark, d)
     frames = S.numbered(rows.select("frame_id").distinct())
-    return rows.join(F.broadcast(S.select_frames(frames, [0, 2], 3)), "frame_id").select("frame_id", "frame_idx", "vec_id")
+    return rows.join(S.select_frames(frames, [0, 2], 3), "frame_id").select("frame_id", "frame_idx", "vec_id")
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id FROM embeddings, n WHERE vec_id IN (SELECT CAST(k * (n - 1) // 99 AS BIGINT) FROM range(100) t(k), n)")
@@ -207,6 +208,21 @@ def sanitise(spark, d):
     return cells(W.px(spark, d, signed=True), P.sanitise(F.col("dn")), KEY)
 
 
+@query(
+    f"""WITH {PB}, ch AS (SELECT vec_id, band, CASE WHEN vec_id % 9 = 0 THEN 0.0 WHEN vec_id % 11 = band THEN 'NaN'::DOUBLE ELSE raw END AS v FROM pb),
+    px AS (SELECT vec_id, bool_and(v = 0) AS zero FROM ch GROUP BY 1)
+    SELECT (SELECT count(*) FROM px) AS n_pixels, count(*) FILTER (isnan(v)) AS n_not_finite, count(*) FILTER (NOT isnan(v) AND v < 0) AS n_negative, (SELECT count(*) FILTER (zero) FROM px) AS n_all_zero, CAST(0 AS BIGINT) AS n_other_bands FROM ch"""
+)
+def input_checks(spark, d):
+    return S.input_checks(spoilt(W.px(spark, d, signed=True)))
+
+
+def spoilt(rows: DataFrame) -> DataFrame:
+    """Pixels of zeros and single values that aren't numbers, among the others."""
+    k = F.col("vec_id")
+    return rows.withColumn("dn", F.transform("dn", lambda v, i: F.when(k % 9 == 0, F.lit(0.0)).when(k % 11 == i, F.lit(float("nan"))).otherwise(v)))
+
+
 @query(f"WITH {PB} SELECT vec_id, band, round(greatest(raw, 0) + 1, 6) AS value FROM pb")
 def golden_hygiene(spark, d):
     return cells(W.px(spark, d, signed=True), P.golden_hygiene(F.col("dn")), KEY)
@@ -272,12 +288,17 @@ def resp_colmax(spark, d):
     return C.response_frame(spark, 24, normalize="colmax").select("bin", "band", r("value", 9).alias("value"))
 
 
+@query(f"WITH {GAUSS}, rj AS (SELECT bin, band, value * (2.0 / 23) AS value FROM rs) SELECT bin, band, round(value / (sum(value) OVER (PARTITION BY band) + 1e-12), 9) AS value FROM rj")
+def resp_l1_jacobian(spark, d):
+    return C.response_frame(spark, 24, normalize="l1", include_jacobian=True).select("bin", "band", r("value", 9).alias("value"))
+
+
 SAMPLES = "sm AS (SELECT i, b AS band, 5.5 + i * (2.0 / 199) AS logt, exp(-0.5 * pow((5.5 + i * (2.0 / 199) - (5.7 + b * 0.32)) / 0.15, 2)) + 1e-30 AS value FROM (SELECT CAST(range AS INTEGER) AS i FROM range(200)), (SELECT CAST(range AS INTEGER) AS b FROM range(6)))"
 
 
 def _bins(spark: SparkSession, n: int = 23) -> DataFrame:
     w = 2.0 / n
-    return spark.range(n).select(F.col("id").cast("int").alias("bin"), (F.lit(5.5) + F.col("id") * w).alias("lo"), (F.lit(5.5) + (F.col("id") + 1) * w).alias("hi"), (F.col("id") == n - 1).alias("last"))
+    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("bin"), (F.lit(5.5) + F.col("id") * w).alias("lo"), (F.lit(5.5) + (F.col("id") + 1) * w).alias("hi"), (F.col("id") == n - 1).alias("last"))
 
 
 @query(
@@ -296,7 +317,7 @@ def resp_binned(spark, d):
     FROM cl JOIN pc ON logt <= x AND (x < logt2 OR logt2 IS NULL)"""
 )
 def resp_interp(spark, d):
-    points = spark.range(13).select(F.col("id").cast("int").alias("bin"), (F.lit(5.45) + F.col("id") * 0.17).alias("x"))
+    points = spark.range(0, 13, 1, 1).select(F.col("id").cast("int").alias("bin"), (F.lit(5.45) + F.col("id") * 0.17).alias("x"))
     return C.interpolated(C.samples_frame(spark), points).select("bin", "band", r(F.log10("value")).alias("log_value"))
 
 
@@ -542,11 +563,11 @@ def temp_all(spark, d):
 # -- summaries --------------------------------------------------------------------------
 
 
-@query(f"WITH {DEM}, v AS (SELECT vec_id, sum(dem) AS s, min(dem) AS lo, max(dem) AS hi FROM dm GROUP BY 1) SELECT CAST(label AS VARCHAR) AS frame_id, round(sum(s), 4) AS dem_sum, round(sum(s * 0.1), 4) AS edem_sum, round(avg(hi), 6) AS chisq_mean, round(min(lo), 6) AS dem_min, round(max(hi), 6) AS dem_max, count(*) AS n_pixels FROM v JOIN embeddings USING (vec_id) GROUP BY 1")
+@query(f"WITH {DEM}, v AS (SELECT vec_id, sum(dem) AS s, min(dem) AS lo, max(dem) AS hi FROM dm GROUP BY 1) SELECT CAST(label AS VARCHAR) AS frame_id, round(sum(s), 4) AS dem_sum, round(avg(s), 6) AS em_mean, round(sum(s * 0.1), 4) AS edem_sum, round(avg(hi), 6) AS chisq_mean, round(min(lo), 6) AS dem_min, round(max(hi), 6) AS dem_max, count(*) AS n_pixels FROM v JOIN embeddings USING (vec_id) GROUP BY 1")
 def frame_summary(spark, d):
     rows = W.px(spark, d).select("vec_id", "frame_id").join(W.dem_rows(spark, d), "vec_id")
     rows = rows.select("frame_id", "dem", F.transform("dem", lambda v: v * 0.1).alias("edem"), F.array_max("dem").alias("chisq"), F.lit(True).alias("valid"))
-    return Q.frame_summary(rows).select("frame_id", r("dem_sum", 4).alias("dem_sum"), r("edem_sum", 4).alias("edem_sum"), r("chisq_mean").alias("chisq_mean"), r("dem_min").alias("dem_min"), r("dem_max").alias("dem_max"), "n_pixels")
+    return Q.frame_summary(rows).select("frame_id", r("dem_sum", 4).alias("dem_sum"), r("em_mean").alias("em_mean"), r("edem_sum", 4).alias("edem_sum"), r("chisq_mean").alias("chisq_mean"), r("dem_min").alias("dem_min"), r("dem_max").alias("dem_max"), "n_pixels")
 
 
 @query(f"WITH {LB} SELECT band, round(min(dn), 6) AS least, round(max(dn), 6) AS largest, round(avg(dn), 6) AS mean, count(*) AS n FROM lb GROUP BY 1")
@@ -554,15 +575,22 @@ def band_minmax(spark, d):
     return Q.by_band(W.pxline(spark, d)).select("band", r("least").alias("least"), r("largest").alias("largest"), r("mean").alias("mean"), "n")
 
 
-@query(f"WITH {PB}, v AS (SELECT vec_id, max(raw) AS c FROM pb GROUP BY 1) SELECT CAST(1.0 AS DOUBLE) AS finite_frac, round(avg(CASE WHEN raw >= 0 THEN 1.0 ELSE 0.0 END), 9) AS positive_frac, (SELECT round(median(c), 6) FROM v) AS chisq_median FROM pb")
+SPOILT = f"{PB}, ch AS (SELECT vec_id, band, CASE WHEN vec_id % 9 = 0 THEN 0.0 WHEN vec_id % 11 = band THEN 'NaN'::DOUBLE ELSE raw END AS raw FROM pb), v AS (SELECT vec_id, bool_or(isnan(raw)) AS bad, min(CASE WHEN NOT isnan(raw) THEN raw END) AS lo, max(CASE WHEN NOT isnan(raw) THEN raw END) AS c FROM ch GROUP BY 1)"
+
+
+def spoilt_solution(spark, d) -> DataFrame:
+    number = F.array_max(F.filter("dn", lambda v: ~F.isnan(v)))
+    return spoilt(W.px(spark, d, signed=True)).select(F.col("dn").alias("dem"), number.alias("chisq"))
+
+
+@query(f"WITH {SPOILT} SELECT round(avg(CASE WHEN isnan(raw) THEN 0.0 ELSE 1.0 END), 9) AS finite_frac, round(avg(CASE WHEN NOT isnan(raw) AND raw >= 0 THEN 1.0 ELSE 0.0 END), 9) AS positive_frac, (SELECT round(median(c), 6) FROM v) AS chisq_median FROM ch")
 def basic_checks(spark, d):
-    rows = W.px(spark, d, signed=True).select(F.col("dn").alias("dem"), F.array_max("dn").alias("chisq"))
-    return Q.basic_checks(rows).select("finite_frac", r("positive_frac", 9).alias("positive_frac"), r("chisq_median").alias("chisq_median"))
+    return Q.basic_checks(spoilt_solution(spark, d)).select(r("finite_frac", 9).alias("finite_frac"), r("positive_frac", 9).alias("positive_frac"), r("chisq_median").alias("chisq_median"))
 
 
-@query(f"WITH {PB}, v AS (SELECT vec_id, min(raw) AS lo, max(raw) AS c FROM pb GROUP BY 1) SELECT CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (lo < 0) AS negative, median(c) > 10 AS high_chisq FROM v")
+@query(f"WITH {SPOILT} SELECT count(*) FILTER (bad) AS not_finite, count(*) FILTER (lo < 0) AS negative, median(c) > 10 AS high_chisq FROM v")
 def output_expectations(spark, d):
-    return Q.expectations(W.px(spark, d, signed=True).select(F.col("dn").alias("dem"), F.array_max("dn").alias("chisq")))
+    return Q.expectations(spoilt_solution(spark, d))
 
 
 CMP = f"{DEM}, cg AS (SELECT vec_id, bin, dem AS g, dem + 1e-3 * (vec_id % 7) AS c FROM dm), er AS (SELECT *, abs(c - g) AS e, abs(c - g) <= 1e-6 + 1e-4 * abs(g) AS close FROM cg)"
@@ -573,9 +601,40 @@ def compared(spark, d) -> DataFrame:
     return Q.compare(golden.withColumn("value", F.col("value") + 1e-3 * (F.col("vec_id") % 7)), golden, ["vec_id", "bin"])
 
 
-@query(f"WITH {CMP} SELECT count(*) AS n, round(max(e), 9) AS max_abs_err, round(avg(e), 9) AS mean_abs_err, round(corr(c, g), 6) AS correlation, bool_and(close) AS all_close, round(avg(CASE WHEN close THEN 1.0 ELSE 0.0 END), 9) AS within FROM er")
+@query(f"WITH {CMP} SELECT count(*) AS n, round(max(e), 9) AS max_abs_err, round(avg(e), 9) AS mean_abs_err, round(log10(max(e / (abs(g) + 1e-10))), 6) AS log_max_rel_err, round(corr(c, g), 6) AS correlation, bool_and(close) AS all_close, round(avg(CASE WHEN close THEN 1.0 ELSE 0.0 END), 9) AS within FROM er")
 def compare_golden(spark, d):
-    return compared(spark, d).select("n", r("max_abs_err", 9).alias("max_abs_err"), r("mean_abs_err", 9).alias("mean_abs_err"), r("correlation").alias("correlation"), "all_close", r("within", 9).alias("within"))
+    return compared(spark, d).select("n", r("max_abs_err", 9).alias("max_abs_err"), r("mean_abs_err", 9).alias("mean_abs_err"), r(F.log10("max_rel_err")).alias("log_max_rel_err"), r("correlation").alias("correlation"), "all_close", r("within", 9).alias("within"))
+
+
+ALL = (
+    f"""{DEM}, g AS (SELECT vec_id, bin, dem FROM dm), cell AS (
+    SELECT 'dem' AS name, dem AS g, dem + 1e-3 * (vec_id % 7) AS c FROM g UNION ALL SELECT 'edem', dem * 0.1, dem * 0.1 FROM g
+    UNION ALL SELECT 'chisq', max(dem), max(dem) + 1e-9 FROM g GROUP BY vec_id UNION ALL SELECT 'dn_reg', dem * 2, dem * 2 * (1 + 1e-5 * (vec_id % 30)) FROM g),
+    er AS (SELECT *, abs(c - g) AS e, abs(c - g) <= 1e-6 + 1e-4 * abs(g) AS close FROM cell)"""
+)
+
+
+@query(f"WITH {ALL} SELECT name, count(*) AS n, round(max(e), 9) AS max_abs_err, round(avg(CASE WHEN close THEN 1.0 ELSE 0.0 END), 9) AS within, bool_and(close) AS passed FROM er GROUP BY 1")
+def compare_arrays(spark, d):
+    """All arrays of a solution against a golden one, with a verdict for each."""
+    rows, k = W.dem_rows(spark, d), F.col("vec_id")
+    golden = rows.select("vec_id", "dem", F.transform("dem", lambda v: v * 0.1).alias("edem"), F.array_max("dem").alias("chisq"), F.transform("dem", lambda v: v * 2).alias("dn_reg"))
+    computed = golden.withColumns({"dem": F.transform("dem", lambda v: v + 1e-3 * (k % 7)), "chisq": F.col("chisq") + 1e-9, "dn_reg": F.transform("dn_reg", lambda v: v * (1 + 1e-5 * (k % 30)))})
+    return Q.compare_solutions(computed, golden, ("vec_id",)).select(F.col("array").alias("name"), "n", r("max_abs_err", 9).alias("max_abs_err"), r("within", 9).alias("within"), "passed")
+
+
+RAISED = "SELECT vec_id AS id, dn, list_transform(dn, lambda v: sqrt(v + 1)) AS edn FROM (SELECT vec_id, list_transform(embedding[1:6], lambda v: 1000.0 * greatest(CAST(v AS DOUBLE), 0.0) + 1.0) AS dn FROM embeddings)"
+
+
+@query(
+    f"""WITH RECURSIVE mn AS (SELECT [{", ".join(f"avg(1000.0 * greatest(CAST(embedding[{i}] AS DOUBLE), 0.0) + 1.0)" for i in range(1, 7))}] AS m FROM embeddings),
+    {X.solution(RAISED, *solver_options({}), scales="mn")}
+    SELECT id AS vec_id, valid, round(chisq, 6) AS chisq, CASE WHEN list_sum(list_transform(dem, lambda v: greatest(v, 0.0))) > 0 THEN round(log10(list_sum(list_transform(dem, lambda v: greatest(v, 0.0)))), 5) END AS log_em FROM sol"""
+)
+def golden_solve(spark, d):
+    """A golden solution: counts raised, responses scaled by the bands' means, solved."""
+    solution, _ = G.make_golden(W.px(spark, d, signed=True), C.default())
+    return solution.select((F.col("y") * 32 + F.col("x")).cast("long").alias("vec_id"), "valid", r("chisq").alias("chisq"), log_of(P.total_em(F.col("dem"))).alias("log_em"))
 
 
 @query(f"WITH {DEM}, er AS (SELECT vec_id, bin, 1.0 * (vec_id % 7) + bin AS e FROM dm) SELECT vec_id AS worst_vec_id, bin AS worst_bin FROM er ORDER BY e DESC, vec_id, bin LIMIT 1")
@@ -638,12 +697,12 @@ def array_inventory(spark, d):
     return Q.inventory(rows)
 
 
-@query("SELECT event_type AS task, count(*) AS count, round(max(d), 6) AS max FROM (SELECT event_type, CASE WHEN event_id % 2 = 0 THEN value ELSE value + 1 END AS d FROM events) WHERE d IS NOT NULL GROUP BY 1")
+@query("SELECT event_type AS task, count(*) AS count, round(sum(d), 4) AS sum, (list(d ORDER BY d))[CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) + 1] AS p50, (list(d ORDER BY d))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95, round(max(d), 6) AS max FROM (SELECT event_type, CASE WHEN event_id % 2 = 0 THEN value ELSE value + 1 END AS d FROM events) WHERE d IS NOT NULL GROUP BY 1")
 def task_aggregate(spark, d):
     rows = W.table(spark, d, "events")
     even = F.col("event_id") % 2 == 0
     mixed = rows.select(F.when(even, F.col("event_type")).alias("key"), F.when(~even, F.col("event_type")).alias("task"), F.when(even, F.col("value")).alias("duration"), F.when(~even, F.lit(0.0)).alias("start"), F.when(~even, F.col("value") + 1).alias("stop"))
-    return Q.nearest_rank(Q.task_durations(mixed), ["task"], "duration").select("task", "count", r("max").alias("max"))
+    return Q.nearest_rank(Q.task_durations(mixed), ["task"], "duration").select("task", "count", r("sum", 4).alias("sum"), "p50", "p95", r("max").alias("max"))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

@@ -49,8 +49,8 @@ def chosen(target: str) -> str:
     return f"mus[list_position({offs}, list_min({offs}))]"
 
 
-def solution(pixels: str, cal: Calibration, o: Options) -> str:
-    """CTEs that end in ``sol``: id, valid, dem, edem, elogt, chisq, dn_reg. ``pixels``: a query of id, dn, edn, lists."""
+def solution(pixels: str, cal: Calibration, o: Options, scales: str = "") -> str:
+    """CTEs that end in ``sol``: id, valid, dem, edem, elogt, chisq, dn_reg. ``pixels``: a query of id, dn, edn, lists; ``scales``: a table of a list ``m`` to multiply the bands' responses by."""
     nt, nf = cal.rmatrix.shape
     logt, dl, steps = cal.logt, cal.dlogt, o.steps
     points = logt.min() + 1e-8 + (logt.max() - logt.min()) * np.arange(51) / 51
@@ -75,7 +75,10 @@ w1 AS (SELECT id, list_transform(x, lambda v: CASE WHEN v > 0 AND v > 1e-4 * lis
     elif o.emd_ret and not o.emd_int:
         factor = cal.factor
     lam = f"greatest({chosen(f'{float(nf) * o.reg_tweak!r} * pow({o.rgt_fact!r}, rd)')}, 1e-12 * top)"
-    return f"""cal AS (SELECT {doubles(cal.rmatrix.T)} AS r, {doubles(dl)} AS dl, {doubles(factor * cal.scale)} AS fac, {doubles(points)} AS pts, {doubles(share)} AS sh, {[int(k) + 1 for k in at]} AS pos),
+    response = doubles(cal.rmatrix.T)
+    if scales:
+        response = f"list_transform({response}, lambda v, i: list_transform(v, lambda w: w * m[i]))"
+    return f"""cal AS (SELECT {response} AS r, {doubles(dl)} AS dl, {doubles(factor * cal.scale)} AS fac, {doubles(points)} AS pts, {doubles(share)} AS sh, {[int(k) + 1 for k in at]} AS pos{' FROM ' + scales if scales else ''}),
 px0 AS ({pixels}),
 px1 AS (SELECT id, dn, edn, list_transform(edn, lambda v: greatest(v, greatest(1e-12, 1e-6 * list_aggregate(edn, 'median')))) AS e FROM px0),
 px2 AS (SELECT *, {each(nf, "dn[f] / e[f]", "f")} AS d FROM px1),

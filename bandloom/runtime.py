@@ -59,3 +59,15 @@ def time_query(spark: SparkSession, make: Callable[[], DataFrame], repeats: int
         if i >= warm_up:
             out.append((i - warm_up, time.perf_counter() - began))
     return spark.createDataFrame(out, "repeat int, seconds double")
+
+
+WORKERS = "worker string, host string, cores int, active_tasks int, done_tasks int, failed_tasks int, total_tasks int, run_ms long, gc_ms long, input_bytes long, shuffle_read_bytes long, shuffle_write_bytes long, memory_used long, memory_max long"
+
+
+def worker_snapshot(spark: SparkSession) -> DataFrame:
+    """A row for each executor, and the driver: its tasks, time, bytes and storage memory so far, from Spark's own status store."""
+    found, rows = spark._jsc.sc().statusStore().executorList(False), []
+    for i in range(found.size()):
+        x = found.apply(i)
+        rows.append((x.id(), x.hostPort(), x.totalCores(), x.activeTasks(), x.completedTasks(), x.failedTasks(), x.totalTasks(), x.totalDuration(), x.totalGCTime(), x.totalInputBytes(), x.totalShuffleRead(), x.totalShuffleWrite(), x.memoryUsed(), x.maxMemory()))
+    return spark.createDataFrame(rows, WORKERS)

@@ -106,24 +106,45 @@ def catalogue(spark: SparkSession, directory: str, pattern: str = "*.fits", tole
     return files.mapInArrow(run, CATALOGUE).withColumn("timestamp_utc", F.try_to_timestamp("timestamp_utc"))
 
 
-def pixels_of_sets(spark: SparkSession, directory: str, sets: DataFrame, bands: list[int], pattern: str = "*.fits") -> DataFrame:
+def pixels_of_sets(spark: SparkSession, directory: str, sets: DataFrame, bands: list[int], pattern: str = "*.fits", tolerant: bool = False) -> DataFrame:
     """frame_id, y, x, dn of complete sets (d8, bucket, ``w<band>`` paths), bands in the given order.
 
-    A set's few files meet in one task and are cut to their smallest common shape.
+    A set's few files meet in one task and are cut to their smallest common shape; pixels leave it in batches. A set
+    without one of its files is an error, or skipped with ``tolerant``.
     """
     wanted = sets.select(F.concat_ws("_", "d8", "bucket").alias("frame_id"), F.posexplode(F.array(*(f"w{w}" for w in bands))).alias("band", "path"))
     files = listing(spark, directory, pattern, recursive=True).select("path", "content")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        images = [np.squeeze(image(c)[1]) for c in pdf.sort_values("band")["content"]]
-        if len(images) != len(bands):
-            return pd.DataFrame({"frame_id": [], "y": [], "x": [], "dn": []})
+    rows = wanted.join(files, "path", "left").select("frame_id", "band", "content").repartition("frame_id").sortWithinPartitions("frame_id", "band")
+    nf = len(bands)
+
+    def of(name: str, held: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+        if len(held) != nf or any(c is None for c in held):
+            if tolerant:
+                return
+            raise ValueError(f"set {name} lacks a file")
+        images = [np.squeeze(image(c)[1]) for c in held]
         h, w = (min(i.shape[k] for i in images) for k in (0, 1))
-        cube = np.stack([i[:h, :w] for i in images], axis=-1).reshape(h * w, len(bands))
-        y, x = np.divmod(np.arange(h * w), w)
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "y": y, "x": x, "dn": list(cube)})
+        step = max(1, 50_000 // w)
+        for y0 in range(0, h, step):
+            part = np.stack([i[y0 : min(y0 + step, h), :w] for i in images], axis=-1).astype(np.float64)
+            n = part.shape[0] * w
+            y, x = np.divmod(np.arange(n, dtype=np.int32), np.int32(w))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * nf + 1, nf, dtype=np.int32)), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(y + np.int32(y0)), pa.array(x), lists], names=["frame_id", "y", "x", "dn"])
 
-    return wanted.join(files, "path").groupBy("frame_id").applyInPandas(run, "frame_id string, y int, x int, dn array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for batch in batches:
+            for own, content in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if own != name:
+                    if held:
+                        yield from of(name, held)
+                    name, held = own, []
+                held.append(content.as_py())
+        if held:
+            yield from of(name, held)
+
+    return rows.mapInArrow(run, "frame_id string, y int, x int, dn array<double>")
 
 
 def write(path: str, data: np.ndarray, **cards: object) -> None:

@@ -1,8 +1,9 @@
 """Raster stacks in NPZ files, as pixels and as frames.
 
 Files are listed and read by Spark (``binaryFile``), so any store that Spark
-reaches will do. One task decodes a file; a crop is cut before pixels are made.
-Pickled arrays are refused. Convert once with :func:`bandloom.sources.tables.write_pixels`
+reaches will do; a listing has each file once, so nothing is shuffled. One task
+decodes a file, as its arrays are compressed whole; a crop is cut before pixels
+are made, and metadata read only the arrays' headers. Pickled arrays are refused. Convert once with :func:`bandloom.sources.tables.write_pixels`
 where frames are read more than once: Parquet prunes columns, frames and crops.
 """
 
@@ -10,13 +11,18 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.calibration import complete
+
 KEYS = ("bands", "stack", "data", "cube")
 PIXELS = "frame_id string, path string, y int, x int, dn array<double>, edn array<double>"
 FRAMES = (
@@ -30,8 +36,27 @@ def listing(spark: SparkSession, directory: str, pattern: str = "*.npz", recursi
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    files = reader.load(directory) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
-    return files.dropDuplicates(["path"])
+    return reader.load(directory) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+
+
+def shape_of(content: bytes, key: str) -> tuple[tuple[int, ...], str]:
+    """Shape and dtype of an array in an NPZ, from its header alone."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(f"{key}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, _, dtype = read(f)
+        return shape, str(dtype)
+
+
+def frame_shape(shape: tuple[int, ...], nf: int = 6) -> tuple[int, int, int]:
+    """Frames, height and width of an array of this shape; a ValueError for other ranks or numbers of bands."""
+    kind = layouts(shape, nf)
+    if kind is None:
+        raise ValueError(f"no axis of {shape} has {nf} bands, or its rank isn't 2 to 4")
+    if kind == "NC":
+        return 1, shape[0], 1
+    n, rest = (shape[0], shape[1:]) if "F" in kind else (1, shape)
+    return (n, *rest[1:]) if kind.endswith("CHW") else (n, *rest[:2])
 
 
 def layouts(shape: tuple[int, ...], nf: int) -> str | None:
@@ -47,9 +72,8 @@ def layouts(shape: tuple[int, ...], nf: int) -> str | None:
 
 def to_frames(array: np.ndarray, nf: int = 6) -> np.ndarray:
     """Frames by height by width by bands; a ValueError for other ranks or numbers of bands."""
+    frame_shape(array.shape, nf)
     kind = layouts(array.shape, nf)
-    if kind is None:
-        raise ValueError(f"no axis of {array.shape} has {nf} bands, or its rank isn't 2 to 4")
     if kind == "NC":
         return array[None, :, None, :]
     if "F" not in kind:
@@ -72,14 +96,82 @@ def pick(npz: np.lib.npyio.NpzFile, key: str | None) -> tuple[np.ndarray, np.nda
     return arrays[0], arrays[1] if len(arrays) > 1 and arrays[1].shape in (arrays[0].shape, (1, *arrays[0].shape[1:])) else None
 
 
+def stack_key(names: list[str], raw: bytes) -> str:
+    """The key of the counts, as :func:`pick` finds them, without decoding."""
+    for k in ("dn", *KEYS):
+        if k in names:
+            return k
+    found = next((k for k in names if len(shape_of(raw, k)[0]) >= 2), None)
+    if found is None:
+        raise ValueError("no array of rank 2 or more")
+    return found
+
+
+#: Fixed names of a calibration's parts: responses (samples by bands), their log T, and bin edges in Kelvin.
+CALIBRATION = {"tresp": ("tresp", "T_RESP"), "tresp_logt": ("tresp_logt", "logt", "T_RESP_LOGT"), "temps": ("temps", "TEMPS")}
+
+
+def read_calibration(spark: SparkSession, *places: str, nf: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Responses, log T and edges from the first of the places (NPZ files, or folders of NPY files) that has each; the rest is made.
+
+    A calibration has some kilobytes; only its arrays are decoded, on the driver.
+    """
+    found: dict[str, np.ndarray] = {}
+    for place in places:
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(place).select("path", "content")
+        for path, content in sorted(rows.filter(F.length("content") > 0).collect()):
+            if path.endswith(".npy"):
+                arrays = {path.rsplit("/", 1)[-1].removesuffix(".npy"): content}
+                get = lambda k, arrays=arrays: np.load(io.BytesIO(arrays[k]), allow_pickle=False) if k in arrays else None
+            else:
+                npz = np.load(io.BytesIO(content), allow_pickle=False)
+                get = lambda k, npz=npz: npz[k] if k in npz.files else None
+            for part, names in CALIBRATION.items():
+                value = next((v for v in map(get, names) if v is not None), None)
+                if value is not None:
+                    found.setdefault(part, value)
+    return complete(*(found.get(k) for k in CALIBRATION), nf=nf)
+
+
+def write_stacks(px: DataFrame, directory: str, nf: int = 6) -> DataFrame:
+    """frame_id, path and written: an NPZ of bands by height by width for each frame, unless its file is there already.
+
+    One task writes a frame, whose array is compressed whole; a file appears under its name only when it is complete, so a
+    task that is run again does no harm. ``directory`` is a folder that all executors share, as a path or a URI.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        name = pdf["frame_id"].iloc[0]
+        store, root = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
+        store.create_dir(root, recursive=True)
+        target = f"{root}/{name}.npz"
+        if store.get_file_info(target).type != fs.FileType.NotFound:
+            return pd.DataFrame({"frame_id": [name], "path": [target], "written": [False]})
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        cube = np.zeros((nf, y.max() + 1, x.max() + 1))
+        cube[:, y, x] = np.stack(pdf["dn"].to_list(), axis=1)
+        held = io.BytesIO()
+        np.savez_compressed(held, bands=cube)
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part) as out:
+            out.write(held.getvalue())
+        store.move(part, target)
+        return pd.DataFrame({"frame_id": [name], "path": [target], "written": [True]})
+
+    return px.select("frame_id", "y", "x", "dn").groupBy("frame_id").applyInPandas(run, "frame_id string, path string, written boolean")
+
+
 def stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(".npz")
 
 
-def read_pixels(spark: SparkSession, directory: str, *, pattern: str = "*.npz", array_key: str | None = None, nf: int = 6, crop: tuple[int, int] | None = None, tolerant: bool = False) -> DataFrame:
+def read_pixels(spark: SparkSession, directory: str, *, pattern: str = "*.npz", array_key: str | None = None, nf: int = 6, crop: tuple[int, int] | None = None, tolerant: bool = False, unit_edn: bool = False) -> DataFrame:
     """A row for each pixel. ``crop``: the top left (h, w); more than a frame has is an error. ``tolerant``: skip files that can't be read.
 
-    A file of several frames gives frame ids ``<name>#<n>``. An ``edn`` of one row holds for all pixels; without one it is null.
+    A file of several frames gives frame ids ``<name>#<n>``. An ``edn`` of one row holds for all pixels; without one it
+    is null, or ones with ``unit_edn``.
     """
     files = listing(spark, directory, pattern).select("path", "content")
 
@@ -90,6 +182,8 @@ def read_pixels(spark: SparkSession, directory: str, *, pattern: str = "*.npz",
                     with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as npz:
                         dn, edn = pick(npz, array_key)
                         frames = to_frames(dn, nf)
+                        if edn is None and unit_edn:
+                            edn = np.ones((1, nf))
                         errors = None if edn is None else np.broadcast_to(to_frames(edn, nf) if edn.shape == dn.shape else edn.reshape(-1, nf)[:1].reshape(1, 1, 1, nf), frames.shape)
                 except (ValueError, KeyError, OSError):
                     if tolerant:
@@ -121,7 +215,7 @@ def _pixels(name: str, path: str, y0: int, part: np.ndarray, errors: np.ndarray
 
 
 def read_frames(spark: SparkSession, directory: str, *, pattern: str = "*.npz", nf: int = 6) -> DataFrame:
-    """A row of metadata for each file; what a file lacks is null."""
+    """A row of metadata for each frame; what a file lacks is null. Stacks aren't decoded."""
     files = listing(spark, directory, pattern).select("path", "content")
     schema = spark.createDataFrame([], FRAMES).schema
 
@@ -129,12 +223,18 @@ def read_frames(spark: SparkSession, directory: str, *, pattern: str = "*.npz",
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as npz:
+                raw = content.as_py()
+                with np.load(io.BytesIO(raw), allow_pickle=False) as npz:
                     get = lambda k: npz[k] if k in npz.files else None  # noqa: E731, B023
                     text = lambda k: None if get(k) is None else str(get(k))  # noqa: E731, B023
                     many = lambda k, f: None if get(k) is None else [f(v) for v in np.ravel(get(k))]  # noqa: E731, B023
-                    shape = to_frames(pick(npz, None)[0], nf).shape
-                    rows.append({"frame_id": stem(path), "path": path, "height": shape[1], "width": shape[2], "n_bands": shape[3], "wavelengths": many("wavelengths", int), "ts_utc": text("ts_utc"), "bucket_12s": text("bucket_12s"), "fits_files": many("fits_files", str), "exptime": many("exptime", float), "dtype": text("dtype"), "quant_meta_json": text("quant_meta_json"), "has_calibration": all(k in npz.files for k in ("T_RESP", "T_RESP_LOGT", "TEMPS"))})
+                    n, height, width = frame_shape(shape_of(raw, stack_key(npz.files, raw))[0], nf)
+                    facts = {
+                        "path": path, "height": height, "width": width, "n_bands": nf, "wavelengths": many("wavelengths", int), "ts_utc": text("ts_utc"), "bucket_12s": text("bucket_12s"),
+                        "fits_files": many("fits_files", str), "exptime": many("exptime", float), "dtype": text("dtype"), "quant_meta_json": text("quant_meta_json"),
+                        "has_calibration": all(any(k in npz.files for k in names) for names in CALIBRATION.values()),
+                    }
+                    rows += [{"frame_id": stem(path) + (f"#{i}" if n > 1 else ""), **facts} for i in range(n)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return files.mapInArrow(run, schema)

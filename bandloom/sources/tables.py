@@ -37,9 +37,9 @@ def verify_hashes(files: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(made, "filepath", "left").select("filepath", F.coalesce(F.lower("hash_sha256") == F.lower("made"), F.lit(False)).alias("ok"))
 
 
-def write_pixels(px: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Pixels in Parquet by frame, rows in order, so frames, crops and columns are pruned when read."""
-    px.repartition("frame_id").sortWithinPartitions("frame_id", "y", "x").write.mode(mode).partitionBy("frame_id").parquet(path)
+def write_pixels(px: DataFrame, path: str, mode: str = "errorifexists", band: int = 256) -> None:
+    """Pixels in Parquet by frame, in order within bands of ``band`` rows that a task writes, so frames, crops and columns are pruned when read."""
+    px.repartition(F.col("frame_id"), F.floor(F.col("y") / band)).sortWithinPartitions("frame_id", "y", "x").write.mode(mode).partitionBy("frame_id").parquet(path)
 
 
 def as_float(solution: DataFrame) -> DataFrame:

@@ -176,6 +176,10 @@ def test_fits(spark, tmp_path):
     px = {(r["y"], r["x"]): r for r in fits.pixels_of_sets(spark, str(tmp_path / "raw"), sets, [131, 94]).collect()}
     assert len(px) == 4 * 6 and px[0, 0]["frame_id"] == "20250101_00_00_12"
     np.testing.assert_allclose(px[3, 5]["dn"], [images[131][3, 5], images[94][3, 5]])
+    gone = sets.withColumn("w94", F.lit("nowhere"))
+    assert fits.pixels_of_sets(spark, str(tmp_path / "raw"), gone, [131, 94], tolerant=True).count() == 0
+    with pytest.raises(Exception, match="lacks a file"):
+        fits.pixels_of_sets(spark, str(tmp_path / "raw"), gone, [131, 94]).count()
     assert fits.value("'it''s'  / c") == "it's" and fits.value("1.5D3 / c") == 1500.0 and fits.value("T") is True
 
 
@@ -188,7 +192,17 @@ def test_command_line(spark, tmp_path, capsys):
     made = main(["solve", str(tmp_path / "np"), str(tmp_path / "one"), "--nt", "8", "--crop", "4x5"])
     assert made == {"pixels": 20, "valid": 20}
     main(["solve", str(tmp_path / "np"), str(tmp_path / "two"), "--nt", "8", "--crop", "4x5"])
-    assert main(["compare", str(tmp_path / "one"), str(tmp_path / "two")])["all_close"] is True
+    told = main(["compare", str(tmp_path / "one"), str(tmp_path / "two"), "--report", str(tmp_path / "card")])
+    assert told["passed"] is True and sorted(told["arrays"]) == ["chisq", "dem", "dn_reg", "edem"]
+    assert "PASS dem: 160 values" in (tmp_path / "card.txt").read_text() and (tmp_path / "card.json").exists()
+    np.savez(str(tmp_path / "cal.npz"), tresp=C.sampled(nt=9)[0], tresp_logt=C.sampled(nt=9)[1], temps=C.sampled(nt=9)[2])
+    main(["solve", str(tmp_path / "np"), str(tmp_path / "own"), "--crop", "4x5", "--calibration", str(tmp_path / "cal.npz")])
+    assert tables.read_meta(spark, str(tmp_path / "own"))["nt"] == 9
+    assert main(["compare", str(tmp_path / "own"), str(tmp_path / "one")])["passed"] is False
+    golden = main(["golden", str(tmp_path / "np"), str(tmp_path / "gold"), "--size", "4", "--nt", "8"])
+    assert golden["pixels"] == 16 and golden["fallback"] is False and golden["em_mean"] > 0
+    assert len(tables.read_meta(spark, str(tmp_path / "gold"))["r_scale"]) == 6
+    assert any(x["worker"] == "driver" and x["done_tasks"] > 0 for x in main(["workers"])["workers"])
     main(["maps", str(tmp_path / "one"), str(tmp_path / "maps")])
     assert spark.read.parquet(str(tmp_path / "maps")).filter("median IS NOT NULL").count() == 20
     sections = runtime.Sections(spark)
@@ -198,3 +212,74 @@ def test_command_line(spark, tmp_path, capsys):
         1 / 0  # noqa: B018
     assert [r["status"] for r in sections.frame().collect()] == ["ok", "failed"]
     assert runtime.time_query(spark, lambda: spark.range(5), 2).count() == 2
+
+
+def test_calibration_files(spark, tmp_path):
+    tresp, logt, temps = C.sampled(nt=7)
+    (tmp_path / "cal").mkdir()
+    for name, value in (("tresp", tresp), ("tresp_logt", logt)):
+        np.save(str(tmp_path / f"cal/{name}.npy"), value)
+    np.savez(str(tmp_path / "rest.npz"), TEMPS=np.log10(temps))
+    got = npz.read_calibration(spark, str(tmp_path / "cal"), str(tmp_path / "rest.npz"))
+    for a, b in zip(got, (tresp, logt, temps), strict=True):
+        np.testing.assert_allclose(a, b)
+    made = C.complete(None, None, None)
+    assert made[0].shape == (50, 6) and len(made[2]) == 51
+    np.testing.assert_allclose(made[0].sum(axis=0), 1, rtol=1e-9)
+    assert C.synthetic(np.array([6.0])).shape == (1, 6)
+    uneven = np.array([5.5, 5.9, 6.0, 7.0])
+    np.testing.assert_allclose(C.synthetic(uneven, normalize="none"), C.synthetic(uneven, normalize="none", include_jacobian=False) * 0.5)
+    for bad in ((np.zeros((3, 5)), np.arange(3.0), np.array([1e5, 1e6])), (tresp * np.nan, logt, temps), (-tresp, logt, temps), (tresp, logt[::-1], temps)):
+        with pytest.raises(ValueError):
+            C.complete(*bad)
+
+
+def test_stacks_and_headers(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    frames = rng.uniform(0, 9, (2, 6, 4, 5))
+    (tmp_path / "np").mkdir()
+    np.savez(str(tmp_path / "np/two.npz"), stack=frames)
+    found = npz.read_frames(spark, str(tmp_path / "np")).orderBy("frame_id").collect()
+    assert [(x["frame_id"], x["height"], x["width"], x["has_calibration"]) for x in found] == [("two#0", 4, 5, False), ("two#1", 4, 5, False)]
+    px = npz.read_pixels(spark, str(tmp_path / "np"), unit_edn=True)
+    assert px.first()["edn"] == [1.0] * 6
+    first = npz.write_stacks(px, str(tmp_path / "out")).collect()
+    again = npz.write_stacks(px, str(tmp_path / "out")).collect()
+    assert [x["written"] for x in first] == [True] * 2 and [x["written"] for x in again] == [False] * 2
+    np.testing.assert_allclose(np.load(str(tmp_path / "out/two#1.npz"))["bands"], frames[1])
+
+
+def test_inputs(spark):
+    rows = spark.createDataFrame([([1.0, -1.0],), ([0.0, 0.0],), ([math.nan, 2.0],)], "dn array<double>")
+    assert S.check_inputs(rows, 2) == ["1 values aren't finite and become 0", "1 values are negative and become 0", "1 pixels are 0 in all bands"]
+    with pytest.raises(ValueError, match="bands"):
+        S.check_inputs(rows, 3)
+    with pytest.raises(ValueError, match="all counts"):
+        S.check_inputs(rows.filter("dn[0] = 0"), 2)
+    assert S.check_inputs(rows.limit(0), 2) == []
+
+
+def test_golden_falls_back_to_least_squares(spark):
+    from bandloom.operators import golden, inversion
+
+    px = spark.createDataFrame([("f", 0, x, [float(x + k) for k in range(6)]) for x in range(4)], "frame_id string, y int, x int, dn array<double>")
+    cal = C.Calibration(np.full((5, 6), 0.0), np.linspace(5.5, 7.5, 5), np.full(5, 0.5))
+    solution, facts = golden.make_golden(px, cal, inversion.Options())
+    assert facts["fallback"] and solution.count() == 4 and facts["r_scale"] == [2.5 + k for k in range(6)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_quantiles_of_large_and_small_groups(spark, share):
+    rng = np.random.default_rng(5)
+    values = {"big": np.round(rng.lognormal(0, 2, 60_000), 3), "ties": np.repeat([1.0, 2.0, 3.0], 20_000), "small": rng.normal(size=7), "one": np.array([4.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("big", None), ("none", None), (None, 1.0)], "g string, v double").repartition(4)
+    got = {x["g"]: x["q"] for x in Q.quantile(rows, ["g"], "v", share, "q").collect()}
+    assert set(got) == {*values, None}
+    for k, x in values.items():
+        assert got[k] == pytest.approx(float(np.quantile(x, share)), rel=1e-12)
+    near = {x["g"]: x["q"] for x in Q.quantile(rows, ["g"], "v", share, "q", nearest=True).collect()}
+    for k, x in values.items():
+        assert near[k] == np.sort(x)[round(share * (len(x) - 1))]
+    whole = Q.quantile(rows, [], "v", share, "q").first()["q"]
+    assert whole == pytest.approx(float(np.quantile(np.concatenate([*values.values(), [1.0]]), share)), rel=1e-12)
+    assert Q.quantile(rows.limit(0), ["g"], "v", share, "q").count() == 0
