@@ -174,7 +174,7 @@ def spread(px: DataFrame, partitions: int | None = None, target_bytes: int = 32
     into a few tasks. Pixels read from files need no such step: scans are cut by ``spark.sql.files.maxPartitionBytes``.
     """
     if partitions is None:
-        size = int(px._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(px._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         partitions = min(max(px.sparkSession.sparkContext.defaultParallelism, -(-size // target_bytes)), 1_000_000)
     return px.repartition(partitions)
 
