@@ -6,7 +6,8 @@ document is judged alone, so this is one narrow pass: no shuffle, no state
 beyond a batch.
 
 Edge cases: a null or empty text has no words, so it fails the base rule and is
-rejected; repeated rows are each judged; columns other than the text (and
+rejected; repeated rows are each judged, and equal figures at a bound pass it;
+a text of any length is judged whole, in memory of a small multiple of its size; columns other than the text (and
 ``n_chars``, which follows it) pass through :func:`clean` untouched, whatever
 their names; an empty table gives an empty table.
 """
@@ -52,8 +53,7 @@ class Rules:
     long_words: beyond this length the distinct words asked for grow with the square root of the line's.
     Menus and boilerplate phrases are looked for in every line; one with
     ``repeat_words`` or more needs a phrase for each run of so many words, so
-    prose that names one is spared. ``SQL`` looks for them in shorter lines
-    only, and asks no distinct words of lines of ``long_words`` or more.
+    prose that names one is spared.
     lost_share: share of a document's non-white characters that it may lose.
     min_doc_words, repeat_percent: the base rules for whole documents.
     """
@@ -202,11 +202,11 @@ la AS (SELECT doc_id, ln, count(*) AS n, sum(strlen(w)) AS bytes, count(DISTINCT
   count(*) FILTER (regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]')) AS upper,
   count(*) FILTER (regexp_matches(w, '(!!|\\?\\?|\\*\\*|##|\\$\\$|%%|&&|~~|==)$')) AS marked, count(*) FILTER (w IN ('|', '>', '/')) AS menu FROM lx GROUP BY 1, 2),
 lo AS (SELECT la.*, line, len(regexp_extract_all(line, '[#*$%&|<>!?=~^_{{}}\\[\\]\\\\/@+]')) AS odd, len(regexp_extract_all(line, '{BARS.pattern}')) AS bars,
-  regexp_matches(line, '{BOILERPLATE.pattern}') AS boiler FROM la JOIN ls USING (doc_id, ln)),
+  len(regexp_extract_all(line, '{BOILERPLATE.pattern}')) AS boiler FROM la JOIN ls USING (doc_id, ln)),
 lf AS (SELECT *, odd > 2 AND odd > CAST({_R.odd_share} AS DOUBLE) * strlen(line) OR n >= {_R.min_words} AND marked > CAST({_R.run_share} AS DOUBLE) * n OR menu > CAST({_R.bars} AS DOUBLE) * n
   OR n >= {_R.min_words} AND upper > CAST({_R.upper_share} AS DOUBLE) * n
-  OR n >= {_R.repeat_words} AND (n < {_R.long_words} AND kinds < CAST({_R.distinct_share} AS DOUBLE) * n OR stutter > CAST({_R.stutter_share} AS DOUBLE) * n)
-  OR n < {_R.repeat_words} AND (bars > CAST({_R.bars} AS DOUBLE) * n OR boiler) AS fails FROM lo),
+  OR n >= {_R.repeat_words} AND (kinds < CAST({_R.distinct_share} AS DOUBLE) * least(n, sqrt(n * {_R.long_words})) OR stutter > CAST({_R.stutter_share} AS DOUBLE) * n)
+  OR bars > CAST({_R.bars} AS DOUBLE) * n OR boiler * {_R.repeat_words} > n AS fails FROM lo),
 ld AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_failed, coalesce(sum(bytes) FILTER (fails), 0) AS lost, sum(bytes) AS bytes FROM lf GROUP BY 1),
 al AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_failed, 0) AS n_lines_failed, coalesce(lost, 0) AS lost, coalesce(bytes, 0) AS bytes

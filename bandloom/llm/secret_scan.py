@@ -8,23 +8,37 @@ keyboard walks, runs of the alphabet and brute-force spans, and the cheapest
 cut, found by dynamic programming, is its cost in powers of ten. So
 ``pwd=password123`` stays and ``pwd=x9Kq2vLw7t`` goes. Only a value that lies
 within another span as a whole isn't looked at: where a pattern stops inside of
-it, the whole value gets a span beside the pattern's.
+it, the whole value gets a span beside the pattern's. An address (``https://``)
+is no value.
+
+Words come from the vocabularies of public tokenizers, whose order follows how
+often a piece occurs in several languages, and from the words that people choose
+most. A brute-force span costs as much as its length in characters of the
+classes that it uses. The costs are worked out along the value, with only those
+in reach of a segment that is still open, and it ends where no cut can stay
+below the bound, so memory doesn't grow with the value.
 
 A document is scanned alone, in one narrow pass over its whole text.
 
 Edge cases: a null or empty text has no spans; repeated rows are each scanned;
-very long values cost time in proportion to their length; columns other than
-the text (and ``n_chars``) pass through :func:`redact` untouched.
+spans that start together stand in the order of their kinds; very long values
+cost time in proportion to their length at most; columns other than the text
+(and ``n_chars``) pass through :func:`redact` untouched, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
+import base64
+import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -44,12 +58,14 @@ HEX = re.compile("[0-9a-f]+")
 LONG_HEX = re.compile("[0-9a-f]{32}")
 ASSIGN_KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
-LISTED = "|".join(_either(w) for w in ("passphrase", "passcode", "password", "passwd", "pwd", "pass", "secret", "token", "credentials", "credential", "auth", "api_key", "apikey", "api-key", "access_key", "private_key", "client_id", "login"))
+#: Words that name a credential at the end of any name, and those that do so only as a part of their own.
+ENDS = "|".join(_either(w) for w in ("passphrase", "passcode", "password", "passwd", "pwd", "secret", "credentials", "credential", "api_key", "apikey", "api-key", "access_key", "private_key"))
+PARTS = "|".join([ENDS, *(_either(w) for w in ("pass", "token", "auth", "client_id", "login"))])
 #: A name and a separator, whatever the name.
 NAMED = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?[ \t]*+(?:=>|[:=])[ \t]*+["']?""")
 #: Names of credentials: they end in a listed word, or have one, or ``key``, as a part.
 CREDENTIAL = re.compile(
-    f"""(?:{LISTED})$|(?:^|[0-9_-]|(?<=[a-z])(?=[A-Z]))(?:{LISTED})(?:[0-9_-]|(?<=[a-z])(?=[A-Z]))"""
+    f"""(?:{ENDS})$|(?:^|[0-9_-]|(?<=[a-z])(?=[A-Z]))(?:{PARTS})(?:$|[0-9_-]|(?<=[a-z])(?=[A-Z]))"""
     f"""|[0-9_-]{_either("key")}(?:$|[0-9_-])|(?<=[a-z0-9])Key(?:$|[0-9_-]|(?=[A-Z]))"""
 )
 VALUE = re.compile(r"""[^\s"'<>,;(){}\[\]]+""")
@@ -74,15 +90,19 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9
 
 @dataclass(frozen=True)
 class GuessModel:
-    """The cost model. ``threshold``: powers of ten of guesses from which a value is a secret.
+    """The cost model. ``threshold``: powers of ten of guesses from which a value is a secret. At 11.5 some 98 of 100
+    random strings of ten letters and digits are, and no word of the vocabularies and few pairs of words.
 
-    ``brute``: powers of ten for each brute-force character; ``words``: the dictionary, best known first.
+    ``join``: powers of ten for each further segment of a cut; ``words``: words that people choose, best known first;
+    ``files``: vocabularies of tokenizers, commonest pieces first, which every executor has; ``unit``: the longest unit
+    of a repeat.
     """
 
-    threshold: float = 8.0
-    brute: float = 1.0
+    threshold: float = 11.5
+    join: float = 0.3
     words: tuple[str, ...] = WORDS
-    longest_word: int = 24
+    files: tuple[str, ...] = (public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    unit: int = 32
 
 
 def _neighbours() -> dict[str, str]:
@@ -97,96 +117,126 @@ def _neighbours() -> dict[str, str]:
 
 
 NEAR = _neighbours()
-_RANKS: dict[tuple[str, ...], dict[str, int]] = {}
+#: Characters of a class, and how many it has: small and capital letters, digits, other ASCII, other letters and signs.
+CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[\\x00-\\x7f]"), 33), (re.compile("", re.S), 160))
+#: log10 of the characters that each set of classes has.
+ALPHABET = [math.log10(max(2, sum(n for i, (_, n) in enumerate(CLASSES) if m >> i & 1))) for m in range(1 << len(CLASSES))]
+_RANKS: dict[tuple, tuple[dict[str, int], int]] = {}
+
+
+def vocabulary(path: str) -> list[str]:
+    """The words and pieces of three letters or more in a tokenizer's file, in the file's order, in small letters."""
+    with open(path, "rb") as f:
+        if path.endswith(".json"):
+            held = json.load(f)["model"]["vocab"]
+            pieces = [x.removesuffix("</w>") for x in sorted(held, key=held.get)]
+        else:
+            pieces = [base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in f if line.strip()]
+    words = (x.strip().lower() for x in pieces)
+    return list(dict.fromkeys(x for x in words if len(x) > 2 and x.isalpha()))
 
 
-def ranks(words: tuple[str, ...]) -> dict[str, int]:
-    if words not in _RANKS:
-        _RANKS[words] = {w: i for i, w in reversed(list(enumerate(words, 1)))}
-    return _RANKS[words]
+def ranks(model: GuessModel) -> tuple[dict[str, int], int]:
+    """Each word's best rank, and the longest word's length; read once by a worker."""
+    key = (model.words, model.files)
+    if key not in _RANKS:
+        found: dict[str, int] = {}
+        for words in (model.words, *map(vocabulary, model.files)):
+            for i, w in enumerate(words, 1):
+                found[w] = min(i, found.get(w, i))
+        _RANKS[key] = found, max(map(len, found), default=0)
+    return _RANKS[key]
 
 
-def segments(value: str, model: GuessModel) -> Iterator[tuple[int, int, str, float]]:
-    """start, end, kind and cost of every segment that isn't brute force."""
+def segments(value: str, model: GuessModel) -> Iterator[list[tuple[int, str, float]]]:
+    """For each place of the value, the end, kind and cost of every segment from there that isn't brute force."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
-    plain, rank = low.translate(LEET), ranks(model.words)
+    plain, (rank, longest) = low.translate(LEET), ranks(model)
+    repeats = re.finditer(rf"(.{{1,{model.unit}}}?)\1+", value, re.S)
+    repeat = next(repeats, None)
+    run_from = walk_from = 0
     for i in range(n):
-        for j in range(i + 3, min(n, i + model.longest_word) + 1):
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if form in rank:
-                    part = value[i:j]
-                    cased = 0.0 if part == low[i:j] else 0.3 if part[0].isupper() and part[1:] == low[i + 1 : j] or part.isupper() else 1.0
-                    yield i, j, "word", math.log10(rank[form] + 1) + extra + cased
-                    break
-    for m in DATE.finditer(value):
-        yield m.start(), m.end(), "date", 2.1 if m.end() - m.start() <= 4 else 4.6
-        if m.end() - m.start() > 4 and re.match(r"(19|20)\d\d", m[0]):
-            yield m.start(), m.start() + 4, "date", 2.1
-    # runs: of one step in the code points, of keys next to each other, of a repeated unit
-    i = 0
-    while i + 2 < n:
-        step = ord(low[i + 1]) - ord(low[i])
-        j = i + 1
-        while j < n and abs(step) <= 1 and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-            j += 1
-        if j - i >= 3:
-            yield i, j, "run" if step else "repeat", (0.6 if low[i] in "a10z9" else 1.4) + math.log10(j - i)
-        i = max(i + 1, j - 1)
-    i = 0
-    while i + 3 < n:
-        j, turns, way = i + 1, 0, 0
-        while j < n and low[j] in NEAR.get(low[j - 1], ""):
-            now = ord(low[j]) - ord(low[j - 1])
-            turns, way = turns + (now != way), now
-            j += 1
-        if j - i >= 4:
-            yield i, j, "walk", 1.7 + 0.3 * (j - i) + 0.3 * min(turns, 6)
-        i = max(i + 1, j - 1)
-    for m in re.finditer(r"(.{1,8}?)\1+", value, re.S):
-        unit, times = m[1], (m.end() - m.start()) // len(m[1])
-        if m.end() - m.start() >= 3:
-            yield m.start(), m.end(), "repeat", (cost(unit, model)[0] if len(unit) > 1 else 1.0) + math.log10(times)
-
-
-MOST_SEGMENTS = 12
-
-
-def cost(value: str, model: GuessModel) -> tuple[float, list[tuple[int, int, str]]]:
-    """The least log10 of guesses over all cuts of the value, and that cut.
-
-    A cut of k segments costs the sum of theirs and log10(k!), the orders they could be tried in; beyond
-    ``MOST_SEGMENTS`` each further one adds the same.
+        found: list[tuple[int, str, float]] = []
+        if low[i].isalpha() or plain[i].isalpha():
+            for j in range(i + 3, min(n, i + longest) + 1):
+                for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+                    if form in rank:
+                        part = value[i:j]
+                        cased = 0.0 if part == low[i:j] else 0.3 if part[0].isupper() and part[1:] == low[i + 1 : j] or part.isupper() else 1.0
+                        found.append((j, "word", math.log10(rank[form] + 1) + extra + cased))
+                        break
+        if value[i].isdigit() and (m := DATE.match(value, i)):
+            found.append((m.end(), "date", 2.1 if m.end() - i <= 4 else 4.6))
+            if m.end() - i > 4 and YEAR.match(m[0]):
+                found.append((i + 4, "date", 2.1))
+        if i >= run_from and i + 2 < n:
+            step = ord(low[i + 1]) - ord(low[i])
+            j = i + 1
+            while j < n and abs(step) <= 1 and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
+                j += 1
+            if j - i >= 3:
+                found.append((j, "run" if step else "repeat", (0.6 if low[i] in "a10z9" else 1.4) + math.log10(j - i)))
+            run_from = max(i + 1, j - 1)
+        if i >= walk_from and i + 3 < n:
+            j, turns, way = i + 1, 0, 0
+            while j < n and low[j] in NEAR.get(low[j - 1], ""):
+                now = ord(low[j]) - ord(low[j - 1])
+                turns, way = turns + (now != way), now
+                j += 1
+            if j - i >= 4:
+                found.append((j, "walk", 1.7 + 0.3 * (j - i) + 0.3 * turns))
+            walk_from = max(i + 1, j - 1)
+        if repeat is not None and repeat.start() == i:
+            unit, times = repeat[1], (repeat.end() - i) // len(repeat[1])
+            if repeat.end() - i >= 3:
+                found.append((repeat.end(), "repeat", (cost(unit, model) if len(unit) > 1 else 1.0) + math.log10(times)))
+            repeat = next(repeats, None)
+        yield found
+
+
+YEAR = re.compile(r"(?:19|20)\d\d")
+
+
+def cost(value: str, model: GuessModel, enough: float = math.inf) -> float:
+    """The least log10 of guesses over all cuts of the value; a cost of ``enough`` or more may be any such number.
+
+    A cut of k segments costs the sum of theirs and k - 1 joins. Brute-force spans cost their length times the log10 of
+    how many characters their classes have.
     """
-    n = len(value)
-    ends: dict[int, list[tuple[int, str, float]]] = {}
-    for i, j, kind, c in segments(value, model):
-        ends.setdefault(j, []).append((i, kind, c))
-    order = [0.0, *(math.log10(k) for k in range(1, MOST_SEGMENTS + 1))]
-    best = [{0: (0.0, None, False)}]  # by position, then segments so far: cost, where from, whether the last is brute force
-    for j in range(1, n + 1):
-        here: dict[int, tuple] = {}
-        for i, kind, c in [(j - 1, "brute", model.brute), *ends.get(j, ())]:
-            for k, (before, _, was) in best[i].items():
-                more = 0 if kind == "brute" and was else 1
-                k2 = min(k + more, MOST_SEGMENTS)
-                total = before + c + (order[k2] if more else 0)
-                if k2 not in here or total < here[k2][0]:
-                    here[k2] = (total, (i, k, kind), kind == "brute")
-        best.append(here)
-    if not n:
-        return 0.0, []
-    k = min(best[n], key=lambda x: best[n][x][0])
-    total, cut, j = best[n][k][0], [], n
-    while j:
-        _, (i, before, kind), _ = best[j][k]
-        if cut and kind == "brute" and cut[-1][2] == "brute" and cut[-1][0] == j:
-            cut[-1] = (i, cut[-1][1], kind)
-        else:
-            cut.append((i, j, kind))
-        j, k = i, before
-    return total, cut[::-1]
+    best, ahead = 0.0, {}  # of cuts that end here; of cuts that end further on
+    brute = [math.inf] * len(ALPHABET)  # of cuts that are in a brute-force span of these classes here
+    for i, found in enumerate(segments(value, model)):
+        join = model.join if i else 0.0
+        for j, _, c in found:
+            total = best + join + c
+            if total < ahead.get(j, math.inf):
+                ahead[j] = total
+        own = next(k for k, (x, _) in enumerate(CLASSES) if x.match(value[i]))
+        least = math.inf
+        for m in _WITH[own]:
+            brute[m] = min(brute[m], best + join) + ALPHABET[m]
+            least = min(least, brute[m])
+        for m in _WITHOUT[own]:
+            brute[m] = math.inf
+        best = min(least, ahead.pop(i + 1, math.inf))
+        if best >= enough and all(c >= enough for c in ahead.values()) and all(c >= enough for c in brute):
+            return best
+    return best
+
+
+_WITH = [[m for m in range(len(ALPHABET)) if m >> k & 1] for k in range(len(CLASSES))]
+_WITHOUT = [[m for m in range(len(ALPHABET)) if not m >> k & 1] for k in range(len(CLASSES))]
+
+
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#@]*(?:[/?#]|$)")
+
+
+def _reach(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts of spans in order, and how far the spans up to each reach."""
+    order = sorted((a, b) for a, _, b in spans)
+    return [a for a, _ in order], list(accumulate((b for _, b in order), max))
 
 
 def scan(text: str | None, model: GuessModel = GuessModel()) -> list[tuple[int, int, int]]:
@@ -202,15 +252,19 @@ def scan(text: str | None, model: GuessModel = GuessModel()) -> list[tuple[int,
     if LONG_HEX.search(text):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
     if any(k in low for k in CONTEXT_KEYS):
-        held = sorted((a, b) for a, _, b in found)
-        named = (VALUE.match(text, m.end()) for m in NAMED.finditer(text) if CREDENTIAL.search(m[1]))
-        for m in (*filter(None, named), *BEARER.finditer(text)):
-            a = m.start(m.re.groups)
-            value = m[m.re.groups].rstrip(".?:")
-            b = a + len(value)
-            if len(value) >= 6 and not any(x <= a and b <= y for x, y in held) and cost(value, model)[0] >= model.threshold:
-                found.append((a, 3, b))
-                held.append((a, b))
+        for pattern in (NAMED, BEARER):
+            starts, upto = _reach(found)
+            for m in pattern.finditer(text):
+                if pattern is NAMED:
+                    m = VALUE.match(text, m.end()) if CREDENTIAL.search(m[1]) else None
+                    if m is None:
+                        continue
+                a = m.start(m.re.groups)
+                value = m[m.re.groups].rstrip(".?:")
+                b = a + len(value)
+                at = bisect_right(starts, a)
+                if len(value) >= 6 and not (at and upto[at - 1] >= b) and not ADDRESS.match(value) and cost(value, model, model.threshold) >= model.threshold:
+                    found.append((a, 3, b))
     return sorted(found)
 
 

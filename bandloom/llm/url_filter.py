@@ -17,12 +17,14 @@ that only unwanted hosts have; hosts that are only linked to are seeds as well.
 
 Everything is joins and sums on edges and hosts; a host's links are summed into
 one row for each other host, so one host with most pages isn't a hot key past
-that sum. An iteration stops early when scores stand still.
+that sum. An iteration stops early when no host's score changes any more.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no
 rule, and the verdict of an unknown host, allow; null html has no links; links
 within a host don't count; repeated rows count again as links and are each
-judged; an empty table gives an empty table.
+judged, whatever their order; urls and pages of any length are read whole; an
+empty table gives an empty table; other columns aren't read, so only the id's
+name can clash with a result's, and it comes first.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 @dataclass(frozen=True)
 class Propagation:
-    """damping: of both walks; rounds: at most; still: the change of all scores, for each host, that ends them; led_share: the
+    """damping: of both walks; rounds: at most; still: the largest change of a host's score that ends them; led_share: the
     share of links out that lead to blocked seeds from which a host is blocked; balance: links in from trusted ones count so many times against it; words: parts of host names that make a blocked seed."""
 
     damping: float = 0.85
@@ -104,7 +106,7 @@ def rounds(start: DataFrame, step: Callable[[DataFrame], DataFrame], how: Propag
     score = start
     for _ in range(how.rounds):
         new = common.checkpointed(step(score))
-        change = new.join(score.withColumnRenamed("score", "was"), "host", "left").agg(F.avg(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
+        change = new.join(score.withColumnRenamed("score", "was"), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
         score = new
         if (change or 0.0) <= how.still:
             break

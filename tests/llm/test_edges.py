@@ -37,3 +37,20 @@ def test_no_break_spaces_between_words():
 def test_batches_are_of_bytes():
     texts = ["é" * 300, "a" * 300] * 4
     assert [len(x) for x in token_counts.by_bytes(texts, 600)] == [1, 2, 2, 2, 1]
+
+
+def test_memory_does_not_grow_with_a_value():
+    import random as rnd
+    import tracemalloc
+
+    from bandloom.llm import secret_scan
+
+    model = secret_scan.GuessModel()
+    secret_scan.ranks(model)
+    value = "".join(rnd.Random(1).choice("abcdefgh") for _ in range(2_000)) * 500
+    tracemalloc.start()
+    assert secret_scan.cost(value, model, model.threshold) >= model.threshold
+    assert secret_scan.cost("password" * 20_000, model, model.threshold) < model.threshold
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
