@@ -137,14 +137,16 @@ def vocabulary(path: str) -> list[str]:
 
 
 def ranks(model: GuessModel) -> tuple[dict[str, int], int]:
-    """Each word's best rank, and the longest word's length; read once by a worker."""
+    """Each word's best rank, 0 for what words begin with (three letters or more), and the longest word's length; read once by a worker."""
     key = (model.words, model.files)
     if key not in _RANKS:
         found: dict[str, int] = {}
         for words in (model.words, *map(vocabulary, model.files)):
             for i, w in enumerate(words, 1):
                 found[w] = min(i, found.get(w, i))
-        _RANKS[key] = found, max(map(len, found), default=0)
+        longest = max(map(len, found), default=0)
+        begins = {w[:k] for w in found for k in range(3, len(w))}
+        _RANKS[key] = dict.fromkeys(begins, 0) | found, longest
     return _RANKS[key]
 
 
@@ -161,12 +163,14 @@ def segments(value: str, model: GuessModel) -> Iterator[list[tuple[int, str, flo
         found: list[tuple[int, str, float]] = []
         if low[i].isalpha() or plain[i].isalpha():
             for j in range(i + 3, min(n, i + longest) + 1):
-                for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                    if form in rank:
-                        part = value[i:j]
-                        cased = 0.0 if part == low[i:j] else 0.3 if part[0].isupper() and part[1:] == low[i + 1 : j] or part.isupper() else 1.0
-                        found.append((j, "word", math.log10(rank[form] + 1) + extra + cased))
-                        break
+                own, leet = low[i:j], plain[i:j]
+                form, extra = (own, 0.0) if rank.get(own) else (leet, 0.5)
+                if rank.get(form):
+                    part = value[i:j]
+                    cased = 0.0 if part == own else 0.3 if part[0].isupper() and part[1:] == low[i + 1 : j] or part.isupper() else 1.0
+                    found.append((j, "word", math.log10(rank[form] + 1) + extra + cased))
+                if own not in rank and leet not in rank:
+                    break
         if value[i].isdigit() and (m := DATE.match(value, i)):
             found.append((m.end(), "date", 2.1 if m.end() - i <= 4 else 4.6))
             if m.end() - i > 4 and YEAR.match(m[0]):
