@@ -7,17 +7,21 @@ keep their places; tags with nothing between them make no lines. The lengths of
 text are summed over a sliding window of lines; text surges where the sum rises
 over a bound, dives where the window is empty again, and what lies between is
 kept, with up to a window of short lines right before it. This holds on every
-page. Text inside an ``article`` or ``main`` element weighs more, and where all
-of it is short the bound is a share of its largest sum; windows don't reach
-over the element's ends. Text outside of it is kept where it surges by itself.
+page. Where all text is short the bound is a share of its largest sum. Text
+inside an ``article`` or ``main`` element weighs more; windows don't reach over
+the element's ends, and text outside of it is kept where it surges by itself.
 An article inside a hidden element is hidden with it, if that element closes;
 ``main`` ends what only a class, an id or a role hides.
 
 A page is read alone, in one narrow pass. Nothing is collected or shuffled.
 
 Edge cases: null, empty and text-free pages give an empty text; an element
-that never closes ends with its page; a cut-off tag or comment at the end is
-dropped; repeated rows are each read; other columns aren't touched.
+that never closes ends with its page, but paragraphs, list items and cells end
+where the next one or their list ends; a quote that never closes ends with its
+tag; a cut-off tag or comment at the end is dropped; repeated rows are each
+read, whatever their order; a page of any length is read whole, in memory of a
+small multiple of its size; other columns aren't touched, and one that is named
+like the result gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,20 +37,41 @@ from pyspark.sql import DataFrame
 
 from . import common
 
+#: Comments, raw text up to its end or the page's, embedded content that closes, declarations, tags. A quote in a tag that
+#: doesn't close before white space, ``/`` or ``>`` is no quote, and the tag ends at its first ``>``.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math|audio|video)\b[^>]*?(?:/>|>(?:.*?</\1\s*>|.*\Z))|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|iframe)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<embed>template|svg|select|object|canvas|math|audio|video)\b[^>]*>.*?</(?P=embed)\s*>"
+    r"|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"<>]*\"|\"[^\"]*\"(?=[\s/>])|'[^'<>]*'|'[^']*'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements whose text never belongs to the article.
 ASIDE = frozenset("nav header footer aside form button dialog menu figcaption label option title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that open a new line.
-BLOCK = frozenset("p div article main section h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre figure hr address details summary body head html center fieldset".split()) | ASIDE
+BLOCK = frozenset("p div article main section ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre figure hr address details summary body head html center fieldset".split()) | ASIDE | HEADINGS
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-#: Parts of class and id names of blocks that aren't the article.
-NAMED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|comments?|commentlist|respond|replies|disqus|nav\w*|menus?|breadcrumbs?|sidebar\w*|widget\w*|related|recommend\w*|share\w*|sharing|social|footer|header|masthead|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])"
+#: Elements that end without a tag: what starts after them, and elements that hold them or stand in them.
+SIBLINGS = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr", "tbody", "tfoot"])}
+HOLDERS = frozenset("ul ol menu dl table div section article main body html aside nav header footer blockquote form details figure fieldset".split())
+#: Words in the class and id names of blocks that aren't the article, and words that only place a block. A name counts if
+#: it has one of the first and, parted at hyphens, underscores, digits and capitals, nothing else than both.
+NAMES = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsors sponsored sponsorship promo promos promotion
+    promotions cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe subscription comment comments commentlist respond
+    replies disqus nav navbar navigation topnav subnav menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets related recommend recommended
+    recommendations share shares sharebar sharing social footer header masthead toolbar pagination pager login signup search""".split()
 )
+PLACES = frozenset(
+    """box boxes bar bars block blocks container wrap wrapper area section list lists item items inner outer main site page top bottom left right center
+    middle global primary secondary tertiary button buttons link links icon icons media row rows col column panel slot unit form group post posts article
+    articles story stories entry thread count body content text title heading small large mobile desktop sticky fixed sub the and us on""".split()
+)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: With one of these a header is the article's own.
+OWN = frozenset("article post entry story".split())
+#: Elements that no class, id or role hides.
+NEVER = HEADINGS | {"body", "html", "article", "main"}
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACE = re.compile(r"\s+")
@@ -55,7 +80,7 @@ SPACE = re.compile(r"\s+")
 @dataclass(frozen=True)
 class LineBlocks:
     """window: lines summed together; surge: characters in a window from which text begins; link_share: share of a line's text in links from which it is a menu's;
-    weight: how many characters one in an article or main element counts for; peak_share: text surges there at this share of its largest sum, too."""
+    weight: how many characters one in an article or main element counts for; peak_share: text surges at this share of its largest sum, too."""
 
     window: int = 3
     surge: int = 80
@@ -71,14 +96,23 @@ class Line:
     off: bool
 
 
+def aside_name(value: str) -> bool:
+    """Whether a class or id attribute names a block that isn't the article."""
+    for token in value.split():
+        parts = {x.lower() for x in PARTS.findall(token)}
+        if parts & NAMES and parts <= NAMES | PLACES and not (parts & OWN and parts & NAMES == {"header"}):
+            return True
+    return False
+
+
 def closing(tokens: list[re.Match]) -> set[int]:
     """Where the elements start that are closed again."""
     opened: dict[str, list[int]] = {}
     closed = set()
     for m in tokens:
-        if m[3] is not None:
-            held = opened.setdefault(m[3].lower(), [])
-            if not m[2]:
+        if m["name"] is not None:
+            held = opened.setdefault(m["name"].lower(), [])
+            if not m["end"]:
                 held.append(m.start())
             elif held:
                 closed.add(held.pop())
@@ -91,7 +125,7 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
     parts: list[str] = []
     linked = total = 0
     off = ""  # the element that hides text, how deep it stands in itself, where it starts, whether by its name alone
-    depth = begins = article = anchor = 0
+    depth = begins = article = anchor = inner = 0  # inner: holders that are open in a hidden element that may end without a tag
     by_tag = False
     upto = 0
     tokens = list(TOKEN.finditer(page))
@@ -112,10 +146,10 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
             total += len(part)
             linked += len(part) if anchor else 0
         upto = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
             continue
-        name, ends = name.lower(), bool(m[2])
+        name, ends = name.lower(), bool(m["end"])
         if name == "a":
             anchor = 0 if ends else 1
         elif name == "br" and not off:
@@ -126,6 +160,15 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
                     closed = closing(tokens)
                 if begins not in closed or name == "main" and not by_tag:
                     off, depth = "", 0  # what never closed ends here
+            elif off in SIBLINGS:
+                over = name == off if ends and not inner else False
+                if over or not inner and (name in HOLDERS or off in ("td", "th") and name == "tr" if ends else name in SIBLINGS[off]):
+                    lines.append(Line("", article > 0, True))
+                    off = ""
+                    if over:
+                        continue
+                elif name in HOLDERS:
+                    inner += -1 if ends else 1
             elif name == off:
                 depth += -1 if ends else 1
                 if not depth:
@@ -139,12 +182,13 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
             close()
         if not ends and name not in VOID:
             hides = by_tag = name in ASIDE
-            if not hides and m[4]:
-                for key, *values in ATTRIBUTE.findall(m[4]):
+            if not hides and m["rest"] and name not in NEVER:
+                for key, *values in ATTRIBUTE.findall(m["rest"]):
                     value = "".join(values)
-                    hides |= value.lower() in ROLES if key.lower() == "role" else name not in ("body", "html", "article", "main") and bool(NAMED.search(value))
-            if hides and not (name == "header" and article and not m[4]):
-                off, depth, begins = name, 1, m.start()
+                    coded = name not in BLOCK and value.lower() == "comment"  # as in marked-up program text
+                    hides |= value.lower() in ROLES if key.lower() == "role" else aside_name(value) and not coded
+            if hides and not (name == "header" and article and not m["rest"].strip()):
+                off, depth, begins, inner = name, 1, m.start(), 0
                 continue
         if name in ("article", "main"):
             article = max(0, article + (-1 if ends else 1))
@@ -161,12 +205,13 @@ def main_text(page: str | None, rule: LineBlocks = LineBlocks()) -> str:
     if not page:
         return ""
     lines, w = lines_of(page, rule), rule.window
+    marked = any(x.inside for x in lines)
     kept = []
     for within, run in itertools.groupby(lines, lambda x: x.inside):
         run = list(run)
         size = [0 if x.off else len(x.text) * (rule.weight if within else 1) for x in run]
         sums = [sum(size[i : i + w]) for i in range(len(run))]
-        bound = min(rule.surge, rule.peak_share * max(sums)) if within else rule.surge
+        bound = rule.surge if marked and not within else min(rule.surge, rule.peak_share * max(sums))
         inside, upto = False, 0  # what lies before upto is settled
         for i in range(len(run)):
             if inside:

@@ -179,7 +179,7 @@ def test_pages(spark):
     rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "just text " * 20), (5, "u", "<p>cut <b"), (6, "u", "<nav>a</nav><main><p>only</main>"), (1, "u", PAGE)]
     frame = spark.createDataFrame([(*r, "m") for r in rows], "page_id long, url string, html string, extra string")
     got = [(r["page_id"], r["main_text"]) for r in html_text.extract(frame).collect()]
-    assert dict(got) == {1: "Head & line\n\nFirst one two.\n\nx\n\nThird é.", 2: "", 3: "", 4: ("just text " * 20).strip(), 5: "", 6: "only"}
+    assert dict(got) == {1: "Head & line\n\nFirst one two.\n\nx\n\nThird é.", 2: "", 3: "", 4: ("just text " * 20).strip(), 5: "cut", 6: "only"}
     assert len(got) == 7 and html_text.extract(frame.limit(0)).count() == 0
 
 
@@ -211,6 +211,57 @@ def test_headings_and_short_blocks_in_wrappers():
     assert html_text.main_text(f"<nav>n</nav><h1>T</h1><p>By A</p><p>Today</p><p>{long}</p>") == f"T\n\nBy A\n\nToday\n\n{long}"
 
 
+def test_ends_that_have_no_tag_and_quotes_that_do_not_close():
+    text = html_text.main_text
+    assert text('<p>one<p class="ad">buy<p>two<p>three</p>') == "one\n\ntwo\n\nthree"
+    assert text("<article><ul><li>a<li class=ad>b<ul><li>x</ul><p>q</p><li>c</ul><p>d</article>") == "a\n\nc\n\nd"
+    assert text("<article><table><tr><td class=ad>no<td>yes<tr class=promo><td>no<tr><td>also</table><p>end</article>") == "yes\n\nalso\n\nend"
+    assert text("<article><dl><dt>a<dd class=notice>b<dd>c</dl></article>") == "a\n\nc"
+    assert text('<p class="x>one two</p><p class="y">three</p>') == "one two\n\nthree"
+    assert text("<article><p title='it's>kept</p><p title=\"a > b\">more</p></article>") == "kept\n\nmore"
+    assert text("<script src=/a/>var x</script><article><p>k</p></article>") == "k"
+
+
+def test_names_are_whole_words():
+    inner = '<h2 class="comment">Title</h2><div class="related-work">Work</div><div class="share-price-list">Prices</div><div class="navy-seals">Seals</div><header class="article-header">Head</header>'
+    hidden = '<div class="related-posts">r</div><div id="commentsArea">c</div><div class="x site-footer">f</div><div class="cookie-banner">k</div><p class="ad-2">a</p>'
+    for page in (f"<article>{inner}{hidden}</article>", f"<article>{hidden}{inner}</article>"):
+        assert html_text.main_text(page).split("\n\n")[:4] == ["Title", "Work", "Prices", "Seals"]
+        assert not set(html_text.main_text(page).split("\n\n")) & set("rcfka")
+
+
+def test_surges_and_dives():
+    """Intervals of windows that hold text, cut at their first surge, against the scan."""
+    rng = random.Random(8)
+    rule = html_text.LineBlocks()
+    for _ in range(400):
+        sizes = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(1, 25))]
+        page = "".join(f"<p>{'x' * n}</p>" if n else "<nav>n</nav>" for n in sizes)
+        sums = [sum(sizes[i : i + rule.window]) for i in range(len(sizes))]
+        bound = min(rule.surge, rule.peak_share * max(sums))
+        expected, settled, i = [], 0, 0
+        while i < len(sizes):
+            if not sums[i]:
+                i += 1
+                continue
+            end = next((k for k in range(i, len(sizes)) if not sums[k]), len(sizes))
+            first = next((k for k in range(i, end) if sums[k] >= bound and sizes[k]), None)
+            if first is not None:
+                back = [k for k in range(max(settled, first - rule.window), first) if all(sizes[k:first])]
+                expected += [sizes[k] for k in (*back, *range(first, end)) if sizes[k]]
+                settled = end
+            i = end
+        assert [len(x) for x in html_text.main_text(page).split("\n\n") if x] == expected, sizes
+
+
+def test_pages_by_the_query(spark, tmp_path):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", "<p>é" + "🙂 " * 60 + "</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in queries.QUERIES["op4_html_extraction"](spark, str(tmp_path)).collect()}
+    assert got[1]["text"] == "Head & line\n\nFirst one two.\n\nx\n\nThird é." and got[2]["text"] == "" and got[2]["n_chars"] == 0
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[3]["n_chars"] == 120
+
+
 # -- 5 urls
 
 
