@@ -649,54 +649,179 @@ def test_buckets_rise_with_ids(spark):
 # -- 10 language model
 
 
-def test_scores(docs, spark):
-    small = pitman_yor.Model(hot_share=0.004, event_share=0.02, context_share=0.05)
+@pytest.mark.parametrize("how", [pitman_yor.Model(), pitman_yor.Model(hot_share=0.004, hot_pair_share=0.01, part_tokens=3000, chunk_tokens=700, chunk_docs=5), pitman_yor.Model(hot_share=0.9, part_tokens=500)])
+def test_scores(docs, spark, how):
     rows = [(i, t or "") for i, t in texts_of(docs)]
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
     tokens = lambda t: [*t.encode().lower().split(), None]
     c = collections.Counter(w for i, t in rows if train(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    for how in (small, pitman_yor.Model()):
-        got = pitman_yor.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, how).collect()
-        expected = collections.Counter()
-        for i, t in rows:
-            base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
-            expected[(i, not train(i), len(tokens(t)), sum(w in c for w in tokens(t)), n, round(base, 6))] += 1
-        assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == expected
-        held = [r for r in got if r["held_out"]]
-        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
-        assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    none = pitman_yor.score_texts(docs, F.lit(False)).collect()
+    got = pitman_yor.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, how).collect()
+    expected = collections.Counter()
+    for i, t in rows:
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
+        expected[(i, not train(i), len(tokens(t)), sum(w in c for w in tokens(t)), n, round(base, 6))] += 1
+    assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == expected
+    held = [r for r in got if r["held_out"]]
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    none = pitman_yor.score_texts(docs, F.lit(False), how).collect()
     assert len(none) == len(rows) and all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in none)
-    assert pitman_yor.score_texts(empty(docs), F.lit(True)).count() == 0
+    assert pitman_yor.score_texts(empty(docs), F.lit(True), how).count() == 0
+    nulls = pitman_yor.score_texts(spark.createDataFrame([(None, "a b"), (None, None), (3, "a")], "doc_id long, text string"), F.lit(None).cast("boolean"), how).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in nulls) == [(0, 1, 1), (0, 3, 3), (3, 2, 2)]
+
 
+def test_scores_do_not_hang_on_how_pairs_are_dealt_out(docs, spark):
+    """One part or many, hot pairs or none: only the draws differ."""
+    train = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    first, other = (
+        {(r["doc_id"], r["n_tokens"]): r["score"] for r in pitman_yor.score_texts(docs, train, pitman_yor.Model(samples=12, rounds=3, seed=seed, **kind)).collect()}
+        for seed, kind in ((1, {}), (2, {"part_tokens": 2000, "hot_pair_share": 0.002, "chunk_tokens": 900}))
+    )
+    assert first.keys() == other.keys()
+    for k, x in first.items():
+        assert abs(x - other[k]) < 0.05 * abs(x) + 0.5, k
 
-def test_predictions_are_probabilities_and_favour_context():
+
+def test_laws_of_seating():
     import numpy as np
 
-    counts = np.zeros((4, 6), np.int64)
-    counts[0, 2], counts[2, 3], counts[2, 4], counts[3, 4] = 5, 5000, 10, 300
-    p = pitman_yor.predictive(counts, pitman_yor.Model())
-    np.testing.assert_allclose(p.sum(axis=1), 1, rtol=1e-9)
-    assert (p > 0).all() and p[2, 3] > p[1, 3] > p[3, 3] and p[3, 4] > 0.9 > p[1, 4]
+    d, most = 0.4, 30
+    table = pitman_yor.stirling(d, most)
+    ways = collections.defaultdict(float)  # weights of all seatings of five customers, one by one
+
+    def seat(sizes, weight):
+        if sum(sizes) == 5:
+            ways[len(sizes)] += weight
+            return
+        for j in range(len(sizes)):
+            seat([x + (k == j) for k, x in enumerate(sizes)], weight * (sizes[j] - d))
+        seat([*sizes, 1], weight)
+
+    seat([1], 1.0)
+    np.testing.assert_allclose(np.exp(table[5, 1:6]), [ways[t] for t in range(1, 6)])
+    rng, a = np.random.default_rng(1), 0.8
+    for c in (1, 2, 7, 30):
+        got = pitman_yor.Seats(np.full(40_000, c), most).draw(np.full(40_000, a), d, rng)
+        p = np.exp(table[c, 1 : c + 1] + np.log(a) * np.arange(1, c + 1))
+        np.testing.assert_allclose(np.bincount(got, minlength=c + 1)[1:] / 40_000, p / p.sum(), atol=0.01)
+    # customers beyond the table: the law with a larger table says the same
+    for c, a in ((400, 0.5), (2000, 5.0)):
+        exact = pitman_yor.Seats(np.full(3000, c), 2000).draw(np.full(3000, a), d, rng)
+        near = pitman_yor.Seats(np.full(3000, c), 256).draw(np.full(3000, a), d, rng)
+        assert abs(exact.mean() - near.mean()) < 0.05 * exact.mean() and abs(exact.std() - near.std()) < 0.15 * exact.std()
+    assert pitman_yor.Seats(np.zeros(3, np.int64), 9).draw(np.ones(3), d, rng).tolist() == [0, 0, 0]
+    np.testing.assert_allclose(pitman_yor.log_gamma(np.array([0.1, 1, 2.5, 40, 1e6])), [math.lgamma(x) for x in (0.1, 1, 2.5, 40, 1e6)], rtol=1e-10, atol=1e-10)
+
+
+def learned(spark, texts, how):
+    """A model of the texts, and its pairs, in this process."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("training", F.lit(True))
+    rows = pitman_yor.chunks(frame, how).cache()
+    n = rows.agg(F.sum("n_train")).first()[0]
+    found = pitman_yor.word_counts(rows, 1, 1).filter("kind = 0").orderBy("key").toPandas()
+    import numpy as np
 
+    counts = found["n"].to_numpy(np.int64)
+    words = pitman_yor.Lexicon(found["key"].to_numpy(np.int64), counts, counts >= 10**9, 1)
+    cells = pitman_yor.count_pairs(rows, words).cache()
+    return words, cells, pitman_yor.learn(cells, words, len(counts), n, how)
 
-def test_seating_matches_the_exact_process():
+
+def test_predictions_are_probabilities(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", (9, 5, 3, 3, 2, 1, 1, 1), k=30)) for _ in range(20)]
+    how = pitman_yor.Model(hot_share=0.05)
+    words, cells, made = learned(spark, texts, how)
+    part = pitman_yor.Part(*cells.first())
+    tables, customers, root_tables, _, _ = part.round(made.state, how, how.rounds - 1)
+    base, s = made.after.root(customers, root_tables), made.after
+    unseen = s.root(np.zeros(1), np.zeros(1))[0]
+    np.testing.assert_allclose(base.sum() + unseen, 1, rtol=1e-9)
+    for room in np.unique(part.rooms):
+        mine = part.rooms == room
+        own = np.zeros(len(base))
+        own[part.word[mine]] = part.customers[mine] - s.d * tables[mine]
+        p = (own + (s.theta + s.d * made.tables[room]) * base) / (s.theta + made.guests[room])
+        np.testing.assert_allclose(p.sum() + (s.theta + s.d * made.tables[room]) * unseen / (s.theta + made.guests[room]), 1, rtol=1e-9)
+        assert made.guests[room] == part.customers[mine].sum()
+
+
+def test_predictions_against_a_plain_sampler(spark, monkeypatch):
+    """Customers taken out and seated again one at a time, in restaurants and in the root."""
     import numpy as np
 
-    rng, how = np.random.default_rng(0), pitman_yor.Model()
-    m, c, d, theta, base, others = 20000, 50, 0.6, 1.0, 0.05, 10
-    got = pitman_yor.seat(np.full(m, c), np.full(m, others), np.full(m, base), d, theta, how, rng).mean()
-    p = {1: 1.0}
-    for j in range(1, c):
-        new = collections.defaultdict(float)
-        for t, q in p.items():
-            a = (theta + d * (others + t)) * base
-            x = a / (j - d * t + a)
-            new[t] += q * (1 - x)
-            new[t + 1] += q * x
-        p = new
-    assert abs(got - sum(t * q for t, q in p.items())) < 0.05
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcde", (8, 4, 2, 1, 1), k=25)) for _ in range(8)]
+    d, theta = 0.6, 1.5
+    monkeypatch.setattr(pitman_yor, "sample_law", lambda *_: (d, theta))
+    how = pitman_yor.Model(rounds=40, burn_in=1, samples=20)
+    words, cells, made = learned(spark, texts, how)
+    part = pitman_yor.Part(*cells.first())
+    monkeypatch.undo()
+    total, times = 0, 60
+    state = made.state
+    for k in range(times):  # the last state's auxiliary variables are drawn again each time, as between rounds
+        state = pitman_yor.replace(state, x=np.random.default_rng(k).gamma(theta / d + made.tables), x0=float(np.random.default_rng(k).gamma(theta / d + state.tables)))
+        tables, customers, root_tables, _, _ = part.round(state, how, k)
+        made.tables = np.bincount(part.rooms, tables, len(made.tables))
+        state = pitman_yor.replace(state, customers=tables.sum(), tables=root_tables.sum())
+        base = state.root(customers, root_tables)
+        total = total + (part.customers - d * tables + (theta + d * made.tables[part.rooms]) * base[part.word]) / (theta + made.guests[part.rooms])
+    got = {(int(r), int(part.keys[w])): p for r, w, p in zip(part.rooms, part.word, total / times, strict=True)}
+
+    end = pitman_yor.END_WORD
+    pairs = [(u, w) for t in texts for u, w in zip([None, *t.encode().split()], [*t.encode().split(), end], strict=True)]
+    vocabulary = sorted({w for _, w in pairs})
+    seats = collections.defaultdict(list)  # table sizes by context and word; the root's context is 0
+    totals = lambda u: (sum(map(sum, (seats[u, w] for w in vocabulary))), sum(len(seats[u, w]) for w in vocabulary))
+
+    def predict(u, w):
+        n, t = totals(u)
+        own = seats[u, w]
+        below = 1 / (len(vocabulary) + 1) if u == 0 else predict(0, w)
+        return (sum(own) - d * len(own) + (theta + d * t) * below) / (theta + n)
+
+    def enter(u, w):
+        n, t = totals(u)
+        own = seats[u, w]
+        below = 1 / (len(vocabulary) + 1) if u == 0 else predict(0, w)
+        weights = [x - d for x in own] + [(theta + d * t) * below]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(1)
+            if u != 0:
+                enter(0, w)
+        else:
+            own[k] += 1
+
+    def leave(u, w):
+        own = seats[u, w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            if u != 0:
+                leave(0, w)
+
+    for u, w in pairs:
+        enter(u, w)
+    mean, samples = collections.Counter(), 0
+    for sweep in range(160):
+        for u, w in pairs:
+            leave(u, w)
+            enter(u, w)
+        if sweep >= 20:
+            samples += 1
+            for u, w in set(pairs):
+                mean[u, w] += predict(u, w)
+    room = lambda u: 0 if u is None else int(words.rooms(np.array([pitman_yor._key(u)]))[0])
+    for (u, w), x in mean.items():
+        assert abs(got[room(u), pitman_yor._key(w)] - x / samples) < 0.02, (u, w)
+    assert len(got) == len(mean)
 
 
 # -- all together
