@@ -9,9 +9,12 @@ however long it is, where scanning for the lowest rank takes n squared.
 
 A worker remembers the ids of short pre-tokens it has met, in bounded memory.
 
-Edge cases: null is the empty text, no ids; repeated rows are each encoded;
-lone surrogates can't occur in Spark strings; an empty table gives an empty
-table.
+Edge cases: null is the empty text, no ids; repeated rows are each encoded; of
+equal ranks the first place in the text merges first; a text of any length is
+read whole, in memory of a small multiple of its longest pre-token beside its
+ids; lone surrogates can't occur in Spark strings; other columns than id and
+text aren't read, and decoding gives way to none: a column named like its result
+is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -173,9 +176,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """The rows with the bytes of their ids under ``out_col``; null ids give null. An id that the file lacks is an error."""
-    names = [f for f in rows.schema if f.name != out_col]
-    source = rows.select(*(rows[f.name] for f in names))
-    at = source.columns.index(ids_col)
+    names = [f for f in rows.schema if f.name.lower() != out_col.lower()]
+    source = rows.select(*(rows[f"`{f.name}`"] for f in names))
+    at = common.place_of(source.columns, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -81,6 +81,19 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def place_of(names: list[str], name: str | None) -> int | None:
+    """Where a column is, as Spark finds it: the case of letters doesn't matter."""
+    return next((i for i, x in enumerate(names) if name is not None and x.lower() == name.lower()), None)
+
+
+def free_prefix(names: list[str]) -> str:
+    """What none of the names begins with, for columns of an operator's own."""
+    prefix = "__"
+    while any(x.lower().startswith(prefix) for x in names):
+        prefix += "_"
+    return prefix
+
+
 def small_batches(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -230,9 +231,9 @@ def main_text(page: str | None, rule: LineBlocks = LineBlocks()) -> str:
 
 def extract(pages: DataFrame, rule: LineBlocks = LineBlocks(), html_col: str = "html", out_col: str = "main_text") -> DataFrame:
     """All columns but the html, and the main text under ``out_col``."""
-    at = pages.columns.index(html_col)
-    rest = [f for i, f in enumerate(pages.schema) if i != at and f.name != out_col]
-    source = pages.select(*(pages[f.name] for f in rest), pages[html_col])
+    at = common.place_of(pages.columns, html_col)
+    rest = [f for i, f in enumerate(pages.schema) if i != at and f.name.lower() != out_col.lower()]
+    source = pages.select(*(F.col(f"`{f.name}`") for f in rest), F.col(f"`{html_col}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +245,5 @@ def extract(pages: DataFrame, rule: LineBlocks = LineBlocks(), html_col: str = "
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

@@ -429,17 +429,19 @@ def keep_one(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id",
     whose text has the least digest goes first, as it goes by the id; other texts of repeated ids, and those
     without an id, stand behind all ids below 2 ** 62. A text that only such a row has goes where it isn't chosen.
     """
-    own, digest = F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    told = docs.select(own.alias("__id"), digest.alias("__digest")).filter("__id is not null")
-    repeats = told.groupBy("__id").agg(F.min("__digest").alias("__least"), F.max("__digest").alias("__last")).filter("__least < __last").drop("__last")
+    p = common.free_prefix(docs.columns)
+    id_, least, last, node_, kept_, chosen_ = (f"{p}{x}" for x in ("id", "least", "last", "node", "kept", "chosen"))
+    own, digest = F.col(f"`{id_col}`").cast("long"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+    told = docs.select(own.alias(id_), digest.alias("digest")).filter(F.col(id_).isNotNull())
+    repeats = told.groupBy(id_).agg(F.min("digest").alias(least), F.max("digest").alias(last)).filter(F.col(least) < F.col(last)).drop(last)
     behind = F.xxhash64(own, digest).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
-    node = F.when(own.isNull() | (F.col("__least") != digest), behind).otherwise(own)
-    rows = docs.join(common.written(repeats, "repeats"), own == F.col("__id"), "left").withColumn("__node", node).drop("__id", "__least")
-    kept = near_duplicates(rows, rule, "__node", text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    nodes = rows.select(F.coalesce(own, "__node").alias("__id"), "__node").join(kept, F.col("__node") == F.col("__kept_id"), "left_semi")
-    chosen = nodes.groupBy("__id").agg(F.min("__node").alias("__chosen"))
-    stay = rows.join(chosen, F.col("__node") == F.col("__chosen"), "left_semi")
-    return stay.dropDuplicates(["__node"]).drop("__node")
+    node = F.when(own.isNull() | (F.col(least) != digest), behind).otherwise(own)
+    rows = docs.join(common.written(repeats, "repeats"), own == F.col(id_), "left").withColumn(node_, node).drop(id_, least)
+    kept = near_duplicates(rows, rule, node_, text_col).filter("kept").select(F.col("doc_id").alias(kept_))
+    nodes = rows.select(F.coalesce(own, F.col(node_)).alias(id_), node_).join(kept, F.col(node_) == F.col(kept_), "left_semi")
+    chosen = nodes.groupBy(id_).agg(F.min(node_).alias(chosen_))
+    stay = rows.join(chosen, F.col(node_) == F.col(chosen_), "left_semi")
+    return stay.dropDuplicates([node_]).drop(node_)
 
 
 #: The contract's links: three words and 0.85.

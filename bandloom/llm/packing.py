@@ -10,7 +10,10 @@ doesn't grow with its rows, and a lost task packs the same way again, as its
 rows arrive in the order of their hash.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are
-packed each on their own; an empty table gives an empty table.
+packed each on their own; pieces of one length are placed in the order of their
+rows' hashes, and of sequences with the same room the one opened last is taken;
+a text of any length becomes pieces of at most the room; an empty table gives
+an empty table; other columns than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -91,8 +94,10 @@ def pieces(docs: DataFrame, path: str, room: int, end_id: int, id_col: str = "do
 
 
 def pack(rows: DataFrame, room: int, length_col: str = "length", open_bins: int = 4096, block: int = 16384) -> DataFrame:
-    """``rows`` with sequence_id and offset. Lengths are from 1 to ``room``."""
-    at = rows.columns.index(length_col)
+    """``rows`` with sequence_id and offset, in whose place columns of those names go. Lengths are from 1 to ``room``."""
+    rows = rows.drop(*(c for c in rows.columns if c.lower() in ("sequence_id", "offset")))
+    at = common.place_of(rows.columns, length_col)
+    own = f"{common.free_prefix(rows.columns)}deal"
     deal = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,7 @@ def pack(rows: DataFrame, room: int, length_col: str = "length", open_bins: int
         if n:
             yield flush(held)
 
-    dealt = rows.withColumn("__deal", deal).repartition("__deal").sortWithinPartitions("__deal").drop("__deal")
+    dealt = rows.withColumn(own, deal).repartition(own).sortWithinPartitions(own).drop(own)
     return dealt.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "sequence_id long", "offset long"]))
 
 

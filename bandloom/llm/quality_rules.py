@@ -171,8 +171,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
 def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The kept documents, all columns as they are but for the text, without its failing lines, and its length."""
     names = docs.columns
-    at = names.index(text_col)
-    length = names.index(length_col) if length_col in names else None
+    at, length = common.place_of(names, text_col), common.place_of(names, length_col)
 
     @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

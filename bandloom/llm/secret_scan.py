@@ -292,8 +292,7 @@ def find_secrets(docs: DataFrame, model: GuessModel = GuessModel(), id_col: str
 def redact(docs: DataFrame, model: GuessModel = GuessModel(), text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[redacted]") -> DataFrame:
     """All rows and columns, with every span of the text replaced by the mask, and its length corrected."""
     names = docs.columns
-    at = names.index(text_col)
-    length = names.index(length_col) if length_col in names else None
+    at, length = common.place_of(names, text_col), common.place_of(names, length_col)
 
     def masked(text: str | None) -> str | None:
         spans = scan(text, model)

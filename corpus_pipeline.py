@@ -6,7 +6,9 @@ return the columns of ``documents``.
 
 Edge cases follow from the operators: null and empty texts are rejected by the
 quality rules; of rows that repeat an id one stays, and of equal texts without an
-id; an empty table stays empty.
+id; ties are settled as the operators say; a text of any length passes whole; an
+empty table stays empty; further columns, whatever their names, pass through all
+stages but the last.
 """
 
 from __future__ import annotations
