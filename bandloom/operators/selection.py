@@ -55,16 +55,21 @@ def crop_centre(px: DataFrame, height: int, width: int, size: int) -> DataFrame:
     return px.filter(F.col("y").between(y0, y0 + size - 1) & F.col("x").between(x0, x0 + size - 1))
 
 
-def evenly_spaced(rows: DataFrame, index: str, n: int, most: int) -> DataFrame:
-    """``most`` of ``n`` rows by an index from 0, evenly spaced with both ends; all of them where there are no more."""
-    if n <= most:
-        return rows
+def evenly_spaced(rows: DataFrame, index: str, n: int | None, most: int) -> DataFrame:
+    """``most`` of ``n`` rows by an index from 0, evenly spaced with both ends; all of them where there are no more.
+
+    Without ``n`` the rows are counted in the same plan, as one row that is broadcast.
+    """
+    names = rows.columns
+    if n is None:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))
+    count = F.lit(n) if n is not None else F.col("__all")
     if most == 1:
-        return rows.filter(F.col(index) == 0)
+        return rows.filter((F.col(index) == 0) | (count <= most)).select(names)
     # i is picked if some k has floor(k * (n - 1) / (most - 1)) = i
-    i, a, b = F.col(index), n - 1, most - 1
-    k = F.ceil(i * b / a).cast("long")
-    return rows.filter((k < most) & (F.floor(k * a / b) == i))
+    i, a, b = F.col(index), count - 1, most - 1
+    k = F.ceil(F.try_divide(i * b, a)).cast("long")
+    return rows.filter((count <= most) | (k < most) & (F.floor(k * a / b) == i)).select(names)
 
 
 def tiled(px: DataFrame, th: int, tw: int) -> DataFrame:

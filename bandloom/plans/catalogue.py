@@ -190,7 +190,7 @@ def select_frames(spark, d):
 @query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id FROM embeddings, n WHERE vec_id IN (SELECT CAST(k * (n - 1) // 99 AS BIGINT) FROM range(100) t(k), n)")
 def linspace_sample(spark, d):
     rows = W.table(spark, d, "embeddings").select("vec_id")
-    return S.evenly_spaced(rows, "vec_id", rows.count(), 100)
+    return S.evenly_spaced(rows, "vec_id", None, 100)
 
 
 @query(f"WITH {PX} SELECT frame_id, CAST(y // 4 AS INTEGER) AS tile_y, CAST(x // 8 AS INTEGER) AS tile_x, count(*) AS n FROM px GROUP BY ALL")
@@ -724,3 +724,6 @@ MAPPED = f"""WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))}, ps AS (SE
 def temperature_maps(spark, d):
     maps = entry(spark, d)
     return maps.select("frame_id", "y", "x", "valid", r("chisq").alias("chisq"), log_of(F.col("em")).alias("log_em"), *(r(c).alias(c) for c in ("peak_logt", "mean_logt", "median_logt", "std_logt")))
+
+
+from . import files  # noqa: E402, F401  (queries that go through files, which use this module's views)

@@ -5,12 +5,34 @@ from __future__ import annotations
 import os
 import platform
 import sys
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where all executors can write and read: below the checkpoint folder, or in this machine's temporary folder if all tasks run here."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="bandloom-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def put(path: str, content: bytes) -> None:
+    """A file on any store that Arrow knows, whole."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(content)
+
+
 SECTION = "section string, seconds double, status string"
 
 

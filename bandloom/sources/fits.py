@@ -147,12 +147,17 @@ def pixels_of_sets(spark: SparkSession, directory: str, sets: DataFrame, bands:
     return rows.mapInArrow(run, "frame_id string, y int, x int, dn array<double>")
 
 
-def write(path: str, data: np.ndarray, **cards: object) -> None:
-    """A single-unit file of doubles, on the driver; for tests and fixtures."""
+def encoded(data: np.ndarray, **cards: object) -> bytes:
+    """A file of one unit of doubles."""
     lines = ["SIMPLE  =                    T", "BITPIX  =                  -64", f"NAXIS   = {data.ndim:20d}"]
     lines += [f"NAXIS{i + 1}  = {n:20d}" for i, n in enumerate(data.shape[::-1])]
     lines += [f"{k.replace('_obs', '-obs').upper():8}= {repr(v) if isinstance(v, str) else str(v).rjust(20)}" for k, v in cards.items()] + ["END"]
     head = "".join(x.ljust(CARD) for x in lines)
     raw = data.astype(">f8").tobytes()
+    return head.ljust(-(-len(head) // BLOCK) * BLOCK).encode() + raw.ljust(-(-len(raw) // BLOCK) * BLOCK, b"\0")
+
+
+def write(path: str, data: np.ndarray, **cards: object) -> None:
+    """A file of one unit of doubles, on the driver; for tests and fixtures."""
     with open(path, "wb") as f:
-        f.write(head.ljust(-(-len(head) // BLOCK) * BLOCK).encode() + raw.ljust(-(-len(raw) // BLOCK) * BLOCK, b"\0"))
+        f.write(encoded(data, **cards))

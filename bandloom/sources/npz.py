@@ -9,6 +9,7 @@ where frames are read more than once: Parquet prunes columns, frames and crops.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import uuid
@@ -144,7 +145,7 @@ def write_stacks(px: DataFrame, directory: str, nf: int = 6) -> DataFrame:
         from pyarrow import fs
 
         name = pdf["frame_id"].iloc[0]
-        store, root = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
+        store, root = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory.removeprefix('file:')}")
         store.create_dir(root, recursive=True)
         target = f"{root}/{name}.npz"
         if store.get_file_info(target).type != fs.FileType.NotFound:
@@ -163,12 +164,79 @@ def write_stacks(px: DataFrame, directory: str, nf: int = 6) -> DataFrame:
     return px.select("frame_id", "y", "x", "dn").groupBy("frame_id").applyInPandas(run, "frame_id string, path string, written boolean")
 
 
+def unpack(spark: SparkSession, archives: str, directory: str, sha256: str | None = None, pattern: str = "*.zip") -> DataFrame:
+    """name and length of every NPZ in the archives, written flat to ``directory``, a folder that all executors share.
+
+    ``sha256``: what the archives' digest must be, in either case; another one is an error and nothing of it is written.
+    One task unpacks an archive, member by member; folders within it are dropped from names.
+    """
+    files = listing(spark, archives, pattern).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..runtime import put
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = content.as_py()
+                if sha256 and hashlib.sha256(raw).hexdigest() != sha256.lower():
+                    raise ValueError(f"{path} has another digest")
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    members = [x for x in z.infolist() if x.filename.endswith(".npz")]
+                    for x in members:
+                        put(f"{directory}/{x.filename.rpartition('/')[2]}", z.read(x))
+                yield pa.RecordBatch.from_pydict({"name": [x.filename.rpartition("/")[2] for x in members], "length": [x.file_size for x in members]}, schema=pa.schema([("name", pa.string()), ("length", pa.int64())]))
+
+    return files.mapInArrow(run, "name string, length long")
+
+
+def cropped(raw: bytes, key: str, nf: int, crop: tuple[int, int]) -> np.ndarray | None:
+    """The top left (h, w) of an array's frames, by bands last, decoded as a stream in which only that part is kept; None where its layout needs it whole."""
+    shape, _ = shape_of(raw, key)
+    kind = layouts(shape, nf)
+    if kind in (None, "NC"):
+        return None
+    n, height, width = frame_shape(shape, nf)
+    h, w = crop
+    if h > height or w > width:
+        raise ValueError(f"a crop of {crop} from {(height, width)}")
+    with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open(f"{key}.npy") as f:
+        read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f) == (1, 0) else np.lib.format.read_array_header_2_0
+        _, by_column, dtype = read(f)
+        if by_column or dtype.hasobject:
+            return None
+        first = kind.endswith("CHW")
+        line = width * (1 if first else nf)
+        out = np.empty((n, h, w, nf), dtype)
+        for i in range(n):
+            for band in range(nf if first else 1):
+                held = np.frombuffer(_exactly(f, h * line * dtype.itemsize), dtype).reshape(h, width, -1)[:, :w]
+                if first:
+                    out[i, :, :, band] = held[:, :, 0]
+                else:
+                    out[i] = held
+                left = (height - h) * line * dtype.itemsize
+                while left and (i + 1 < n or band + 1 < (nf if first else 1)):
+                    left -= len(_exactly(f, min(left, 1 << 20)))
+    return out
+
+
+def _exactly(f, n: int) -> bytes:
+    parts = []
+    while n:
+        part = f.read(n)
+        if not part:
+            raise ValueError("an array ends early")
+        parts.append(part)
+        n -= len(part)
+    return b"".join(parts)
+
+
 def stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(".npz")
 
 
 def read_pixels(spark: SparkSession, directory: str, *, pattern: str = "*.npz", array_key: str | None = None, nf: int = 6, crop: tuple[int, int] | None = None, tolerant: bool = False, unit_edn: bool = False) -> DataFrame:
-    """A row for each pixel. ``crop``: the top left (h, w); more than a frame has is an error. ``tolerant``: skip files that can't be read.
+    """A row for each pixel. ``crop``: the top left (h, w), cut out while decoding; more than a frame has is an error. ``tolerant``: skip files that can't be read.
 
     A file of several frames gives frame ids ``<name>#<n>``. An ``edn`` of one row holds for all pixels; without one it
     is null, or ones with ``unit_edn``.
@@ -179,9 +247,11 @@ def read_pixels(spark: SparkSession, directory: str, *, pattern: str = "*.npz",
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as npz:
-                        dn, edn = pick(npz, array_key)
-                        frames = to_frames(dn, nf)
+                    raw = content.as_py()
+                    with np.load(io.BytesIO(raw), allow_pickle=False) as npz:
+                        frames = cropped(raw, array_key or stack_key(npz.files, raw), nf, crop) if crop and not ("edn" in npz.files) else None
+                        dn, edn = pick(npz, array_key) if frames is None else (frames, None)
+                        frames = to_frames(dn, nf) if frames is None else frames
                         if edn is None and unit_edn:
                             edn = np.ones((1, nf))
                         errors = None if edn is None else np.broadcast_to(to_frames(edn, nf) if edn.shape == dn.shape else edn.reshape(-1, nf)[:1].reshape(1, 1, 1, nf), frames.shape)

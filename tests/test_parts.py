@@ -283,3 +283,27 @@ def test_quantiles_of_large_and_small_groups(spark, share):
     whole = Q.quantile(rows, [], "v", share, "q").first()["q"]
     assert whole == pytest.approx(float(np.quantile(np.concatenate([*values.values(), [1.0]]), share)), rel=1e-12)
     assert Q.quantile(rows.limit(0), ["g"], "v", share, "q").count() == 0
+
+
+def test_crops_while_decoding(spark, tmp_path):
+    import io
+
+    rng = np.random.default_rng(7)
+    for shape in ((6, 5, 4), (5, 4, 6), (3, 6, 5, 4), (3, 5, 4, 6)):
+        a = rng.uniform(0, 9, shape).astype(np.float32)
+        for save in (np.savez, np.savez_compressed):
+            held = io.BytesIO()
+            save(held, stack=a, other=np.zeros(3))
+            np.testing.assert_array_equal(npz.cropped(held.getvalue(), "stack", 6, (3, 2)), npz.to_frames(a)[:, :3, :2])
+            with pytest.raises(ValueError, match="crop"):
+                npz.cropped(held.getvalue(), "stack", 6, (6, 2))
+    held = io.BytesIO()
+    np.savez(held, stack=np.asfortranarray(np.zeros((6, 5, 4))))
+    assert npz.cropped(held.getvalue(), "stack", 6, (1, 1)) is None
+    import zipfile
+
+    with zipfile.ZipFile(str(tmp_path / "a.zip"), "w") as z:
+        z.writestr("x/one.npz", b"1")
+    with pytest.raises(Exception, match="digest"):
+        npz.unpack(spark, str(tmp_path), str(tmp_path / "flat"), "00").count()
+    assert npz.unpack(spark, str(tmp_path), str(tmp_path / "flat")).first()["name"] == "one.npz" and (tmp_path / "flat/one.npz").read_bytes() == b"1"
