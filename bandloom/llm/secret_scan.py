@@ -90,7 +90,7 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9
 
 @dataclass(frozen=True)
 class GuessModel:
-    """The cost model. ``threshold``: powers of ten of guesses from which a value is a secret. At 11.5 some 98 of 100
+    """The cost model. ``threshold``: powers of ten of guesses from which a value is a secret. At 11.5 some 99 of 100
     random strings of ten letters and digits are, and no word of the vocabularies and few pairs of words.
 
     ``join``: powers of ten for each further segment of a cut; ``words``: words that people choose, best known first;
