@@ -111,10 +111,15 @@ SHARE, MOST_BUCKETS = 4, 8192
 
 
 def bucket_cuts(docs: DataFrame, id_col: str) -> list[int]:
-    """Ids that cut the rows into about ``SHARE`` times the session's shuffle partitions equal parts, however they lie; worked out once."""
+    """Ids that cut the rows into about ``SHARE`` times the session's shuffle partitions equal parts, however they lie.
+
+    Spark's range partitioning of the ids alone finds them, from a sample of bounded size; the driver sees the least id
+    of each part. They only say which task orders which rows, and are worked out once.
+    """
     n = min(MOST_BUCKETS, SHARE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    return sorted(set(cuts or []))
+    ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).repartitionByRange(n, id_col)
+    least = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min(id_col).alias("least")).collect()
+    return sorted({x["least"] for x in least})[1:]
 
 
 def bucket_of(id_: Column, cuts: list[int]) -> Column:
