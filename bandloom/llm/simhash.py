@@ -131,25 +131,27 @@ def bucket_of(id_: Column, cuts: list[int]) -> Column:
 def chained(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, place, doc_id, text of each row, and next_bucket, next_place, next_text of the one after it by descending id.
 
-    Rows are ordered within buckets of about equal size, in windows that spill; only the first rows of buckets meet
-    those before them. The driver sees one id for each bucket, of which there are ``MOST_BUCKETS`` at most.
+    Rows are ordered within buckets of about equal size, in windows that spill. The first text of a bucket stands once
+    more at the end of the bucket before it. Buckets are dealt out by range, which evens out the tasks, and serves all
+    that is grouped by bucket later. The driver sees one id for each bucket, of which there are ``MOST_BUCKETS`` at most.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.withColumn("bucket", bucket_of(F.col("doc_id"), bucket_cuts(source, "doc_id")))
     firsts = sorted(((r["bucket"], r["first"]) for r in source.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()), reverse=True)
     after = [(a[0], *b) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    after = F.broadcast(spark.createDataFrame(after, "before long, next_bucket long, first long"))
-    same = (F.col("bucket") == F.col("next_bucket")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    heads = source.join(after, same).groupBy(F.col("before").alias("bucket"), "next_bucket").agg(F.max("text").alias("head"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    rows = source.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("later"))
-    last = F.col("later").isNull()
-    return rows.join(heads, "bucket").select(
+    after = F.broadcast(spark.createDataFrame(after, "before long, later_bucket long, first long"))
+    same = (F.col("bucket") == F.col("later_bucket")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    heads = source.join(after, same).groupBy(F.col("before").alias("bucket"), "later_bucket").agg(F.max("text").alias("text"))
+    both = source.unionByName(heads, allowMissingColumns=True).repartitionByRange("bucket")
+    order = Window.partitionBy("bucket").orderBy(F.col("later_bucket").asc_nulls_first(), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    lead = lambda c, name: F.lead(c).over(order).alias(name)
+    rows = both.select("*", F.row_number().over(order).alias("place"), lead("text", "next_text"), lead("later_bucket", "next_bucket")).filter("later_bucket is null")
+    return rows.select(
         "bucket", "place", "doc_id", "text",
-        F.when(last, F.col("next_bucket")).otherwise(F.col("bucket")).alias("next_bucket"),
-        F.when(last, F.lit(1)).otherwise(F.col("place") + 1).alias("next_place"),
-        F.coalesce("later", "head").alias("next_text"),
+        F.coalesce("next_bucket", "bucket").alias("next_bucket"),
+        F.when(F.col("next_bucket").isNull(), F.col("place") + 1).otherwise(F.lit(1)).alias("next_place"),
+        "next_text",
     )
 
 
