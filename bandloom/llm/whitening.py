@@ -14,7 +14,8 @@ Bounds: the driver sees the upper half of one matrix for each prime, whatever th
 
 Edge cases: vectors that are null or hold nulls or non-finite numbers are dropped; shorter ones are filled up with zeros;
 equal vectors count once, rows that repeat are all returned; null ids are ids like others; components beyond a long are
-its ends; a deviation beyond a long is null; a component whose eigenvalue is 0 has
+its ends; a deviation beyond a long is null; eigenvalues below 1e-28 of the largest come from vectors that doubles no
+longer hold well; a component whose eigenvalue is 0 has
 no whitened value, which is null, explains 0, or null where the trace is 0, and takes no part in the identity's error,
 which is null if all are such; empty tables give an empty table; other columns aren't read. Of equal eigenvalues any
 basis may come, the same for all rows.
