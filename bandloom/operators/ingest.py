@@ -39,9 +39,9 @@ def bucketed(manifest: DataFrame, cadence: int = 12, ts: str = "timestamp_utc")
     return manifest.withColumn("d8", day_of(F.col(ts))).withColumn("bucket", bucket_of(F.col(ts), cadence))
 
 
-def first_per_band(rows: DataFrame) -> DataFrame:
-    """The earliest file (then the first by path) of each day, bucket and wavelength."""
-    order = Window.partitionBy("d8", "bucket", "wavelength").orderBy("timestamp_utc", "filepath")
+def first_per_band(rows: DataFrame, then: tuple[str, ...] = ()) -> DataFrame:
+    """The earliest file (then the first by path, and by the columns of ``then``) of each day, bucket and wavelength."""
+    order = Window.partitionBy("d8", "bucket", "wavelength").orderBy("timestamp_utc", "filepath", *then)
     return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
@@ -57,6 +57,17 @@ def pivoted(first: DataFrame, bands: list[int]) -> DataFrame:
     return first.groupBy("d8", "bucket").agg(*slots)
 
 
+def assembled(first: DataFrame, bands: list[int], value: str = "value") -> DataFrame:
+    """d8, bucket, a path column ``w<band>`` for each band, n_bands, complete, lacking (bands without a file), values (of each band, null where it has none).
+
+    ``first``: one file a day, bucket and wavelength. One shuffle makes all of it.
+    """
+    of = lambda w, c: F.max(F.when(F.col("wavelength") == w, F.col(c)))
+    rows = first.groupBy("d8", "bucket").agg(*(of(w, "filepath").alias(f"w{w}") for w in bands), F.array(*(of(w, value) for w in bands)).alias("values"))
+    lacking = F.filter(F.array(*(F.when(F.col(f"w{w}").isNull(), F.lit(w)) for w in bands)), lambda w: w.isNotNull())
+    return rows.withColumn("lacking", lacking).withColumn("n_bands", F.lit(len(bands)) - F.size("lacking")).withColumn("complete", F.size("lacking") == 0).filter("n_bands > 0")
+
+
 def to_do(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``wanted`` whose keys aren't in ``done``."""
     return wanted.join(done, keys, "left_anti")
