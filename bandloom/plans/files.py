@@ -17,7 +17,7 @@ from ..operators import ingest as I
 from ..operators import inversion as V
 from ..operators import selection as S
 from ..runtime import put, scratch
-from ..sources import fits, npz, tables
+from ..sources import fits, npz, stacks, tables
 from ..streaming import assembly
 from . import catalogue as K
 from . import views as W
@@ -50,6 +50,20 @@ def npz_crop(spark, d):
     return filled(npz.read_pixels(spark, stacked(spark, d), crop=(1, 8)))
 
 
+@query(f"{HALVES} SELECT * FROM hv WHERE frame_id = 'f1' AND y BETWEEN 2 AND 9 AND x < 8")
+def stack_source_crop(spark, d):
+    """A cut of a frame from the data source, by filters that reach it: only its rows' bytes are asked for."""
+    path = scratch(spark, "stacks")
+    npz.write_stacks(W.px(spark, d).withColumn("frame_id", F.concat(F.lit("f"), F.col("vec_id") % 2)), path, compressed=False).count()
+    return filled(stacks.read(spark, path, pushdown=True, pixelsPerTask=64).filter("frame_id = 'f1' AND y BETWEEN 2 AND 9 AND x < 8"))
+
+
+@query(f"{HALVES} SELECT * FROM hv")
+def stack_source(spark, d):
+    """Whole frames, compressed, from the data source."""
+    return filled(stacks.read(spark, stacked(spark, d)))
+
+
 @query(f"{HALVES} SELECT frame_id, max(y) + 1 AS height, max(x) + 1 AS width, 6 AS n_bands, false AS has_calibration FROM hv GROUP BY 1")
 def npz_shapes(spark, d):
     return npz.read_frames(spark, stacked(spark, d)).select("frame_id", "height", "width", "n_bands", "has_calibration")

@@ -17,9 +17,8 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.calibration import complete
@@ -134,34 +133,57 @@ def read_calibration(spark: SparkSession, *places: str, nf: int = 6) -> tuple[np
     return complete(*(found.get(k) for k in CALIBRATION), nf=nf)
 
 
-def write_stacks(px: DataFrame, directory: str, nf: int = 6) -> DataFrame:
+def write_stacks(px: DataFrame, directory: str, nf: int = 6, dtype: str = "float64", compressed: bool = True) -> DataFrame:
     """frame_id, path and written: an NPZ of bands by height by width for each frame, unless its file is there already.
 
-    One task writes a frame, whose array is compressed whole; a file appears under its name only when it is complete, so a
-    task that is run again does no harm. ``directory`` is a folder that all executors share, as a path or a URI.
+    One task writes a frame, from Arrow values into one array of its shape, which it tells by the frame's largest y and x;
+    a file appears under its name only when it is complete, so a task that is run again does no harm. Without compression
+    :mod:`bandloom.sources.stacks` reads a file in parts. ``directory`` is a folder that all executors share, as a path or a URI.
     """
+    one = Window.partitionBy("frame_id")
+    rows = px.select(F.col("frame_id").cast("string").alias("frame_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("dn", F.array_repeat(F.lit(0.0), nf)).cast("array<double>").alias("dn"))
+    rows = rows.select("*", (F.max("y").over(one) + 1).alias("height"), (F.max("x").over(one) + 1).alias("width"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        name = pdf["frame_id"].iloc[0]
         store, root = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory.removeprefix('file:')}")
         store.create_dir(root, recursive=True)
-        target = f"{root}/{name}.npz"
-        if store.get_file_info(target).type != fs.FileType.NotFound:
-            return pd.DataFrame({"frame_id": [name], "path": [target], "written": [False]})
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        cube = np.zeros((nf, y.max() + 1, x.max() + 1))
-        cube[:, y, x] = np.stack(pdf["dn"].to_list(), axis=1)
-        held = io.BytesIO()
-        np.savez_compressed(held, bands=cube)
-        part = f"{target}.{uuid.uuid4().hex}.part"
-        with store.open_output_stream(part) as out:
-            out.write(held.getvalue())
-        store.move(part, target)
-        return pd.DataFrame({"frame_id": [name], "path": [target], "written": [True]})
-
-    return px.select("frame_id", "y", "x", "dn").groupBy("frame_id").applyInPandas(run, "frame_id string, path string, written boolean")
+        name, cube = None, None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if name is None:
+                return
+            target = f"{root}/{name}.npz"
+            if cube is not None:
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    (np.savez_compressed if compressed else np.savez)(out, bands=cube)
+                store.move(part, target)
+            yield pa.RecordBatch.from_pydict({"frame_id": [name], "path": [target], "written": [cube is not None]})
+
+        for b in batches:
+            names, starts = runs(b.column(0))
+            for own, lo, hi in zip(names, starts, [*starts[1:], b.num_rows], strict=True):
+                part = b.slice(lo, hi - lo)
+                if own != name:
+                    yield from finished()
+                    there = store.get_file_info(f"{root}/{own}.npz").type != fs.FileType.NotFound
+                    name, cube = own, None if there else np.zeros((nf, part.column(4)[0].as_py(), part.column(5)[0].as_py()), dtype)
+                if cube is not None:
+                    y, x = (part.column(i).to_numpy() for i in (1, 2))
+                    cube[:, y, x] = part.column(3).flatten().to_numpy().reshape(-1, nf).T
+        yield from finished()
+
+    return rows.mapInArrow(run, "frame_id string, path string, written boolean")
+
+
+def runs(column: pa.Array) -> tuple[list[str], list[int]]:
+    """Values that stand together, and where each begins."""
+    coded = column.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    starts = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+    return [coded.dictionary[int(codes[k])].as_py() for k in starts], starts
 
 
 def unpack(spark: SparkSession, archives: str, directory: str, sha256: str | None = None, pattern: str = "*.zip") -> DataFrame:
