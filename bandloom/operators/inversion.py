@@ -270,6 +270,77 @@ def gsvd_values(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s * beta, beta
 
 
+def gsvd_many(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Factors of many pairs of matrices, stacked: a (m, p, n) and b (m, q, n).
+
+    ``alpha`` and ``beta`` (m, k) by falling alpha, k the larger of p and q; the rows of ``u`` (m, k, p) and ``v`` (m, k, q) and
+    ``x`` (m, k, n) with a = u' alpha x, where b has full column rank, and b = v' beta x; ``w`` (m, n, k) is x's inverse.
+    """
+    a, b = (np.nan_to_num(np.asarray(x, float), nan=0.0, posinf=1e12, neginf=-1e12) for x in (a, b))
+    (m, p, _), q = a.shape, b.shape[1]
+    ab = a @ np.linalg.pinv(b, rcond=1e-12)
+    k = max(p, q)
+    u, s, vt = np.linalg.svd(np.pad(ab, [(0, 0), (0, k - p), (0, k - q)]))
+    beta = 1 / np.hypot(1, s)
+    x = vt[:, :, :q] @ b / beta[:, :, None]
+    return {"alpha": s * beta, "beta": beta, "u": u.transpose(0, 2, 1)[:, :, :p], "v": vt[:, :, :q], "x": x, "w": np.linalg.pinv(x, rcond=1e-12)}
+
+
+def gsvd_frame(rows: DataFrame, keys: list[str], a: str = "a", b: str = "b", batch: int = 1024) -> DataFrame:
+    """``keys`` and the factors of each row's pair of matrices (arrays of rows), as :func:`gsvd_many` gives them. Rows may differ in shape; a row without a whole pair has null factors."""
+    names = ("alpha", "beta", "u", "v", "x", "w")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{n} array<{'double' if n in ('alpha', 'beta') else 'array<double>'}>" for n in names)])
+    whole = lambda c: (F.size(c) > 0) & (F.size(F.array_distinct(F.transform(c, lambda r: F.coalesce(F.size(r), F.lit(-1))))) == 1) & (F.size(F.get(c, F.lit(0))) > 0) & F.forall(F.flatten(c), lambda v: v.isNotNull())
+    fits = F.coalesce(whole(a) & whole(b) & (F.size(F.get(a, F.lit(0))) == F.size(F.get(b, F.lit(0)))), F.lit(False))
+    shape = F.when(fits, F.array(F.size(a), F.size(b), F.size(F.get(a, F.lit(0)))))
+    values = lambda c: F.when(fits, F.transform(F.flatten(c), lambda v: v.cast("double")))
+    source = rows.select(*keys, shape.alias("__shape"), values(a).alias("__a"), values(b).alias("__b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for lo in range(0, given.num_rows, batch):
+                one = given.slice(lo, batch)
+                shapes = one.column(len(keys)).to_pylist()
+                for kind in dict.fromkeys(map(lambda x: tuple(x) if x else None, shapes)):
+                    at = pa.array([i for i, x in enumerate(shapes) if (tuple(x) if x else None) == kind], pa.int32())
+                    part = one.take(at)
+                    if kind is None:
+                        made = [pa.nulls(len(at), pa.list_(pa.float64()) if n in ("alpha", "beta") else pa.list_(pa.list_(pa.float64()))) for n in names]
+                    else:
+                        p, q, n = kind
+                        x, y = (np.asarray(part.column(len(keys) + 1 + i).flatten()).reshape(-1, r, n) for i, r in enumerate((p, q)))
+                        got = gsvd_many(x, y)
+                        made = [_lists(got[c]) if got[c].ndim == 2 else _matrices(got[c]) for c in names]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=[*keys, *names])
+
+    return source.mapInArrow(run, schema)
+
+
+def _matrices(values: np.ndarray) -> pa.Array:
+    m, rows, columns = values.shape
+    inner = _lists(np.ascontiguousarray(values).reshape(m * rows, columns))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m * rows + 1, rows, dtype=np.int32)), inner)
+
+
+def reg_maps_stacked(alpha: np.ndarray, beta: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> np.ndarray:
+    """:func:`reg_maps` where each row of ``data`` has its own decomposition: alpha and beta (m, k), u (m, k, nf)."""
+    nf = data.shape[1]
+    a, b = alpha[:, :nf], beta[:, :nf]
+    values = a / np.maximum(b, TINY)
+    good = np.isfinite(values) & (values > 0)
+    some = good.any(axis=1)
+    lo = np.where(some, np.maximum(np.where(good, values, np.inf).min(axis=1) ** 2 * 1e-4, 1e-300), 1e-8)
+    hi = np.where(some, np.where(good, values, -np.inf).max(axis=1), 1e2)
+    hi = np.where(hi > lo, hi, lo * 10)
+    mu = np.exp(np.log(lo)[:, None] + np.log(hi / lo)[:, None] * np.linspace(0, 1, max(nmu, 2)))
+    weight = mu[:, :, None] * (b**2)[:, None, :]
+    coef = np.einsum("mkf,mf->mk", u[:, :nf], data)
+    misfit = np.square(weight / ((a**2)[:, None, :] + weight) * coef[:, None, :]).sum(axis=2)
+    goal = np.square(np.broadcast_to(err, data.shape)).sum(axis=1) * reg_tweak
+    return mu[np.arange(len(mu)), np.abs(misfit - goal[:, None]).argmin(axis=1)]
+
+
 def reg_maps(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> np.ndarray:
     """For each row of ``data`` the regularisation whose misfit is nearest to the errors' squares, over a geometric range of the generalised values."""
     nf = data.shape[1]

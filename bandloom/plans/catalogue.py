@@ -13,6 +13,7 @@ from ..operators import calibration as C
 from ..operators import golden as G
 from ..operators import ingest as I
 from ..operators import inversion as V
+from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import summaries as Q
 from . import solver_sql as X
@@ -512,6 +513,105 @@ def gsvd(spark, d):
     return out.select("vec_id", r("alpha", 9).alias("alpha"), r("least_alpha", 9).alias("least_alpha"), "on_circle")
 
 
+def pairs(rows: DataFrame) -> DataFrame:
+    """vec_id, d and two matrices of a pixel's own: a, its responses over its uncertainties (6 by 6), and b (7 by 6), which is wide and falls to no simple case."""
+    dn = lambda i: F.get("dn", i)
+    err = lambda f: F.sqrt(dn(f) + 1)
+    a = F.array(*(F.array(*(F.lit(RESPONSE[t][f]) / err(F.lit(f)) for t in range(NT))) for f in range(W.NF)))
+    b = F.array(*(F.array(*(1 + dn(F.lit(t)) / 1000 if t == i else F.lit(-0.5 if t == i + 1 else 0.0) for t in range(NT))) for i in range(NT)), F.array(*(F.lit(0.1 * (t + 1)) for t in range(NT))))
+    return rows.select("vec_id", a.alias("a"), b.alias("b"), F.array(*(dn(F.lit(f)) / err(F.lit(f)) for f in range(W.NF))).alias("d"), "dn")
+
+
+@query(
+    f"""WITH {PB}, {RESP}, ix AS (SELECT CAST(range AS INTEGER) AS j FROM range(6))
+    SELECT 'a' AS matrix, vec_id, pb.band AS i, bin AS j, round(value / sqrt(dn + 1), 6) AS value FROM pb JOIN rsp USING (band)
+    UNION ALL SELECT 'b', vec_id, pb.band, j, round(CASE WHEN j = pb.band THEN 1 + dn / 1000 WHEN j = pb.band + 1 THEN -0.5 ELSE 0.0 END, 6) FROM pb, ix
+    UNION ALL SELECT 'b', vec_id, 6, j, round(0.1 * (j + 1), 6) FROM pb, ix WHERE pb.band = 0"""
+)
+def gsvd_factors(spark, d):
+    """Both matrices of each pixel, put together again from their common factors."""
+    made = V.gsvd_frame(pairs(W.px(spark, d)), ["vec_id"])
+    k = F.sequence(F.lit(0), F.size("alpha") - 1)
+
+    def rebuilt(vectors: str, values: str) -> Column:
+        """Sums over the factors: a row for each row of the matrix."""
+        one = lambda i, j: F.aggregate(k, F.lit(0.0), lambda s, n: s + F.get(F.get(vectors, n), i) * F.get(values, n) * F.get(F.get("x", n), j))
+        size = lambda c: F.sequence(F.lit(0), F.size(F.get(c, 0)) - 1)
+        return F.transform(size(vectors), lambda i: F.transform(size("x"), lambda j: one(i, j)))
+
+    both = [made.select(F.lit(name).alias("matrix"), "vec_id", F.posexplode(rebuilt(vectors, values)).alias("i", "row")) for name, vectors, values in (("a", "u", "alpha"), ("b", "v", "beta"))]
+    return both[0].unionByName(both[1]).select("matrix", "vec_id", "i", F.posexplode("row").alias("j", "value")).withColumn("value", r(F.col("value") + 0.0))
+
+
+OWN_PAIR = f"""px0 AS ({{pixels}}), rm AS (SELECT {X.doubles(np.array(RESPONSE).T)} AS r),
+    i1 AS (SELECT id, list_transform(range(1, 7), lambda f: list_append(list_transform(range(1, 7), lambda t: r[f][t] / sqrt(dn[f] + 1) / (1 + dn[t] / 1000)), dn[f] / sqrt(dn[f] + 1))) AS y FROM px0, rm)"""
+
+
+@query(
+    f"""WITH RECURSIVE {OWN_PAIR.format(pixels="SELECT vec_id AS id, list(dn ORDER BY band) AS dn FROM (SELECT vec_id, CAST(b AS INTEGER) AS band, 1000.0 * abs(CAST(embedding[b + 1] AS DOUBLE)) AS dn FROM embeddings, (SELECT range AS b FROM range(6))) GROUP BY 1")},
+    {X.rotated("q1", "i1", 6, 6)}, {X.spectrum("p1", "q1", 6, 6, 500)}
+    SELECT id AS vec_id, round(log10({X.chosen("6.0")}), 6) AS log_mu FROM p1"""
+)
+def gsvd_reg_map(spark, d):
+    """The regularisation that each pixel's own decomposition chooses for its counts."""
+    rows = pairs(W.px(spark, d))
+    weights = F.array(*(F.array(*(1 + F.get("dn", t) / 1000 if t == i else F.lit(0.0) for t in range(NT))) for i in range(NT)))
+    made = V.gsvd_frame(rows.withColumn("b", weights), ["vec_id", "d"])
+    return reg_mapped(made).select("vec_id", r(F.log10("mu")).alias("log_mu"))
+
+
+def reg_mapped(made: DataFrame) -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            alpha, beta, d = (np.asarray(b.column(i).flatten()).reshape(n, -1) for i in (1, 2, 4))
+            u = np.asarray(b.column(3).flatten().flatten()).reshape(n, alpha.shape[1], -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(V.reg_maps_stacked(alpha, beta, u, d, np.ones(d.shape[1])))], names=["vec_id", "mu"])
+
+    return made.select("vec_id", "alpha", "beta", "u", "d").mapInArrow(run, "vec_id long, mu double")
+
+
+@query(
+    """WITH rs AS (SELECT CAST(label AS VARCHAR) AS frame_id, t, f, avg(abs(CAST(embedding[6 + t * 6 + f + 1] AS DOUBLE))) AS v FROM embeddings, (SELECT range AS t FROM range(6)), (SELECT range AS f FROM range(6)) GROUP BY 1, 2, 3),
+    dm AS (SELECT CAST(label AS VARCHAR) AS frame_id, vec_id, b AS t, greatest(CAST(embedding[b + 1] AS DOUBLE), 0.0) AS dem FROM embeddings, (SELECT range AS b FROM range(6)))
+    SELECT frame_id, vec_id, CAST(f AS INTEGER) AS band, round(1000 * sum(dem * v), 6) AS value FROM dm JOIN rs USING (frame_id, t) GROUP BY 1, 2, 3"""
+)
+def forward_by_frame(spark, d):
+    """Predicted counts with a response for each frame, a table by frame, band and block of bins."""
+    rows = W.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("frame_id"), "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    mean = rows.groupBy("frame_id").agg(*(F.avg(F.abs(F.get("e", F.lit(6 + k)))).alias(f"m{k}") for k in range(36)))
+    by_band = F.array(*(F.struct(F.lit(f).alias("band"), F.array(*(F.col(f"m{t * 6 + f}") for t in range(6))).alias("values")) for f in range(6)))
+    responses = J.blocks(mean.select("frame_id", F.inline(by_band)).withColumnRenamed("values", "bins"), "bins", 2)
+    dem = J.blocks(rows.select("frame_id", "vec_id", F.transform(F.slice("e", 1, 6), lambda v: F.greatest(v, F.lit(0.0))).alias("dem")), "dem", 2)
+    return J.block_product(dem, responses, ["frame_id"], ["vec_id"], "band").select("frame_id", "vec_id", "band", r(1000 * F.col("value")).alias("value"))
+
+
+@query(
+    """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view')
+    SELECT p.event_id, CASE WHEN max(v.ts) >= p.ts - INTERVAL 2 DAY THEN CAST(arg_max(v.event_id, (v.ts, v.event_id)) AS VARCHAR) END AS view_id, CASE WHEN max(v.ts) >= p.ts - INTERVAL 2 DAY THEN arg_max(v.value, (v.ts, v.event_id)) END AS view_value
+    FROM p LEFT JOIN v ON v.user_id = p.user_id AND v.ts < p.ts GROUP BY p.event_id, p.ts"""
+)
+def asof_views(spark, d):
+    """For each purchase the user's last view before it, two days back at most."""
+    rows = W.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    found = J.asof(rows.filter("event_type = 'purchase'"), rows.filter("event_type = 'view'"), ["user_id"], "ts", {"view_id": "event_id", "view_value": "value"}, ties=["event_id"], strict=True, within=2 * J.DAY)
+    return found.select("event_id", F.col("view_id").cast("string"), "view_value")
+
+
+@query(
+    """WITH s AS (SELECT event_id AS span_id, ts AS a, ts + to_microseconds(CAST(floor(value * 60000000) AS BIGINT)) AS b FROM events WHERE event_type = 'error'), v AS (SELECT event_id, ts, value FROM events WHERE event_type = 'view')
+    SELECT span_id, event_id, value FROM s JOIN v ON v.ts >= a AND v.ts < b"""
+)
+def range_views(spark, d):
+    """All views in the minutes that follow each error, as many as its value says."""
+    rows = W.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    spans = rows.filter("event_type = 'error'").select(F.col("event_id").alias("span_id"), F.col("ts").alias("a"), F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 60_000_000)).alias("b"))
+    views = rows.filter("event_type = 'view'").select("event_id", "ts", "value")
+    return J.range_join(views, spans, "ts", "a", "b", width=10 * 60_000_000.0).select("span_id", "event_id", "value")
+
+
 PINV = [[float(v) for v in row] for row in np.linalg.pinv(np.array(RESPONSE))]
 
 
