@@ -80,16 +80,14 @@ def main(argv: list[str] | None = None) -> dict:
         px = px.withColumn("edn", F.coalesce("edn", made) if "edn" in px.columns else made)
         options, cal = options_of(a), calibration_of(spark, a)
         facts = {"nt": len(cal.logt), "nmu": options.steps, "logt": [float(v) for v in cal.logt], **runtime.environment(spark)}
-        tables.write_solution(V.solve_dem(px.select("frame_id", "y", "x", "dn", "edn"), cal, options), a.out, meta=facts)
-        out = Q.frame_summary(tables.read_solution(spark, a.out)).agg(F.sum("n_pixels").alias("pixels"), F.sum("n_valid").alias("valid")).first().asDict()
+        figures = tables.write_solution(V.solve_dem(px.select("frame_id", "y", "x", "dn", "edn"), cal, options), a.out, meta=facts)
+        out = {"pixels": figures["n_pixels"], "valid": figures["n_valid"]}
     elif a.what == "golden":
         px = npz.read_pixels(spark, a.source)
         if a.size:
             px = S.crop_centre(px, *S.check_one_shape(px), a.size)
-        solution, facts = G.make_golden(px, calibration_of(spark, a), options_of(a), a.error_model, a.error_a, a.error_b)
-        tables.write_solution(solution, a.out, meta=facts | runtime.environment(spark), single=False)
-        summary = Q.frame_summary(tables.read_solution(spark, a.out)).agg(F.sum("n_pixels").alias("pixels"), F.avg("em_mean").alias("em_mean"), F.avg("chisq_mean").alias("chisq_mean")).first()
-        out = summary.asDict() | {"fallback": facts["fallback"]}
+        _, facts = G.make_golden(px, calibration_of(spark, a), options_of(a), a.error_model, a.error_a, a.error_b, a.out, runtime.environment(spark))
+        out = {"pixels": facts["n_pixels"], "em_mean": facts["em_mean"], "chisq_mean": facts["chisq_mean"], "fallback": facts["fallback"]}
     elif a.what == "maps":
         logt = tables.read_meta(spark, a.solution)["logt"]
         dem = F.col("dem")

@@ -16,6 +16,8 @@ from ..operators import inversion as V
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import summaries as Q
+from ..runtime import scratch
+from ..sources import tables
 from . import solver_sql as X
 from . import views as W
 
@@ -448,6 +450,28 @@ for _name, _options in (("solve_dem", {}), ("solve_dem_gloci", {"gloci": True}),
     query(flat_sql(_options), _name)(_solve)
 
 
+@query(
+    f"""WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))}, tt AS (SELECT id, list_sum(dem) AS em FROM sol WHERE valid)
+    SELECT id AS vec_id, CAST(t - 1 AS INTEGER) AS bin, round(dem[t] / em, 4) + 0.0 AS dem, round(edem[t] / em, 4) AS edem, round(elogt[t], 6) AS elogt FROM sol JOIN tt USING (id), (SELECT range AS t FROM range(1, 25)) WHERE valid"""
+)
+def solve_bins(spark, d):
+    """Each bin's distribution, uncertainty and resolution, the first two over the pixel's total."""
+    rows = V.solve_dem(pixels(spark, d), C.default()).filter("valid").withColumn("em", F.aggregate("dem", F.lit(0.0), lambda s, v: s + v))
+    rows = rows.select("vec_id", "em", F.posexplode(F.arrays_zip("dem", "edem", "elogt")).alias("bin", "z"))
+    return rows.select("vec_id", "bin", (r(F.col("z.dem") / F.col("em"), 4) + 0.0).alias("dem"), r(F.col("z.edem") / F.col("em"), 4).alias("edem"), r("z.elogt").alias("elogt"))
+
+
+@query(
+    f"""WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))}
+    SELECT count(*) AS n_pixels, count(*) FILTER (valid) AS n_valid, round(min(list_min(dem)) / max(list_max(dem)), 4) + 0.0 AS least, round(log10(max(list_max(dem))), 5) AS log_dem_max, round(log10(avg(list_sum(dem))), 5) AS log_em_mean, round(avg(chisq), 6) AS chisq_mean FROM sol"""
+)
+def observed_solve(spark, d):
+    """Figures of a solution that one pass solved, wrote and reported."""
+    found = tables.write_solution(solved(spark, d).select("frame_id", "y", "x", *V.OUTPUTS, "valid"), scratch(spark, "observed"))
+    one = spark.createDataFrame([tuple(found[k] for k in ("n_pixels", "n_valid", "dem_min", "dem_max", "em_mean", "chisq_mean"))], "n_pixels long, n_valid long, dem_min double, dem_max double, em_mean double, chisq_mean double")
+    return one.select("n_pixels", "n_valid", (r(F.col("dem_min") / F.col("dem_max"), 4) + 0.0).alias("least"), r(F.log10("dem_max"), 5).alias("log_dem_max"), r(F.log10("em_mean"), 5).alias("log_em_mean"), r("chisq_mean").alias("chisq_mean"))
+
+
 LINES = f"SELECT row_number() OVER (ORDER BY y, x) AS id, y, x, [b0, b1, b2, b3, b4, b5] AS dn, list_transform([b0, b1, b2, b3, b4, b5], lambda v: sqrt(v + 1)) AS edn FROM ln"
 
 
@@ -729,12 +753,14 @@ RAISED = "SELECT vec_id AS id, dn, list_transform(dn, lambda v: sqrt(v + 1)) AS
 @query(
     f"""WITH RECURSIVE mn AS (SELECT [{", ".join(f"avg(1000.0 * greatest(CAST(embedding[{i}] AS DOUBLE), 0.0) + 1.0)" for i in range(1, 7))}] AS m FROM embeddings),
     {X.solution(RAISED, *solver_options({}), scales="mn")}
-    SELECT id AS vec_id, valid, round(chisq, 6) AS chisq, CASE WHEN list_sum(list_transform(dem, lambda v: greatest(v, 0.0))) > 0 THEN round(log10(list_sum(list_transform(dem, lambda v: greatest(v, 0.0)))), 5) END AS log_em FROM sol"""
+    SELECT id AS vec_id, valid, round(chisq, 6) AS chisq, CASE WHEN list_sum(list_transform(dem, lambda v: greatest(v, 0.0))) > 0 THEN round(log10(list_sum(list_transform(dem, lambda v: greatest(v, 0.0)))), 5) END AS log_em,
+    round(log10(list_sum(edem)), 5) AS log_edem, round(list_sum(elogt), 6) AS elogt_sum, round(list_sum(dn_reg), 4) AS dn_reg_sum FROM sol"""
 )
 def golden_solve(spark, d):
     """A golden solution: counts raised, responses scaled by the bands' means, solved."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
     solution, _ = G.make_golden(W.px(spark, d, signed=True), C.default())
-    return solution.select((F.col("y") * 32 + F.col("x")).cast("long").alias("vec_id"), "valid", r("chisq").alias("chisq"), log_of(P.total_em(F.col("dem"))).alias("log_em"))
+    return solution.select((F.col("y") * 32 + F.col("x")).cast("long").alias("vec_id"), "valid", r("chisq").alias("chisq"), log_of(P.total_em(F.col("dem"))).alias("log_em"), log_sum("edem").alias("log_edem"), r(total("elogt")).alias("elogt_sum"), r(total("dn_reg"), 4).alias("dn_reg_sum"))
 
 
 @query(f"WITH {DEM}, er AS (SELECT vec_id, bin, 1.0 * (vec_id % 7) + bin AS e FROM dm) SELECT vec_id AS worst_vec_id, bin AS worst_bin FROM er ORDER BY e DESC, vec_id, bin LIMIT 1")

@@ -6,10 +6,12 @@ import hashlib
 import json
 import os
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import MANIFEST
@@ -48,12 +50,37 @@ def as_float(solution: DataFrame) -> DataFrame:
     return solution.select(*cast)
 
 
-def write_solution(solution: DataFrame, path: str, *, meta: dict | None = None, single: bool = True, compression: str = "zstd", mode: str = "errorifexists") -> None:
-    """A solution by frame, and its metadata as one JSON row beside it."""
-    rows = as_float(solution) if single else solution
-    rows.write.mode(mode).option("compression", compression).partitionBy("frame_id").parquet(f"{path}/solution")
+def figures_of(solution: DataFrame) -> dict[str, Column]:
+    """What a solution's run reports, as aggregates of the columns that it has: pixels, valid ones, least and largest dem, mean total of dem and mean chisq over numbers."""
+    total = F.aggregate("dem", F.lit(0.0), lambda s, v: s + v)
+    number = lambda c: F.when(~F.isnan(c), c)
+    found = {
+        "n_pixels": ("dem", F.count(F.lit(1))), "n_valid": ("valid", F.count_if("valid")), "dem_min": ("dem", F.min(F.array_min("dem"))), "dem_max": ("dem", F.max(F.array_max("dem"))),
+        "em_mean": ("dem", F.avg(number(total))), "chisq_mean": ("chisq", F.avg(number(F.col("chisq")))),
+    }
+    return {k: made for k, (needs, made) in found.items() if needs in solution.columns}
+
+
+def observed(rows: DataFrame, figures: dict[str, Column], write: Callable[[DataFrame], None]) -> dict[str, object]:
+    """Figures of rows gathered while ``write`` writes them, in the same pass. All null if Spark knows beforehand that there are no rows."""
+    seen = Observation()
+    write(rows.observe(seen, *(c.alias(k) for k, c in figures.items())))
+    try:
+        return seen.get
+    except (PySparkException, Py4JJavaError):  # the pass was left out, and with it what it reports
+        return dict.fromkeys(figures)
+
+
+def write_solution(solution: DataFrame, path: str, *, meta: dict | None = None, single: bool = True, compression: str = "zstd", mode: str = "errorifexists") -> dict[str, object]:
+    """A solution by frame, and its metadata with the figures as one JSON row beside it. Returns :func:`figures_of` what was written; nothing is read or solved again for them."""
+
+    def write(rows: DataFrame) -> None:
+        (as_float(rows) if single else rows).write.mode(mode).option("compression", compression).partitionBy("frame_id").parquet(f"{path}/solution")
+
+    found = observed(solution, figures_of(solution), write)
     if meta is not None:
-        solution.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "meta string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+        solution.sparkSession.createDataFrame([(json.dumps(meta | found, sort_keys=True, default=str),)], "meta string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+    return found
 
 
 def read_solution(spark: SparkSession, path: str) -> DataFrame:

@@ -268,6 +268,24 @@ def test_golden_falls_back_to_least_squares(spark):
     assert facts["fallback"] and solution.count() == 4 and facts["r_scale"] == [2.5 + k for k in range(6)]
 
 
+def test_one_pass_solves_writes_and_reports(spark, tmp_path):
+    from bandloom.operators import golden, inversion
+
+    rng = np.random.default_rng(3)
+    px = spark.createDataFrame([(f"f{x % 2}", 0, x, [float(v) for v in rng.uniform(1, 900, 6)]) for x in range(30)], "frame_id string, y int, x int, dn array<double>").cache()
+    px.count()
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = lambda: [store.executionsList().apply(i).physicalPlanDescription() for i in range(store.executionsList().size())]
+    before = len(plans())
+    solution, facts = golden.make_golden(px, C.default(), inversion.Options(), out=str(tmp_path / "golden"))
+    assert sum("MapInArrow" in x for x in plans()[before:]) == 1  # one solve
+    again = Q.frame_summary(solution).agg(F.sum("n_pixels"), F.sum("n_valid"), F.min("dem_min"), F.max("dem_max")).first()
+    assert tuple(again) == (facts["n_pixels"], facts["n_valid"], facts["dem_min"], facts["dem_max"]) and facts["n_pixels"] == 30
+    assert facts["chisq_mean"] == pytest.approx(solution.agg(F.avg("chisq")).first()[0]) and tables.read_meta(spark, str(tmp_path / "golden"))["n_valid"] == facts["n_valid"]
+    empty, facts = golden.make_golden(px.limit(0), C.default(), inversion.Options())
+    assert empty.count() == 0 and facts["fallback"]
+
+
 @pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.99, 1.0])
 def test_quantiles_of_large_and_small_groups(spark, share):
     rng = np.random.default_rng(5)
