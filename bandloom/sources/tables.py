@@ -72,14 +72,15 @@ def observed(rows: DataFrame, figures: dict[str, Column], write: Callable[[DataF
 
 
 def write_solution(solution: DataFrame, path: str, *, meta: dict | None = None, single: bool = True, compression: str = "zstd", mode: str = "errorifexists") -> dict[str, object]:
-    """A solution by frame, and its metadata with the figures as one JSON row beside it. Returns :func:`figures_of` what was written; nothing is read or solved again for them."""
+    """A solution by frame, and its metadata and figures as a JSON row each beside it. Returns :func:`figures_of` what was written; nothing is read or solved again for them."""
 
     def write(rows: DataFrame) -> None:
         (as_float(rows) if single else rows).write.mode(mode).option("compression", compression).partitionBy("frame_id").parquet(f"{path}/solution")
 
     found = observed(solution, figures_of(solution), write)
-    if meta is not None:
-        solution.sparkSession.createDataFrame([(json.dumps(meta | found, sort_keys=True, default=str),)], "meta string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+    for name, facts in (("meta", meta), ("figures", found)):
+        if meta is not None:
+            solution.sparkSession.createDataFrame([(json.dumps(facts, sort_keys=True, default=str),)], "facts string").coalesce(1).write.mode(mode).text(f"{path}/{name}")
     return found
 
 
@@ -87,8 +88,9 @@ def read_solution(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/solution")
 
 
-def read_meta(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/meta").first()[0])
+def read_meta(spark: SparkSession, path: str, name: str = "meta") -> dict:
+    """The metadata beside a solution, or its ``figures``."""
+    return json.loads(spark.read.text(f"{path}/{name}").first()[0])
 
 
 def stamp() -> str:

@@ -281,7 +281,7 @@ def test_one_pass_solves_writes_and_reports(spark, tmp_path):
     assert sum("MapInArrow" in x for x in plans()[before:]) == 1  # one solve
     again = Q.frame_summary(solution).agg(F.sum("n_pixels"), F.sum("n_valid"), F.min("dem_min"), F.max("dem_max")).first()
     assert tuple(again) == (facts["n_pixels"], facts["n_valid"], facts["dem_min"], facts["dem_max"]) and facts["n_pixels"] == 30
-    assert facts["chisq_mean"] == pytest.approx(solution.agg(F.avg("chisq")).first()[0]) and tables.read_meta(spark, str(tmp_path / "golden"))["n_valid"] == facts["n_valid"]
+    assert facts["chisq_mean"] == pytest.approx(solution.agg(F.avg("chisq")).first()[0]) and tables.read_meta(spark, str(tmp_path / "golden"), "figures")["n_valid"] == facts["n_valid"]
     empty, facts = golden.make_golden(px.limit(0), C.default(), inversion.Options())
     assert empty.count() == 0 and facts["fallback"]
 
