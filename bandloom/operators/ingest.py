@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pixels import finite
 from .summaries import quantile
 
 MANIFEST = T.StructType(
@@ -106,7 +107,7 @@ def quantise_scales(values: DataFrame, by: str, value: str, bits: int = 16, stra
     ``p99_approx`` takes the percentile from a bounded sketch, for bands too large to count exactly.
     """
     v = F.col(value)
-    clean = F.when(~F.isnan(v) & (v < float("inf")) & (v > 0), v).otherwise(F.lit(0.0))
+    clean = F.when(finite(v) & (v > 0), v).otherwise(F.lit(0.0))
     if strategy == "p99":
         hi = quantile(values.select(by, clean.alias("__x")), [by], "__x", 0.99, "hi")
     else:
@@ -117,7 +118,7 @@ def quantise_scales(values: DataFrame, by: str, value: str, bits: int = 16, stra
 def quantise(values: DataFrame, scales: DataFrame, by: str, value: str, bits: int = 16) -> DataFrame:
     """With ``q``: the value over its band's scale, rounded half to even, within 0 and 2^bits - 1. ``scales`` has a row for each band, tens at most, and is broadcast."""
     v = F.col(value)
-    clean = F.when(F.isnan(v) | v.isNull() | (v < 0), F.lit(0.0)).otherwise(v)
+    clean = F.when(finite(v) & (v > 0), v).otherwise(F.lit(0.0))
     q = F.least(F.greatest(F.rint(clean / F.col("scale")), F.lit(0.0)), F.lit(float(2**bits - 1)))
     return values.join(F.broadcast(scales), by).withColumn("q", q.cast("long"))
 

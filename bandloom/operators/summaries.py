@@ -34,33 +34,61 @@ def by_band(px: DataFrame, dn: str = "dn", nf: int = 6) -> DataFrame:
 
 #: Of values of a sketch, how far from the rank asked for one can be, as a share of all; groups of fewer rows than that are ranked whole.
 SKETCH = 10_000
+#: Groups up to which their bounds are collected, a row for each, and broadcast.
+FEW_GROUPS = 10_000
 
 
-def quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:
-    """``by`` and the exact quantile of the group's values that aren't null: between the two nearest ranks, or at rank round(share * (n - 1)), halves to even.
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], nearest: bool = False, also: dict[str, Column] | None = None, empty: bool = False) -> DataFrame:
+    """``by`` and, under each name of ``shares``, the exact quantile of the group's values that aren't null: between the two nearest ranks, or at rank round(share * (n - 1)), halves to even. ``also``: other aggregates of these rows. ``empty``: groups without values are rows too, with null quantiles.
 
-    A bounded sketch first brackets the rank. What lies below the bracket is counted, and only values inside are
-    counted one by one and ranked, about a 2,500th of a large group.
+    Two passes, whatever the number of shares: a bounded sketch brackets each rank; then what lies outside all brackets is
+    counted, and only values inside are counted one by one and ranked, about a 2,500th of a large group for each share.
+    The first pass runs at once, as its rows, one for each group, decide how the second meets them: up to ``FEW_GROUPS`` are
+    broadcast, so no value is shuffled for it, and more are joined.
     """
-    off = 2 / SKETCH
+    off, also = 2 / SKETCH, also or {}
     v = F.col(value)
-    some = rows.select(*by, value).filter(v.isNotNull())
-    near = F.percentile_approx(v, [max(share - off, 0.0), min(share + off, 1.0)], SKETCH)
-    most = some.groupBy(*by).agg(F.count("*").alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"), near.alias("__near"))
+    edges = [min(max(p + d, 0.0), 1.0) for p in shares.values() for d in (-off, off)]
+    some = rows.filter(v.isNotNull())
+    first = (rows if empty else some).groupBy(*by).agg(F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"), F.percentile_approx(v, edges, SKETCH).alias("__near"), *(c.alias(k) for k, c in also.items()))
+    few = first.limit(FEW_GROUPS + 1).collect()
+    if len(few) <= FEW_GROUPS:
+        first = F.broadcast(rows.sparkSession.createDataFrame(few, first.schema))
     whole = F.col("__n") <= 2 * SKETCH
     edge = lambda i, end, rim: F.when(whole | F.lit(rim), F.col(end)).otherwise(F.col("__near")[i])
-    most = most.select(*(F.col(k).alias(f"__{k}") for k in by), "__n", edge(0, "__min", share <= off).alias("__lo"), edge(1, "__max", share >= 1 - off).alias("__hi"))
-    joined = some.join(most, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]) if by else some.crossJoin(F.broadcast(most))  # without groups that is one row
-    inside = v.between(F.col("__lo"), F.col("__hi"))
-    counted = joined.filter(v <= F.col("__hi")).groupBy(*by, F.when(inside, v).alias("__v")).agg(F.count("*").alias("__k"), F.first("__n").alias("__n"))
-    upto = Window.partitionBy(*by).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__upto", F.sum("__k").over(upto)).filter("__v is not null")
-    rank = F.lit(share) * (F.col("__n") - 1)
-    at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("__v")))
+    brackets = F.array(*(F.struct(edge(2 * i, "__min", p <= off).alias("lo"), edge(2 * i + 1, "__max", p >= 1 - off).alias("hi")) for i, p in enumerate(shares.values())))
+    groups = first.select(*(F.col(k).alias(f"__{k}") for k in by), "__n", brackets.alias("__brackets"), *also)
+    values = some.select(*by, v.alias("__v"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    met = values.join(groups.select(*(f"__{k}" for k in by), "__brackets"), same) if by else values.crossJoin(F.broadcast(groups.select("__brackets")))  # without groups that is one row
+    inside = F.exists("__brackets", lambda b: F.col("__v").between(b["lo"], b["hi"]))
+    # a value between brackets stands behind the last one below it
+    below = F.array_max(F.transform("__brackets", lambda b: F.when(b["hi"] < F.col("__v"), b["hi"])))
+    counted = met.groupBy(*by, F.when(inside, F.col("__v")).otherwise(below).alias("__at"), inside.alias("__inside")).agg(F.count("*").alias("__k"))
+    order = Window.partitionBy(*by).orderBy(F.col("__at").asc_nulls_first(), F.col("__inside").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__upto", F.sum("__k").over(order)).filter("__inside")
+    joined = ranked.join(groups.drop("__brackets"), same) if by else ranked.crossJoin(F.broadcast(groups.drop("__brackets")))
+    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__at")))
+    rank = {name: F.lit(p) * (F.col("__n") - 1) for name, p in shares.items()}
+    keep = [F.first(k).alias(k) for k in also]
+
+    def all_of(found: DataFrame) -> DataFrame:
+        if not empty:
+            return found
+        own = found.drop(*also).withColumnsRenamed({k: f"__own_{k}" for k in by})
+        on = [F.col(f"__{k}").eqNullSafe(F.col(f"__own_{k}")) for k in by] or F.lit(True)
+        return groups.join(own, on, "left").select(*(F.col(f"__{k}").alias(k) for k in by), *shares, *also)
+
     if nearest:
-        return ranked.groupBy(*by).agg(at(F.bround(rank)).alias(name))
-    found = ranked.groupBy(*by).agg(at(F.floor(rank)).alias("__a"), at(F.ceil(rank)).alias("__b"), F.first(rank - F.floor(rank)).alias("__part"))
-    return found.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(name))
+        return all_of(joined.groupBy(*by).agg(*(at(F.bround(x)).alias(name) for name, x in rank.items()), *keep))
+    found = joined.groupBy(*by).agg(*(f for name, x in rank.items() for f in (at(F.floor(x)).alias(f"__a_{name}"), at(F.ceil(x)).alias(f"__b_{name}"), F.first(x - F.floor(x)).alias(f"__part_{name}"))), *keep)
+    between = lambda name: F.col(f"__a_{name}") + (F.col(f"__b_{name}") - F.col(f"__a_{name}")) * F.col(f"__part_{name}")
+    return all_of(found.select(*by, *(between(name).alias(name) for name in shares), *also))
+
+
+def quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:
+    """One of :func:`quantiles`."""
+    return quantiles(rows, by, value, {name: share}, nearest)
 
 
 def scaled_by_band_mean(px: DataFrame, response: DataFrame, dn: str = "dn") -> DataFrame:
@@ -136,16 +164,10 @@ def report(rows: list[dict], rtol: float, atol: float) -> str:
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """count, sum, mean, max and, for each share p, the value at rank round(p * (n - 1)) from 0, halves to even.
-
-    Ranks come from :func:`quantile`, one for each share.
-    """
-    some = rows.filter(F.col(value).isNotNull())
-    v = F.col(value)
-    out = some.groupBy(*by).agg(F.count("*").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.max(v).alias("max"))
-    for p in shares:
-        out = out.join(quantile(some, by, value, p, f"p{round(p * 100)}", nearest=True).withColumnsRenamed({k: f"__{k}" for k in by}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]).drop(*(f"__{k}" for k in by))
-    return out.select(*by, "count", "sum", "mean", *(f"p{round(p * 100)}" for p in shares), "max")
+    """count, sum, mean, max and, for each share p, the value at rank round(p * (n - 1)) from 0, halves to even: two passes by :func:`quantiles`."""
+    v, names = F.col(value), {f"p{round(p * 100)}": p for p in shares}
+    out = quantiles(rows, by, value, names, True, {"count": F.count(v), "sum": F.sum(v), "mean": F.avg(v), "max": F.max(v)})
+    return out.select(*by, "count", "sum", "mean", *names, "max")
 
 
 def task_durations(events: DataFrame) -> DataFrame:
@@ -158,9 +180,7 @@ def task_durations(events: DataFrame) -> DataFrame:
 
 def wallclock(rows: DataFrame, by: list[str], seconds: str, pixels: int | None = None) -> DataFrame:
     """n, mean, population deviation and median of seconds, and pixels a second where their number is given."""
-    out = rows.groupBy(*by).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean_s"), F.stddev_pop(seconds).alias("std_s"))
-    middle = quantile(rows, by, seconds, 0.5, "median_s").withColumnsRenamed({k: f"__{k}" for k in by})
-    out = out.join(middle, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left").drop(*(f"__{k}" for k in by))
+    out = quantiles(rows, by, seconds, {"median_s": 0.5}, also={"n": F.count(seconds), "mean_s": F.avg(seconds), "std_s": F.stddev_pop(seconds)}, empty=True).select(*by, "n", "mean_s", "std_s", "median_s")
     return out.withColumn("px_per_s", F.try_divide(F.lit(float(pixels)), F.col("mean_s"))) if pixels else out
 
 

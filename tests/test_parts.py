@@ -325,3 +325,28 @@ def test_crops_while_decoding(spark, tmp_path):
     with pytest.raises(Exception, match="digest"):
         npz.unpack(spark, str(tmp_path), str(tmp_path / "flat"), "00").count()
     assert npz.unpack(spark, str(tmp_path), str(tmp_path / "flat")).first()["name"] == "one.npz" and (tmp_path / "flat/one.npz").read_bytes() == b"1"
+
+
+def test_quantiles_of_many_shares_and_empty_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = {"big": np.round(rng.lognormal(0, 2, 50_000), 3), "few": rng.normal(size=9), "ties": np.repeat([1.0, 5.0], 15_000)}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("none", None)] * 3, "g string, v double").repartition(4)
+    shares = {"a": 0.01, "b": 0.5, "c": 0.5003, "d": 0.999}
+    for few in (10_000, 2):  # bounds broadcast, or joined
+        monkeypatch.setattr(Q, "FEW_GROUPS", few)
+        got = {r["g"]: r for r in Q.quantiles(rows, ["g"], "v", shares, also={"most": F.max("v"), "n": F.count("v")}, empty=True).collect()}
+        assert set(got) == {*values, "none"} and tuple(got["none"])[1:] == (None, None, None, None, None, 0)
+        for k, x in values.items():
+            assert [got[k][n] for n in shares] == pytest.approx([float(np.quantile(x, p)) for p in shares.values()], rel=1e-12) and got[k]["most"] == x.max()
+    monkeypatch.setattr(Q, "FEW_GROUPS", 10_000)
+    plan = Q.quantiles(rows, ["g"], "v", shares, True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    slow = Q.wallclock(rows.withColumnRenamed("v", "s"), ["g"], "s")
+    assert {r["g"]: r["n"] for r in slow.collect()} == {"big": 50_000, "few": 9, "ties": 30_000, "none": 0}
+
+
+def test_infinite_counts_are_not_quantised(spark):
+    rows = spark.createDataFrame([(1, v) for v in (float("inf"), float("nan"), -1.0, None, 4.0)], "band int, v double")
+    for strategy in ("p99", "max"):
+        scales = I.quantise_scales(rows, "band", "v", 8, strategy)
+        assert sorted(r["q"] for r in I.quantise(rows, scales, "band", "v", 8).collect())[:4] == [0, 0, 0, 0]
