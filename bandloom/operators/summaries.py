@@ -58,7 +58,15 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     edge = lambda i, end, rim: F.when(whole | F.lit(rim), F.col(end)).otherwise(F.col("__near")[i])
     brackets = F.array(*(F.struct(edge(2 * i, "__min", p <= off).alias("lo"), edge(2 * i + 1, "__max", p >= 1 - off).alias("hi")) for i, p in enumerate(shares.values())))
     groups = first.select(*(F.col(k).alias(f"__{k}") for k in by), "__n", brackets.alias("__brackets"), *also)
-    values = some.select(*by, v.alias("__v"))
+    return within_brackets(some, groups, by, value, shares, nearest, list(also), empty)
+
+
+def within_brackets(some: DataFrame, groups: DataFrame, by: list[str], value: str, shares: dict[str, float], nearest: bool = False, also: list[str] = (), empty: bool = False) -> DataFrame:
+    """The second pass of :func:`quantiles`. ``groups``: of each group, its keys under names with ``__`` before them, __n, __brackets (an array of lo and hi, which hold each share's rank between them) and ``also``.
+
+    A bracket that doesn't hold its rank is an error, never a wrong value.
+    """
+    values = some.select(*by, F.col(value).alias("__v"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
     met = values.join(groups.select(*(f"__{k}" for k in by), "__brackets"), same) if by else values.crossJoin(F.broadcast(groups.select("__brackets")))  # without groups that is one row
     inside = F.exists("__brackets", lambda b: F.col("__v").between(b["lo"], b["hi"]))
@@ -66,24 +74,21 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     below = F.array_max(F.transform("__brackets", lambda b: F.when(b["hi"] < F.col("__v"), b["hi"])))
     counted = met.groupBy(*by, F.when(inside, F.col("__v")).otherwise(below).alias("__at"), inside.alias("__inside")).agg(F.count("*").alias("__k"))
     order = Window.partitionBy(*by).orderBy(F.col("__at").asc_nulls_first(), F.col("__inside").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__upto", F.sum("__k").over(order)).filter("__inside")
+    ranked = counted.withColumn("__upto", F.sum("__k").over(order)).withColumn("__before", F.col("__upto") - F.col("__k"))
     joined = ranked.join(groups.drop("__brackets"), same) if by else ranked.crossJoin(F.broadcast(groups.drop("__brackets")))
-    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__at")))
+    at = lambda rank: F.min(F.when(F.col("__inside") & (F.col("__upto") > rank), F.struct("__at", (F.col("__before") <= rank).alias("held"))))
+    value_of = lambda c: F.when(F.col(f"{c}.held"), F.col(f"{c}.__at")).otherwise(F.raise_error(F.lit("a bracket doesn't hold its rank; use a larger sketch")).cast("double"))
     rank = {name: F.lit(p) * (F.col("__n") - 1) for name, p in shares.items()}
+    ends = {name: (F.bround(x), F.bround(x)) if nearest else (F.floor(x), F.ceil(x)) for name, x in rank.items()}
     keep = [F.first(k).alias(k) for k in also]
-
-    def all_of(found: DataFrame) -> DataFrame:
-        if not empty:
-            return found
-        own = found.drop(*also).withColumnsRenamed({k: f"__own_{k}" for k in by})
-        on = [F.col(f"__{k}").eqNullSafe(F.col(f"__own_{k}")) for k in by] or F.lit(True)
-        return groups.join(own, on, "left").select(*(F.col(f"__{k}").alias(k) for k in by), *shares, *also)
-
-    if nearest:
-        return all_of(joined.groupBy(*by).agg(*(at(F.bround(x)).alias(name) for name, x in rank.items()), *keep))
-    found = joined.groupBy(*by).agg(*(f for name, x in rank.items() for f in (at(F.floor(x)).alias(f"__a_{name}"), at(F.ceil(x)).alias(f"__b_{name}"), F.first(x - F.floor(x)).alias(f"__part_{name}"))), *keep)
-    between = lambda name: F.col(f"__a_{name}") + (F.col(f"__b_{name}") - F.col(f"__a_{name}")) * F.col(f"__part_{name}")
-    return all_of(found.select(*by, *(between(name).alias(name) for name in shares), *also))
+    found = joined.groupBy(*by).agg(*(f for name, (lo, hi) in ends.items() for f in (at(lo).alias(f"__a_{name}"), at(hi).alias(f"__b_{name}"), F.first(rank[name] - F.floor(rank[name])).alias(f"__part_{name}"))), *keep)
+    between = lambda name: value_of(f"__a_{name}") + (value_of(f"__b_{name}") - value_of(f"__a_{name}")) * F.col(f"__part_{name}")
+    found = found.select(*by, *((value_of(f"__a_{name}") if nearest else between(name)).alias(name) for name in shares), *also)
+    if not empty:
+        return found
+    own = found.drop(*also).withColumnsRenamed({k: f"__own_{k}" for k in by})
+    on = [F.col(f"__{k}").eqNullSafe(F.col(f"__own_{k}")) for k in by] or F.lit(True)
+    return groups.join(own, on, "left").select(*(F.col(f"__{k}").alias(k) for k in by), *shares, *also)
 
 
 def quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:

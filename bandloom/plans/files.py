@@ -16,6 +16,7 @@ from ..operators import calibration as C
 from ..operators import ingest as I
 from ..operators import inversion as V
 from ..operators import selection as S
+from ..operators import sketches
 from ..runtime import put, scratch
 from ..sources import fits, npz, stacks, tables
 from ..streaming import assembly
@@ -239,6 +240,20 @@ def stream_solve(spark, d):
     return K.flat(spark.read.parquet(f"{path}/out"), K.grid())
 
 
+@query(
+    """WITH v AS (SELECT l_returnflag AS flag, l_extendedprice AS x FROM lineitem)
+    SELECT flag, count(*) AS n, round(quantile_cont(x, 0.01), 6) AS p1, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.99), 6) AS p99 FROM v GROUP BY 1"""
+)
+def stored_sketches(spark, d):
+    """Sketches by month, stored, merged over months, and made exact by one pass over the values."""
+    path = scratch(spark, "sketches")
+    rows = W.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyyMM").alias("month"), F.col("l_extendedprice").alias("x"))
+    sketches.sketched(rows, ["flag", "month"], "x").write.partitionBy("month").parquet(path)
+    whole = sketches.merged(spark.read.parquet(path), ["flag"])
+    made = sketches.exact(rows, whole, ["flag"], "x", {"p1": 0.01, "p50": 0.5, "p99": 0.99})
+    return whole.select("flag", "n").join(made, "flag").select("flag", "n", *(r(c).alias(c) for c in ("p1", "p50", "p99")))
+
+
 IMAGES = {94: (5, 6), 131: (4, 7), 171: (4, 6)}
 SETS = "(SELECT CAST(range AS INTEGER) AS s FROM range(3))"
 
