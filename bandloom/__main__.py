@@ -14,6 +14,7 @@ from .operators import calibration as C
 from .operators import golden as G
 from .operators import inversion as V
 from .operators import selection as S
+from .operators import sql_functions as B
 from .operators import summaries as Q
 from .plans import catalogue
 from .sources import npz, tables
@@ -28,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     solve.add_argument("--parquet", action="store_true", help="the source has pixels in Parquet")
     solve.add_argument("--crop", type=S.parse_size)
     solve.add_argument("--unit-edn", action="store_true", help="uncertainties of one where a file has none")
+    solve.add_argument("--idx", type=S.parse_index, help="all or -1, or the number of one frame in the order of their names")
+    solve.add_argument("--max-samples", type=int, help="so many pixels at most, evenly spaced in the order of frame, row and column")
+    solve.add_argument("--solver", help="module:function of a solver of your own, of counts and uncertainties")
+    solve.add_argument("--outputs", default="dem array<double>", help="what that solver returns")
     golden = sub.add_parser("golden", help="a golden solution: counts raised, responses scaled to them, solved, and least squares where that finds nothing")
     golden.add_argument("source")
     golden.add_argument("out")
@@ -75,13 +80,25 @@ def main(argv: list[str] | None = None) -> dict:
         px = spark.read.parquet(a.source) if a.parquet else npz.read_pixels(spark, a.source, crop=a.crop, unit_edn=a.unit_edn)
         if a.parquet and a.crop:
             px = S.crop_top_left(px, *a.crop)
+        if a.idx is not None:
+            frames = px.select("frame_id").distinct()
+            px = px.join(S.select_frames(S.numbered(frames), a.idx, frames.count()).select("frame_id"), "frame_id", "left_semi")
+        if a.max_samples:
+            px = S.evenly_spaced(S.indexed(px, "__index"), "__index", None, a.max_samples).drop("__index")
         px = px.withColumn("dn", P.sanitise(F.col("dn")))
         made = P.error_model(F.col("dn"), a.error_model, a.error_a, a.error_b)
         px = px.withColumn("edn", F.coalesce("edn", made) if "edn" in px.columns else made)
         options, cal = options_of(a), calibration_of(spark, a)
         facts = {"nt": len(cal.logt), "nmu": options.steps, "logt": [float(v) for v in cal.logt], **runtime.environment(spark)}
-        figures = tables.write_solution(V.solve_dem(px.select("frame_id", "y", "x", "dn", "edn"), cal, options), a.out, meta=facts)
-        out = {"pixels": figures["n_pixels"], "valid": figures["n_valid"]}
+        px = px.select("frame_id", "y", "x", "dn", "edn")
+        if a.solver:
+            where = a.solver
+            B.named(where)  # an error here rather than in a task
+            solution = V.solve_with(px, lambda dn, edn: B.named(where)(dn, edn), a.outputs)
+        else:
+            solution = V.solve_dem(px, cal, options)
+        figures = tables.write_solution(solution, a.out, meta=facts)
+        out = {"pixels": figures.get("n_pixels"), "valid": figures.get("n_valid")}
     elif a.what == "golden":
         px = npz.read_pixels(spark, a.source)
         if a.size:

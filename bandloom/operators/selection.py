@@ -72,6 +72,17 @@ def evenly_spaced(rows: DataFrame, index: str, n: int | None, most: int) -> Data
     return rows.filter((count <= most) | (k < most) & (F.floor(k * a / b) == i)).select(names)
 
 
+def indexed(px: DataFrame, index: str = "index") -> DataFrame:
+    """``px`` with the number of each pixel from 0, by frame, row and column. Lines are numbered within frames and frames by their counts, so no task orders all pixels."""
+    lines = px.groupBy("frame_id", "y").agg(F.count("*").alias("__line"))
+    frames = lines.groupBy("frame_id").agg(F.sum("__line").alias("__frame"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    frames = frames.select("frame_id", before("__frame", Window.orderBy("frame_id")).alias("__frames"))  # a row for each frame
+    lines = lines.select("frame_id", "y", before("__line", Window.partitionBy("frame_id").orderBy("y")).alias("__lines")).join(frames, "frame_id")
+    place = F.row_number().over(Window.partitionBy("frame_id", "y").orderBy("x")) - 1
+    return px.withColumn("__place", place).join(lines, ["frame_id", "y"]).select(*px.columns, (F.col("__frames") + F.col("__lines") + F.col("__place")).alias(index))
+
+
 def tiled(px: DataFrame, th: int, tw: int) -> DataFrame:
     return px.withColumn("tile_y", F.floor(F.col("y") / th).cast("int")).withColumn("tile_x", F.floor(F.col("x") / tw).cast("int"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from ..operators import ingest as I
 from ..operators import inversion as V
 from ..operators import joins as J
 from ..operators import selection as S
+from ..operators import sql_functions as B
 from ..operators import summaries as Q
 from ..runtime import scratch
 from ..sources import tables
@@ -461,6 +463,48 @@ def solve_bins(spark, d):
     return rows.select("vec_id", "bin", (r(F.col("z.dem") / F.col("em"), 4) + 0.0).alias("dem"), r(F.col("z.edem") / F.col("em"), 4).alias("edem"), r("z.elogt").alias("elogt"))
 
 
+def named_for(rows: DataFrame) -> tuple[str, str]:
+    """A view of the rows and a function's name, neither used before."""
+    key = uuid.uuid4().hex
+    rows.createOrReplaceTempView(f"px_{key}")
+    return f"px_{key}", f"f_{key}"
+
+
+@query(f"WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))} SELECT id AS vec_id, valid, round(chisq, 6) AS chisq, CASE WHEN list_sum(edem) > 0 THEN round(log10(list_sum(edem)), 5) END AS log_edem, round(list_sum(elogt), 6) AS elogt_sum FROM sol")
+def sql_solver(spark, d):
+    """The solver as a function in SQL text."""
+    px, f = named_for(pixels(spark, d))
+    B.register_solver(spark, f, C.default())
+    total = "aggregate({}, 0D, (s, v) -> s + v)".format
+    return spark.sql(f"SELECT vec_id, s.valid, round(s.chisq, 6) AS chisq, CASE WHEN {total('s.edem')} > 0 THEN round(log10({total('s.edem')}), 5) END AS log_edem, round({total('s.elogt')}, 6) AS elogt_sum FROM (SELECT vec_id, {f}(dn, edn) AS s FROM {px})")
+
+
+def clipped(dn: np.ndarray, edn: np.ndarray) -> dict[str, np.ndarray]:
+    """A solver as users write them, which is found by its name."""
+    dem, _, fit = V.lstsq_clip(dn, np.array(RESPONSE))
+    return {"em": dem.sum(axis=1), "residual": fit}
+
+
+def sql_user_solver(spark, d):
+    """A solver of the user's own, by its name, as a function in SQL text."""
+    px, f = named_for(W.px(spark, d))
+    B.register_user_solver(spark, f, f"{__name__}:clipped", "em double, residual double")
+    return spark.sql(f"SELECT vec_id, round(s.em, 4) AS em, round(s.residual, 2) AS residual FROM (SELECT vec_id, {f}(dn, dn) AS s FROM {px})")
+
+
+def table_function_bins(spark, d):
+    """Pixels to their bins by a function that takes a table."""
+    px, f = named_for(pixels(spark, d).withColumn("x", F.col("vec_id").cast("int")))
+    B.register_bins(spark, f, C.default())
+    return spark.sql(
+        f"""SELECT CAST(x AS BIGINT) AS vec_id, bin, round(dem / em, 4) + 0.0 AS dem, round(edem / em, 4) AS edem, round(elogt, 6) AS elogt
+        FROM (SELECT *, sum(dem) OVER (PARTITION BY x) AS em FROM {f}(TABLE(SELECT frame_id, y, x, dn, edn FROM {px}) PARTITION BY frame_id) WHERE valid)"""
+    )
+
+
+query(ORACLE_SQL["solve_bins"])(table_function_bins)
+
+
 @query(
     f"""WITH RECURSIVE {X.solution(PIXELS, *solver_options({}))}
     SELECT count(*) AS n_pixels, count(*) FILTER (valid) AS n_valid, round(min(list_min(dem)) / max(list_max(dem)), 4) + 0.0 AS least, round(log10(max(list_max(dem))), 5) AS log_dem_max, round(log10(avg(list_sum(dem))), 5) AS log_em_mean, round(avg(chisq), 6) AS chisq_mean FROM sol"""
@@ -653,6 +697,8 @@ def lstsq_clip(spark, d):
     return out.select("vec_id", r("em", 4).alias("em"), r("residual", 2).alias("residual"))
 
 
+query(ORACLE_SQL["lstsq_clip"])(sql_user_solver)
+
 # -- temperature maps -------------------------------------------------------------------
 
 TOTAL = f"{DEM}, tt AS (SELECT vec_id, sum(dem) AS em FROM dm GROUP BY 1)"

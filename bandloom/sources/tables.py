@@ -55,10 +55,11 @@ def figures_of(solution: DataFrame) -> dict[str, Column]:
     total = F.aggregate("dem", F.lit(0.0), lambda s, v: s + v)
     number = lambda c: F.when(~F.isnan(c), c)
     found = {
-        "n_pixels": ("dem", F.count(F.lit(1))), "n_valid": ("valid", F.count_if("valid")), "dem_min": ("dem", F.min(F.array_min("dem"))), "dem_max": ("dem", F.max(F.array_max("dem"))),
+        "n_pixels": ("frame_id", F.count(F.lit(1))), "n_valid": ("valid", F.count_if("valid")), "dem_min": ("dem", F.min(F.array_min("dem"))), "dem_max": ("dem", F.max(F.array_max("dem"))),
         "em_mean": ("dem", F.avg(number(total))), "chisq_mean": ("chisq", F.avg(number(F.col("chisq")))),
     }
-    return {k: made for k, (needs, made) in found.items() if needs in solution.columns}
+    kinds = dict(solution.dtypes)
+    return {k: made for k, (needs, made) in found.items() if needs in kinds and (needs != "dem" or kinds[needs].startswith("array"))}
 
 
 def observed(rows: DataFrame, figures: dict[str, Column], write: Callable[[DataFrame], None]) -> dict[str, object]:
