@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import student
 from ..functions.pixels import finite
 
 
@@ -199,6 +200,34 @@ def welch(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     return s.select("n_a", "n_b", "mean_a", "mean_b", t.alias("t"), df.alias("df"))
 
 
+def welch_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Welch's test of each pair of groups: a and b (a first in order), n_a, n_b, mean_a, mean_b, t (a less b), df, p_two (two-sided) and p_less (that a's mean isn't below b's, by chance).
+
+    Groups, of which there are few, meet in one row of their counts, means and variances; values are only aggregated.
+    Null groups and values, and NaN, are left out. A pair without a variance has no t.
+    """
+    good = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    stats = good.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("g", "n", "mean", "var"))).alias("all"))
+    pairs = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    both = one.select(F.inline(pairs))
+    va, vb = F.col("a.var") / F.col("a.n"), F.col("b.var") / F.col("b.n")
+    t = F.try_divide(F.col("a.mean") - F.col("b.mean"), F.sqrt(va + vb))
+    df = F.try_divide((va + vb) * (va + vb), va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))
+    out = both.select(F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.mean").alias("mean_a"), F.col("b.mean").alias("mean_b"), t.alias("t"), df.alias("df"))
+    return out.withColumns({"p_two": student.two_sided(F.col("t"), F.col("df")), "p_less": student.less(F.col("t"), F.col("df"))})
+
+
+def paired(rows: DataFrame, key: list[str], group: str, value: str, a: str, b: str) -> DataFrame:
+    """One row: n keys that have both groups (their mean where a key repeats), mean and deviation of the differences a less b, t, df, p_two, p_less, and the correlation of a and b."""
+    of = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
+    both = rows.filter(F.col(group).isin(a, b) & F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*key).agg(of(a).alias("x"), of(b).alias("y")).dropna(subset=["x", "y"])
+    d = F.col("x") - F.col("y")
+    one = both.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.corr("x", "y").alias("correlation"))
+    one = one.withColumn("t", F.try_divide("mean", F.col("std") / F.sqrt("n"))).withColumn("df", (F.col("n") - 1).cast("double"))
+    return one.select("n", "mean", "std", "t", "df", student.two_sided(F.col("t"), F.col("df")).alias("p_two"), student.less(F.col("t"), F.col("df")).alias("p_less"), "correlation")
+
+
 def student_less(t: float, df: float) -> float:
     """P(T <= t) of Student's distribution, by the continued fraction of the incomplete beta function."""
     x = df / (df + t * t)

@@ -828,6 +828,35 @@ def wallclock_stats(spark, d):
     return out.select("o_orderpriority", "n", *(r(c, k).alias(c) for c, k in (("mean_s", 4), ("std_s", 4), ("median_s", 4), ("px_per_s", 6))))
 
 
+#: The upper tail of Student's distribution, by Simpson's rule over the angle whose tangent is t over the root of df.
+TAIL = """sm AS (SELECT range AS i, CASE WHEN range IN (0, 20000) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(20001)),
+    pv AS (SELECT {key}, exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(pi()) * sum(w * pow(cos(least(th + (pi() / 2 - th) * i / 20000, pi() / 2)), df - 1)) * (pi() / 2 - any_value(th)) / 60000 AS tail
+      FROM (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM {source}), sm GROUP BY {key})"""
+
+
+@query(
+    f"""WITH st AS (SELECT event_type AS g, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1),
+    te AS (SELECT a.g AS a, b.g AS b, a.n AS n_a, b.n AS n_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS df FROM st a JOIN st b ON a.g < b.g),
+    {TAIL.format(key="a, b", source="te")}
+    SELECT a, b, n_a, n_b, round(t, 6) AS t, round(df, 4) AS df, round(2 * tail, 6) AS p_two, round(CASE WHEN t < 0 THEN tail ELSE 1 - tail END, 6) AS p_less FROM te JOIN pv USING (a, b)"""
+)
+def welch_pairs(spark, d):
+    """Welch's test of each pair of event types."""
+    return Q.welch_pairs(W.table(spark, d, "events"), "event_type", "value").select("a", "b", "n_a", "n_b", r("t").alias("t"), r("df", 4).alias("df"), r("p_two").alias("p_two"), r("p_less").alias("p_less"))
+
+
+@query(
+    f"""WITH us AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS x, avg(value) FILTER (event_type = 'view') AS y FROM events GROUP BY 1),
+    te AS (SELECT count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS s, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) AS t, CAST(count(*) - 1 AS DOUBLE) AS df, corr(x, y) AS c FROM us WHERE x IS NOT NULL AND y IS NOT NULL),
+    {TAIL.format(key="n", source="te")}
+    SELECT te.n, round(m, 6) AS mean, round(s, 6) AS std, round(t, 6) AS t, round(2 * tail, 6) AS p_two, round(CASE WHEN t < 0 THEN tail ELSE 1 - tail END, 6) AS p_less, round(c, 6) AS correlation FROM te JOIN pv USING (n)"""
+)
+def paired_users(spark, d):
+    """Each user's clicks against the same user's views."""
+    made = Q.paired(W.table(spark, d, "events"), ["user_id"], "event_type", "value", "click", "view")
+    return made.select("n", *(r(c).alias(c) for c in ("mean", "std", "t", "p_two", "p_less", "correlation")))
+
+
 @query(
     """WITH s AS (SELECT count(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS n_a, count(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS n_b,
     avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS m_a, avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS m_b,
