@@ -1,7 +1,8 @@
 """Temperature grids and responses.
 
-They have tens of rows, so they are made with NumPy on the driver and travel as
-literals; the DataFrame forms exist for queries that join with them.
+One calibration has tens of rows, so it is made with NumPy on the driver and
+travels as literals; :mod:`bandloom.operators.instruments` makes those of many
+instruments as tables.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
 
 SCALE = 1e15
 
@@ -108,10 +107,13 @@ def binned(nt: int = 24, nf: int = 6, n_tresp: int = 200, lo: float = 5.5, hi: f
     tresp, t, temps = sampled(nf, lo, hi, n_tresp, nt)
     e = np.log10(temps)
     logt, dlogt = (e[1:] + e[:-1]) / 2, np.diff(e)
-    out = np.empty((nt, nf))
-    for i in range(nt):
-        inside = (t >= e[i]) & ((t < e[i + 1]) | ((i == nt - 1) & (t <= e[i + 1])))
-        out[i] = tresp[inside].mean(axis=0) if inside.any() else [np.interp(logt[i], t, tresp[:, f]) for f in range(nf)]
+    at = np.searchsorted(e, t, side="right") - 1
+    at[t == e[-1]] = nt - 1
+    at, tresp_in = at[(at >= 0) & (at < nt)], tresp[(at >= 0) & (at < nt)]
+    n = np.bincount(at, minlength=nt)[:, None]
+    sums = np.stack([np.bincount(at, column, nt) for column in tresp_in.T], axis=1)
+    between = np.stack([np.interp(logt, t, column) for column in tresp.T], axis=1)
+    out = np.where(n > 0, sums / np.maximum(n, 1), between)
     if include_jacobian:
         out = out * jacobian(logt, dlogt)[:, None]
     return np.maximum(out, 1e-30), logt, dlogt
@@ -157,74 +159,3 @@ def double_jacobian(nt: int = 24, nf: int = 6) -> Calibration:
     """As the default, with the bins' widths in temperature multiplied in twice, as some published runs had it."""
     one = default(nt, nf)
     return Calibration(one.rmatrix * one.factor[:, None], one.logt, one.dlogt)
-
-
-# -- DataFrame forms ---------------------------------------------------------
-
-
-def _few(spark: SparkSession, n: int) -> DataFrame:
-    """Numbers in one partition: what is made of a calibration's tens of rows needs no exchange."""
-    return spark.range(0, n, 1, 1)
-
-
-def grid_frame(spark: SparkSession, nt: int, lo: float = 5.5, hi: float = 7.5) -> DataFrame:
-    """bin, logt, edge_lo, edge_hi, temp_lo, temp_hi."""
-    step = (hi - lo) / (nt - 1) if nt > 1 else 0.1
-    b = F.col("bin")
-    rows = _few(spark, nt).select(F.col("id").cast("int").alias("bin")).withColumn("logt", F.lit(lo) + b * step)
-    rows = rows.withColumn("edge_lo", F.lit(lo - step / 2) + b * step).withColumn("edge_hi", F.lit(lo - step / 2) + (b + 1) * step)
-    return rows.withColumn("temp_lo", F.pow(F.lit(10.0), "edge_lo")).withColumn("temp_hi", F.pow(F.lit(10.0), "edge_hi"))
-
-
-def response_frame(spark: SparkSession, nt: int, nf: int = 6, width: float = 0.2, lo: float = 5.5, hi: float = 7.5, normalize: str = "none", include_jacobian: bool = False) -> DataFrame:
-    """bin, band, logt, value: Gaussians at 10 to 90 % of the range, times the bin's width where asked, normalised by band."""
-    bands = _few(spark, nf).select(F.col("id").cast("int").alias("band"), (F.lit(lo) + (hi - lo) * (0.1 + 0.8 * F.col("id") / max(nf - 1, 1))).alias("centre"))
-    z = (F.col("logt") - F.col("centre")) / width
-    rows = grid_frame(spark, nt, lo, hi).select("bin", "logt").crossJoin(bands).select("bin", "band", "logt", F.exp(-0.5 * z * z).alias("value"))
-    if include_jacobian:
-        rows = rows.withColumn("value", F.col("value") * ((hi - lo) / (nt - 1) if nt > 1 else 0.1))
-    over = Window.partitionBy("band")
-    if normalize == "l1":
-        return rows.withColumn("value", F.col("value") / (F.sum("value").over(over) + 1e-12))
-    if normalize == "colmax":
-        return rows.withColumn("value", F.col("value") / (F.max("value").over(over) + 1e-12))
-    return rows
-
-
-def samples_frame(spark: SparkSession, n_tresp: int = 200, nf: int = 6, lo: float = 5.5, hi: float = 7.5) -> DataFrame:
-    """i, band, logt, value of the finely sampled responses."""
-    step = (hi - lo) / (n_tresp - 1)
-    span = (hi - lo - 0.4) / max(nf - 1, 1)
-    rows = _few(spark, n_tresp).crossJoin(_few(spark, nf).withColumnRenamed("id", "band"))
-    rows = rows.select(F.col("id").cast("int").alias("i"), F.col("band").cast("int").alias("band"), (F.lit(lo) + F.col("id") * step).alias("logt"), (F.lit(lo + 0.2) + F.col("band") * span).alias("centre"))
-    z = (F.col("logt") - F.col("centre")) / 0.15
-    return rows.select("i", "band", "logt", (F.exp(-0.5 * z * z) + 1e-30).alias("value"))
-
-
-def binned_frame(samples: DataFrame, bins: DataFrame) -> DataFrame:
-    """bin, band, n, value: the mean of the samples in each bin, the range join of a calibration.
-
-    ``bins``: bin, lo, hi and last. An empty bin takes the value between its neighbouring samples. A calibration has
-    tens of bins and hundreds of samples, so the bins are broadcast and bands crossed with them.
-    """
-    s, b = samples.alias("s"), bins.alias("b")
-    inside = (F.col("s.logt") >= F.col("b.lo")) & ((F.col("s.logt") < F.col("b.hi")) | (F.col("b.last") & (F.col("s.logt") <= F.col("b.hi"))))
-    bands = samples.select("band").distinct()
-    means = s.join(F.broadcast(b), inside).groupBy("b.bin", "s.band").agg(F.count("*").alias("n"), F.avg("s.value").alias("mean"))
-    between = interpolated(samples, bins.select("bin", ((F.col("lo") + F.col("hi")) / 2).alias("x")), log=False)
-    return bins.select("bin").crossJoin(bands).join(means, ["bin", "band"], "left").join(between, ["bin", "band"], "left").select("bin", "band", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", "value").alias("value"))
-
-
-def interpolated(samples: DataFrame, points: DataFrame, log: bool = True) -> DataFrame:
-    """bin, band, value at each point x: linear between the samples around it, clamped beyond them.
-
-    ``points`` (bin, x) are a calibration's, tens of rows. ``log``: in the logarithm of the value.
-    """
-    y = F.log10(F.greatest("value", F.lit(1e-300))) if log else F.col("value")
-    around = Window.partitionBy("band").orderBy("logt")
-    pieces = samples.select("band", "logt", y.alias("y")).select("band", "logt", "y", F.lead("logt").over(around).alias("logt2"), F.lead("y").over(around).alias("y2"), F.lag("logt").over(around).isNull().alias("first"))
-    x = F.col("x")
-    fits = ((F.col("logt") <= x) & ((x < F.col("logt2")) | F.col("logt2").isNull())) | (F.col("first") & (x < F.col("logt")))
-    share = F.when(F.col("logt2").isNull() | (x < F.col("logt")), F.lit(0.0)).otherwise((x - F.col("logt")) / (F.col("logt2") - F.col("logt")))
-    value = F.col("y") + F.when(share == 0, F.lit(0.0)).otherwise((F.col("y2") - F.col("y")) * share)
-    return pieces.join(F.broadcast(points), fits).select("bin", "band", (F.pow(F.lit(10.0), value) if log else value).alias("value"))

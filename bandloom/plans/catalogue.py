@@ -13,6 +13,7 @@ from ..functions import pixels as P
 from ..operators import calibration as C
 from ..operators import golden as G
 from ..operators import ingest as I
+from ..operators import instruments as N
 from ..operators import inversion as V
 from ..operators import joins as J
 from ..operators import selection as S
@@ -264,66 +265,74 @@ def validity(spark, d):
 
 # -- calibration ------------------------------------------------------------------
 
-GRID = "g AS (SELECT CAST(range AS INTEGER) AS bin, 5.5 + range * (2.0 / 23) AS logt FROM range(24))"
-GAUSS = f"{GRID}, rs AS (SELECT bin, b AS band, logt, exp(-0.5 * pow((logt - (5.5 + 2.0 * (0.1 + 0.8 * b / 5))) / 0.2, 2)) AS value FROM g, (SELECT CAST(range AS INTEGER) AS b FROM range(6)))"
+INS = "ins AS (SELECT s_suppkey AS instrument, 5.5 + 0.01 * (s_suppkey % 10) AS lo, 7.3 + greatest(s_acctbal, 0.0) / 50000 AS hi, 0.15 + 0.01 * (s_suppkey % 5) AS width FROM supplier)"
+GRID = f"{INS}, g AS (SELECT *, CAST(range AS INTEGER) AS bin, (hi - lo) / 23 AS step, lo + range * ((hi - lo) / 23) AS logt FROM ins, range(24))"
+GAUSS = f"{GRID}, rs AS (SELECT *, b AS band, exp(-0.5 * pow((logt - (lo + (hi - lo) * (0.1 + 0.8 * b / 5))) / width, 2)) AS value FROM g, (SELECT CAST(range AS INTEGER) AS b FROM range(6)))"
+BY = ["instrument"]
 
 
-@query(f"WITH {GRID} SELECT bin, round(logt, 9) AS logt FROM g")
+def instrument_grids(spark: SparkSession, d: str) -> DataFrame:
+    return N.grids(W.instruments(spark, d), 24)
+
+
+@query(f"WITH {GRID} SELECT instrument, bin, round(logt, 9) AS logt FROM g")
 def grid_logt(spark, d):
-    return C.grid_frame(spark, 24).select("bin", r("logt", 9).alias("logt"))
+    return instrument_grids(spark, d).select("instrument", "bin", r("logt", 9).alias("logt"))
 
 
-@query(f"WITH {GRID} SELECT bin, round(logt - 1.0 / 23, 9) AS edge_lo, round(logt + 1.0 / 23, 9) AS edge_hi, round(pow(10, logt - 1.0 / 23), 2) AS temp_lo FROM g")
+@query(f"WITH {GRID} SELECT instrument, bin, round(lo - step / 2 + bin * step, 9) AS edge_lo, round(lo - step / 2 + (bin + 1) * step, 9) AS edge_hi, round(pow(10, lo - step / 2 + bin * step), 2) AS temp_lo FROM g")
 def grid_edges(spark, d):
-    return C.grid_frame(spark, 24).select("bin", r("edge_lo", 9).alias("edge_lo"), r("edge_hi", 9).alias("edge_hi"), r("temp_lo", 2).alias("temp_lo"))
+    return instrument_grids(spark, d).select("instrument", "bin", r("edge_lo", 9).alias("edge_lo"), r("edge_hi", 9).alias("edge_hi"), r("temp_lo", 2).alias("temp_lo"))
+
 
+def response_query(spark: SparkSession, d: str, **how: object) -> DataFrame:
+    return N.responses(instrument_grids(spark, d), BY, **how).select("instrument", "bin", "band", r("value", 9).alias("value"))
 
-@query(f"WITH {GAUSS} SELECT bin, band, round(value, 9) AS value FROM rs")
+
+@query(f"WITH {GAUSS} SELECT instrument, bin, band, round(value, 9) AS value FROM rs")
 def resp_gauss(spark, d):
-    return C.response_frame(spark, 24).select("bin", "band", r("value", 9).alias("value"))
+    return response_query(spark, d)
 
 
-@query(f"WITH {GAUSS} SELECT bin, band, round(value / (sum(value) OVER (PARTITION BY band) + 1e-12), 9) AS value FROM rs")
+@query(f"WITH {GAUSS} SELECT instrument, bin, band, round(value / (sum(value) OVER (PARTITION BY instrument, band) + 1e-12), 9) AS value FROM rs")
 def resp_l1(spark, d):
-    return C.response_frame(spark, 24, normalize="l1").select("bin", "band", r("value", 9).alias("value"))
+    return response_query(spark, d, normalize="l1")
 
 
-@query(f"WITH {GAUSS} SELECT bin, band, round(value / (max(value) OVER (PARTITION BY band) + 1e-12), 9) AS value FROM rs")
+@query(f"WITH {GAUSS} SELECT instrument, bin, band, round(value / (max(value) OVER (PARTITION BY instrument, band) + 1e-12), 9) AS value FROM rs")
 def resp_colmax(spark, d):
-    return C.response_frame(spark, 24, normalize="colmax").select("bin", "band", r("value", 9).alias("value"))
+    return response_query(spark, d, normalize="colmax")
 
 
-@query(f"WITH {GAUSS}, rj AS (SELECT bin, band, value * (2.0 / 23) AS value FROM rs) SELECT bin, band, round(value / (sum(value) OVER (PARTITION BY band) + 1e-12), 9) AS value FROM rj")
+@query(f"WITH {GAUSS}, rj AS (SELECT instrument, bin, band, value * step AS value FROM rs) SELECT instrument, bin, band, round(value / (sum(value) OVER (PARTITION BY instrument, band) + 1e-12), 9) AS value FROM rj")
 def resp_l1_jacobian(spark, d):
-    return C.response_frame(spark, 24, normalize="l1", include_jacobian=True).select("bin", "band", r("value", 9).alias("value"))
-
-
-SAMPLES = "sm AS (SELECT i, b AS band, 5.5 + i * (2.0 / 199) AS logt, exp(-0.5 * pow((5.5 + i * (2.0 / 199) - (5.7 + b * 0.32)) / 0.15, 2)) + 1e-30 AS value FROM (SELECT CAST(range AS INTEGER) AS i FROM range(200)), (SELECT CAST(range AS INTEGER) AS b FROM range(6)))"
+    return response_query(spark, d, normalize="l1", include_jacobian=True)
 
 
-def _bins(spark: SparkSession, n: int = 23) -> DataFrame:
-    w = 2.0 / n
-    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("bin"), (F.lit(5.5) + F.col("id") * w).alias("lo"), (F.lit(5.5) + (F.col("id") + 1) * w).alias("hi"), (F.col("id") == n - 1).alias("last"))
+SAMPLES = f"{INS}, sm AS (SELECT instrument, lo, hi, i, b AS band, lo + i * ((hi - lo) / 199) AS logt, exp(-0.5 * pow((lo + i * ((hi - lo) / 199) - (lo + 0.2 + b * ((hi - lo - 0.4) / 5))) / 0.15, 2)) + 1e-30 AS value FROM ins, (SELECT CAST(range AS INTEGER) AS i FROM range(200)), (SELECT CAST(range AS INTEGER) AS b FROM range(6)))"
 
 
 @query(
-    f"""WITH {SAMPLES}, bn AS (SELECT CAST(range AS INTEGER) AS bin, 5.5 + range * (2.0 / 23) AS lo, 5.5 + (range + 1) * (2.0 / 23) AS hi, range = 22 AS last FROM range(23))
-    SELECT bin, band, count(*) AS n, round(avg(value), 9) AS value FROM sm JOIN bn ON logt >= lo AND (logt < hi OR last AND logt <= hi) GROUP BY 1, 2"""
+    f"""WITH {SAMPLES}, bn AS (SELECT instrument, CAST(range AS INTEGER) AS bin, lo + range * ((hi - lo) / 23) AS a, lo + (range + 1) * ((hi - lo) / 23) AS b, range = 22 AS last FROM ins, range(23))
+    SELECT instrument, bin, band, count(*) AS n, round(avg(value), 9) AS value FROM sm JOIN bn USING (instrument) WHERE logt >= a AND (logt < b OR last) GROUP BY 1, 2, 3"""
 )
 def resp_binned(spark, d):
-    return C.binned_frame(C.samples_frame(spark), _bins(spark)).select("bin", "band", "n", r("value", 9).alias("value"))
+    """Samples in bins of each instrument, by a join on ranges."""
+    own = W.instruments(spark, d)
+    return N.binned(N.samples(own), N.equal_bins(own, BY, 23), BY).select("instrument", "bin", "band", "n", r("value", 9).alias("value"))
 
 
 @query(
-    f"""WITH {SAMPLES}, pt AS (SELECT CAST(range AS INTEGER) AS bin, 5.45 + range * 0.17 AS x FROM range(13)),
-    pc AS (SELECT band, logt, log10(value) AS y, lead(logt) OVER w AS logt2, lead(log10(value)) OVER w AS y2 FROM sm WINDOW w AS (PARTITION BY band ORDER BY logt)),
-    cl AS (SELECT bin, least(greatest(x, 5.5), 7.5) AS x FROM pt)
-    SELECT bin, band, round(y + CASE WHEN logt2 IS NULL THEN 0 ELSE (y2 - y) * (x - logt) / (logt2 - logt) END, 6) AS log_value
-    FROM cl JOIN pc ON logt <= x AND (x < logt2 OR logt2 IS NULL)"""
+    f"""WITH {SAMPLES}, pt AS (SELECT instrument, CAST(range AS INTEGER) AS bin, least(greatest(lo - 0.05 + range * 0.17, lo), hi) AS x FROM ins, range(14)),
+    pc AS (SELECT instrument, band, logt, log10(value) AS y, lead(logt) OVER w AS logt2, lead(log10(value)) OVER w AS y2 FROM sm WINDOW w AS (PARTITION BY instrument, band ORDER BY logt))
+    SELECT instrument, bin, band, round(y + CASE WHEN logt2 IS NULL THEN 0 ELSE (y2 - y) * (x - logt) / (logt2 - logt) END, 6) AS log_value
+    FROM pt JOIN pc USING (instrument) WHERE logt <= x AND (x < logt2 OR logt2 IS NULL)"""
 )
 def resp_interp(spark, d):
-    points = spark.range(0, 13, 1, 1).select(F.col("id").cast("int").alias("bin"), (F.lit(5.45) + F.col("id") * 0.17).alias("x"))
-    return C.interpolated(C.samples_frame(spark), points).select("bin", "band", r(F.log10("value")).alias("log_value"))
+    """Responses at points between the samples, and beyond them, by an as-of join."""
+    own = W.instruments(spark, d)
+    points = own.select("instrument", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("bin"), "lo").select("instrument", "bin", (F.col("lo") - 0.05 + F.col("bin") * 0.17).alias("x"))
+    return N.interpolated(N.samples(own), points, BY).select("instrument", "bin", "band", r(F.log10("value")).alias("log_value"))
 
 
 @query(f"WITH {PB}, {RESP}, mn AS (SELECT band, greatest(avg(dn), 1e-6) AS m FROM pb GROUP BY 1) SELECT rsp.bin, rsp.band, round(value * m, 6) AS value FROM rsp JOIN mn ON mn.band = rsp.band")

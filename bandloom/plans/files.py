@@ -5,19 +5,16 @@ Files lie in a new folder for each query, where all executors can write.
 
 from __future__ import annotations
 
-import hashlib
-import io
-import zipfile
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import calibration as C
 from ..operators import ingest as I
+from ..operators import instruments as N
 from ..operators import inversion as V
 from ..operators import selection as S
 from ..operators import sketches
-from ..runtime import put, scratch
+from ..runtime import scratch
 from ..sources import fits, npz, stacks, tables
 from ..streaming import assembly, keyed
 from . import catalogue as K
@@ -80,52 +77,48 @@ def npz_listing(spark, d):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name")).join(again, "name")
 
 
-@query(f"WITH {K.SAMPLES} SELECT i, band, round(log10(value), 6) AS log_value FROM sm")
+@query(f"WITH {K.SAMPLES} SELECT CAST(instrument AS VARCHAR) AS name, i, band, round(logt, 9) AS logt, round(log10(value), 6) AS log_value FROM sm")
 def npz_calibration(spark, d):
-    """Responses in one file, their log T and edges in another."""
+    """Each instrument's responses written to a file of its own, and read from there."""
     path = scratch(spark, "calibration")
-    tresp, logt, temps = C.sampled()
-    for name, arrays in (("a", {"T_RESP": tresp}), ("b", {"logt": logt, "TEMPS": temps})):
-        held = io.BytesIO()
-        np.savez(held, **arrays)
-        put(f"{path}/{name}.npz", held.getvalue())
-    found = npz.read_calibration(spark, f"{path}/a.npz", f"{path}/b.npz")[0]
-    return spark.createDataFrame([(i, f, float(v)) for i, row in enumerate(found) for f, v in enumerate(row)], "i int, band int, value double").select("i", "band", r(F.log10("value")).alias("log_value"))
+    taken = N.samples(W.instruments(spark, d)).withColumn("name", F.col("instrument").cast("string"))
+    npz.write_calibrations(taken, path).count()
+    return npz.read_calibrations(spark, path).select("name", "i", "band", r("logt", 9).alias("logt"), r(F.log10("value")).alias("log_value"))
 
 
-def matrix(spark, values: np.ndarray):
-    return spark.createDataFrame([(t, f, float(v)) for t, row in enumerate(values) for f, v in enumerate(row)], "bin int, band int, value double")
+CENTRES = f"""WITH {K.SAMPLES}, pt AS (SELECT instrument, CAST(range AS INTEGER) AS bin, lo + (range + 0.5) * ((hi - lo) / 24) AS x, (hi - lo) / 24 AS w FROM ins, range(24)),
+    pc AS (SELECT instrument, band, logt, log10(value) AS y, lead(logt) OVER w AS logt2, lead(log10(value)) OVER w AS y2 FROM sm WINDOW w AS (PARTITION BY instrument, band ORDER BY logt)),
+    cv AS (SELECT instrument, bin, band, y + (y2 - y) * (x - logt) / (logt2 - logt) + 15 AS v, x + log10(ln(10.0) * w) AS jac FROM pt JOIN pc USING (instrument) WHERE logt <= x AND x < logt2)"""
 
 
-CENTRES = f"""WITH {K.SAMPLES}, pt AS (SELECT CAST(range AS INTEGER) AS bin, 5.5 + (range + 0.5) / 12 AS x FROM range(24)),
-    pc AS (SELECT band, logt, log10(value) AS y, lead(logt) OVER w AS logt2, lead(log10(value)) OVER w AS y2 FROM sm WINDOW w AS (PARTITION BY band ORDER BY logt)),
-    cv AS (SELECT bin, band, y + (y2 - y) * (x - logt) / (logt2 - logt) + 15 AS v, x + log10(ln(pow(10, 1.0 / 12))) AS jac FROM pt JOIN pc ON logt <= x AND x < logt2)"""
+def calibrated(spark, d, jacobians: int):
+    own = W.instruments(spark, d)
+    return N.prepared(own, N.samples(own), K.BY, 24, jacobians).select("instrument", "bin", "band", r(F.log10("value")).alias("log_value"))
 
 
-@query(f"{CENTRES} SELECT bin, band, round(v + jac, 6) AS log_value FROM cv")
+@query(f"{CENTRES} SELECT instrument, bin, band, round(v + jac, 6) AS log_value FROM cv")
 def calibration_default(spark, d):
-    return matrix(spark, C.default().rmatrix).select("bin", "band", r(F.log10("value")).alias("log_value"))
+    return calibrated(spark, d, 1)
 
 
-@query(f"{CENTRES} SELECT bin, band, round(v + 2 * jac, 6) AS log_value FROM cv")
+@query(f"{CENTRES} SELECT instrument, bin, band, round(v + 2 * jac, 6) AS log_value FROM cv")
 def calibration_double(spark, d):
-    return matrix(spark, C.double_jacobian().rmatrix).select("bin", "band", r(F.log10("value")).alias("log_value"))
+    return calibrated(spark, d, 2)
 
 
-@query(f"{CENTRES} SELECT bin, band, round(v, 6) AS log_value FROM cv")
+@query(f"{CENTRES} SELECT instrument, bin, band, round(v, 6) AS log_value FROM cv")
 def calibration_by_bin(spark, d):
-    return matrix(spark, C.prepare(*C.sampled(), emd_int=True).rmatrix).select("bin", "band", r(F.log10("value")).alias("log_value"))
+    return calibrated(spark, d, 0)
 
 
-@query(f"WITH {K.GRID} SELECT bin, b AS band, round(exp(-0.5 * pow((logt - (5.7 + 0.32 * b)) / 0.2, 2)), 9) AS value FROM g, (SELECT CAST(range AS INTEGER) AS b FROM range(6))")
+@query(f"WITH {K.GRID} SELECT instrument, bin, b AS band, round(exp(-0.5 * pow((logt - (5.7 + 0.32 * b)) / 0.2, 2)), 9) AS value FROM g, (SELECT CAST(range AS INTEGER) AS b FROM range(6))")
 def calibration_legacy(spark, d):
-    return matrix(spark, C.legacy(C.grid(24))).select("bin", "band", r("value", 9).alias("value"))
+    return N.legacy(K.instrument_grids(spark, d)).select("instrument", "bin", "band", r("value", 9).alias("value"))
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS nmu, CAST(least(greatest(round_even(0.6 * o_orderkey, 0), 8), 64) AS INTEGER) AS nt FROM orders WHERE o_orderkey BETWEEN 1 AND 200")
+@query("SELECT o_orderkey AS nmu, CAST(CASE WHEN o_orderkey > 0 THEN least(greatest(round_even(0.6 * o_orderkey, 0), 8), 64) ELSE 24 END AS INTEGER) AS nt FROM orders")
 def bins_for_steps(spark, d):
-    keys = [x[0] for x in W.table(spark, d, "orders").filter("o_orderkey BETWEEN 1 AND 200").select("o_orderkey").collect()]
-    return spark.createDataFrame([(int(k), C.bins_for(int(k))) for k in keys], "nmu long, nt int")
+    return W.table(spark, d, "orders").select(F.col("o_orderkey").alias("nmu"), N.bins_for(F.col("o_orderkey")).alias("nt"))
 
 
 @query(f"WITH {K.DEM} SELECT vec_id, bin, CAST(CAST(dem AS FLOAT) AS DOUBLE) AS dem, 'nt=6' AS said FROM dm")
@@ -163,35 +156,41 @@ def time_fallback(spark, d):
     return tables.with_time_fallback(rows, "raw").select("filepath", "timestamp_utc")
 
 
-KINDS = "(SELECT DISTINCT event_type AS e FROM events)"
+#: A file for each kind and day: the ids of its events, a line each.
+DAYS = "dy AS (SELECT event_type AS kind, event_type || '/' || strftime(ts, '%Y%m%d') || '.npz' AS name, string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY event_id) || chr(10) AS body FROM events GROUP BY 1, 2)"
+
+
+def days(spark, d):
+    rows = W.table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), F.date_format("ts", "yyyyMMdd").alias("d8")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    body = F.concat(F.array_join(F.transform("ids", lambda x: x.cast("string")), "\n"), F.lit("\n"))
+    return rows.select("kind", F.concat("kind", F.lit("/"), "d8", F.lit(".npz")).alias("name"), F.encode(body, "UTF-8").alias("content"))
 
 
-@query(f"SELECT e || '.npz' AS name, CAST(length(e) + 1 AS BIGINT) AS size, md5(e || chr(10)) AS md5, sha256(e || chr(10)) AS sha256, e <> 'view' AS ok FROM {KINDS}")
+@query(f"WITH {DAYS} SELECT name, CAST(strlen(body) AS BIGINT) AS size, md5(body) AS md5, sha256(body) AS sha256, kind <> 'view' AS ok FROM dy")
 def file_hashes(spark, d):
     """Files' digests, and whether they are the expected ones, in either case."""
     path = scratch(spark, "files")
-    for x in W.table(spark, d, "events").select("event_type").distinct().collect():
-        put(f"{path}/{x[0]}.npz", f"{x[0]}\n".encode())
-    files = npz.listing(spark, path)
+    npz.write_files(days(spark, d), path).count()
+    files = npz.listing(spark, path, recursive=True)
     made = tables.build_manifest(files)
-    name = F.element_at(F.split("filepath", "/"), -1)
-    wrong = name == "view.npz"
+    name = F.concat_ws("/", F.slice(F.split("filepath", "/"), -2, 2))
+    wrong = name.startswith("view/")
     checked = tables.verify_hashes(files, made.select("filepath", F.when(wrong, F.lit("00")).otherwise(F.upper("hash_sha256")).alias("hash_sha256")))
     return made.join(checked, "filepath").select(name.alias("name"), F.col("filesize_bytes").alias("size"), F.col("hash_md5").alias("md5"), F.col("hash_sha256").alias("sha256"), "ok")
 
 
-@query(f"SELECT e || '.npz' AS name, CAST(length(e) AS BIGINT) AS length FROM {KINDS} UNION ALL SELECT e || '.npz', CAST(length(e) AS BIGINT) FROM {KINDS}")
+@query(f"WITH {DAYS} SELECT 'member' AS what, replace(name, '/', '-') AS name, CAST(strlen(body) AS BIGINT) AS length FROM dy UNION ALL SELECT 'file', replace(name, '/', '-'), CAST(strlen(body) AS BIGINT) FROM dy")
 def archive_members(spark, d):
-    """Members of an archive whose digest is right, written flat, and listed again from there."""
-    path, held = scratch(spark, "archive"), io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for x in W.table(spark, d, "events").select("event_type").distinct().collect():
-            z.writestr(f"deep/er/{x[0]}.npz", x[0])
-        z.writestr("deep/readme.txt", "no")
-    put(f"{path}/a.zip", held.getvalue())
-    made = npz.unpack(spark, path, f"{path}/flat", hashlib.sha256(held.getvalue()).hexdigest().upper()).collect()
+    """An archive for each kind with the files of its days, unpacked flat, and listed again from there."""
+    path = scratch(spark, "archives")
+    rows = days(spark, d).select(F.concat("kind", F.lit(".zip")).alias("archive"), F.concat(F.lit("deep/er/"), F.translate("name", "/", "-")).alias("name"), "content")
+    again = rows.select("archive", F.concat(F.lit("deeper/"), F.substring_index("name", "/", -1)).alias("name"), F.encode(F.lit("the first of a name is kept"), "UTF-8").alias("content"))
+    npz.write_archives(rows.unionByName(again).unionByName(rows.select("archive", F.lit("readme.txt").alias("name"), "content").dropDuplicates(["archive"])), path).count()
+    made = npz.unpack(spark, path, f"{path}/flat")
+    done = scratch(spark, "unpacked")
+    made.write.parquet(done)
     there = npz.listing(spark, f"{path}/flat").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    return there.unionByName(spark.createDataFrame(made, "name string, length long"))
+    return spark.read.parquet(done).select(F.lit("member").alias("what"), "name", "length").unionByName(there.select(F.lit("file").alias("what"), "name", "length"))
 
 
 @query("SELECT o_orderkey AS k, o_totalprice AS price, CAST(NULL AS VARCHAR) AS status FROM orders UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders")
@@ -277,39 +276,41 @@ def stored_sketches(spark, d):
     return whole.select("flag", "n").join(made, "flag").select("flag", "n", *(r(c).alias(c) for c in ("p1", "p50", "p99")))
 
 
-IMAGES = {94: (5, 6), 131: (4, 7), 171: (4, 6)}
-SETS = "(SELECT CAST(range AS INTEGER) AS s FROM range(3))"
+IMAGES = [131, 94, 171]
+IMG = """im AS (SELECT label, CASE b WHEN 0 THEN 131 WHEN 1 THEN 94 ELSE 171 END AS wavelength, CAST(b AS INTEGER) AS band, CAST(vec_id // 32 AS INTEGER) AS y, CAST(vec_id % 32 AS INTEGER) AS x, 1000.0 * abs(CAST(embedding[b + 1] AS DOUBLE)) AS v
+    FROM embeddings, (SELECT range AS b FROM range(3)) WHERE b <> 1 OR vec_id // 32 < 10),
+    sz AS (SELECT label, wavelength, max(y) + 1 AS ny, max(x) + 1 AS nx FROM im GROUP BY 1, 2)"""
 
 
-def fits_files(spark) -> str:
-    """Three sets of three bands' images of different shapes, and a file that is none."""
+def fits_files(spark, d) -> str:
+    """An image for each label and three bands, one of which has fewer rows, and a file that is none."""
     path = scratch(spark, "fits")
-    for s in range(3):
-        for w, (h, width) in IMAGES.items():
-            y, x = np.mgrid[:h, :width]
-            put(f"{path}/deep/{s}_{w}.fits", fits.encoded(w + 10.0 * y + x + s / 8, wavelnth=w, exptime=2.5, date_obs=f"2025-01-01T00:0{s}:13"))
-    put(f"{path}/bad.fits", b"nothing")
+    px = W.px(spark, d).select("frame_id", "y", "x", F.posexplode(F.slice("dn", 1, 3)).alias("band", "value")).filter("band <> 1 OR y < 10")
+    number = F.col("frame_id").cast("int")
+    images = px.select(F.concat(F.lit("deep/"), "frame_id").alias("name"), F.element_at(F.array(*map(F.lit, IMAGES)), F.col("band") + 1).alias("wavelength"), F.format_string("2025-01-01T%02d:%02d:13", F.floor(number / 60).cast("int"), (number % 60).cast("int")).alias("date_obs"), "y", "x", "value")
+    fits.write_images(images, path, exptime=2.5).count()
+    npz.write_files(spark.range(1).select(F.lit("bad.fits").alias("name"), F.encode(F.lit("nothing"), "UTF-8").alias("content")), path).count()
     return path
 
 
-@query(
-    "SELECT s || '_' || w || '.fits' AS name, w AS wavelength, TIMESTAMP '2025-01-01 00:00:13' + to_minutes(s) AS timestamp_utc, nx AS naxis1, ny AS naxis2, CAST(2.5 AS DOUBLE) AS exptime FROM "
-    + SETS + ", (VALUES " + ", ".join(f"({w}, {h}, {x})" for w, (h, x) in IMAGES.items()) + ") AS v(w, ny, nx)"
-)
+STAMP = "TIMESTAMP '2025-01-01 00:00:13' + to_minutes(CAST(label AS INTEGER))"
+
+
+@query(f"WITH {IMG} SELECT label || '_' || wavelength || '.fits' AS name, wavelength, {STAMP} AS timestamp_utc, nx AS naxis1, ny AS naxis2, CAST(2.5 AS DOUBLE) AS exptime FROM sz")
 def fits_catalogue(spark, d):
-    made = fits.catalogue(spark, fits_files(spark))
+    made = fits.catalogue(spark, fits_files(spark, d))
     return made.select(F.element_at(F.split("filepath", "/"), -1).alias("name"), "wavelength", "timestamp_utc", "naxis1", "naxis2", "exptime")
 
 
 @query(
-    f"""SELECT '20250101_00_0' || CAST(s AS VARCHAR) || '_12' AS frame_id, y, x, band, CAST(w + 10 * y + x AS DOUBLE) + s / 8.0 AS dn FROM {SETS}, (SELECT CAST(range AS INTEGER) AS y FROM range(4)),
-    (SELECT CAST(range AS INTEGER) AS x FROM range(6)), (VALUES (0, 131), (1, 94), (2, 171)) AS v(band, w)"""
+    f"""WITH {IMG}, cut AS (SELECT label, min(ny) AS h, min(nx) AS w FROM sz GROUP BY 1)
+    SELECT strftime({STAMP}, '%Y%m%d_%H_%M_') || '12' AS frame_id, y, x, band, round(v, 6) AS dn FROM im JOIN cut USING (label) WHERE y < h AND x < w AND v > 0"""
 )
 def fits_pixels(spark, d):
     """Complete sets from the catalogue, cut to their smallest shape, bands in the asked order."""
-    path, bands = fits_files(spark), [131, 94, 171]
-    sets = I.pivoted(I.first_per_band(I.bucketed(fits.catalogue(spark, path))), bands)
-    return fits.pixels_of_sets(spark, path, sets, bands).select("frame_id", "y", "x", F.posexplode("dn").alias("band", "dn"))
+    path = fits_files(spark, d)
+    sets = I.pivoted(I.first_per_band(I.bucketed(fits.catalogue(spark, path))), IMAGES)
+    return fits.pixels_of_sets(spark, path, sets, IMAGES).select("frame_id", "y", "x", F.posexplode("dn").alias("band", "dn")).filter("dn > 0").withColumn("dn", r("dn"))
 
 
 @query(

@@ -44,4 +44,10 @@ def dem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.transform(F.slice("embedding", 1, NF), lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("dem"))
 
 
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """instrument, lo, hi, width: a range of temperatures and a width of responses for each supplier."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(key.alias("instrument"), (5.5 + 0.01 * (key % 10)).alias("lo"), (7.3 + F.greatest("s_acctbal", F.lit(0.0)) / 50000).alias("hi"), (0.15 + 0.01 * (key % 5)).alias("width"))
+
+
 LOGT = [5.5 + 0.4 * i for i in range(NF)]

@@ -24,13 +24,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def put(path: str, content: bytes) -> None:
-    """A file on any store that Arrow knows, whole."""
+    """A file on any store that Arrow knows: under its name only when it is whole, so a task that is killed leaves no half of it."""
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
     store.create_dir(at.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(at) as out:
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
         out.write(content)
+    store.move(part, at)
 
 
 SECTION = "section string, seconds double, status string"

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .npz import listing
+from .npz import listing, runs
 
 BLOCK, CARD = 2880, 80
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -147,6 +146,39 @@ def pixels_of_sets(spark: SparkSession, directory: str, sets: DataFrame, bands:
     return rows.mapInArrow(run, "frame_id string, y int, x int, dn array<double>")
 
 
+def write_images(rows: DataFrame, directory: str, **cards: object) -> DataFrame:
+    """path of a file for each name and wavelength of rows (name, wavelength, date_obs, y, x, value): ``<name>_<wavelength>.fits``, as large as its largest y and x, 0 where no row is.
+
+    A task writes an image from Arrow values; names may have folders.
+    """
+    one = Window.partitionBy("name", "wavelength")
+    held = rows.select("name", F.col("wavelength").cast("int").alias("wavelength"), "date_obs", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("value").cast("double").alias("value"))
+    held = held.select("*", (F.max("y").over(one) + 1).alias("height"), (F.max("x").over(one) + 1).alias("width"), F.concat_ws("_", "name", "wavelength").alias("file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..runtime import put
+
+        name, image_, facts = None, None, {}
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if name is not None:
+                put(f"{directory}/{name}.fits", encoded(image_, **facts, **cards))
+                yield pa.RecordBatch.from_pydict({"path": [f"{directory}/{name}.fits"]})
+
+        for b in batches:
+            names, starts = runs(b.column("file"))
+            for own, lo, hi in zip(names, starts, [*starts[1:], b.num_rows], strict=True):
+                part = b.slice(lo, hi - lo)
+                if own != name:
+                    yield from finished()
+                    first = part.slice(0, 1).to_pylist()[0]
+                    name, image_, facts = own, np.zeros((first["height"], first["width"])), {"wavelnth": first["wavelength"], "date_obs": first["date_obs"]}
+                image_[part.column("y").to_numpy(), part.column("x").to_numpy()] = part.column("value").to_numpy()
+        yield from finished()
+
+    return held.mapInArrow(run, "path string")
+
+
 def encoded(data: np.ndarray, **cards: object) -> bytes:
     """A file of one unit of doubles."""
     lines = ["SIMPLE  =                    T", "BITPIX  =                  -64", f"NAXIS   = {data.ndim:20d}"]

@@ -13,6 +13,7 @@ import hashlib
 import io
 import json
 import uuid
+import warnings
 import zipfile
 from collections.abc import Iterator
 
@@ -186,29 +187,117 @@ def runs(column: pa.Array) -> tuple[list[str], list[int]]:
     return [coded.dictionary[int(codes[k])].as_py() for k in starts], starts
 
 
+def write_files(rows: DataFrame, directory: str) -> DataFrame:
+    """path and length of a file for each row (name, content) below ``directory``, a folder that all executors share; tasks write their own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..runtime import put
+
+        for b in batches:
+            names, sizes = b.column(0).to_pylist(), []
+            for name, content in zip(names, b.column(1), strict=True):
+                raw = content.as_py() or b""
+                put(f"{directory}/{name}", raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_pydict({"path": [f"{directory}/{x}" for x in names], "length": sizes}, schema=pa.schema([("path", pa.string()), ("length", pa.int64())]))
+
+    return rows.select("name", "content").mapInArrow(run, "path string, length long")
+
+
+def write_archives(rows: DataFrame, directory: str) -> DataFrame:
+    """archive and members: a ZIP for each archive of rows (archive, name, content), its members in the order of their names. An archive's members meet in one task, as the file does."""
+
+    def run(table: pa.Table) -> pa.Table:
+        from ..runtime import put
+
+        name, held = table["archive"][0].as_py(), io.BytesIO()
+        with warnings.catch_warnings(), zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            warnings.simplefilter("ignore")  # names may come twice
+            for member, content in sorted(zip(table["name"].to_pylist(), table["content"].to_pylist(), strict=True)):
+                z.writestr(member, content)
+        put(f"{directory}/{name}", held.getvalue())
+        return pa.table({"archive": [name], "members": pa.array([table.num_rows], pa.int64())})
+
+    return rows.select("archive", "name", "content").groupBy("archive").applyInArrow(run, "archive string, members long")
+
+
+def flat_members(z: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo]:
+    """NPZ files of an archive by their names without folders; the first of a name is kept."""
+    found: dict[str, zipfile.ZipInfo] = {}
+    for x in z.infolist():
+        if x.filename.endswith(".npz"):
+            found.setdefault(x.filename.rpartition("/")[2], x)
+    return found
+
+
 def unpack(spark: SparkSession, archives: str, directory: str, sha256: str | None = None, pattern: str = "*.zip") -> DataFrame:
     """name and length of every NPZ in the archives, written flat to ``directory``, a folder that all executors share.
 
-    ``sha256``: what the archives' digest must be, in either case; another one is an error and nothing of it is written.
-    One task unpacks an archive, member by member; folders within it are dropped from names.
+    ``sha256``: what the archives' digest must be, in either case; another one is an error and nothing is written. Folders
+    within an archive are dropped from names, of which the first in an archive is kept; a name that two archives have is an
+    error too, found before anything is written. One task unpacks an archive, member by member.
     """
     files = listing(spark, archives, pattern).select("path", "content")
+    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("length", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(write: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from ..runtime import put
+
+            for batch in batches:
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    raw = content.as_py()
+                    if sha256 and hashlib.sha256(raw).hexdigest() != sha256.lower():
+                        raise ValueError(f"{path} has another digest")
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        found = flat_members(z)
+                        for name, x in found.items():
+                            if write:
+                                put(f"{directory}/{name}", z.read(x))
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(found), "name": list(found), "length": [x.file_size for x in found.values()]}, schema=schema)
+
+        return files.mapInArrow(run, "path string, name string, length long")
+
+    twice = members(False).groupBy("name").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two archives have a {twice[0]['name']}")
+    return members(True).select("name", "length")
+
+
+def write_calibrations(taken: DataFrame, directory: str) -> DataFrame:
+    """name and path: an NPZ of responses (samples by bands) and their log T for each name of samples (name, i, band, logt, value)."""
+
+    def run(table: pa.Table) -> pa.Table:
         from ..runtime import put
 
+        name = table["name"][0].as_py()
+        i, band = table["i"].to_numpy(), table["band"].to_numpy()
+        tresp, logt = np.zeros((i.max() + 1, band.max() + 1)), np.zeros(i.max() + 1)
+        tresp[i, band], logt[i] = table["value"].to_numpy(), table["logt"].to_numpy()
+        held = io.BytesIO()
+        np.savez(held, tresp=tresp, logt=logt)
+        put(f"{directory}/{name}.npz", held.getvalue())
+        return pa.table({"name": [name], "path": [f"{directory}/{name}.npz"]})
+
+    return taken.select("name", "i", "band", "logt", "value").groupBy("name").applyInArrow(run, "name string, path string")
+
+
+def read_calibrations(spark: SparkSession, directory: str, pattern: str = "*.npz") -> DataFrame:
+    """name, i, band, logt and value of the responses of all calibrations of a folder, each decoded by the task that has its file; one without responses and their log T is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                if sha256 and hashlib.sha256(raw).hexdigest() != sha256.lower():
-                    raise ValueError(f"{path} has another digest")
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    members = [x for x in z.infolist() if x.filename.endswith(".npz")]
-                    for x in members:
-                        put(f"{directory}/{x.filename.rpartition('/')[2]}", z.read(x))
-                yield pa.RecordBatch.from_pydict({"name": [x.filename.rpartition("/")[2] for x in members], "length": [x.file_size for x in members]}, schema=pa.schema([("name", pa.string()), ("length", pa.int64())]))
-
-    return files.mapInArrow(run, "name string, length long")
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as npz:
+                    part = lambda kind: next((npz[k] for k in CALIBRATION[kind] if k in npz.files), None)  # noqa: E731, B023
+                    tresp, logt = part("tresp"), part("tresp_logt")
+                if tresp is None or logt is None:
+                    raise ValueError(f"{path} lacks responses or their log T")
+                n, nf = tresp.shape
+                at = np.repeat(np.arange(n, dtype=np.int32), nf)
+                yield pa.RecordBatch.from_arrays([pa.array([stem(path)] * (n * nf)), pa.array(at), pa.array(np.tile(np.arange(nf, dtype=np.int32), n)), pa.array(np.asarray(logt, float)[at]), pa.array(np.ascontiguousarray(tresp, float).ravel())], names=["name", "i", "band", "logt", "value"])
+
+    return listing(spark, directory, pattern).select("path", "content").mapInArrow(run, "name string, i int, band int, logt double, value double")
 
 
 def cropped(raw: bytes, key: str, nf: int, crop: tuple[int, int]) -> np.ndarray | None:
