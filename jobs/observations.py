@@ -12,6 +12,9 @@ A batch writes its own partitions of ``slots`` and then the days it touches in `
 those days, so late records reopen their day alone, a set that was incomplete may become whole, and a batch that is run
 again after a failure writes the same files. Without new source files a run changes nothing.
 
+Times are wall times, as the records have them, so results don't hang on the session's time zone; where ``schema`` says that
+they are instants, they are told in that zone, which the command line sets to UTC.
+
 Edge cases: records without a time or file, or of a kind that no band has, are left out; records that repeat, and ties in
 time, are settled by file and then count; counts that are null, negative or not finite make a set invalid, with the
 solver's fixed outputs; an empty folder gives no output but the record of the run.
@@ -31,14 +34,14 @@ from bandloom.operators import calibration, ingest, inversion
 
 from . import common
 
-SLOTS = "timestamp_utc timestamp, wavelength int, filepath string, value double, bucket string, d8 string, batch long"
+SLOTS = "timestamp_utc timestamp_ntz, wavelength int, filepath string, value double, bucket string, d8 string, batch long"
 
 
 @dataclass(frozen=True)
 class Settings:
     """The records' schema and columns, the band of each kind, the bucket's seconds, and how sets are solved."""
 
-    schema: str = "event_id long, ts timestamp, event_type string, value double"
+    schema: str = "event_id long, ts timestamp_ntz, event_type string, value double"
     time: str = "ts"
     kind: str = "event_type"
     file: str = "event_id"
@@ -66,7 +69,7 @@ class Settings:
 def slots(rows: DataFrame, s: Settings) -> DataFrame:
     """The first file of each day, bucket and band."""
     band = F.create_map(*(F.lit(x) for pair in s.bands.items() for x in pair))[F.col(s.kind)]
-    files = rows.select(F.col(s.time).cast("timestamp").alias("timestamp_utc"), band.cast("int").alias("wavelength"), F.col(s.file).cast("string").alias("filepath"), F.col(s.count).cast("double").alias("value"))
+    files = rows.select(F.col(s.time).cast("timestamp_ntz").alias("timestamp_utc"), band.cast("int").alias("wavelength"), F.col(s.file).cast("string").alias("filepath"), F.col(s.count).cast("double").alias("value"))
     return ingest.first_per_band(ingest.bucketed(files.dropna(subset=["timestamp_utc", "wavelength", "filepath"]), s.cadence), ("value",))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from jobs import common, observations, text_manifest
 
 ROOT = Path(__file__).resolve().parents[2]
-RECORDS = "event_id long, ts timestamp, event_type string, value double, user string"
+RECORDS = "event_id long, ts timestamp_ntz, event_type string, value double, user string"
 
 
 def sets(spark, out):
@@ -33,8 +33,8 @@ def test_only_new_files_are_taken_and_days_stay_right(spark, data, tmp_path):
     first, second = events.filter("event_id % 3 < 2"), events.filter("event_id % 3 = 2").unionByName(events.filter("event_id % 10 = 0"))  # late ones, and some again
     put(first.filter("event_id % 2 = 0"), tmp_path / "in", "a")
     put(first.filter("event_id % 2 = 1"), tmp_path / "in", "b")
-    ran = observations.run(spark, f"{tmp_path}/in", f"{tmp_path}/out")
-    assert ran["rows_read"] == first.count()
+    ran = observations.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", observations.Settings(files_per_batch=1))  # two batches that share days
+    assert ran["rows_read"] == first.count() and spark.read.parquet(f"{tmp_path}/out/slots").select("batch").distinct().count() == 2
     before = sets(spark, tmp_path / "out")
     put(second, tmp_path / "in", "c")
     ran = observations.run(spark, f"{tmp_path}/in", f"{tmp_path}/out")
@@ -94,6 +94,17 @@ def test_odd_records(spark, tmp_path):
     assert observations.run(spark, f"{tmp_path}/empty", f"{tmp_path}/none")["rows_written"] == {"slots": 0, "sets": 0}
 
 
+def test_the_time_zone_of_the_session_changes_nothing(spark, data, tmp_path):
+    observations.run(spark, f"{data}/events.parquet*", f"{tmp_path}/utc")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        observations.run(spark, f"{data}/events.parquet*", f"{tmp_path}/west")
+        west = sets(spark, tmp_path / "west")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert west == sets(spark, tmp_path / "utc")
+
+
 TEXTS = "doc_id long, text string, lang string, source string, n_chars long, id int, volume string"
 
 
