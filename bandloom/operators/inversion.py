@@ -43,7 +43,7 @@ class Options:
     rscl: bool = False
     emd_int: bool = False
     emd_ret: bool = False
-    batch: int = 1024
+    batch: int = 256
     outputs: tuple[str, ...] = OUTPUTS
 
     @property
@@ -100,7 +100,11 @@ def resolution(kernel: np.ndarray, logt: np.ndarray, dlogt: np.ndarray) -> np.nd
     at = np.clip(np.searchsorted(logt, points, side="right") - 1, 0, max(len(logt) - 2, 0))
     nxt = np.minimum(at + 1, len(logt) - 1)
     share = (points - logt[at]) / (logt[nxt] - logt[at] + 1e-300) if len(logt) > 1 else np.zeros(51)
-    rows = kernel[:, :, at] + (kernel[:, :, nxt] - kernel[:, :, at]) * share
+    weights = np.zeros((len(logt), 51))  # a point's value is a weighted sum of two bins, so one product of matrices gives all
+    np.add.at(weights, (at, np.arange(51)), 1 - share)
+    np.add.at(weights, (nxt, np.arange(51)), share)
+    m, nt, _ = kernel.shape
+    rows = (kernel.reshape(m * nt, nt) @ weights).reshape(m, nt, 51)
     over = rows >= (kernel.max(axis=1) / 2)[:, :, None]
     first = over.argmax(axis=2)
     last = 50 - over[:, :, ::-1].argmax(axis=2)

@@ -50,7 +50,7 @@ def main() -> None:
     pixels = {bool(row["valid"]): row["count"] for row in solved}
     out = {
         "metric": "sum of median query seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rpartition("sf")[2],
-        "solver": {"valid_px_per_s": round(pixels.get(True, 0) / seconds["solve_lines"]), "invalid_share": round(pixels.get(False, 0) / max(1, sum(pixels.values())), 4), "nf": 6, "nt": 24, "nmu": 42, "outputs": "all", "cores": int(cpus), "arrow_batch": 1024},
+        "solver": {"valid_px_per_s": round(pixels.get(True, 0) / seconds["solve_lines"]), "invalid_share": round(pixels.get(False, 0) / max(1, sum(pixels.values())), 4), "nf": 6, "nt": 24, "nmu": 42, "outputs": "all", "cores": int(cpus), "batch": 256},
     }
     print(json.dumps(out))
     spark.stop()
