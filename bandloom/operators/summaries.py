@@ -141,23 +141,28 @@ def compare(computed: DataFrame, golden: DataFrame, keys: list[str], value: str
 
 
 def compare_solutions(computed: DataFrame, golden: DataFrame, keys: tuple[str, ...] = ("frame_id", "y", "x"), arrays: tuple[str, ...] = ("dem", "edem", "chisq", "dn_reg"), rtol: float = 1e-4, atol: float = 1e-6) -> DataFrame:
-    """A row for each of ``arrays`` that both sides have: its comparison and whether it passed. One join of all values."""
+    """A row for each of ``arrays`` that both sides have: its comparison and whether it passed.
+
+    Pixels are joined once, whole; their arrays are laid side by side in the row, and elements are aggregated where they lie.
+    """
     both = [x for x in arrays if x in computed.columns and x in golden.columns]
     if not both:
         raise ValueError("the solutions share no array")
 
-    def cells(rows: DataFrame) -> DataFrame:
+    def packed(rows: DataFrame, name: str) -> DataFrame:
         kinds = dict(rows.dtypes)
-        values = [F.struct(F.lit(x).alias("array"), (F.col(x) if kinds[x].startswith("array") else F.array(x)).cast("array<double>").alias("values")) for x in both]
-        return rows.select(*keys, F.inline(F.array(*values))).select(*keys, "array", F.posexplode("values").alias("at", "value"))
+        values = [F.coalesce((F.col(x) if kinds[x].startswith("array") else F.array(x)).cast("array<double>"), F.array().cast("array<double>")) for x in both]
+        return rows.select(*keys, F.array(*values).alias(name))
 
-    c, g = (cells(x).withColumnRenamed("value", n) for x, n in ((computed, "c"), (golden, "g")))
-    joined = c.join(g, [*keys, "array", "at"], "full_outer")
+    nothing = F.array_repeat(F.array().cast("array<double>"), len(both))
+    joined = packed(computed, "c").join(packed(golden, "g"), [*keys], "full_outer").select(F.coalesce("c", nothing).alias("c"), F.coalesce("g", nothing).alias("g"))
+    pairs = F.array(*(F.struct(F.lit(x).alias("array"), F.arrays_zip(F.get("c", F.lit(i)).alias("c"), F.get("g", F.lit(i)).alias("g")).alias("z")) for i, x in enumerate(both)))
+    cells = joined.select(F.inline(pairs)).select("array", F.inline("z"))
     one_sided = F.col("c").isNull() | F.col("g").isNull()
     diff = F.abs(F.col("c") - F.col("g"))
     close = F.when(one_sided, False).otherwise((F.isnan("c") & F.isnan("g")) | F.coalesce(~F.isnan(diff) & (diff <= atol + rtol * F.abs("g")), F.lit(False)))
     err = F.when(~F.isnan(diff), diff)
-    return joined.groupBy("array").agg(
+    return cells.groupBy("array").agg(
         F.count("*").alias("n"), F.count_if(one_sided).alias("n_one_sided"), F.max(err).alias("max_abs_err"), F.avg(err).alias("mean_abs_err"),
         F.max(err / (F.abs("g") + 1e-10)).alias("max_rel_err"), F.avg(close.cast("double")).alias("within"), F.bool_and(close).alias("passed"),
     )

@@ -396,26 +396,31 @@ def _pixels(name: str, path: str, y0: int, part: np.ndarray, errors: np.ndarray
 
 
 def read_frames(spark: SparkSession, directory: str, *, pattern: str = "*.npz", nf: int = 6) -> DataFrame:
-    """A row of metadata for each frame; what a file lacks is null. Stacks aren't decoded."""
-    files = listing(spark, directory, pattern).select("path", "content")
+    """A row of metadata for each frame; what a file lacks is null. Of a file a task asks for its directory, headers and small arrays alone."""
+    files = listing(spark, directory, pattern).select("path")
     schema = spark.createDataFrame([], FRAMES).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from . import stacks
+
         for batch in batches:
             rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                with np.load(io.BytesIO(raw), allow_pickle=False) as npz:
-                    get = lambda k: npz[k] if k in npz.files else None  # noqa: E731, B023
-                    text = lambda k: None if get(k) is None else str(get(k))  # noqa: E731, B023
-                    many = lambda k, f: None if get(k) is None else [f(v) for v in np.ravel(get(k))]  # noqa: E731, B023
-                    n, height, width = frame_shape(shape_of(raw, stack_key(npz.files, raw))[0], nf)
-                    facts = {
-                        "path": path, "height": height, "width": width, "n_bands": nf, "wavelengths": many("wavelengths", int), "ts_utc": text("ts_utc"), "bucket_12s": text("bucket_12s"),
-                        "fits_files": many("fits_files", str), "exptime": many("exptime", float), "dtype": text("dtype"), "quant_meta_json": text("quant_meta_json"),
-                        "has_calibration": all(any(k in npz.files for k in names) for names in CALIBRATION.values()),
-                    }
-                    rows += [{"frame_id": stem(path) + (f"#{i}" if n > 1 else ""), **facts} for i in range(n)]
+            for path in batch.column(0).to_pylist():
+                store, at = stacks.at(path)
+                with store.open_input_file(at) as f:
+                    found = stacks.arrays(f)
+                    n, height, width = stacks.chosen(found, None, nf)[0].frames(nf)
+                    f.seek(0)
+                    with np.load(f, allow_pickle=False) as npz:
+                        get = lambda k: npz[k] if k in found else None  # noqa: E731, B023
+                        text = lambda k: None if get(k) is None else str(get(k))  # noqa: E731, B023
+                        many = lambda k, kind: None if get(k) is None else [kind(v) for v in np.ravel(get(k))]  # noqa: E731, B023
+                        facts = {
+                            "path": path, "height": height, "width": width, "n_bands": nf, "wavelengths": many("wavelengths", int), "ts_utc": text("ts_utc"), "bucket_12s": text("bucket_12s"),
+                            "fits_files": many("fits_files", str), "exptime": many("exptime", float), "dtype": text("dtype"), "quant_meta_json": text("quant_meta_json"),
+                            "has_calibration": all(any(k in found for k in names) for names in CALIBRATION.values()),
+                        }
+                rows += [{"frame_id": stem(path) + (f"#{i}" if n > 1 else ""), **facts} for i in range(n)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return files.mapInArrow(run, schema)
