@@ -19,8 +19,8 @@ Edge cases: null, empty and text-free pages give an empty text; an element
 that never closes ends with its page, but paragraphs, list items and cells end
 where the next one or their list ends; a quote that never closes ends with its
 tag; a cut-off tag or comment at the end is dropped; repeated rows are each
-read, whatever their order; a page of any length is read whole, in memory of a
-small multiple of its size; other columns aren't touched, and one that is named
+read, whatever their order; a page of any length is read whole, in time and
+memory of a small multiple of its size; other columns aren't touched, and one that is named
 like the result gives way to it; an empty table gives an empty table.
 """
 
@@ -29,8 +29,10 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,14 +40,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Comments, raw text up to its end or the page's, embedded content that closes, declarations, tags. A quote in a tag that
-#: doesn't close before white space, ``/`` or ``>`` is no quote, and the tag ends at its first ``>``.
+#: Comments, raw text up to its end or the page's, embedded content (which :func:`tokens_of` skips where it closes), declarations, tags. A quote
+#: in a tag that doesn't close before white space, ``/`` or ``>`` is no quote, and the tag ends at its first ``>``.
+EMBEDDED = "template|svg|select|object|canvas|math|audio|video"
+TAG = r"<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"<>]*\"|\"[^\"]*\"(?=[\s/>])|'[^'<>]*'|'[^']*'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|iframe)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<embed>template|svg|select|object|canvas|math|audio|video)\b[^>]*>.*?</(?P=embed)\s*>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"<>]*\"|\"[^\"]*\"(?=[\s/>])|'[^'<>]*'|'[^']*'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|iframe)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)" + rf"|<(?P<embed>{EMBEDDED})\b[^>]*>|<[!?][^>]*(?:>|\Z)|{TAG}",
     re.S | re.I,
 )
+TAG_ALONE = re.compile(TAG, re.S | re.I)
+EMBED_END = re.compile(rf"</({EMBEDDED})\s*>", re.I)
 #: Elements whose text never belongs to the article.
 ASIDE = frozenset("nav header footer aside form button dialog menu figcaption label option title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -97,6 +101,42 @@ class Line:
     off: bool
 
 
+class Token(NamedTuple):
+    """A piece of markup, from start to end; what has no name is skipped."""
+
+    start: int
+    end: int
+    name: str | None
+    ends: bool
+    rest: str
+
+
+def tokens_of(page: str) -> list[Token]:
+    """The page's markup in order. Where embedded elements close is found once, so elements that never do cost nothing more."""
+    out: list[Token] = []
+    ends: dict[str, tuple[list[int], list[int]]] | None = None
+    at = 0
+    while m := TOKEN.search(page, at):
+        if m["embed"]:
+            if ends is None:
+                ends = {}
+                for x in EMBED_END.finditer(page, m.end()):
+                    places = ends.setdefault(x[1].lower(), ([], []))
+                    places[0].append(x.start())
+                    places[1].append(x.end())
+            starts, stops = ends.get(m["embed"].lower(), ([], []))
+            i = bisect_left(starts, m.end())
+            if i < len(starts):
+                out.append(Token(m.start(), stops[i], None, False, ""))
+                at = stops[i]
+                continue
+            m = TAG_ALONE.match(page, m.start())
+        name = m["name"]
+        out.append(Token(m.start(), m.end(), name.lower() if name is not None else None, bool(m["end"]), m["rest"] or ""))
+        at = m.end()
+    return out
+
+
 def aside_name(value: str) -> bool:
     """Whether a class or id attribute names a block that isn't the article."""
     for token in value.split():
@@ -106,15 +146,15 @@ def aside_name(value: str) -> bool:
     return False
 
 
-def closing(tokens: list[re.Match]) -> set[int]:
+def closing(tokens: list[Token]) -> set[int]:
     """Where the elements start that are closed again."""
     opened: dict[str, list[int]] = {}
     closed = set()
     for m in tokens:
-        if m["name"] is not None:
-            held = opened.setdefault(m["name"].lower(), [])
-            if not m["end"]:
-                held.append(m.start())
+        if m.name is not None:
+            held = opened.setdefault(m.name, [])
+            if not m.ends:
+                held.append(m.start)
             elif held:
                 closed.add(held.pop())
     return closed
@@ -129,7 +169,7 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
     depth = begins = article = anchor = inner = 0  # inner: holders that are open in a hidden element that may end without a tag
     by_tag = False
     upto = 0
-    tokens = list(TOKEN.finditer(page))
+    tokens = tokens_of(page)
     closed: set[int] | None = None
 
     def close() -> None:
@@ -141,16 +181,15 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
         linked = total = 0
 
     for m in tokens:
-        if m.start() > upto and not off:
-            part = page[upto : m.start()]
+        if m.start > upto and not off:
+            part = page[upto : m.start]
             parts.append(part)
             total += len(part)
             linked += len(part) if anchor else 0
-        upto = m.end()
-        name = m["name"]
-        if name is None:
+        upto = m.end
+        if m.name is None:
             continue
-        name, ends = name.lower(), bool(m["end"])
+        name, ends = m.name, m.ends
         if name == "a":
             anchor = 0 if ends else 1
         elif name == "br" and not off:
@@ -183,13 +222,13 @@ def lines_of(page: str, rule: LineBlocks) -> list[Line]:
             close()
         if not ends and name not in VOID:
             hides = by_tag = name in ASIDE
-            if not hides and m["rest"] and name not in NEVER:
-                for key, *values in ATTRIBUTE.findall(m["rest"]):
+            if not hides and m.rest and name not in NEVER:
+                for key, *values in ATTRIBUTE.findall(m.rest):
                     value = "".join(values)
                     coded = name not in BLOCK and value.lower() == "comment"  # as in marked-up program text
                     hides |= value.lower() in ROLES if key.lower() == "role" else aside_name(value) and not coded
-            if hides and not (name == "header" and article and not m["rest"].strip()):
-                off, depth, begins, inner = name, 1, m.start(), 0
+            if hides and not (name == "header" and article and not m.rest.strip()):
+                off, depth, begins, inner = name, 1, m.start, 0
                 continue
         if name in ("article", "main"):
             article = max(0, article + (-1 if ends else 1))

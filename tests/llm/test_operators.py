@@ -848,3 +848,19 @@ def test_pipeline(spark, tmp_path, docs):
     for r in rows:
         totals[r["doc_id"]] += r["length"]
     assert totals == {i: len(encode(t)) + 1 for i, t in seen[2].items()}
+
+
+def test_embedded_content_that_closes_or_not_takes_linear_time():
+    import time
+
+    from bandloom.llm import html_text as H
+
+    body = "<p>" + "words of the article that are long enough to surge over any bound there is. " * 3 + "</p>"
+    kept = H.main_text(body)
+    assert kept and H.main_text(f"<svg><p>hidden words of a drawing</p></SVG >{body}") == kept
+    assert H.main_text(f"<template x='>'>hidden{body}</template>") == ""
+    assert H.main_text(f"{body}<select><option>never closed") == kept
+    began = time.perf_counter()
+    for unclosed in ("<svg>", "<template>", "<canvas a='b'>"):
+        H.main_text(unclosed * 200_000)
+    assert time.perf_counter() - began < 30  # 1 to 3 MB each
