@@ -69,6 +69,8 @@ CREDENTIAL = re.compile(
     f"""|[0-9_-]{_either("key")}(?:$|[0-9_-])|(?<=[a-z0-9])Key(?:$|[0-9_-]|(?=[A-Z]))"""
 )
 VALUE = re.compile(r"""[^\s"'<>,;(){}\[\]]+""")
+#: What stands between an opening quote and its partner on the same line, with escaped quotes.
+QUOTED = {q: re.compile(rf"((?:[^{q}\\\n]|\\[^\n])+){q}") for q in "\"'"}
 BEARER = re.compile(f"(?:{_either('bearer')}|{_either('basic')}) ([A-Za-z0-9+/_.=~-]{{16,}})")
 CONTEXT_KEYS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"key", b"client", b"login", b"bearer", b"basic")
 
@@ -93,12 +95,15 @@ class GuessModel:
     """The cost model. ``threshold``: powers of ten of guesses from which a value is a secret. At 11.5 some 99 of 100
     random strings of ten letters and digits are, and no word of the vocabularies and few pairs of words.
 
-    ``join``: powers of ten for each further segment of a cut; ``words``: words that people choose, best known first;
+    ``least``: the shortest value that is looked at; ``phrase``: how many words a quoted value with blanks has at most, as
+    more are prose, of which only the first is looked at; ``join``: powers of ten for each further segment of a cut; ``words``: words that people choose, best known first;
     ``files``: vocabularies of tokenizers, commonest pieces first, which every executor has; ``unit``: the longest unit
     of a repeat.
     """
 
     threshold: float = 11.5
+    least: int = 6
+    phrase: int = 8
     join: float = 0.3
     words: tuple[str, ...] = WORDS
     files: tuple[str, ...] = (public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -243,6 +248,14 @@ def _reach(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return [a for a, _ in order], list(accumulate((b for _, b in order), max))
 
 
+def value_at(text: str, at: int, model: GuessModel) -> re.Match | None:
+    """The value that begins here: up to the quote's partner where one opens right before, else up to a blank, quote, comma or bracket."""
+    quoted = QUOTED[text[at - 1]].match(text, at) if text[at - 1] in QUOTED else None
+    if quoted and len(quoted[1].split()) <= model.phrase:
+        return quoted
+    return VALUE.match(text, at)
+
+
 def scan(text: str | None, model: GuessModel = GuessModel()) -> list[tuple[int, int, int]]:
     """start, number in KINDS and end of every span, in order."""
     if not text:
@@ -260,14 +273,14 @@ def scan(text: str | None, model: GuessModel = GuessModel()) -> list[tuple[int,
             starts, upto = _reach(found)
             for m in pattern.finditer(text):
                 if pattern is NAMED:
-                    m = VALUE.match(text, m.end()) if CREDENTIAL.search(m[1]) else None
+                    m = value_at(text, m.end(), model) if CREDENTIAL.search(m[1]) else None
                     if m is None:
                         continue
                 a = m.start(m.re.groups)
-                value = m[m.re.groups].rstrip(".?:")
+                value = m[m.re.groups] if m.re in QUOTED.values() else m[m.re.groups].rstrip(".?:")
                 b = a + len(value)
                 at = bisect_right(starts, a)
-                if len(value) >= 6 and not (at and upto[at - 1] >= b) and not ADDRESS.match(value) and cost(value, model, model.threshold) >= model.threshold:
+                if len(value) >= model.least and not (at and upto[at - 1] >= b) and not ADDRESS.match(value) and cost(value, model, model.threshold) >= model.threshold:
                     found.append((a, 3, b))
     return sorted(found)
 

@@ -864,3 +864,48 @@ def test_embedded_content_that_closes_or_not_takes_linear_time():
     for unclosed in ("<svg>", "<template>", "<canvas a='b'>"):
         H.main_text(unclosed * 200_000)
     assert time.perf_counter() - began < 30  # 1 to 3 MB each
+
+
+def plain_value(text, at, phrase=8):
+    """Where the value that begins at a place ends, character by character."""
+    q = text[at - 1]
+    if q in "\"'":
+        i = at
+        while i < len(text) and text[i] not in (q, "\n"):
+            i += 2 if text[i] == "\\" and text[i + 1 : i + 2] not in ("", "\n") else 1
+        if at < i < len(text) and text[i] == q and "\\" != text[i] and not (text[at:i].endswith("\\") and (len(text[at:i]) - len(text[at:i].rstrip("\\"))) % 2) and len(text[at:i].split()) <= phrase:
+            return i
+    i = at
+    while i < len(text) and not text[i].isspace() and text[i] not in "\"'<>,;(){}[]":
+        i += 1
+    return i if i > at else None
+
+
+def test_quoted_values_are_read_whole(spark):
+    import random
+
+    from bandloom.llm import secret_scan as S
+
+    probes = ['pwd="x9K,q2vL(w7t)zz"', 'pass: "p@ss w0rd 77!"', 'password: "correct horse battery staple"', r'{"api_key": "ab\"cd9X(k2,7fQ]z"}']
+    masked = ['pwd="[redacted]"', 'pass: "[redacted]"', 'password: "[redacted]"', '{"api_key": "[redacted]"}']
+    rows = spark.createDataFrame([(i, f"before {p} after", 0) for i, p in enumerate(probes)], "doc_id long, text string, n_chars long")
+    assert [r["text"] for r in S.redact(rows).orderBy("doc_id").collect()] == [f"before {m} after" for m in masked]
+    kept = ['token: "see the manual for the way in which this is to be set up again"', 'password: ""', 'pwd: "abc"', 'password: "hello world"', 'the pass "is x9K,q2vL(w7t)zz"']
+    assert not any(k == 3 for t in kept for _, k, _ in S.scan(t))
+    assert S.scan('pwd="x9K,q2vL" and more', S.GuessModel(least=99)) == []
+    rng, model = random.Random(8), S.GuessModel()
+    pieces = ['pwd="', "pass: '", "secret=", 'token = "', '"', "'", "\\", "\n", " ", ",", "x9Kq2vL", "w7t#Zz81", "correct horse battery", "(", "]", "word", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(2, 14)))
+        found = {(a, b) for a, k, b in S.scan(text, model) if k == 3}
+        expected = set()
+        for m in S.NAMED.finditer(text):
+            end = plain_value(text, m.end()) if S.CREDENTIAL.search(m[1]) else None
+            if end is not None:
+                value = text[m.end() : end]
+                whole = text[m.end() - 1] in "\"'" and text[end : end + 1] == text[m.end() - 1]
+                value = value if whole else value.rstrip(".?:")
+                covered = any(a <= m.end() and b >= m.end() + len(value) for a, k, b in S.scan(text, model) if k != 3)
+                if len(value) >= 6 and not covered and not S.ADDRESS.match(value) and S.cost(value, model) >= model.threshold:
+                    expected.add((m.end(), m.end() + len(value)))
+        assert found == expected, text
