@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import platform
 import sys
@@ -13,14 +14,31 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path where all executors can write and read: below the checkpoint folder, or in this machine's temporary folder if all tasks run here."""
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder's path where all executors can write and read: below the checkpoint folder, or in this machine's temporary folder if all tasks run here. It goes when the driver ends, unless it is to be kept."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="bandloom-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        if not _SCRATCH:
+            atexit.register(_sweep)
+        _SCRATCH.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  (the session has ended before)
+            return
 
 
 def put(path: str, content: bytes) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from . import observations, text_manifest
 
 def twice(spark: SparkSession, run: Callable[..., dict], source: str, name: str) -> str:
     """The folder of two runs over the same source."""
-    out = f"{scratch(spark, name)}-{uuid.uuid4().hex[:8]}"
+    out = scratch(spark, name, keep=True)
     for _ in range(2):
         run(spark, source, out)
     return out
