@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calibration import complete
 
+#: Names of the counts, the first that a file has; a file with both ``bands`` and ``stack`` gives its bands.
 KEYS = ("bands", "stack", "data", "cube")
 PIXELS = "frame_id string, path string, y int, x int, dn array<double>, edn array<double>"
 FRAMES = (
