@@ -74,7 +74,7 @@ def interpolated(taken: DataFrame, points: DataFrame, by: list[str], log: bool =
     one = Window.partitionBy(*by, "band").orderBy("x")
     pieces = taken.select(*by, "band", F.col("logt").alias("x"), y.alias("y")).select("*", F.lead("x").over(one).alias("x2"), F.lead("y").over(one).alias("y2"))
     ends = pieces.groupBy(*by, "band").agg(F.min_by("y", "x").alias("first"))
-    asked = points.join(ends, by)
+    asked = points.join(J.shuffled(ends), by)
     found = J.asof(asked, pieces, [*by, "band"], "x", {"x1": "x", "y1": "y", "x2": "x2", "y2": "y2"}, width=1e6)
     share = F.when(F.col("x2").isNull(), F.lit(0.0)).otherwise((F.col("x") - F.col("x1")) / (F.col("x2") - F.col("x1")))
     value = F.when(F.col("x1").isNull(), F.col("first")).otherwise(F.col("y1") + F.when(share == 0, F.lit(0.0)).otherwise((F.col("y2") - F.col("y1")) * share))
@@ -86,7 +86,7 @@ def binned(taken: DataFrame, bins: DataFrame, by: list[str], width: float = 0.1)
     met = J.range_join(taken.select(*by, "band", "logt", "value"), bins, "logt", "from", "to", width=width, by=by)
     means = met.groupBy(*by, "bin", "band").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     between = interpolated(taken, bins.select(*by, "bin", F.col("centre").alias("x")), by, log=False)
-    return between.join(means, [*by, "bin", "band"], "left").select(*by, "bin", "band", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", "value").alias("value"))
+    return between.join(J.shuffled(means), [*by, "bin", "band"], "left").select(*by, "bin", "band", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", "value").alias("value"))
 
 
 def prepared(instruments: DataFrame, taken: DataFrame, by: list[str], nt: int = 24, jacobians: int = 1) -> DataFrame:
@@ -94,6 +94,6 @@ def prepared(instruments: DataFrame, taken: DataFrame, by: list[str], nt: int =
     bins = equal_bins(instruments, by, nt)
     at = interpolated(taken, bins.select(*by, "bin", F.col("centre").alias("x")), by)
     w = (F.col("hi") - F.col("lo")) / nt
-    rows = at.join(bins.join(instruments.select(*by, "lo", "hi"), by).select(*by, "bin", "centre", w.alias("w")), [*by, "bin"])
+    rows = at.join(J.shuffled(bins.join(J.shuffled(instruments.select(*by, "lo", "hi")), by).select(*by, "bin", "centre", w.alias("w"))), [*by, "bin"])
     factor = F.pow(F.pow(F.lit(10.0), "centre") * F.col("w") * math.log(10), F.lit(float(jacobians)))
     return rows.select(*by, "bin", "band", (F.col("value") * factor * SCALE).alias("value"))

@@ -55,6 +55,13 @@ def test_prepared_and_binned_of_each(own, nt, n_tresp):
         assert sum(r["n"] for r in binned if r["name"] == name) == n_tresp * 6
 
 
+def test_tables_of_samples_are_not_broadcast(own):
+    taken, bins = N.samples(own), N.equal_bins(own, ["name"], 23)
+    at = bins.selectExpr("name", "bin", "centre AS x")
+    for frame, hot in ((N.binned(taken, bins, ["name"]), 2), (N.interpolated(taken, at, ["name"]), 0), (N.prepared(own, taken, ["name"]), 0)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == hot
+
+
 def test_the_double_width_and_legacy(own):
     taken = N.samples(own)
     double = N.prepared(own, taken, ["name"], 24, 2).collect()

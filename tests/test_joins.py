@@ -121,3 +121,12 @@ def test_pairs_of_any_shape_and_none(spark):
     got = {r["id"]: r for r in V.gsvd_frame(spark.createDataFrame(rows, "id int, a array<array<double>>, b array<array<double>>").coalesce(1), ["id"]).collect()}
     assert len(got) == 8 and got[2]["alpha"] == [pytest.approx(3 / math.sqrt(13))] and got[1]["alpha"] == [pytest.approx(2 / math.sqrt(5)), pytest.approx(1 / math.sqrt(2))]
     assert all(got[i]["alpha"] is None and got[i]["x"] is None for i in (3, 4, 5, 6, 7)) and got[8]["alpha"] == [0.0]
+
+
+def test_exploded_sides_of_a_range_join_are_not_broadcast(spark):
+    spans = spark.range(50).selectExpr("id AS sid", "explode(sequence(0, 22)) AS k").selectExpr("sid", "k * 1D AS a", "k + 1D AS b")
+    points = spark.range(50).selectExpr("id AS sid", "explode(sequence(0, 199)) AS i").selectExpr("sid", "i * 23D / 200 AS at")
+    found = J.range_join(points, spans, "at", "a", "b", width=1.0, by=["sid"])
+    plan = plan_of(found).partition("Initial Plan")[2] or plan_of(found)
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2  # both with the hot cells alone
+    assert found.count() == 50 * 200
