@@ -158,7 +158,7 @@ def quant_sql(top: str, bits: int) -> str:
 
 
 def quantised(spark, d, bits, strategy):
-    rows = W.pxline(spark, d).select("y", "x", F.posexplode("dn").alias("band", "dn"))
+    rows = W.pxline(spark, d, in_order=True).select("y", "x", F.posexplode("dn").alias("band", "dn"))
     out = I.dequantise(I.quantise(rows, I.quantise_scales(rows, "band", "dn", bits, strategy), "band", "dn", bits))
     return out.select("y", "x", "band", "q", r("restored").alias("restored"))
 

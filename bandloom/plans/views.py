@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BANDS = {"click": 94, "error": 131, "purchase": 171, "signup": 193, "view": 211}
@@ -21,13 +21,22 @@ def px(spark: SparkSession, sf_dir: str, signed: bool = False) -> DataFrame:
     return rows.select(F.col("label").cast("string").alias("frame_id"), "vec_id", y.alias("y"), x.alias("x"), F.transform(F.slice("embedding", 1, NF), count).alias("dn"))
 
 
-def pxline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_id, y, x, dn: order lines summed to six bands, with natural zeros."""
-    s = lambda e, name: F.sum(e).alias(name)
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        s(F.col("l_quantity"), "b0"), s(F.col("l_extendedprice") / 1000, "b1"), s(100 * F.col("l_discount"), "b2"), s(100 * F.col("l_tax"), "b3"),
-        F.count("*").cast("double").alias("b4"), s(F.col("l_quantity") * (1 - F.col("l_discount")), "b5"),
-    )
+def pxline(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """frame_id, y, x, dn: order lines summed to six bands, with natural zeros.
+
+    ``in_order``: each line's rows are added in the table's order, so the last digits don't depend on partitions, for what
+    stands on them. Rows are ordered in windows, which spill; the order is that of files' names and rows in them.
+    """
+    rows, keys = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    n, share = F.col("l_quantity"), 1 - F.col("l_discount")
+    bands = [n, F.col("l_extendedprice") / 1000, 100 * F.col("l_discount"), 100 * F.col("l_tax"), F.lit(1.0), n * share]
+    if in_order:
+        order = Window.partitionBy(*keys).orderBy("__file", "__row")
+        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.select(*keys, *(e.alias(f"b{i}") for i, e in enumerate(bands)), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        lines = rows.select(*keys, *(F.sum(f"b{i}").over(upto).alias(f"b{i}") for i in range(NF)), F.lead("__row").over(order).isNull().alias("__last")).filter("__last")
+    else:
+        lines = rows.groupBy(*keys).agg(*(F.sum(e).alias(f"b{i}") for i, e in enumerate(bands)))
     return lines.select(F.lit("lines").alias("frame_id"), F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x"), F.array(*(f"b{i}" for i in range(NF))).alias("dn"))
 
 

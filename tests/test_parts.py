@@ -354,3 +354,26 @@ def test_infinite_counts_are_not_quantised(spark):
     for strategy in ("p99", "max"):
         scales = I.quantise_scales(rows, "band", "v", 8, strategy)
         assert sorted(r["q"] for r in I.quantise(rows, scales, "band", "v", 8).collect())[:4] == [0, 0, 0, 0]
+
+
+def test_order_lines_are_added_in_the_tables_order(spark, tmp_path):
+    from bandloom.plans import views
+
+    tax = [0.07, 0.06, 0.01, 0.03, 0.08, 0.02, 0.05]
+    plain = 0.0
+    for v in tax:
+        plain += 100 * v
+    parts = [spark.createDataFrame([(k, 1, 1.0, 1.0, 0.0, v) for k in range(40)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").coalesce(1) for v in tax]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.unionByName(p)
+    one.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # rows of a line in many tasks
+    try:
+        rows = views.pxline(spark, str(tmp_path), in_order=True)
+        assert {r["dn"][3] for r in rows.collect()} == {plain} and rows.count() == 40
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "collect_list" not in plan
+        assert {r["dn"][4] for r in rows.collect()} == {7.0} and {r["dn"][0] for r in views.pxline(spark, str(tmp_path)).collect()} == {7.0}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
