@@ -327,8 +327,15 @@ def _matrices(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, m * rows + 1, rows, dtype=np.int32)), inner)
 
 
+#: Rows whose misfits (rows by steps by bands) are held at once.
+REG_ROWS = 64
+
+
 def reg_maps_stacked(alpha: np.ndarray, beta: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> np.ndarray:
     """:func:`reg_maps` where each row of ``data`` has its own decomposition: alpha and beta (m, k), u (m, k, nf)."""
+    if len(data) > REG_ROWS:
+        parts = [slice(i, i + REG_ROWS) for i in range(0, len(data), REG_ROWS)]
+        return np.concatenate([reg_maps_stacked(alpha[p], beta[p], u[p], data[p], err, reg_tweak, nmu) for p in parts])
     nf = data.shape[1]
     a, b = alpha[:, :nf], beta[:, :nf]
     values = a / np.maximum(b, TINY)
@@ -358,9 +365,12 @@ def reg_maps(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.n
     mu = np.geomspace(lo, hi if hi > lo else lo * 10, max(nmu, 2))
     weight = mu[:, None] * b[:nf] ** 2
     share = weight / (a[:nf] ** 2 + weight)
-    misfit = np.square(share)[None] * np.square(data @ u[:nf].T)[:, None, :]
     goal = np.sum(np.square(np.broadcast_to(err, data.shape)), axis=1) * reg_tweak
-    return mu[np.argmin(np.abs(misfit.sum(axis=2) - goal[:, None]), axis=1)]
+    at = np.empty(len(data), int)
+    for i in range(0, len(data), REG_ROWS):
+        misfit = np.square(share)[None] * np.square(data[i : i + REG_ROWS] @ u[:nf].T)[:, None, :]
+        at[i : i + REG_ROWS] = np.argmin(np.abs(misfit.sum(axis=2) - goal[i : i + REG_ROWS, None]), axis=1)
+    return mu[at]
 
 
 def reg_map(sigma_a: np.ndarray, sigma_b: np.ndarray, u: np.ndarray, data: np.ndarray, err: np.ndarray, reg_tweak: float = 1.0, nmu: int = 500) -> float:

@@ -116,6 +116,22 @@ def test_stacked_regularisation_equals_one_by_one():
     assert np.allclose(V.reg_maps_stacked(f["alpha"], f["beta"], f["u"], d, np.ones(6)), single)
 
 
+def test_regularisation_of_many_rows_holds_few_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    f, d = V.gsvd_many(rng.normal(size=(3000, 6, 6)), rng.normal(size=(3000, 6, 6))), rng.normal(size=(3000, 6)) * 3
+    tracemalloc.start()
+    stacked = V.reg_maps_stacked(f["alpha"], f["beta"], f["u"], d, np.ones(6))
+    same = V.reg_maps(np.arange(1.0, 7), np.ones(6), np.eye(6), d, np.full(6, 0.1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 20
+    for i in (0, 63, 64, 2999):
+        assert stacked[i] == V.reg_maps_stacked(f["alpha"][i : i + 1], f["beta"][i : i + 1], f["u"][i : i + 1], d[i : i + 1], np.ones(6))[0]
+        assert same[i] == V.reg_map(np.arange(1.0, 7), np.ones(6), np.eye(6), d[i], np.full(6, 0.1))
+
+
 def test_pairs_of_any_shape_and_none(spark):
     rows = [(1, [[1.0, 0.0], [0.0, 2.0]], [[1.0, 0.0], [0.0, 1.0]]), (2, [[3.0]], [[2.0]]), (3, None, [[1.0]]), (4, [[1.0, 2.0]], [[1.0]]), (5, [[1.0, None]], [[1.0, 2.0]]), (6, [[1.0, 2.0], [1.0]], [[1.0, 2.0]]), (7, [], []), (8, [[4.0]], [[0.0]])]
     got = {r["id"]: r for r in V.gsvd_frame(spark.createDataFrame(rows, "id int, a array<array<double>>, b array<array<double>>").coalesce(1), ["id"]).collect()}
