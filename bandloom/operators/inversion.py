@@ -55,32 +55,90 @@ class Options:
         return 1 if self.non_pos else self.max_iter
 
 
+#: Of a system's squared singular values, least over largest: from WELL on, its rows' products give all of them to ten
+#: digits; down to ILL, vectors of those products, turned until the rows they make are orthogonal, do; below, the system itself.
+WELL, ILL = 1e-5, 1e-14
+
+
+def turned(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations (m, n, n) that make the nearly orthogonal rows of ``w`` (m, n, k) orthogonal, and where they were found.
+
+    Pairs of rows are turned by their products, which are right to the last digits of both lengths; a pair that is orthogonal
+    in all of a batch is left out, which is most of them.
+    """
+    m, n, _ = w.shape
+    g = np.matmul(w, w.transpose(0, 2, 1)).transpose(1, 2, 0).copy()
+    turns = np.zeros((n, n, m))
+    turns[np.arange(n), np.arange(n)] = 1.0
+    for _ in range(6):
+        still = np.zeros(m, bool)
+        for p in range(n):
+            for q in range(p + 1, n):
+                off = np.abs(g[p, q]) > 1e-13 * np.sqrt(np.abs(g[p, p] * g[q, q]))
+                if not off.any():
+                    continue
+                still |= off
+                z = (g[q, q] - g[p, p]) / np.where(off, 2 * g[p, q], 1.0)
+                t = np.where(off, np.where(z < 0, -1.0, 1.0) / (np.abs(z) + np.sqrt(1 + z * z)), 0.0)
+                c = 1 / np.sqrt(1 + t * t)
+                s = c * t
+                for x in (g, g.transpose(1, 0, 2), turns):
+                    x[p], x[q] = c * x[p] - s * x[q], s * x[p] + c * x[q]
+        if not still.any():
+            break
+    return turns.transpose(2, 0, 1), ~still
+
+
+def decomposed(systems: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Singular vectors and values, in any order, of wide systems, stacked, as ``svd`` gives them: from the small matrix of their rows' products, at half the cost."""
+    m, nf, nt = systems.shape
+    if nf > nt:
+        return np.linalg.svd(systems, full_matrices=False)
+    s2, u = np.linalg.eigh(np.matmul(systems, systems.transpose(0, 2, 1)))
+    vt = np.matmul(u.transpose(0, 2, 1), systems)
+    good = s2[:, 0] > WELL * s2[:, -1]
+    if not good.all():
+        at = np.flatnonzero(~good)
+        with np.errstate(all="ignore"):
+            turns, good[at] = turned(vt[at])
+        vt[at], u[at] = np.matmul(turns, vt[at]), np.matmul(u[at], turns.transpose(0, 2, 1))
+    s = np.sqrt(np.einsum("mkt,mkt->mk", vt, vt))
+    good &= s.min(axis=1) ** 2 > ILL * s.max(axis=1) ** 2
+    vt /= np.maximum(s, TINY)[:, :, None]
+    bad = np.flatnonzero(~good)
+    if len(bad):
+        u[bad], s[bad], vt[bad] = np.linalg.svd(systems[bad], full_matrices=False)
+    return u, s, vt
+
+
 class Spectrum:
     """Decomposed systems of many pixels, with the discrepancy of every regularisation step."""
 
     def __init__(self, systems: np.ndarray, data: np.ndarray, steps: int):
-        self.u, self.s, self.vt = np.linalg.svd(systems, full_matrices=False)
-        self.coef = np.einsum("mfk,mf->mk", self.u, data)
+        self.u, self.s, self.vt = decomposed(systems)
+        self.coef = np.matmul(data[:, None, :], self.u)[:, 0]
         safe = np.maximum(self.s, TINY)
         lo = np.maximum(safe.min(axis=1) ** 2 * 1e-4, 1e-300)
         hi = safe.max(axis=1)
         hi = np.where(hi > lo, hi, lo * 10)
         self.mu = np.exp(np.log(lo)[:, None] + np.log(hi / lo)[:, None] * np.linspace(0, 1, max(steps, 2)))
-        left = self.mu[:, None, :] / (safe[:, :, None] ** 2 + self.mu[:, None, :]) * self.coef[:, :, None]
-        self.misfit = np.sum(left**2, axis=1)
+        left = (safe**2)[:, :, None] + self.mu[:, None, :]
+        np.divide(self.mu[:, None, :], left, out=left)
+        np.square(left, out=left)
+        self.misfit = np.matmul(np.square(self.coef)[:, None, :], left)[:, 0]
         self.top = safe.max(axis=1) ** 2
 
     def choose(self, target: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         """The first step whose misfit is nearest to the target."""
         at = np.argmin(np.abs(self.misfit[rows] - target[:, None]), axis=1)
-        return self.mu[rows][np.arange(len(at)), at]
+        return self.mu[np.arange(len(self.mu))[rows], at]
 
     def filters(self, lam: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         s = self.s[rows]
         return s / (s**2 + lam[:, None])
 
     def solve(self, filters: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return np.einsum("mkt,mk->mt", self.vt[rows], filters * self.coef[rows])
+        return np.matmul((filters * self.coef[rows])[:, None, :], self.vt[rows])[:, 0]
 
 
 def smooth(w: np.ndarray) -> np.ndarray:
@@ -91,24 +149,26 @@ def smooth(w: np.ndarray) -> np.ndarray:
     return np.maximum(mean / np.maximum(w.max(axis=1, keepdims=True), 1e-12), 1e-8)
 
 
-def resolution(kernel: np.ndarray, logt: np.ndarray, dlogt: np.ndarray) -> np.ndarray:
+def resolution(left: np.ndarray, right: np.ndarray, logt: np.ndarray, dlogt: np.ndarray) -> np.ndarray:
     """Half the distance between the outermost of 51 points at which a row is at least half of its column's largest value.
 
-    Row i is held against column i's largest value. Where no point is, the bin's width.
+    Of the kernels ``left`` (m, nt, nf) times ``right`` (nf, nt). Row i is held against column i's largest value. Where no
+    point is, the bin's width.
     """
     points = logt.min() + 1e-8 + (logt.max() - logt.min()) * np.arange(51) / 51
     at = np.clip(np.searchsorted(logt, points, side="right") - 1, 0, max(len(logt) - 2, 0))
     nxt = np.minimum(at + 1, len(logt) - 1)
     share = (points - logt[at]) / (logt[nxt] - logt[at] + 1e-300) if len(logt) > 1 else np.zeros(51)
-    weights = np.zeros((len(logt), 51))  # a point's value is a weighted sum of two bins, so one product of matrices gives all
+    weights = np.zeros((len(logt), 51))  # a point's value is a weighted sum of two bins, so products of matrices of few columns give all
     np.add.at(weights, (at, np.arange(51)), 1 - share)
     np.add.at(weights, (nxt, np.arange(51)), share)
-    m, nt, _ = kernel.shape
-    rows = (kernel.reshape(m * nt, nt) @ weights).reshape(m, nt, 51)
-    over = rows >= (kernel.max(axis=1) / 2)[:, :, None]
-    first = over.argmax(axis=2)
-    last = 50 - over[:, :, ::-1].argmax(axis=2)
-    return np.where(over.any(axis=2), (points[last] - points[first]) / 2, dlogt)
+    m, nt, nf = left.shape
+    flat = left.reshape(m * nt, nf)
+    half = (flat @ right).reshape(m, nt, nt).max(axis=1).ravel() / 2
+    over = flat @ (right @ weights) >= half[:, None]
+    first, last = over.argmax(axis=1), 50 - over[:, ::-1].argmax(axis=1)
+    some = over[np.arange(m * nt), first]
+    return np.where(some, (points[last] - points[first]) / 2, np.tile(dlogt, m)).reshape(m, nt)
 
 
 def solve_batch(dn: np.ndarray, edn: np.ndarray, cal: Calibration, o: Options) -> dict[str, np.ndarray]:
@@ -149,10 +209,11 @@ def solve_batch(dn: np.ndarray, edn: np.ndarray, cal: Calibration, o: Options) -
     predicted = dem @ r
     edem = np.zeros_like(dem)
     if "edem" in o.outputs or "elogt" in o.outputs:
-        gain = np.matmul(main.vt.transpose(0, 2, 1) * (filters[:, None, :] * weigh[:, :, None]), main.u.transpose(0, 2, 1))
-        edem = np.sqrt(np.einsum("mtf,mtf->mt", gain, gain))
+        edem = weigh * np.sqrt(np.matmul(np.square(filters)[:, None, :], np.square(main.vt))[:, 0])
     if "elogt" in o.outputs:
-        out["elogt"][ok] = resolution(gain @ system, logt, dlogt)
+        gain = np.matmul(main.vt.transpose(0, 2, 1), filters[:, :, None] * main.u.transpose(0, 2, 1) / floored[:, None, :])
+        gain *= weigh[:, :, None]
+        out["elogt"][ok] = resolution(gain, r.T, logt, dlogt)
     if o.rscl:
         ratio = np.mean(dn / np.maximum(predicted, 1e-300), axis=1)[:, None]
         dem, edem, predicted = dem * ratio, edem * ratio, dem * ratio @ r

@@ -163,3 +163,30 @@ def test_a_solver_of_ones_own(spark):
     for i in range(4, 12):
         np.testing.assert_allclose(got[i]["dem"], dem[i - 4])
         np.testing.assert_allclose(got[i]["fit"], fit[i - 4])
+
+
+def test_decompositions_by_products_of_rows():
+    rng = np.random.default_rng(5)
+    kinds = [rng.normal(size=(40, 6, 24)), rng.normal(size=(40, 6, 24)) * 10.0 ** rng.uniform(-4, 0, (40, 1, 24)) ** 3]
+    for most in (2, 5, 6, 9, 14):  # lengths of the rows over so many powers of ten, in a basis of their own
+        u = np.linalg.qr(rng.normal(size=(40, 6, 6)))[0]
+        v = np.linalg.qr(rng.normal(size=(40, 24, 6)))[0]
+        kinds.append(u * np.geomspace(1, 10.0**-most, 6) @ v.transpose(0, 2, 1))
+    kinds += [np.repeat(rng.normal(size=(40, 1, 24)), 6, axis=1), np.zeros((3, 6, 24)), rng.normal(size=(5, 6, 4)), np.concatenate(kinds)]
+    for a in kinds:
+        u, s, vt = V.decomposed(a)
+        top = np.linalg.svd(a, compute_uv=False)
+        assert np.allclose(np.sort(s, axis=1)[:, ::-1], top, rtol=1e-8, atol=1e-14 * max(top.max(), 1e-300))
+        assert np.allclose(u * s[:, None, :] @ vt, a, atol=1e-12 * max(np.abs(a).max(), 1e-300))
+        k = np.eye(s.shape[1])
+        assert np.allclose(u.transpose(0, 2, 1) @ u, k, atol=1e-9)
+        whole = s.min(axis=1) > 1e-7 * s.max(axis=1)
+        assert np.allclose((vt @ vt.transpose(0, 2, 1))[whole], k, atol=1e-9)
+
+
+def test_well_and_ill_conditioned_systems_need_few_full_decompositions(monkeypatch):
+    met, plain = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda a, **how: met.append(len(a)) or plain(a, **how))
+    dn, ed = counts(400, 9)
+    V.solve_batch(dn, ed, C.default(), V.Options())
+    assert sum(met) < 40
