@@ -58,20 +58,38 @@ _TABLES: list[tuple[SparkSession, str]] = []
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read again: lineage ends, columns can be pruned. It goes when the driver ends."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and where it lies, for tables that are to be forgotten before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _TABLES:
         atexit.register(_forget)
     _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if (spark, path) in _TABLES:
+        _TABLES.remove((spark, path))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Spark removes shuffled files when the driver's collector finds that nothing refers to them, which may be much later than they end."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _forget() -> None:
-    for spark, path in _TABLES:
+    for spark, path in list(_TABLES):
         try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            forget(spark, path)
         except Exception:  # noqa: BLE001  (the session has ended before)
             return
 

@@ -1,9 +1,7 @@
 """Text scores by a hierarchical Pitman-Yor language model over pairs of words.
 
-Restaurants are contexts, the word before: one for each word that makes up at
-least ``hot_share`` of the training tokens (a million at most), one for the
-start of a text and one that all rarer words share. Dishes are all words, and
-the end of a text. Every restaurant's parent is the root, whose parent is the
+Restaurants are contexts, the word before: one for each word, however rare, and
+one for the start of a text. Dishes are all words, and the end of a text. Every restaurant's parent is the root, whose parent is the
 uniform distribution over the training words and one more for all unseen ones.
 
 A table count is sampled for each dish of each restaurant by Gibbs sweeps. With
@@ -25,8 +23,11 @@ sampled by one task; the tokens of the texts come to those parts, grouped by
 chunk, and only sums by text leave them. What is collected or broadcast has
 proven bounds: figures of 1 / ``hot_share`` words, and of the pairs that make up
 ``hot_pair_share`` of the tokens, whose tokens are scored where they lie, so no
-pair that is left is a hot key. Equal figures are told apart by nothing: a
-word at a bound counts as above it.
+pair that is left is a hot key. Restaurants of rarer words are told by key: each
+part sends its share of their customers and tables to dealers by key, whose sums
+come back to the parts that ask (also for pairs that are only scored). So where
+a restaurant's figures travel hangs on its share, and nothing else does. Equal
+figures are told apart by nothing: a word at a bound counts as above it.
 
 Edge cases: a null or empty text is its end alone; rows that repeat a doc_id
 are each scored (and each learned from); a null id belongs to the training
@@ -53,7 +54,7 @@ from . import common
 
 @dataclass(frozen=True)
 class Model:
-    """hot_share, hot_pair_share: of the training tokens, from which a word has a restaurant and a pair is scored where it
+    """hot_share, hot_pair_share: of the training tokens, from which a restaurant's figures are broadcast and a pair is scored where it
     lies; part_tokens, chunk_tokens, chunk_docs: of a part and of a chunk, about (a text is never cut); rounds: of sweeps, with
     auxiliary variables between; burn_in, samples: sweeps of a round; exact: customers up to which table counts are drawn
     exactly; add: the base model's smoothing."""
@@ -235,7 +236,7 @@ def word_counts(texts: DataFrame, parts: int, least: float) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Words with a restaurant, by key, and how often each occurs; which of them are so common that their pairs are dealt out by both words."""
+    """Words whose restaurants are broadcast, by key, and how often each occurs; which of them are so common that their pairs are dealt out by both words."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -250,28 +251,33 @@ class Lexicon:
         return at, self.keys[at] == keys
 
     def rooms(self, keys: np.ndarray) -> np.ndarray:
-        """The restaurant of each word as a context; 0 is the start of a text, 1 all rare words."""
+        """The restaurant of each word as a context; 0 is the start of a text, ``FAR`` one that is told by its key."""
         at, here = self.find(keys)
-        return np.where(here, at + 2, 1)
+        return np.where(here, at + 2, FAR)
 
-    def part_of(self, keys: np.ndarray, rooms: np.ndarray) -> np.ndarray:
-        """The part of each pair."""
+    def part_of(self, keys: np.ndarray, rooms: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The part of each pair, of whose context this is the restaurant and the key."""
         at, here = self.find(keys)
         both = here & self.wide[at] if len(self.keys) else here
-        x = keys.view(np.uint64) ^ np.where(both, (rooms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        own = np.where(rooms == FAR, contexts.view(np.uint64), rooms.astype(np.uint64))
+        x = keys.view(np.uint64) ^ np.where(both, (own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         x = np.where(both, (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), x)
         return (x % np.uint64(self.parts)).astype(np.int64)
 
 
-ROOM_BITS, DOC_BITS = 21, 12
+#: In a part, restaurants that are told by key are numbered from len(Lexicon.keys) + 2 on.
+FAR = 1
+ROOM_BITS, DOC_BITS = 32, 12
 
 
-def pairs_of(sizes: np.ndarray, keys: np.ndarray, codes: np.ndarray, words: Lexicon) -> np.ndarray:
-    """The restaurant of each token of a chunk."""
-    own = words.rooms(keys)
-    out = np.empty(len(codes), np.int64)
-    out[1:] = own[codes[:-1]]
-    out[np.cumsum(sizes) - sizes] = 0
+def pairs_of(sizes: np.ndarray, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The pair of each token of a chunk: its number times the numbers that there are, and the one before (0 at a text's start)."""
+    if (len(keys) + 1) ** 2 >> 63 - DOC_BITS:
+        raise ValueError("more than 47 million words in a chunk")
+    out = codes * (len(keys) + 1)
+    out[1:] += codes[:-1] + 1
+    starts = np.cumsum(sizes) - sizes
+    out[starts] = codes[starts] * (len(keys) + 1)
     return out
 
 
@@ -282,45 +288,75 @@ def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_pairs(texts: DataFrame, words: Lexicon) -> DataFrame:
-    """A row for each part: its words, how many restaurants each is in, those restaurants, and the customers."""
+    """A row for each part: its words, how many restaurants each is in, those restaurants, the customers, and the keys of the
+    restaurants that are told by key. Of these, pairs that are only scored are in it too, without customers."""
     held_words = texts.sparkSession.sparkContext.broadcast(words)
     parts = words.parts
+    rooms_ = len(words.keys) + 2
+
+    def merged(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Pairs of several tables (keys, how many pairs each has, restaurants, keys of the far ones, customers) as one: keys, each pair's word, restaurant and customers, and far keys."""
+        keys, at = np.unique(np.concatenate([k for k, *_ in held]), return_inverse=True)
+        word = np.repeat(at, np.concatenate([r for _, r, *_ in held]).astype(np.int64))
+        room = np.concatenate([x for _, _, x, _, _ in held]).astype(np.int64)
+        n = np.concatenate([x for *_, x in held]).astype(np.int64)
+        far, at = np.unique(np.concatenate([x for _, _, _, x, _ in held]), return_inverse=True)
+        held.clear()
+        room[room == FAR] = rooms_ + at
+        cell = word << ROOM_BITS | room
+        order = np.argsort(cell, kind="stable")
+        cell, n = cell[order], n[order]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        cell, n = cell[starts], np.add.reduceat(n, starts)
+        return keys, cell >> ROOM_BITS, cell & (1 << ROOM_BITS) - 1, n, far
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held_words.value
+        words, held = held_words.value, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys, word, room, n, far = merged(held)
+            context = np.r_[np.zeros(rooms_, np.int64), far][room]
+            room = np.where(room >= rooms_, FAR, room)
+            part = words.part_of(keys[word], room, context)
+            order = np.argsort(part, kind="stable")
+            word, room, n, part, context = word[order], room[order], n[order], part[order], context[order]
+
+            def make(a: int, b: int) -> bytes:
+                own, k = runs(word[a:b])
+                return packed(keys[own], small(k), small(room[a:b]), context[a:b][room[a:b] == FAR], small(n[a:b]))
+
+            for to, bodies in sent(part, parts, make):
+                yield batch_of(PART, to, bodies)
+
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 _, flags, sizes, keys, codes = unpacked(body)
                 sizes = sizes.astype(np.int64)
                 codes = codes.astype(np.int64)
+                pair = pairs_of(sizes, keys, codes)
+                rooms, context = np.r_[0, words.rooms(keys)], np.r_[0, keys]
                 use = np.repeat(flags & 1 == 1, sizes)
-                cell, n = runs(np.sort((codes << ROOM_BITS | pairs_of(sizes, keys, codes, words))[use]))
-                code, room = cell >> ROOM_BITS, cell & (1 << ROOM_BITS) - 1
-                part = words.part_of(keys[code], room)
-                order = np.argsort(part, kind="stable")
-                code, room, n, part = code[order], room[order], n[order], part[order]
-
-                def make(a: int, b: int) -> bytes:
-                    own, k = runs(code[a:b])
-                    return packed(keys[own], small(k), small(room[a:b]), small(n[a:b]))
-
-                for to, bodies in sent(part, parts, make):
-                    yield batch_of(PART, to, bodies)
+                some = use if use.all() else use | (rooms[pair % (len(keys) + 1)] == FAR)
+                pair, times = runs(np.sort((pair << 1 | use)[some]))
+                if not len(pair):
+                    continue
+                n = times * (pair & 1)
+                code, before = np.divmod(pair >> 1, len(keys) + 1)
+                own, k = runs(code)
+                room = rooms[before]
+                held.append((keys[own], k, room, context[before][room == FAR], n))
+                if sum(len(x) for *_, x in held) > 750_000:
+                    yield from told()
+        if held:
+            yield from told()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def told() -> pa.RecordBatch:
-            keys, word = np.unique(np.concatenate([np.repeat(k, r) for k, r, _, _ in held]), return_inverse=True)
-            cell = word << ROOM_BITS | np.concatenate([x for _, _, x, _ in held]).astype(np.int64)
-            n = np.concatenate([x for _, _, _, x in held]).astype(np.int64)
-            held.clear()
-            order = np.argsort(cell, kind="stable")
-            cell, n = cell[order], n[order]
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            cell, n = cell[starts], np.add.reduceat(n, starts)
-            _, k = runs(cell >> ROOM_BITS)
-            return batch_of(PART, [at], [packed(keys, small(k), small(cell & (1 << ROOM_BITS) - 1), small(n))])
+            keys, word, room, n, far = merged(held)
+            _, k = runs(word)
+            return batch_of(PART, [at], [packed(keys, small(k), small(room), small(n), far)])
 
         for batch in batches:
             for part, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -417,7 +453,7 @@ class Part:
 
     def __init__(self, number: int, body: bytes):
         self.number = number
-        self.keys, k, rooms, n = unpacked(body)
+        self.keys, k, rooms, n, self.far = unpacked(body)
         self.rooms, self.customers = rooms.astype(np.int64), n.astype(np.int64)
         self.word = np.repeat(np.arange(len(self.keys)), k)
 
@@ -432,11 +468,12 @@ class Part:
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, len(self.keys))
 
-    def round(self, state: State, how: Model, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def round(self, state: State, how: Model, number: int, far: Far | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Mean tables of each pair, mean customers and tables of each word in the root, and the last sample's tables of pairs and words."""
         rng = np.random.default_rng([how.seed, number, self.number])
         here, there = self.common(state)
         seats = Seats(self.customers, how.exact)
+        x = np.r_[state.x, far.auxiliary(state, how, number)] if far else state.x
         t = np.minimum(self.customers, 1)
         m = self.sums(t)
         s = np.minimum(m, 1)
@@ -444,7 +481,7 @@ class Part:
         for sweep in range(how.burn_in + how.samples):
             base = state.root(m, s)
             base[here] = state.root(state.wide_customers[there], state.wide_tables[there])
-            t = seats.draw(state.d * state.x[self.rooms] * base[self.word], state.d, rng)
+            t = seats.draw(state.d * x[self.rooms] * base[self.word], state.d, rng)
             m = self.sums(t).astype(np.int64)
             s = Seats(m, how.exact).draw(np.full(len(m), state.d0 * state.x0 / (state.words + 1)), state.d0, rng)
             if sweep >= how.burn_in:
@@ -453,55 +490,173 @@ class Part:
         return total / n, total_m / n, total_s / n, t, s
 
 
-FOUND = "kind int, id long, key long, n long, value double"
+# -- restaurants told by key -----------------------------------------------------
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniforms(keys: np.ndarray, salt: int) -> np.ndarray:
+    """A number between 0 and 1 for each key, the same wherever it is drawn."""
+    start = mixed(np.array([salt % (1 << 64)], np.uint64))
+    return ((mixed(keys.view(np.uint64) ^ start) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def gammas(shape: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
+    """A gamma variable for each key, the same wherever it is drawn (Marsaglia and Tsang's rejection; shapes of 1 and more)."""
+    d = shape - 1 / 3
+    out, left = np.empty(len(keys)), np.arange(len(keys))
+    for k in count():
+        if not len(left):
+            return out
+        u, v, w = (uniforms(keys[left], (salt << 16) + 3 * k + j) for j in range(3))
+        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v)
+        b = (1 + z / np.sqrt(9 * d[left])) ** 3
+        good = np.log(w) < 0.5 * z * z + d[left] * (1 - b + np.log(np.maximum(b, 1e-300)))
+        good &= b > 0
+        out[left[good]] = d[left[good]] * b[good]
+        left = left[~good]
+
+
+def dealt(far: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by dealer, and where each dealer's begin and end."""
+    dealer = (far.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(dealer, kind="stable")
+    return order, np.searchsorted(dealer[order], np.arange(parts + 1))
+
+
+class Far:
+    """Customers and mean tables of a part's restaurants that are told by key, as the dealers say."""
+
+    def __init__(self, keys: np.ndarray, parts: int):
+        self.keys = keys
+        self.order, self.cuts = dealt(keys, parts)
+        self.guests, self.tables = np.zeros(len(keys)), np.zeros(len(keys))
+
+    def hear(self, dealer: int, body: bytes) -> None:
+        where = self.order[self.cuts[dealer] : self.cuts[dealer + 1]]
+        guests, tables, scale = unpacked(body)
+        self.guests[where], self.tables[where] = guests, tables / scale[0]
+
+    def auxiliary(self, state: State, how: Model, number: int) -> np.ndarray:
+        """The auxiliary variables before a round; those of restaurants without customers count nowhere."""
+        return gammas(np.maximum(state.theta / state.d + self.tables, 1), self.keys, (how.seed << 16) + number)
+
+
+ANSWERS = "part int, kind int, id long, value double, body binary"
+
+
+def deal(asked: DataFrame, parts: int, laws: bool) -> DataFrame:
+    """The dealers' answers (kind 1; id: the dealer) to what parts ask (id: the dealer; key: the part), and what the restaurants say of each law (kind 2), where that is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def told() -> pa.RecordBatch:
+            bodies = [unpacked(body) for _, body in held]
+            keys, where = np.unique(np.concatenate([x[0] for x in bodies]), return_inverse=True)
+            guests, tables = (np.bincount(where, np.concatenate([x[k] for x in bodies]), len(keys)).astype(np.int64) for k in (1, 2))
+            scale = bodies[0][3]
+            ends = np.cumsum([0, *(len(x[0]) for x in bodies)]).tolist()
+            out = [packed(small(guests[where[a:b]]), small(tables[where[a:b]]), scale) for a, b in zip(ends, ends[1:], strict=False)]
+            some = guests > 0
+            logs = law_logs(guests[some], np.round(tables[some] / scale[0])) if laws else np.zeros(0)
+            n, m = len(out), len(logs)
+            return batch_of(ANSWERS, [*(p for p, _ in held), *[-1] * m], [1] * n + [2] * m, [at] * n + list(range(m)), np.r_[np.zeros(n), logs], out + [None] * m)
+
+        for batch in batches:
+            for dealer, part, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if dealer != at and held:
+                    yield told()
+                    held = []
+                at = dealer
+                held.append((part, body))
+        if held:
+            yield told()
+
+    rows = asked.select(F.col("id").cast("int").alias("id"), F.col("key").cast("int").alias("key"), "body")
+    return rows.repartitionById(parts, F.col("id")).sortWithinPartitions("id").mapInArrow(run, ANSWERS)
+
+
+FOUND = "kind int, id long, key long, n long, value double, body binary"
 #: Kinds of figures: by restaurant customers and tables, by common word tables, of the root customers and tables (without the
-#: common words'), how often c customers have t tables in restaurants and in the root, and the pairs that are scored where they lie.
+#: common words'), how often c customers have t tables in restaurants and in the root, the pairs that are scored where they lie
+#: (two kinds), and what a part asks a dealer.
 GUESTS, TABLES, WIDE, ROOT, ROOT_TABLES, LAWS, ROOT_LAWS, HOT = range(8)
+ASKED = HOT + 2
 
 
-def figures(cells: DataFrame, state: State, how: Model, number: int | None, least: float = math.inf) -> DataFrame:
+def figures(cells: DataFrame, answers: DataFrame | None, parts: int, state: State, how: Model, number: int | None, least: float = math.inf) -> DataFrame:
     """The figures of a round, or with every dish at one table where there is no number; hot pairs from ``least`` customers on."""
     held = cells.sparkSession.sparkContext.broadcast(state)
+    n_rooms = len(state.x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(part: Part, far: Far) -> Iterator[pa.RecordBatch]:
         state = held.value
+        here, there = part.common(state)
+        if number is None:
+            tables = np.minimum(part.customers, 1).astype(float)
+            customers = part.sums(tables)
+            root_tables = np.minimum(customers, 1)
+        else:
+            tables, customers, root_tables, last, last_root = part.round(state, how, number, far)
+        own = np.ones(len(part.keys), bool)
+        own[here] = False
+        rows = []
+
+        def add(kind: int, ids: np.ndarray, values: np.ndarray, keys: np.ndarray | None = None, ns: np.ndarray | None = None) -> None:
+            none = np.zeros(len(ids), np.int64)
+            rows.append((np.full(len(ids), kind), ids, none if keys is None else keys, none if ns is None else ns, np.asarray(values, float)))
+
+        scale, sums = np.array([1 if number is None else how.samples]), []
+        for kind, values in ((GUESTS, part.customers), (TABLES, tables)):
+            sums.append(np.bincount(part.rooms, values, n_rooms + len(part.far)))
+            some = np.flatnonzero(sums[-1][:n_rooms])
+            if kind == TABLES or number is None:  # customers stay
+                add(kind, some, sums[-1][some])
+        add(WIDE, there, customers[here])
+        add(ROOT, np.zeros(1, np.int64), [tables.sum()])
+        add(ROOT_TABLES, np.zeros(1, np.int64), [root_tables[own].sum()])
+        if number is not None:
+            for kind, c, t in ((LAWS, part.customers, last), (ROOT_LAWS, part.sums(last).astype(np.int64)[own], last_root[own])):
+                small_ = (c > 0) & (c <= how.exact)
+                law, times = runs(np.sort(c[small_] << 20 | t[small_]))
+                add(kind, law, times)
+            hot = np.flatnonzero(part.customers >= least)
+            root = customers - state.d0 * root_tables
+            root[here] = np.nan
+            add(HOT, part.rooms[hot], tables[hot], part.keys[part.word[hot]], part.customers[hot])
+            add(HOT + 1, part.rooms[hot], root[part.word[hot]], part.keys[part.word[hot]])
+        columns = [np.concatenate([x[k] for x in rows]) for k in range(5)]
+        yield batch_of(FOUND, *columns, pa.nulls(len(columns[0]), pa.binary()))
+        guests, tables = sums[0][n_rooms:].astype(np.int64), np.round(sums[1][n_rooms:] * scale[0]).astype(np.int64)
+        for dealer in np.flatnonzero(np.diff(far.cuts)).tolist():
+            where = far.order[far.cuts[dealer] : far.cuts[dealer + 1]]
+            body = packed(part.far[where], small(guests[where]), small(tables[where]), scale)
+            yield batch_of(FOUND, [ASKED], [dealer], [part.number], [0], [0.0], [body])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, far = None, None
         for batch in batches:
-            for n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = Part(n, body)
-                here, there = part.common(state)
-                if number is None:
-                    tables, customers = np.ones(len(part.rooms)), part.sums(np.ones(len(part.rooms)))
-                    root_tables = np.ones(len(part.keys))
+            for n, kind, dealer, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    if part:
+                        yield from one(part, far)
+                    part = Part(n, body)
+                    far = Far(part.far, parts)
                 else:
-                    tables, customers, root_tables, last, last_root = part.round(state, how, number)
-                own = np.ones(len(part.keys), bool)
-                own[here] = False
-                rows = []
-
-                def add(kind: int, ids: np.ndarray, values: np.ndarray, keys: np.ndarray | None = None, ns: np.ndarray | None = None) -> None:
-                    none = np.zeros(len(ids), np.int64)
-                    rows.append((np.full(len(ids), kind), ids, none if keys is None else keys, none if ns is None else ns, np.asarray(values, float)))
-
-                for kind, values in ((GUESTS, part.customers), (TABLES, tables)):
-                    sums = np.bincount(part.rooms, values)
-                    some = np.flatnonzero(sums)
-                    add(kind, some, sums[some])
-                add(WIDE, there, customers[here])
-                add(ROOT, np.zeros(1, np.int64), [tables.sum()])
-                add(ROOT_TABLES, np.zeros(1, np.int64), [root_tables[own].sum()])
-                if number is not None:
-                    for kind, c, t in ((LAWS, part.customers, last), (ROOT_LAWS, part.sums(last).astype(np.int64)[own], last_root[own])):
-                        small_ = (c > 0) & (c <= how.exact)
-                        law, times = runs(np.sort(c[small_] << 20 | t[small_]))
-                        add(kind, law, times)
-                    hot = np.flatnonzero(part.customers >= least)
-                    root = customers - state.d0 * root_tables
-                    root[here] = np.nan
-                    add(HOT, part.rooms[hot], tables[hot], part.keys[part.word[hot]], part.customers[hot])
-                    add(HOT + 1, part.rooms[hot], root[part.word[hot]], part.keys[part.word[hot]])
-                yield batch_of(FOUND, *(np.concatenate([x[k] for x in rows]) for k in range(5)))
-
-    return cells.mapInArrow(run, FOUND)
+                    far.hear(dealer, body)
+        if part:
+            yield from one(part, far)
+
+    rows = cells.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("id"), "body")
+    if answers is not None:
+        said = answers.filter("kind = 1").select("part", "kind", "id", "body")
+        rows = rows.unionByName(said).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+    return rows.mapInArrow(run, FOUND)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -517,25 +672,34 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 DISCOUNTS, CONCENTRATIONS = tuple(round(0.05 * k, 2) for k in range(1, 20)), (0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
 
 
-def sample_law(guests: np.ndarray, tables: np.ndarray, laws: np.ndarray, times: np.ndarray, how: Model, rng: np.random.Generator) -> tuple[float, float]:
-    """A discount and a concentration from a grid, given customers and tables of restaurants, and how often (times) c customers have t tables (laws: c << 20 | t)."""
-    both, k = np.unique(np.stack([guests, np.round(tables)]), axis=1, return_counts=True)
-    n, t = both
-    c, u = laws >> 20, laws & (1 << 20) - 1
-    grid, logs = [], []
+def law_logs(guests: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """What customers and tables of restaurants say of each discount and concentration of the grid, but for the dishes' seats."""
+    if not len(guests):
+        return np.zeros(len(DISCOUNTS) * len(CONCENTRATIONS))
+    (n, n_times), (t, t_times) = np.unique(guests, return_counts=True), np.unique(tables, return_counts=True)
+    logs = []
     for d in DISCOUNTS:
-        seats = float((stirling(d, how.exact)[c, u] * times).sum())
         for theta in CONCENTRATIONS:
-            own = t * math.log(d) + log_gamma(theta / d + t) - log_gamma(np.full(1, theta / d)) - log_gamma(theta + n) + log_gamma(np.full(1, theta))
-            grid.append((d, theta))
-            logs.append(seats + float((own * k).sum()))
-    p = np.exp(np.array(logs) - max(logs))
-    return grid[rng.choice(len(grid), p=p / p.sum())]
+            new = t * math.log(d) + log_gamma(theta / d + t) - log_gamma(np.full(1, theta / d))
+            seated = log_gamma(theta + n) - log_gamma(np.full(1, theta))
+            logs.append(float((new * t_times).sum() - (seated * n_times).sum()))
+    return np.array(logs)
+
+
+def sample_law(logs: np.ndarray, laws: np.ndarray, times: np.ndarray, how: Model, rng: np.random.Generator) -> tuple[float, float]:
+    """A discount and a concentration from a grid, given what restaurants say of each, and how often (times) c customers have t tables (laws: c << 20 | t)."""
+    c, u = laws >> 20, laws & (1 << 20) - 1
+    seats = [float((stirling(d, how.exact)[c, u] * times).sum()) for d in DISCOUNTS]
+    logs = logs + np.repeat(seats, len(CONCENTRATIONS))
+    p = np.exp(logs - logs.max())
+    k = int(rng.choice(len(p), p=p / p.sum()))
+    return DISCOUNTS[k // len(CONCENTRATIONS)], CONCENTRATIONS[k % len(CONCENTRATIONS)]
 
 
 @dataclass
 class Learned:
-    """What scoring needs: the state of the last round, the restaurants' customers and mean tables, the averaged root, and the hot pairs' logarithms."""
+    """What scoring needs: the state of the last round, the restaurants' customers and mean tables, the averaged root, and the hot
+    pairs' logarithms; the dealers' answers before and after that round stay tables."""
 
     state: State
     after: State
@@ -543,6 +707,7 @@ class Learned:
     tables: np.ndarray
     hot: np.ndarray
     hot_say: np.ndarray
+    answers: tuple[DataFrame, DataFrame] | None = None
 
 
 def pair_hash(keys: np.ndarray, rooms: np.ndarray) -> np.ndarray:
@@ -563,12 +728,16 @@ def learn(cells: DataFrame, words: Lexicon, n_words: int, n: int, how: Model) ->
     n_rooms = len(words.keys) + 2
     state = State(n_words, np.ones(n_rooms), 1.0, 0.0, 0.0, wide, np.zeros(len(wide)), np.zeros(len(wide)))
 
-    def gathered(number: int | None, least: float = math.inf) -> dict[int, object]:
-        rows = common.checkpointed(figures(cells, state, how, number, least))
+    def gathered(number: int | None, answers: DataFrame | None, least: float = math.inf) -> tuple[dict[int, object], DataFrame]:
+        rows, path = common.written_at(figures(cells, answers, words.parts, state, how, number, least), "figures")
         kinds, ids, values = arrays(rows.filter(F.col("kind") < HOT).groupBy("kind", "id").agg(F.sum("value").alias("value")))
         out: dict[int, object] = {k: (ids[kinds == k], values[kinds == k]) for k in range(HOT)}
-        out[HOT] = arrays(rows.filter(F.col("kind") >= HOT).orderBy("key", "id", "kind")) if least < math.inf else None
-        return out
+        hot = rows.filter(F.col("kind").isin(HOT, HOT + 1)).drop("body")
+        out[HOT] = arrays(hot.orderBy("key", "id", "kind")) if least < math.inf else None
+        said = common.written(deal(rows.filter(F.col("kind") == ASKED), words.parts, number is not None and least == math.inf), "answers")
+        common.forget(cells.sparkSession, path)
+        common.sweep(cells.sparkSession)
+        return out, said
 
     def dense(found: dict, kind: int, size: int) -> np.ndarray:
         out = np.zeros(size)
@@ -581,18 +750,22 @@ def learn(cells: DataFrame, words: Lexicon, n_words: int, n: int, how: Model) ->
         seated = Seats(np.round(customers).astype(np.int64), how.exact).draw(np.full(len(wide), start.d0 * start.x0 / (n_words + 1)), start.d0, rng).astype(float)
         return replace(start, customers=dense(found, ROOT, 1)[0], tables=dense(found, ROOT_TABLES, 1)[0] + seated.sum(), wide_customers=customers, wide_tables=seated), tables
 
-    found = gathered(None)
+    found, answers = gathered(None, None)
     guests = dense(found, GUESTS, n_rooms)
     state, tables = after(found, state)
     for number in range(how.rounds):
         state = replace(state, x=rng.gamma(state.theta / state.d + tables), x0=float(rng.gamma(state.theta0 / state.d0 + state.tables)))
         last = number + 1 == how.rounds
-        start, found = state, gathered(number, max(2.0, max(how.hot_pair_share, how.hot_share) * n) if last else math.inf)
+        start, before = state, answers
+        found, answers = gathered(number, before, max(2.0, max(how.hot_pair_share, how.hot_share) * n) if last else math.inf)
         state, tables = after(found, state)
-        if not last:
+        if not last and n:
             some = guests > 0
-            d, theta = sample_law(guests[some], tables[some], *found[LAWS], how, rng) if some.any() else (state.d, state.theta)
-            d0, theta0 = sample_law(np.array([state.customers]), np.array([state.tables]), *found[ROOT_LAWS], how, rng) if some.any() else (state.d0, state.theta0)
+            logs = law_logs(guests[some], np.round(tables[some]))
+            ids, more = arrays(answers.filter("kind = 2").groupBy("id").agg(F.sum("value").alias("value")))
+            logs[ids] += more
+            d, theta = sample_law(logs, *found[LAWS], how, rng)
+            d0, theta0 = sample_law(law_logs(np.array([state.customers]), np.round([state.tables])), *found[ROOT_LAWS], how, rng)
             state = replace(state, d=d, theta=theta, d0=d0, theta0=theta0)
     kinds, room, key, n_pair, value = found[HOT]
     first = kinds == HOT  # a pair's two rows follow each other
@@ -604,7 +777,7 @@ def learn(cells: DataFrame, words: Lexicon, n_words: int, n: int, how: Model) ->
     say = np.log10((n_pair - state.d * value + (state.theta + state.d * tables[room]) * base) / (state.theta + guests[room]))
     hashes = pair_hash(key, room)
     order = np.argsort(hashes)
-    return Learned(start, state, guests, tables, hashes[order], say[order])
+    return Learned(start, state, guests, tables, hashes[order], say[order], (before, answers))
 
 
 # -- scores --------------------------------------------------------------------
@@ -615,7 +788,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 def score_chunks(texts: DataFrame, cells: DataFrame, words: Lexicon, learned: Learned, n: int, how: Model) -> DataFrame:
     spark = texts.sparkSession
-    held = spark.sparkContext.broadcast((words, learned))
+    held = spark.sparkContext.broadcast((words, replace(learned, answers=None)))
     parts = words.parts
     v = learned.state.words
     z = n + how.add * (v + 1)
@@ -626,12 +799,12 @@ def score_chunks(texts: DataFrame, cells: DataFrame, words: Lexicon, learned: Le
             for chunk, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, flags, sizes, keys, codes = unpacked(body)
                 sizes, codes = sizes.astype(np.int64), codes.astype(np.int64)
-                room = pairs_of(sizes, keys, codes, words)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                entry, times = runs(np.sort((codes << ROOM_BITS | room) << DOC_BITS | doc))
+                entry, times = runs(np.sort(pairs_of(sizes, keys, codes) << DOC_BITS | doc))
                 doc, cell = entry & (1 << DOC_BITS) - 1, entry >> DOC_BITS
                 cell, entries = runs(cell)
-                code, room = cell >> ROOM_BITS, cell & (1 << ROOM_BITS) - 1
+                code, before = np.divmod(cell, len(keys) + 1)
+                room, context = np.r_[0, words.rooms(keys)][before], np.r_[0, keys][before]
                 say, base, known = (np.zeros(len(sizes)) for _ in range(3))
                 if len(learned.hot) and len(words.keys):
                     own = pair_hash(keys[code], room)
@@ -649,12 +822,12 @@ def score_chunks(texts: DataFrame, cells: DataFrame, words: Lexicon, learned: Le
                         base = np.bincount(d, k * np.repeat(logs[place], entries)[each], m)
                         known = np.bincount(d, k, m).astype(float)
                         doc, times = doc[~each], times[~each]
-                        code, room, entries = code[~here], room[~here], entries[~here]
-                yield batch_of(TOLD, [chunk % parts], [1], [chunk], [packed(ids, flags, small(sizes), say, base, known)])
-                part = words.part_of(keys[code], room)
+                        code, room, context, entries = code[~here], room[~here], context[~here], entries[~here]
+                yield batch_of(TOLD, [chunk % parts], [-1], [chunk], [packed(ids, flags, small(sizes), say, base, known)])
+                part = words.part_of(keys[code], room, context)
                 order = np.argsort(part, kind="stable")
                 starts = np.cumsum(entries) - entries
-                part, code, room, entries, starts = part[order], code[order], room[order], entries[order], starts[order]
+                part, code, room, context, entries, starts = part[order], code[order], room[order], context[order], entries[order], starts[order]
                 offsets = np.cumsum(entries) - entries
                 pick = np.repeat(starts - offsets, entries) + np.arange(len(doc))
                 doc, times = doc[pick], times[pick]
@@ -663,44 +836,49 @@ def score_chunks(texts: DataFrame, cells: DataFrame, words: Lexicon, learned: Le
                 def make(a: int, b: int) -> bytes:
                     own, k = runs(code[a:b])
                     e, f = int(ends[a]), int(ends[b])
-                    return packed(keys[own], small(k), small(room[a:b]), small(entries[a:b]), small(doc[e:f]), small(times[e:f] - 1))
+                    return packed(keys[own], small(k), small(room[a:b]), context[a:b][room[a:b] == FAR], small(entries[a:b]), small(doc[e:f]), small(times[e:f] - 1))
 
                 for to, bodies in sent(part, parts, make):
-                    yield batch_of(TOLD, to, [2] * len(to), [chunk] * len(to), bodies)
+                    yield batch_of(TOLD, to, [3] * len(to), [chunk] * len(to), bodies)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, learned = held.value
         start, state = learned.state, learned.after
-        number, part = None, None
+        number, part, p, far = None, None, None, []
 
-        def known(n_: int, body: bytes | None) -> tuple:
+        def known() -> tuple:
             none = np.zeros(0, np.int64)
-            if body is None:
-                return none, none, none, np.zeros(0), np.zeros(0), none
-            p = Part(n_, body)
-            tables, customers, root_tables, _, _ = p.round(start, how, how.rounds - 1)
+            if p is None:
+                return none, none, none, np.zeros(0), np.zeros(0), none, none, learned.guests, learned.tables
+            tables, customers, root_tables, _, _ = p.round(start, how, how.rounds - 1, far[0])
             base, counts = state.root(customers, root_tables), p.sums(p.customers).astype(np.int64)
             here, there = p.common(state)
             base[here] = state.root(state.wide_customers[there], state.wide_tables[there])
             at, listed = words.find(p.keys[here])
             counts[here] = words.counts[at]
-            return p.keys, p.word << ROOM_BITS | p.rooms, p.customers, tables, base, counts
+            return p.keys, p.word << ROOM_BITS | p.rooms, p.customers, tables, base, counts, p.far, np.r_[learned.guests, far[1].guests], np.r_[learned.tables, far[1].tables]
 
         unseen = state.root(np.zeros(1), np.zeros(1))[0]
         for batch in batches:
             for own, kind, chunk, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 1:
+                if kind == -1:
                     yield batch_of("chunk long, kind int, body binary", [chunk], [0], [body])
                     continue
                 if own != number:
-                    number, part = own, None
+                    number, part, p = own, None, None
                 if kind == 0:
-                    part = known(own, body)
+                    p = Part(own, body)
+                    far = [Far(p.far, parts), Far(p.far, parts)]
+                    continue
+                if kind < 3:
+                    far[kind - 1].hear(chunk, body)
                     continue
-                part = part or known(own, None)
-                p_keys, p_cells, p_customers, p_tables, p_base, p_counts = part
-                keys, k, room, entries, doc, times = unpacked(body)
+                part = part or known()
+                p_keys, p_cells, p_customers, p_tables, p_base, p_counts, p_far, p_guests, p_room_tables = part
+                keys, k, room, context, entries, doc, times = unpacked(body)
                 room = room.astype(np.int64)
+                if len(context):  # all of them are among the part's, be it without customers
+                    room[room == FAR] = len(learned.guests) + np.searchsorted(p_far, context)
                 word, c, t, base, n_word = np.full(len(keys), -1), np.zeros(len(room)), np.zeros(len(room)), np.full(len(keys), unseen), np.zeros(len(keys))
                 if len(p_keys):
                     at = np.minimum(np.searchsorted(p_keys, keys), len(p_keys) - 1)
@@ -712,7 +890,7 @@ def score_chunks(texts: DataFrame, cells: DataFrame, words: Lexicon, learned: Le
                     at = np.minimum(np.searchsorted(p_cells, cell), len(p_cells) - 1)
                     here = (word >= 0) & (p_cells[at] == cell)
                     c[here], t[here] = p_customers[at[here]], p_tables[at[here]]
-                guests, tables = learned.guests[room], learned.tables[room]
+                guests, tables = p_guests[room], p_room_tables[room]
                 say = np.log10((c - state.d * t + (state.theta + state.d * tables) * base) / (state.theta + guests))
                 logs = np.log10((n_word + how.add) / z)
                 k2, m = times.astype(float) + 1, int(doc.max()) + 1 if len(doc) else 0
@@ -744,14 +922,16 @@ def score_chunks(texts: DataFrame, cells: DataFrame, words: Lexicon, learned: Le
 
     rows = texts.select("chunk", "body").mapInArrow(spread, TOLD)
     counted = cells.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "body")
+    for kind, answers in enumerate(learned.answers, 1):
+        counted = counted.unionByName(answers.filter("kind = 1").select("part", F.lit(kind).alias("kind"), F.col("id").alias("chunk"), "body"))
     met = counted.unionByName(rows).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(meet, "chunk long, kind int, body binary")
     return met.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(finish, SCORES)
 
 
 def score_texts(docs: DataFrame, training, how: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. ``training``: a column that is true for rows to learn from."""
-    if how.chunk_docs > 1 << DOC_BITS or 1 / how.hot_share > (1 << ROOM_BITS) - 2:
-        raise ValueError("chunks of at most 4096 texts, and at most about two million restaurants")
+    if how.chunk_docs > 1 << DOC_BITS:
+        raise ValueError("chunks of at most 4096 texts")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("training"), F.col(text_col).alias("text"))
     texts = common.written(chunks(source, how), "chunks")
     total, n = texts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
@@ -761,6 +941,7 @@ def score_texts(docs: DataFrame, training, how: Model = Model(), id_col: str = "
     keys, counts = keys[kinds == 0], counts[kinds == 0]
     words = Lexicon(keys, counts, counts >= max(n / (8 * parts), how.hot_share * n), parts)
     cells = common.written(count_pairs(texts, words), "pairs")
+    common.sweep(docs.sparkSession)
     learned = learn(cells, words, n_words, n, how)
     return score_chunks(texts, cells, words, learned, n, how).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

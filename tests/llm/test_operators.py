@@ -684,6 +684,35 @@ def test_scores_do_not_hang_on_how_pairs_are_dealt_out(docs, spark):
         assert abs(x - other[k]) < 0.05 * abs(x) + 0.5, k
 
 
+def test_rare_contexts_have_restaurants_of_their_own(docs, spark):
+    """Whether restaurants' figures are broadcast or told by key, in one part or many: only the draws differ."""
+    train = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    first, other = (
+        {(r["doc_id"], r["n_tokens"]): r["score"] for r in pitman_yor.score_texts(docs, train, pitman_yor.Model(samples=12, rounds=3, seed=seed, **kind)).collect()}
+        for seed, kind in ((1, {}), (2, {"hot_share": 0.9, "part_tokens": 2000, "chunk_tokens": 900}))
+    )
+    assert first.keys() == other.keys()
+    for k, x in first.items():
+        assert abs(x - other[k]) < 0.05 * abs(x) + 0.5, k
+    # rare words that have always the same word behind them, and a text that turns them round
+    rows = [(i, f"a{i % 40} b{i % 40}") for i in range(400)] + [(400, "a1 b2"), (401, "a1 b1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(frame, F.col("doc_id") < 400, pitman_yor.Model(hot_share=0.1)).collect()}
+    assert got[401] > got[400] + 1
+
+
+def test_gamma_variables_of_keys():
+    import numpy as np
+
+    keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 50_000)
+    for shape in (1.0, 1.7, 30.0, 4000.0):
+        got = pitman_yor.gammas(np.full(len(keys), shape), keys, 7)
+        assert abs(got.mean() - shape) < 0.02 * shape and abs(got.var() - shape) < 0.05 * shape
+        some = np.arange(0, len(keys), 3)
+        np.testing.assert_array_equal(pitman_yor.gammas(np.full(len(some), shape), keys[some], 7), got[some])
+        assert (pitman_yor.gammas(np.full(len(keys), shape), keys, 8) != got).all()
+
+
 def test_laws_of_seating():
     import numpy as np
 
