@@ -90,6 +90,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hold() -> None:
+    """Not in the tasks' own functions, as what those name of this module is copied with them, and so would be the words."""
+    common.hold("near_dup", _WORDS.clear)
+
+
 def _word_hash(word: bytes) -> int:
     h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     if len(_WORDS) > 400_000:
@@ -136,7 +141,7 @@ def sign(docs: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFram
     """doc_id, its text's hash and bytes, the size and digest of its set, its signature (16 bits of each hash) and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.hold("near_dup", _WORDS.clear)
+        _hold()
         for batch in batches:
             n, size, digest, sig = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -236,7 +241,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     words, bound = rule.words, rule.at_least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.hold("near_dup", _WORDS.clear)
+        _hold()
         at, held = None, []
         for batch in batches:
             out = []
@@ -381,7 +386,7 @@ def across(buckets: DataFrame, candidates: DataFrame, rule: NearDup) -> DataFram
     pairs = pairs.repartition("key", "i", "j", "k").sortWithinPartitions("key", "i", "j", "k", "side", "node")
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.hold("near_dup", _WORDS.clear)
+        _hold()
         out: list[tuple[int, int]] = []
         for _, own, row in meet(batches, 4):
             out += own.links(row)

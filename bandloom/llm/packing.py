@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import encoder, texts_of
+from .token_counts import REMEMBERED, encoder, texts_of
 
 
 class OpenBins:
@@ -67,14 +67,14 @@ class OpenBins:
         return bin_, self.room - free
 
 
-def pieces(docs: DataFrame, path: str, room: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, path: str, room: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """A row for each piece: id, piece, start, length, ids_crc32. ``remembered``: pieces of text that a worker remembers, which changes time and memory alone."""
     source = docs.select(docs[id_col], docs[text_col])
     end = end_id.to_bytes(4, "little")
 
     @common.quietly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, keep_ids=True)
+        own = encoder(path, keep_ids=True, remembered=remembered)
         for part, texts in texts_of(batches):
             at, piece, start, length, crc = [], [], [], [], []
             for i, found in enumerate(own.pieces(texts)):

@@ -141,6 +141,11 @@ def vocabulary(path: str) -> list[str]:
     return list(dict.fromkeys(x for x in words if len(x) > 2 and x.isalpha()))
 
 
+def _hold() -> None:
+    """Not in the tasks' own functions, as what those name of this module is copied with them, and so would be the ranks."""
+    common.hold("secret_scan", _RANKS.clear)
+
+
 def ranks(model: GuessModel) -> tuple[dict[str, int], int]:
     """Each word's best rank, 0 for what words begin with (three letters or more), and the longest word's length; read once by a worker."""
     key = (model.words, model.files)
@@ -295,6 +300,7 @@ def find_secrets(docs: DataFrame, model: GuessModel = GuessModel(), id_col: str
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold()
         for batch in batches:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(x, model)] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_col, "spans"])
@@ -319,6 +325,7 @@ def redact(docs: DataFrame, model: GuessModel = GuessModel(), text_col: str = "t
         return "".join(out) + text[upto:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold()
         for batch in batches:
             old = batch.column(at).to_pylist()
             new = list(map(masked, old))

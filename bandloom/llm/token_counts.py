@@ -6,7 +6,7 @@ byte-level BPE with the usual split pattern can cross: before a single space
 that a non-space follows, and around other runs of white space. So a text of
 any length becomes short pieces, pieces go to the tokenizer in batches of about
 equal bytes, and a piece that a worker has met before isn't encoded again. The
-memory of pieces is bounded and only saves time.
+memory of pieces is bounded, in number and in bytes, and only saves time.
 
 The library cuts a text at the strings of special tokens before it looks at
 white space, so the text is parted there first and its parts are split on their
@@ -40,8 +40,11 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 #: Fixed by the split pattern of byte-level BPE: no match of that crosses a match of this.
 SAFE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 WHITE = re.compile(f"[{_WS}\\x00-\\x20]").match
-#: Bytes of text in one call of the tokenizer, and in one text of joined pieces; pieces remembered, and the longest of those.
-CALL_BYTES, LINE_BYTES, REMEMBERED, LONGEST = 1 << 20, 1 << 14, 800_000, 48
+#: Bytes of text in one call of the tokenizer, and in one text of joined pieces, and the longest piece remembered.
+CALL_BYTES, LINE_BYTES, LONGEST = 1 << 18, 1 << 14, 48
+#: From so many pieces on, or so many letters and bytes of ids for each of them, a worker begins a new memory, with the one before beside it.
+#: A dict of more than 699,050 (or 349,525) doubles its table.
+REMEMBERED, PIECE_BYTES = 660_000, 40
 
 
 def by_bytes(texts: Iterable[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
@@ -60,8 +63,8 @@ def by_bytes(texts: Iterable[str], most: int = CALL_BYTES) -> Iterator[list[str]
 class Encoder:
     """Encodes whole texts with the file at ``path``. Keeps of a piece its ids, as little-endian unsigned 32-bit numbers, or else only their number."""
 
-    def __init__(self, path: str, keep_ids: bool):
-        self.keep_ids, self.memory, self.older = keep_ids, {}, {}
+    def __init__(self, path: str, keep_ids: bool, remembered: int = REMEMBERED):
+        self.keep_ids, self.remembered, self.memory, self.older, self.bytes = keep_ids, remembered, {}, {}, 0
         self.line_break = None
         if path.endswith(".model"):
             import sentencepiece
@@ -122,24 +125,28 @@ class Encoder:
         """For each text what is kept of its pieces, in order."""
         if not self.safe:
             return [[x] for x in self.encode(texts)]
-        if len(self.memory) > REMEMBERED:
-            self.older, self.memory = self.memory, {}
+        if len(self.memory) > self.remembered or self.bytes > PIECE_BYTES * self.remembered:
+            self.older, self.memory, self.bytes = self.memory, {}, 0
         memory, older = self.memory, self.older
         split = list(map(self.split, texts))
         found = [list(map(memory.get, x)) for x in split]
         gaps = [(i, j) for i, x in enumerate(found) for j in common.places(x)]
         new = {split[i][j] for i, j in gaps}
-        words, other, marked = set(), [], []
+        words, other, marked, moved = set(), [], [], []
         for p in new:
-            if (v := older.get(p)) is not None:
+            if p in memory:
+                continue
+            if (v := older.pop(p, None)) is not None:
                 memory[p] = v
+                moved.append(p)
             elif len(p) > LONGEST or self.line_break is None or WHITE(p[-1]) or p in self.special:
                 other.append(p)
             elif p[-1] in self.marks and p[-2:-1].isalpha() and p[-2] < "\u0250":  # the split pattern parts a letter from a mark
                 marked.append(p)
                 if (q := p[:-1]) not in memory:
-                    if (v := older.get(q)) is not None:
+                    if (v := older.pop(q, None)) is not None:
                         memory[q] = v
+                        moved.append(q)
                     else:
                         words.add(q)
             else:
@@ -147,6 +154,8 @@ class Encoder:
         words = sorted(words)
         memory.update(zip(words, self.encode_words(words), strict=True))
         memory.update((p, memory[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        for held in (words, marked, moved):
+            self.bytes += sum(map(len, held)) + (sum(map(len, map(memory.get, held))) if self.keep_ids else 0)
         once = dict(zip(other, self.encode(other), strict=True))
         for i, j in gaps:
             p = split[i][j]
@@ -154,15 +163,15 @@ class Encoder:
         return found
 
 
-_OWN: dict[tuple[str, bool], Encoder] = {}
+_OWN: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, keep_ids: bool = False) -> Encoder:
+def encoder(path: str, keep_ids: bool = False, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder, with what it remembers from earlier tasks."""
-    key = (path, keep_ids)
+    key = (path, keep_ids, remembered)
     common.hold(f"tokens {key}", _OWN.clear)
     if key not in _OWN:
-        _OWN[key] = Encoder(path, keep_ids)
+        _OWN[key] = Encoder(path, keep_ids, remembered)
     return _OWN[key]
 
 

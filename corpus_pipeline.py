@@ -38,9 +38,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
+    """The documents' pieces in sequences of at most 2048 tokens. Workers remember fewer pieces than by default, as the near-duplicates' shuffles have grown the executors' heaps to their limit."""
     common.tune(spark)
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0), 2048)
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0, remembered=330_000), 2048)
 
 
 STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_duplicates), ("secret_scans", secrets), ("best_fit_packing", pack)]

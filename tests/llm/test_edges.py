@@ -41,6 +41,61 @@ def test_batches_are_of_bytes():
     assert [len(x) for x in token_counts.by_bytes(texts, 600)] == [1, 2, 2, 2, 1]
 
 
+@pytest.mark.parametrize("unit", ["", "猫犬" * 12])
+def test_remembered_pieces_are_bounded_in_number_and_bytes(unit):
+    import sys
+
+    own = token_counts.Encoder(PATH, True)
+    own.encode_words = lambda words: [(w * (4 if unit else 1)).encode("utf-16-le") for w in words]
+    most = 0
+    for at in range(0, 1_700_000 if not unit else 500_000, 20_000):
+        own.pieces([" ".join(f"{unit}{i:08x}" for i in range(at, at + 20_000))])
+        held = (own.memory, own.older)
+        if at % 100_000 == 0:
+            most = max(most, sum(sys.getsizeof(x) + sum(map(sys.getsizeof, x)) + sum(map(sys.getsizeof, x.values())) for x in held))
+    assert most < 230_000_000
+
+
+def test_few_remembered_pieces_give_the_same_ids():
+    rng = random.Random(3)
+    own, small = token_counts.Encoder(PATH, True), token_counts.Encoder(PATH, True, 20)
+    for _ in range(60):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) + rng.choice(["", ".", ",", "é;"]) for _ in range(30)) for _ in range(3)]
+        assert [b"".join(x) for x in small.pieces(texts)] == [b"".join(x) for x in own.pieces(texts)]
+    assert len(own.memory) > len(small.memory) and not set(small.memory) & set(small.older)
+
+
+def test_texts_go_in_slices_of_a_megabyte():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"id": pa.array(range(100)), "text": ["a" * 100_000] * 100})
+    parts = list(token_counts.texts_of(iter([batch])))
+    assert sum(len(texts) for _, texts in parts) == 100 and max(sum(map(len, texts)) for _, texts in parts) <= 1_200_000
+
+
+def test_workers_forget_what_other_stages_had_them_remember(spark):
+    docs = spark.range(8, numPartitions=8).selectExpr("id AS doc_id", "concat('pwd: x9Kq2vLw7t', id, ' some words of text ', id) AS text")
+
+    def held(batches):
+        import time
+
+        time.sleep(0.3)
+        for batch in batches:
+            yield batch.from_pydict({"words": [len(near_dup._WORDS)], "ranks": [len(secret_scan._RANKS)], "encoders": [len(token_counts._OWN)]})
+
+    def state():
+        return spark.range(4, numPartitions=4).mapInArrow(held, "words long, ranks long, encoders long").collect()
+
+    near_dup.sign(docs, near_dup.NearDup(), "doc_id", "text").collect()
+    assert any(r.words for r in state())
+    secret_scan.redact(docs).collect()
+    rows = state()
+    assert any(r.ranks for r in rows) and not any(r.ranks and r.words for r in rows)
+    packing.pieces(docs, PATH, 64, 0).collect()
+    rows = state()
+    assert any(r.encoders for r in rows) and not any(r.encoders and (r.words or r.ranks) for r in rows)
+
+
 def test_memory_does_not_grow_with_a_value():
     import random as rnd
     import tracemalloc
