@@ -53,7 +53,7 @@ def test_remembered_pieces_are_bounded_in_number_and_bytes(unit):
         held = (own.memory, own.older)
         if at % 100_000 == 0:
             most = max(most, sum(sys.getsizeof(x) + sum(map(sys.getsizeof, x)) + sum(map(sys.getsizeof, x.values())) for x in held))
-    assert most < 230_000_000
+    assert most < 200_000_000
 
 
 def test_few_remembered_pieces_give_the_same_ids():
